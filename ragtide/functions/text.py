@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ragtide.config import EMBED_DIM, RANK_DECIMALS, TOKEN_PATTERN
 
-# Python's str.strip() also strips \x1c-\x1f, which Unicode does not call
-# whitespace; (?U) turns \s into the Unicode White_Space class.
-_STRIP_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters Python's str.isspace() accepts (what str.strip()/str.split()
+# remove), written out so Java regex and RE2 (the DuckDB twins) agree.
+WS_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIP_RE = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def col_(c: Column | str) -> Column:
@@ -47,7 +48,7 @@ def rank_key(c: Column | str, decimals: int = RANK_DECIMALS) -> Column:
 
 def split_nonempty_words(c: Column | str) -> Column:
     """Whitespace tokens (Python ``str.split()`` without arguments)."""
-    return F.filter(F.split(col_(c), r"(?U)[\s\x1c-\x1f]+"), lambda w: F.length(w) > 0)
+    return F.filter(F.split(col_(c), f"{WS_CLASS}+"), lambda w: F.length(w) > 0)
 
 
 def quote_regex(s: str) -> str:
