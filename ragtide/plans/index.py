@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ragtide.config import CHUNK_OVERLAP, CHUNK_SEPARATORS, CHUNK_SIZE
 from ragtide.operators.chunk import chunk_articles, line_chunks
 from ragtide.operators.embed import Encoder, embed
 from ragtide.operators.format import format_rerank, scorer_input
+from ragtide.operators.partitioning import spread
 from ragtide.operators.passages import pack_metadata, passage_text, with_keys
 from ragtide.operators.rerank import Bm25Stats, bm25_stats
 
@@ -25,6 +25,7 @@ PASSAGE_COLUMNS = ["passage_id", "content_key", "doc_key", "metadata", "passage_
 def chunk_table(articles: DataFrame, chunking: str = "recursive", size: int = CHUNK_SIZE,
                 overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = CHUNK_SEPARATORS) -> DataFrame:
     """P1/P2 (+P3, P4, S6): one row per chunk with keys, passage text and metadata."""
+    articles = spread(articles, "doc_key")
     if chunking == "recursive":
         chunks = chunk_articles(articles, size, overlap, separators)
     elif chunking == "lines":
@@ -39,6 +40,9 @@ def build_passages(articles: DataFrame, chunking: str = "recursive", encoder: En
     """C1 without the sink: the passage table (id, keys, metadata, text, embedding)."""
     chunks = chunk_table(articles, chunking, **chunk_opts).select(
         "passage_id", "content_key", "doc_key", "metadata", "passage_text")
+    # One very long document gives many chunks in one task; the encoder (the
+    # costly step with a real model) gets its rows spread by passage.
+    chunks = spread(chunks, "passage_id")
     return embed(chunks, "passage_text", "embedding", encoder).select(*PASSAGE_COLUMNS)
 
 
@@ -51,4 +55,4 @@ def scorer_texts(passages: DataFrame) -> DataFrame:
     return passages.select("passage_id", scorer_input(format_rerank()).alias("scorer_input"))
 
 
-__all__ = ["build_passages", "chunk_table", "passage_stats", "scorer_texts", "PASSAGE_COLUMNS", "F"]
+__all__ = ["build_passages", "chunk_table", "passage_stats", "scorer_texts", "PASSAGE_COLUMNS"]

@@ -1,0 +1,78 @@
+"""Recursive chunker goldens, properties, and testdata totals."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ragtide.functions.chunker import split_text
+
+GOLDEN = [
+    ("alpha beta. gamma delta. eps", 20, 5, ["alpha beta", ". gamma delta. eps"]),
+    ("aa bb cc dd ee ff", 8, 3, ["aa bb cc", "cc dd", "dd ee", "ee ff"]),
+    ("abcdefghijklmnopqrstuvwxyz", 10, 3, ["abcdefghij", "hijklmnopq", "opqrstuvwx", "vwxyz"]),
+    ("p1 x\n\np2 y\n\nlonglonglong line one\nline two", 16, 4, ["p1 x\n\np2 y", "longlonglong", "line one", "line two"]),
+    ("0123456789", 10, 3, ["0123456789"]),
+    ("a.b.c.d.e", 4, 2, ["a.b", ".b.c", ".c.d", ".d.e"]),
+    ("", 10, 3, []),
+    ("    ", 10, 3, []),
+]
+
+
+@pytest.mark.parametrize("text,size,overlap,expected", GOLDEN)
+def test_golden(text, size, overlap, expected):
+    assert split_text(text, size, overlap) == expected
+
+
+def test_none_gives_no_chunks():
+    assert split_text(None) == []
+
+
+def test_blank_lines_and_long_run():
+    # Fixtures the testdata lacks: paragraph breaks and an unbroken run over the size.
+    text = "first para line.\n\nsecond para\n\n" + "x" * 2500
+    chunks = split_text(text, 1000, 100)
+    assert chunks[0] == "first para line.\n\nsecond para"
+    assert all(len(c) <= 1000 for c in chunks)
+    assert "".join(chunks[1:]).count("x") >= 2500
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab .\n")), max_size=300), st.integers(4, 40), st.integers(0, 10))
+def test_properties(text, size, overlap):
+    overlap = min(overlap, size - 1)
+    chunks = split_text(text, size, overlap)
+    for c in chunks:
+        assert 0 < len(c) <= size
+        assert c == c.strip()
+        assert c in text
+    # every non-space character is covered by some chunk
+    assert sum(1 for ch in text if not ch.isspace()) <= sum(len(c.replace(" ", "").replace("\n", "")) for c in chunks)
+
+
+def test_testdata_totals(spark):
+    from pyspark.sql import functions as F
+
+    from ragtide.catalog import articles
+    from ragtide.operators.chunk import chunk_articles
+
+    ch = chunk_articles(articles(spark, "/root/testdata/sf0.001"))
+    r = ch.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("chunk_content")).alias("s"),
+               F.max(F.length("chunk_content")).alias("m"), F.countDistinct("doc_key").alias("d")).first()
+    assert (r["n"], r["s"], r["m"], r["d"]) == (728, 493065, 1000, 200)
+    per_doc = ch.groupBy("doc_key").agg(F.max("total_chunks").alias("t"), F.count(F.lit(1)).alias("c"),
+                                        F.max("chunk_index").alias("i"))
+    assert per_doc.filter((F.col("t") != F.col("c")) | (F.col("i") != F.col("c") - 1)).count() == 0
+    assert per_doc.agg(F.max("c")).first()[0] == 24
+
+
+def test_partition_invariance(spark):
+    from pyspark.sql import functions as F
+
+    from ragtide.catalog import articles
+    from ragtide.operators.chunk import chunk_articles
+
+    a = articles(spark, "/root/testdata/sf0.001")
+    one = chunk_articles(a.coalesce(1)).select("doc_key", "chunk_index", "chunk_content")
+    many = chunk_articles(a.repartition(7)).select("doc_key", "chunk_index", "chunk_content")
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    assert one.filter(F.col("chunk_content") == "").count() == 0
