@@ -28,6 +28,11 @@ def read_corpus_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
     """
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(
         F.input_file_name().alias("path"), F.col("value").alias("raw"))
+    return parse_corpus_texts(raw)
+
+
+def parse_corpus_texts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, raw file text) rows -> (articles, rejects); shared by batch and stream."""
     parsed = raw.select("path", F.expr("try_parse_json(raw)").alias("v"))
     typed = parsed.select("path", "v", F.expr("schema_of_variant(v)").alias("t"))
     bad_files = typed.filter(F.col("v").isNull() | ~F.col("t").startswith("ARRAY")).select(
