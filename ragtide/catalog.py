@@ -31,6 +31,7 @@ from ragtide.operators.embed import hashed_encoder
 from ragtide.operators.fuse import context_concat, dedupe_first, fuse
 from ragtide.operators.knn import knn_exact, knn_lsh
 from ragtide.operators.metrics import bleu, mean_by_model, metric_table, rouge_l, rouge_n, zip_pairs
+from ragtide.operators.partitioning import broadcast_if
 from ragtide.operators.passages import metadata_field
 from ragtide.operators.rerank import bm25_scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import default_rewriter, expand_queries, parse_rewrites
@@ -114,9 +115,11 @@ def _chain(spark: SparkSession, sf: str, options: RagOptions = FLAGSHIP_OPTIONS,
     models = models_for(passages)
     qs = with_settings(routed_questions(spark, sf) if routed else questions(spark, sf), options)
     queries = query_table(qs, options, models)
-    hits = retrieve_hits(queries, passages, options.depth, models.encoder)
+    n_queries = queries.count()
+    hits = retrieve_hits(queries, passages, options.depth, models.encoder, n_queries)
     settings = qs.select("question_id", "question", "model_kind", "top_k", "doc_limit")
-    hits = hits.join(F.broadcast(settings), "question_id")  # one row per question
+    # one row per question, at most n_queries rows
+    hits = hits.join(broadcast_if(settings, n_queries), "question_id")
     return passages, models, hits.repartition("question_id")
 
 
@@ -140,7 +143,8 @@ def q_knn_filtered(spark, sf):
 def q_knn_late_fetch(spark, sf):
     q, p = vectors(spark, sf)
     r = knn_exact(q, p, 10, exclude_self=True)
-    r = F.broadcast(r).join(p.select("passage_id", "label"), "passage_id")
+    # At most 10 rows per query; broadcast into the passage scan when that bound is small.
+    r = broadcast_if(r, 10 * q.count()).join(p.select("passage_id", "label"), "passage_id")
     return r.select("query_id", "rank", "passage_id", "label", r6("sim").alias("sim"))
 
 

@@ -204,9 +204,10 @@ def knn_exact(
         F.col(qid).isNotNull() & F.col("_qv").isNotNull())
     p = passages.select(F.col(pid).cast("bigint").alias(pid), F.col(pvec).alias("_pv")).filter(
         F.col(pid).isNotNull() & F.col("_pv").isNotNull())
-    d = _vector_dim(q, "_qv")
-    nq = q.count()
-    if nq == 0 or d == 0:
+    # One small action: query count and vector width decide the strategy.
+    probe = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    nq, d = int(probe["n"]), int(probe["d"] or 0)
+    if nq == 0 or d <= 0:
         schema = T.StructType([T.StructField(qid, T.LongType()), T.StructField(pid, T.LongType()),
                                T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())])
         return queries.sparkSession.createDataFrame([], schema)

@@ -35,3 +35,14 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     if have is not None and have >= target:
         return df
     return df.repartition(target, F.xxhash64(F.col(key)))
+
+
+# Row bound under which a lookup side is broadcast (rows are small keyed records).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when its row count (counted or bounded by the
+    caller) is within ``max_rows``; otherwise leave the join to the planner
+    (shuffle join, AQE may still switch at run time)."""
+    return F.broadcast(df) if n_rows <= max_rows else df

@@ -26,6 +26,7 @@ from ragtide.operators.embed import Encoder, embed
 from ragtide.operators.format import drop_missing_metadata, format_plain, format_rerank, scorer_input
 from ragtide.operators.fuse import fuse
 from ragtide.operators.knn import knn_exact
+from ragtide.operators.partitioning import broadcast_if
 from ragtide.operators.rerank import Scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import Rewriter, expand_queries
 
@@ -73,9 +74,9 @@ def retrieve_hits(queries: DataFrame, passages: DataFrame, depth: int, encoder:
     hits = knn_exact(qv, passages, depth, qid="query_key", qvec="query_vec", pid="passage_id", pvec="embedding")
     hits = hits.join(queries.select("query_key", "question_id", "query_ord", "query_text"), "query_key")
     n = n_queries if n_queries is not None else queries.count()
-    if n * depth <= MAX_BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    meta = hits.join(passages.select("passage_id", "metadata"), "passage_id")
+    # J6 late fetch: hits (at most n * depth rows) go to the passage scan, not the reverse.
+    meta = broadcast_if(hits, n * depth, MAX_BROADCAST_HITS).join(passages.select("passage_id", "metadata"),
+                                                                   "passage_id")
     return drop_missing_metadata(meta).drop("query_key")
 
 
@@ -99,7 +100,7 @@ def retrieve_fuse(questions: DataFrame, passages: DataFrame, models: Models,
     n_queries = queries.count()
     hits = retrieve_hits(queries, passages, options.depth, models.encoder, n_queries)
     settings = qs.select("question_id", "question", "model_kind", "top_k", "doc_limit")
-    hits = hits.join(F.broadcast(settings) if n_queries <= MAX_BROADCAST_HITS else settings, "question_id")
+    hits = hits.join(broadcast_if(settings, n_queries, MAX_BROADCAST_HITS), "question_id")
     hits = hits.repartition("question_id")
     if options.use_reranking:
         ranked = rerank_topk(score_hits(hits, models), F.col("top_k"), ["question_id", "query_ord"])
