@@ -361,9 +361,17 @@ def q_rouge_l(spark, sf):
     return r.select("conv_id", "item_ord", r6("rougeL").alias("rougeL"))
 
 
-def _metric_rows(spark, sf, with_lcs):
+def q_rouge_stemmed(spark, sf):
+    """A4 + A5 as the original scorer runs them: Porter-stemmed tokens."""
+    pairs, keys = answer_pairs(spark, sf), ["conv_id", "item_ord"]
+    n = rouge_n(pairs, keys, reference="reference", hypothesis="candidate", stem=True)
+    lcs = rouge_l(pairs, keys, reference="reference", hypothesis="candidate", stem=True)
+    return n.join(lcs, keys).select("conv_id", "item_ord", *[r6(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+
+
+def _metric_rows(spark, sf, with_lcs, stem=False):
     t = metric_table(answer_pairs(spark, sf), ["conv_id", "item_ord"], reference="reference",
-                     hypothesis="candidate", with_lcs=with_lcs)
+                     hypothesis="candidate", with_lcs=with_lcs, stem=stem)
     return t.join(eval_models(spark, sf), "conv_id")
 
 
@@ -373,7 +381,8 @@ def q_metrics_by_model(spark, sf):
 
 
 def q_eval_summary(spark, sf):
-    m = mean_by_model(_metric_rows(spark, sf, True))
+    """C5 as the original evaluation: BLEU plus stemmed ROUGE-1/2/L, mean per model."""
+    m = mean_by_model(_metric_rows(spark, sf, True, stem=True))
     return m.select("model", *[r6(c).alias(c) for c in ("avg_bleu", "avg_rouge1", "avg_rouge2", "avg_rougeL")],
                     "n_pairs")
 
@@ -416,6 +425,7 @@ QUERIES: dict[str, Query] = {
     "bleu_pairs": q_bleu_pairs,
     "rouge_n": q_rouge_n,
     "rouge_l": q_rouge_l,
+    "rouge_stemmed": q_rouge_stemmed,
     "metrics_by_model": q_metrics_by_model,
     "eval_summary": q_eval_summary,
     "session_context": q_session_context,

@@ -5,7 +5,7 @@
   Rows are partitioned once by the pair key; the n-gram, per-n and per-pair
   aggregations all reuse that partitioning (no further shuffle).
 * A3 sentence BLEU-4 (whitespace tokens, one reference, smoothing method 1).
-* A4 ROUGE-1/2 F1 (lower-case, runs outside [a-z0-9] become spaces, no stemming).
+* A4 ROUGE-1/2 F1 (lower-case, runs outside [a-z0-9] become spaces; Porter stemming optional).
 * A5 ROUGE-L F1: longest common subsequence per pair, bit-parallel in an Arrow UDF.
 * A6 per-pair table, A1 mean per model.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragtide.functions import porter
 from ragtide.functions.text import split_nonempty_words
 
 BLEU_EPSILON = 0.1  # smoothing method 1: zero numerators become epsilon
@@ -26,12 +27,21 @@ def bleu_tokens(c: Column | str) -> Column:
     return split_nonempty_words(c)
 
 
-def rouge_tokens(c: Column | str, unicode: bool = False) -> Column:
-    """Lower-case; runs of characters outside [a-z0-9] become one space; split.
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stem_tokens(toks: pa.Array) -> pa.Array:
+    """Porter-stem tokens longer than three characters (the ROUGE scorer's rule)."""
+    return pa.array([None if row is None else [porter.stem(t) if len(t) > 3 else t for t in row]
+                     for row in toks.to_pylist()], type=pa.list_(pa.string()))
+
+
+def rouge_tokens(c: Column | str, unicode: bool = False, stem: bool = False) -> Column:
+    """Lower-case; runs of characters outside [a-z0-9] become one space; split;
+    optionally Porter-stem tokens longer than three characters.
     ``unicode=True`` keeps all letters and digits instead (accented words stay whole)."""
     col = F.col(c) if isinstance(c, str) else c
     pat = r"[^\p{L}\p{N}]+" if unicode else r"[^a-z0-9]+"
-    return F.filter(F.split(F.regexp_replace(F.lower(col), pat, " "), " "), lambda w: F.length(w) > 0)
+    toks = F.filter(F.split(F.regexp_replace(F.lower(col), pat, " "), " "), lambda w: F.length(w) > 0)
+    return _stem_tokens(toks) if stem else toks
 
 
 def ngrams(toks: Column, n: int) -> Column:
@@ -115,11 +125,11 @@ def _f1(overlap: Column, hyp_total: Column, ref_total: Column) -> Column:
 
 
 def rouge_n(pairs: DataFrame, keys: list[str], reference: str = "reference", hypothesis: str = "hypothesis",
-            unicode: bool = False) -> DataFrame:
-    """A4: ROUGE-1 and ROUGE-2 F1 (symmetric in the two texts)."""
+            unicode: bool = False, stem: bool = False) -> DataFrame:
+    """A4: ROUGE-1 and ROUGE-2 F1 (symmetric in the two texts); ``stem=True`` as the original scorer."""
     ns = (1, 2)
-    pp = _per_pair(clipped_counts(pairs, keys, rouge_tokens(reference, unicode), rouge_tokens(hypothesis, unicode),
-                                  ns), keys, ns)
+    pp = _per_pair(clipped_counts(pairs, keys, rouge_tokens(reference, unicode, stem),
+                                  rouge_tokens(hypothesis, unicode, stem), ns), keys, ns)
     cols = []
     for n in ns:
         o = F.coalesce(F.col(f"clip{n}"), F.lit(0)).cast("double")
@@ -150,9 +160,9 @@ def _lcs_udf(ref: pa.Array, hyp: pa.Array) -> pa.Array:
 
 
 def rouge_l(pairs: DataFrame, keys: list[str], reference: str = "reference", hypothesis: str = "hypothesis",
-            unicode: bool = False) -> DataFrame:
+            unicode: bool = False, stem: bool = False) -> DataFrame:
     """A5: ROUGE-L F1 from the LCS of the two token lists (0 if either is empty)."""
-    r, h = rouge_tokens(reference, unicode), rouge_tokens(hypothesis, unicode)
+    r, h = rouge_tokens(reference, unicode, stem), rouge_tokens(hypothesis, unicode, stem)
     t = pairs.select(*keys, r.alias("_r"), h.alias("_h"))
     t = t.withColumn("_lcs", _lcs_udf("_r", "_h").cast("double"))
     score = F.when((F.size("_r") == 0) | (F.size("_h") == 0), F.lit(0.0)).otherwise(
@@ -161,11 +171,11 @@ def rouge_l(pairs: DataFrame, keys: list[str], reference: str = "reference", hyp
 
 
 def metric_table(pairs: DataFrame, keys: list[str], reference: str = "reference", hypothesis: str = "hypothesis",
-                 with_lcs: bool = True) -> DataFrame:
+                 with_lcs: bool = True, stem: bool = False) -> DataFrame:
     """One row per pair with bleu, rouge1, rouge2 (and rougeL)."""
-    t = bleu(pairs, keys, reference, hypothesis).join(rouge_n(pairs, keys, reference, hypothesis), keys)
+    t = bleu(pairs, keys, reference, hypothesis).join(rouge_n(pairs, keys, reference, hypothesis, stem=stem), keys)
     if with_lcs:
-        t = t.join(rouge_l(pairs, keys, reference, hypothesis), keys)
+        t = t.join(rouge_l(pairs, keys, reference, hypothesis, stem=stem), keys)
     return t
 
 

@@ -85,3 +85,24 @@ def test_mean_by_model_drops_null_model(spark):
     t = spark.createDataFrame([("a", 1.0), ("a", 0.0), (None, 5.0), ("b", 0.5)], "model string, bleu double")
     got = {r.model: r.avg_bleu for r in mean_by_model(t, metrics=("bleu",)).collect()}
     assert got == {"a": 0.5, "b": 0.5}
+
+
+def test_porter_examples():
+    from ragtide.functions.porter import stem
+
+    cases = {"caresses": "caress", "ponies": "poni", "ties": "tie", "agreed": "agre", "plastered": "plaster",
+             "motoring": "motor", "conflated": "conflat", "hopping": "hop", "filing": "file", "happy": "happi",
+             "relational": "relat", "generalization": "gener", "triplicate": "triplic", "adjustment": "adjust",
+             "dying": "die", "spied": "spi", "flies": "fli", "enjoy": "enjoy", "sky": "sky", "controll": "control"}
+    assert {w: stem(w) for w in cases} == cases
+
+
+def test_stemmed_rouge(spark):
+    df = spark.createDataFrame([(1, "the cats were running", "a cat runs")], "id int, reference string, "
+                                                                              "hypothesis string")
+    plain = rouge_n(df, ["id"]).first()
+    stemmed = rouge_n(df, ["id"], stem=True).first()
+    # after stemming cats/cat and running/runs both become equal tokens (cat, run)
+    assert plain.rouge1 == 0.0
+    assert stemmed.rouge1 == pytest.approx(2 * (2 / 3) * (2 / 4) / (2 / 3 + 2 / 4))
+    assert rouge_l(df, ["id"], stem=True).first().rougeL == pytest.approx(stemmed.rouge1)
