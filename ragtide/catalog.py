@@ -309,7 +309,8 @@ def q_prompt_build(spark, sf):
 
 def q_extract_answer(spark, sf):
     ctx = _contexts(spark, sf)
-    both = ctx.withColumn("model_kind", F.lit("gpt2")).unionByName(ctx.withColumn("model_kind", F.lit("llama")))
+    # Both generator kinds over one computation of the contexts.
+    both = ctx.withColumn("model_kind", F.explode(F.array(F.lit("gpt2"), F.lit("llama"))))
     return generate_answers(both).select("question_id", "model_kind", "answer")
 
 

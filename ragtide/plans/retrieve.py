@@ -111,30 +111,39 @@ def retrieve_fuse(questions: DataFrame, passages: DataFrame, models: Models,
                         "question", "model_kind", "top_k", "doc_limit")
 
 
+def _pooled_cut(scored: DataFrame, k: int) -> DataFrame:
+    # Stable sort of the pool: ties keep arrival order (rewrite order, then hit rank).
+    w = Window.partitionBy("question_id").orderBy(rank_key("score").desc(), F.col("query_ord").asc(),
+                                                  F.col("rank").asc())
+    return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+
+
 def pooled_rerank(questions: DataFrame, passages: DataFrame, models: Models, k: int) -> DataFrame:
     """C4 second mode: hits of the rewrites only (depth ``k`` each), pooled
     without dedupe, reranked against the original question, top ``k``."""
-    opts = RagOptions(use_query_rewriting=True)
-    queries = query_table(questions, opts, models).filter(F.col("query_ord") > 0)
+    queries = query_table(questions, RagOptions(use_query_rewriting=True), models).filter(F.col("query_ord") > 0)
     hits = retrieve_hits(queries, passages, k, models.encoder)
+    return _pooled_from_hits(hits, questions, models, k)
+
+
+def _pooled_from_hits(hits: DataFrame, questions: DataFrame, models: Models, k: int) -> DataFrame:
     hits = hits.join(questions.select("question_id", "question"), "question_id").repartition("question_id")
-    scored = score_hits(hits, models, query_col="question")
-    # Stable sort of the pool: ties keep arrival order (rewrite order, then hit rank).
-    w = Window.partitionBy("question_id").orderBy(rank_key("score").desc(), F.col("query_ord").asc(),
-                                                  F.col("rank").asc())
-    return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    return _pooled_cut(score_hits(hits, models, query_col="question"), k)
 
 
 def compare_modes(questions: DataFrame, passages: DataFrame, models: Models, k: int = 5) -> DataFrame:
     """C4: plain top-``k`` retrieval vs rewrite + pooled rerank, side by side.
 
-    Output: question_id, method, pos, passage_id, score, doc.
+    One kNN pass serves both modes: the original question (query_ord 0) gives
+    the plain list, its rewrites the pool. Output: question_id, method, pos,
+    passage_id, score, doc.
     """
-    plain_q = questions.select("question_id", F.lit(0).alias("query_ord"), F.col("question").alias("query_text"),
-                               (F.col("question_id") * QUERY_KEY_STRIDE).alias("query_key"))
-    plain = retrieve_hits(plain_q, passages, k, models.encoder).select(
+    queries = query_table(questions, RagOptions(use_query_rewriting=True), models)
+    n_queries = queries.count()
+    hits = retrieve_hits(queries, passages, k, models.encoder, n_queries)
+    plain = hits.filter(F.col("query_ord") == 0).select(
         "question_id", F.lit("plain").alias("method"), F.col("rank").alias("pos"), "passage_id",
         F.col("sim").alias("score"), format_plain().alias("doc"))
-    pooled = pooled_rerank(questions, passages, models, k).select(
+    pooled = _pooled_from_hits(hits.filter(F.col("query_ord") > 0), questions, models, k).select(
         "question_id", F.lit("rewrite_rerank").alias("method"), "pos", "passage_id", "score", "doc")
     return plain.unionByName(pooled)
