@@ -336,7 +336,7 @@ SELECT question_id, source, CAST(unnest(range(0, len(r))) AS INTEGER) AS pos, un
     q["rerank_topk"] = f"WITH {chain}\nSELECT question_id, query_ord, rerank_pos, passage_id, " \
                        f"round(score, 6) AS score FROM topk"
     q["norerank_prefix"] = f"""WITH {chain}
-SELECT h.question_id, h.query_ord, h.rank AS rerank_pos, h.passage_id, 1.0 AS score,
+SELECT h.question_id, h.query_ord, h.rank AS rerank_pos, h.passage_id, CAST(1.0 AS DOUBLE) AS score,
        {format_plain('d.law', 'd.article', 'd.title', 'd.chunk_content')} AS doc
 FROM hits h JOIN pdocs d USING (passage_id) WHERE h.rank <= 4"""
     q["dedupe_first"] = f"WITH {chain}\nSELECT question_id, query_ord, rerank_pos, passage_id, " \
