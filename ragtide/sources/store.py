@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragtide.operators.rerank import Bm25Stats
+
 PASSAGE_SCHEMA = (
     "passage_id BIGINT, content_key STRING, doc_key BIGINT, "
     "metadata STRUCT<law: STRING, article: STRING, title: STRING, chunk_index: INT, total_chunks: INT, "
@@ -52,8 +54,9 @@ def count(spark: SparkSession, name: str) -> int:
 
 
 def drop(spark: SparkSession, name: str) -> None:
-    """Drop the store."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    """Drop the store (and its statistics tables)."""
+    for t in (name, f"{name}_vocab", f"{name}_stats"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
 def append(passages: DataFrame, name: str) -> None:
@@ -85,3 +88,22 @@ def index_incremental(spark: SparkSession, passages: DataFrame, name: str, mode:
     before = count(spark, name)
     append(rows, name)
     return count(spark, name) - before
+
+
+def write_stats(spark: SparkSession, name: str) -> Bm25Stats:
+    """Index-time BM25 statistics of the whole store, written next to it:
+    ``<name>_vocab(token, df)`` (bucketed by token) and ``<name>_stats(n_docs, avgdl)``."""
+    from ragtide.plans.index import passage_stats
+
+    stats = passage_stats(load(spark, name))
+    stats.vocab.write.mode("overwrite").bucketBy(DEFAULT_BUCKETS, "token").saveAsTable(f"{name}_vocab")
+    spark.createDataFrame([(stats.n_docs, stats.avgdl)], "n_docs double, avgdl double").write.mode(
+        "overwrite").saveAsTable(f"{name}_stats")
+    stats.vocab.unpersist()
+    return load_stats(spark, name)
+
+
+def load_stats(spark: SparkSession, name: str) -> Bm25Stats:
+    """Statistics written by ``write_stats`` (one-row scalar table + vocabulary table)."""
+    row = spark.table(f"{name}_stats").first()
+    return Bm25Stats(spark.table(f"{name}_vocab"), float(row["n_docs"]), float(row["avgdl"]))

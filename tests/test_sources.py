@@ -62,7 +62,7 @@ def test_store_lifecycle(spark):
     store.drop(spark, name)
     store.open_store(spark, name)
     assert spark.catalog.tableExists(name) and store.count(spark, name) == 0
-    passages = build_passages(articles(spark, "/root/testdata/sf0.001").limit(30), chunking="recursive")
+    passages = build_passages(articles(spark, "/root/testdata/sf0.001"), chunking="recursive")
     first = store.index_incremental(spark, passages, name)
     assert first == passages.count() > 0
     assert store.index_incremental(spark, passages, name) == 0  # re-run adds nothing
@@ -70,5 +70,11 @@ def test_store_lifecycle(spark):
     assert store.count(spark, name) == 2 * first
     loaded = store.load(spark, name)
     assert loaded.select("metadata.chunk_content").count() == 2 * first
+    from ragtide.plans.index import passage_stats
+
+    written = store.write_stats(spark, name)
+    direct = passage_stats(loaded)
+    assert (written.n_docs, written.avgdl) == (direct.n_docs, direct.avgdl)
+    assert written.vocab.exceptAll(direct.vocab).count() == 0 and direct.vocab.exceptAll(written.vocab).count() == 0
     store.drop(spark, name)
     assert not spark.catalog.tableExists(name)

@@ -72,12 +72,12 @@ def test_corpus_stream_is_idempotent(spark, scratch_dir):
     from ragtide.sources.testdata import table
     from ragtide.streaming.corpus import start_index_stream
 
-    docs = table(spark, SF_SMALL, "documents").orderBy("doc_id").limit(40).collect()
+    docs = table(spark, SF_SMALL, "documents").orderBy("doc_id").collect()
     src = os.path.join(scratch_dir, "corpus")
     os.makedirs(src)
-    for part in range(2):
-        arts = [{"luật": d.source, "điều": d.doc_id, "tên_điều": d.lang, "nội_dung": d.text}
-                for d in docs[part * 20:(part + 1) * 20]]
+    half = len(docs) // 2
+    for part, chunk in enumerate((docs[:half], docs[half:])):
+        arts = [{"luật": d.source, "điều": d.doc_id, "tên_điều": d.lang, "nội_dung": d.text} for d in chunk]
         with open(os.path.join(src, f"part{part}.json"), "w", encoding="utf-8") as f:
             json.dump(arts, f, ensure_ascii=False)
     with open(os.path.join(src, "broken.json"), "w") as f:
