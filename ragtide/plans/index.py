@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ragtide.config import CHUNK_OVERLAP, CHUNK_SEPARATORS, CHUNK_SIZE
 from ragtide.operators.chunk import chunk_articles, line_chunks
 from ragtide.operators.embed import Encoder, embed
 from ragtide.operators.format import format_rerank, scorer_input
-from ragtide.operators.partitioning import spread
+from ragtide.operators.partitioning import default_parallelism, spread
 from ragtide.operators.passages import pack_metadata, passage_text, with_keys
 from ragtide.operators.rerank import Bm25Stats, bm25_stats
 
@@ -36,13 +37,21 @@ def chunk_table(articles: DataFrame, chunking: str = "recursive", size: int = CH
 
 
 def build_passages(articles: DataFrame, chunking: str = "recursive", encoder: Encoder | None = None,
-                   **chunk_opts) -> DataFrame:
-    """C1 without the sink: the passage table (id, keys, metadata, text, embedding)."""
+                   rebalance: bool = True, **chunk_opts) -> DataFrame:
+    """C1 without the sink: the passage table (id, keys, metadata, text, embedding).
+
+    The chunker is sequential per document, so one very long document gives
+    all its chunks in one task. With ``rebalance`` the chunks are re-hashed by
+    passage id before the encoder (the costly step with a real model), so a hot
+    document's chunks spread over all tasks.
+    """
     chunks = chunk_table(articles, chunking, **chunk_opts).select(
         "passage_id", "content_key", "doc_key", "metadata", "passage_text")
-    # One very long document gives many chunks in one task; the encoder (the
-    # costly step with a real model) gets its rows spread by passage.
-    chunks = spread(chunks, "passage_id")
+    if rebalance:
+        spark = articles.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), default_parallelism(spark))
+        # An explicit count: AQE would coalesce a small-but-CPU-heavy input into a few tasks.
+        chunks = chunks.repartition(n, F.xxhash64("passage_id"))
     return embed(chunks, "passage_text", "embedding", encoder).select(*PASSAGE_COLUMNS)
 
 

@@ -76,3 +76,17 @@ def test_partition_invariance(spark):
     many = chunk_articles(a.repartition(7)).select("doc_key", "chunk_index", "chunk_content")
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
     assert one.filter(F.col("chunk_content") == "").count() == 0
+
+
+def test_hot_document_spreads_before_encoder(spark):
+    from pyspark.sql import functions as F
+
+    from ragtide.plans.index import build_passages
+
+    rows = [(1, "L", "1", "t", "word " * 100000)] + [(i, "L", str(i), "t", "short text " * 200) for i in range(2, 200)]
+    arts = spark.createDataFrame(rows, "doc_key bigint, law string, article string, title string, content string")
+    p = build_passages(arts)
+    hot = p.filter(F.col("doc_key") == 1).count()
+    assert hot * 3 > p.count() / 2  # one document holds a large share of all chunks
+    per_task = [r["count"] for r in p.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+    assert len(per_task) >= 8 and max(per_task) <= 2 * min(per_task)
