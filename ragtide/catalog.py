@@ -30,7 +30,7 @@ from ragtide.operators.chunk import chunk_articles
 from ragtide.operators.embed import hashed_encoder
 from ragtide.operators.fuse import context_concat, dedupe_first, fuse
 from ragtide.operators.knn import knn_exact, knn_lsh
-from ragtide.operators.metrics import bleu, mean_by_model, metric_table, rouge_l, rouge_n, zip_pairs
+from ragtide.operators.metrics import bleu, mean_by_model, metric_table, rouge, rouge_l, rouge_n, zip_pairs
 from ragtide.operators.partitioning import broadcast_if
 from ragtide.operators.passages import metadata_field
 from ragtide.operators.rerank import bm25_scorer, norerank_prefix, rerank_topk
@@ -365,9 +365,8 @@ def q_rouge_l(spark, sf):
 def q_rouge_stemmed(spark, sf):
     """A4 + A5 as the original scorer runs them: Porter-stemmed tokens."""
     pairs, keys = answer_pairs(spark, sf), ["conv_id", "item_ord"]
-    n = rouge_n(pairs, keys, reference="reference", hypothesis="candidate", stem=True)
-    lcs = rouge_l(pairs, keys, reference="reference", hypothesis="candidate", stem=True)
-    return n.join(lcs, keys).select("conv_id", "item_ord", *[r6(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
+    r = rouge(pairs, keys, reference="reference", hypothesis="candidate", stem=True)
+    return r.select("conv_id", "item_ord", *[r6(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
 
 
 def _metric_rows(spark, sf, with_lcs, stem=False):

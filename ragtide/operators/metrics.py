@@ -69,28 +69,30 @@ def _tagger(n: int, side: int):
 
 
 def clipped_counts(pairs: DataFrame, keys: list[str], ref_toks: Column, hyp_toks: Column,
-                   ns: tuple[int, ...]) -> DataFrame:
+                   ns: tuple[int, ...], carry: tuple[str, ...] = ()) -> DataFrame:
     """Per pair and n: ``clip`` (matched n-grams), ``hyp_total``, ``ref_total``,
-    plus token lengths ``hyp_len`` / ``ref_len``. Every pair appears (n = 0 row)."""
-    base = pairs.select(*keys, ref_toks.alias("_r"), hyp_toks.alias("_h")).repartition(*keys)
+    plus token lengths ``hyp_len`` / ``ref_len`` and the per-pair ``carry``
+    columns. Every pair appears (n = 0 row)."""
+    base = pairs.select(*keys, ref_toks.alias("_r"), hyp_toks.alias("_h"), *carry).repartition(*keys)
     items = [F.struct(F.lit(0).alias("n"), F.lit(0).alias("side"), F.lit("").alias("g"))]
     for n in ns:
         items.append(F.transform(ngrams(F.col("_h"), n), _tagger(n, 1)))
         items.append(F.transform(ngrams(F.col("_r"), n), _tagger(n, 2)))
     arrays = [F.array(items[0])] + items[1:]
-    lens = [F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len")]
+    per_pair = ["hyp_len", "ref_len", *carry]
+    lens = [F.size("_h").alias("hyp_len"), F.size("_r").alias("ref_len"), *carry]
     g = base.select(*keys, *lens, F.explode(F.flatten(F.array(*arrays))).alias("x"))
     per_gram = g.groupBy(*keys, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
-        F.first("hyp_len").alias("hyp_len"), F.first("ref_len").alias("ref_len"),
+        *[F.first(c).alias(c) for c in per_pair],
         F.sum(F.when(F.col("x.side") == 1, 1).otherwise(0)).alias("hc"),
         F.sum(F.when(F.col("x.side") == 2, 1).otherwise(0)).alias("rc"))
     return per_gram.groupBy(*keys, "n").agg(
-        F.first("hyp_len").alias("hyp_len"), F.first("ref_len").alias("ref_len"),
+        *[F.first(c).alias(c) for c in per_pair],
         F.sum(F.least("hc", "rc")).alias("clip"), F.sum("hc").alias("hyp_total"), F.sum("rc").alias("ref_total"))
 
 
-def _per_pair(counts: DataFrame, keys: list[str], ns: tuple[int, ...]) -> DataFrame:
-    aggs = [F.max("hyp_len").alias("hyp_len"), F.max("ref_len").alias("ref_len")]
+def _per_pair(counts: DataFrame, keys: list[str], ns: tuple[int, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    aggs = [F.max("hyp_len").alias("hyp_len"), F.max("ref_len").alias("ref_len"), *[F.max(c).alias(c) for c in carry]]
     for n in ns:
         for c in ("clip", "hyp_total", "ref_total"):
             aggs.append(F.sum(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}"))
@@ -127,14 +129,31 @@ def _f1(overlap: Column, hyp_total: Column, ref_total: Column) -> Column:
 def rouge_n(pairs: DataFrame, keys: list[str], reference: str = "reference", hypothesis: str = "hypothesis",
             unicode: bool = False, stem: bool = False) -> DataFrame:
     """A4: ROUGE-1 and ROUGE-2 F1 (symmetric in the two texts); ``stem=True`` as the original scorer."""
+    return rouge(pairs, keys, reference, hypothesis, unicode, stem, with_lcs=False)
+
+
+def rouge(pairs: DataFrame, keys: list[str], reference: str = "reference", hypothesis: str = "hypothesis",
+          unicode: bool = False, stem: bool = False, with_lcs: bool = True) -> DataFrame:
+    """A4 + A5 from one tokenisation: ROUGE-1, ROUGE-2 (and ROUGE-L) F1.
+
+    Tokens (and stems) are computed once per pair; the LCS is computed in the
+    same row pass and carried through the n-gram aggregation."""
     ns = (1, 2)
-    pp = _per_pair(clipped_counts(pairs, keys, rouge_tokens(reference, unicode, stem),
-                                  rouge_tokens(hypothesis, unicode, stem), ns), keys, ns)
+    t = pairs.select(*keys, rouge_tokens(reference, unicode, stem).alias("_rt"),
+                     rouge_tokens(hypothesis, unicode, stem).alias("_ht"))
+    carry: tuple[str, ...] = ()
+    if with_lcs:
+        t = t.withColumn("_lcs", _lcs_udf("_rt", "_ht").cast("double"))
+        carry = ("_lcs",)
+    pp = _per_pair(clipped_counts(t, keys, F.col("_rt"), F.col("_ht"), ns, carry), keys, ns, carry)
     cols = []
     for n in ns:
         o = F.coalesce(F.col(f"clip{n}"), F.lit(0)).cast("double")
         cols.append(_f1(o, F.coalesce(F.col(f"hyp_total{n}"), F.lit(0)).cast("double"),
                         F.coalesce(F.col(f"ref_total{n}"), F.lit(0)).cast("double")).alias(f"rouge{n}"))
+    if with_lcs:
+        h, r = F.col("hyp_len").cast("double"), F.col("ref_len").cast("double")
+        cols.append(F.when((h == 0) | (r == 0), F.lit(0.0)).otherwise(_f1(F.col("_lcs"), h, r)).alias("rougeL"))
     return pp.select(*keys, *cols)
 
 
@@ -173,10 +192,8 @@ def rouge_l(pairs: DataFrame, keys: list[str], reference: str = "reference", hyp
 def metric_table(pairs: DataFrame, keys: list[str], reference: str = "reference", hypothesis: str = "hypothesis",
                  with_lcs: bool = True, stem: bool = False) -> DataFrame:
     """One row per pair with bleu, rouge1, rouge2 (and rougeL)."""
-    t = bleu(pairs, keys, reference, hypothesis).join(rouge_n(pairs, keys, reference, hypothesis, stem=stem), keys)
-    if with_lcs:
-        t = t.join(rouge_l(pairs, keys, reference, hypothesis, stem=stem), keys)
-    return t
+    return bleu(pairs, keys, reference, hypothesis).join(
+        rouge(pairs, keys, reference, hypothesis, stem=stem, with_lcs=with_lcs), keys)
 
 
 def mean_by_model(table: DataFrame, model: str = "model", metrics: tuple[str, ...] = ("bleu", "rouge1", "rouge2",

@@ -106,3 +106,12 @@ def test_stemmed_rouge(spark):
     assert plain.rouge1 == 0.0
     assert stemmed.rouge1 == pytest.approx(2 * (2 / 3) * (2 / 4) / (2 / 3 + 2 / 4))
     assert rouge_l(df, ["id"], stem=True).first().rougeL == pytest.approx(stemmed.rouge1)
+
+
+def test_one_pass_rouge_equals_separate(pairs):
+    from ragtide.operators.metrics import rouge
+
+    both = {r.id: (r.rouge1, r.rouge2, r.rougeL) for r in rouge(pairs, ["id"], stem=True).collect()}
+    n = {r.id: (r.rouge1, r.rouge2) for r in rouge_n(pairs, ["id"], stem=True).collect()}
+    lcs = {r.id: r.rougeL for r in rouge_l(pairs, ["id"], stem=True).collect()}
+    assert both == {i: (*n[i], lcs[i]) for i in n}
