@@ -72,8 +72,10 @@ def retrieve_hits(queries: DataFrame, passages: DataFrame, depth: int, encoder:
     """
     qv = embed(queries.select("query_key", "query_text"), "query_text", "query_vec", encoder)
     hits = knn_exact(qv, passages, depth, qid="query_key", qvec="query_vec", pid="passage_id", pvec="embedding")
-    hits = hits.join(queries.select("query_key", "question_id", "query_ord", "query_text"), "query_key")
     n = n_queries if n_queries is not None else queries.count()
+    # One row per query (n rows) joined to its hits.
+    hits = hits.join(broadcast_if(queries.select("query_key", "question_id", "query_ord", "query_text"), n,
+                                  MAX_BROADCAST_HITS), "query_key")
     # J6 late fetch: hits (at most n * depth rows) go to the passage scan, not the reverse.
     meta = broadcast_if(hits, n * depth, MAX_BROADCAST_HITS).join(passages.select("passage_id", "metadata"),
                                                                    "passage_id")
