@@ -314,6 +314,15 @@ def q_extract_answer(spark, sf):
     return generate_answers(both).select("question_id", "model_kind", "answer")
 
 
+def q_answer_questions(spark, sf):
+    """The whole answer job (route 2 settings) for every benchmark question."""
+    from ragtide.plans.answer import answer_questions
+
+    passages = line_passages(spark, sf)
+    a = answer_questions(questions(spark, sf), passages, models_for(passages), FLAGSHIP_OPTIONS)
+    return a.select("question_id", "model_kind", "n_docs", "answer")
+
+
 def q_route_requests(spark, sf):
     ev = table(spark, sf, "events")
     req = ev.select("event_id", F.when(F.col("event_type") == "view", F.lit("1"))
@@ -418,6 +427,7 @@ QUERIES: dict[str, Query] = {
     "context_concat": q_context_concat,
     "prompt_build": q_prompt_build,
     "extract_answer": q_extract_answer,
+    "answer_questions": q_answer_questions,
     "route_requests": q_route_requests,
     "retrieve_fuse": q_retrieve_fuse,
     "compare_modes": q_compare_modes,
