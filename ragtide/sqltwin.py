@@ -354,8 +354,9 @@ FROM hits h JOIN pdocs d USING (passage_id) WHERE h.rank <= 4"""
     q["extract_answer"] = f"WITH {chain},\n{_context_ctes()},\n{_answer_ctes()}\n" \
                           "SELECT question_id, model_kind, answer FROM answers"
     q["answer_questions"] = f"WITH {chain},\n{_context_ctes()},\n{_answer_ctes()}\n" \
-        "SELECT a.question_id, 'llama' AS model_kind, c.n_docs, a.answer FROM answers a " \
-        "JOIN ctx c USING (question_id) WHERE a.model_kind = 'llama'"
+        "SELECT q.question_id, 'llama' AS model_kind, coalesce(c.n_docs, 0) AS n_docs, " \
+        "coalesce(a.answer, '') AS answer FROM questions q LEFT JOIN ctx c USING (question_id) " \
+        "LEFT JOIN (SELECT * FROM answers WHERE model_kind = 'llama') a USING (question_id)"
     q["route_requests"] = f"""WITH req AS (
   SELECT event_id, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' ELSE event_type END AS choice,
          props AS question FROM events),
