@@ -93,3 +93,13 @@ def test_generate_answers_default(spark, model_kind):
                                "question_id int, question string, context string").withColumn(
         "model_kind", F.lit(model_kind))
     assert generate_answers(df).first().answer == "Red apples grow on trees"
+
+
+def test_exit_closes_session(spark):
+    req = spark.createDataFrame([("s1", 1, "2", "q"), ("s1", 2, "1", "exit"), ("s1", 3, "2", "q"), ("s2", 1, "2", "q"),
+                                 ("s2", 2, "9", "exit"), ("s2", 3, "1", "q")],
+                                "sid string, seq int, choice string, question string")
+    got = {(r.sid, r.seq): r.status for r in route_requests(req, session="sid", order="seq").collect()}
+    # an exit with an invalid choice is rejected first and does not end the session
+    assert got == {("s1", 1): "accepted", ("s1", 2): "ended", ("s1", 3): "closed", ("s2", 1): "accepted",
+                   ("s2", 2): "rejected", ("s2", 3): "accepted"}
