@@ -63,3 +63,18 @@ def line_chunks(articles: DataFrame, content_col: str = "content") -> DataFrame:
     """SQL-expressible chunking: one chunk per line of the content (used where
     a DuckDB twin must follow every step)."""
     return flatten_chunks(articles.withColumn("chunks", F.split(F.col(content_col), "\n")).drop(content_col))
+
+
+@F.udtf(returnType="chunk_index int, total_chunks int, chunk_content string", useArrow=True)
+class ChunkText:
+    """P1 + P2 for SQL users: ``SELECT ... FROM t, LATERAL chunk_text(content, 1000, 100)``."""
+
+    def eval(self, text, size, overlap):
+        chunks = split_text(text, int(size), int(overlap))
+        for i, c in enumerate(chunks):
+            yield i, len(chunks), c
+
+
+def register_sql_functions(spark) -> None:
+    """Register ``chunk_text`` (UDTF) for SQL."""
+    spark.udtf.register("chunk_text", ChunkText)

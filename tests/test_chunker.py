@@ -90,3 +90,17 @@ def test_hot_document_spreads_before_encoder(spark):
     assert hot * 3 > p.count() / 2  # one document holds a large share of all chunks
     per_task = [r["count"] for r in p.groupBy(F.spark_partition_id().alias("t")).count().collect()]
     assert len(per_task) >= 8 and max(per_task) <= 2 * min(per_task)
+
+
+def test_chunk_text_udtf_matches_dataframe_chunker(spark):
+    from ragtide.catalog import articles
+    from ragtide.operators.chunk import chunk_articles, register_sql_functions
+
+    register_sql_functions(spark)
+    articles(spark, "/root/testdata/sf0.001").createOrReplaceTempView("articles_udtf")
+    sql = spark.sql("SELECT a.doc_key, c.chunk_index, c.total_chunks, c.chunk_content FROM articles_udtf a, "
+                    "LATERAL chunk_text(a.content, 1000, 100) c")
+    df = chunk_articles(articles(spark, "/root/testdata/sf0.001")).select(
+        "doc_key", "chunk_index", "total_chunks", "chunk_content")
+    assert sql.count() == 728
+    assert sql.exceptAll(df).count() == 0 and df.exceptAll(sql).count() == 0
