@@ -60,8 +60,4 @@ def passage_stats(passages: DataFrame) -> Bm25Stats:
     return bm25_stats(passages.select(scorer_input(format_rerank()).alias("t")), "t")
 
 
-def scorer_texts(passages: DataFrame) -> DataFrame:
-    return passages.select("passage_id", scorer_input(format_rerank()).alias("scorer_input"))
-
-
-__all__ = ["build_passages", "chunk_table", "passage_stats", "scorer_texts", "PASSAGE_COLUMNS"]
+__all__ = ["build_passages", "chunk_table", "passage_stats", "PASSAGE_COLUMNS"]
