@@ -180,6 +180,12 @@ def _final_cut(cand: DataFrame, qid: str, pid: str, k: int) -> DataFrame:
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _empty_result(spark, qid: str, pid: str) -> DataFrame:
+    schema = T.StructType([T.StructField(qid, T.LongType()), T.StructField(pid, T.LongType()),
+                           T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    return spark.createDataFrame([], schema)
+
+
 def _vector_dim(df: DataFrame, vec: str) -> int:
     row = df.select(F.size(vec).alias("d")).filter(F.col("d") > 0).first()
     return int(row["d"]) if row else 0
@@ -208,9 +214,7 @@ def knn_exact(
     probe = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
     nq, d = int(probe["n"]), int(probe["d"] or 0)
     if nq == 0 or d <= 0:
-        schema = T.StructType([T.StructField(qid, T.LongType()), T.StructField(pid, T.LongType()),
-                               T.StructField("sim", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-        return queries.sparkSession.createDataFrame([], schema)
+        return _empty_result(queries.sparkSession, qid, pid)
     if nq * d * 8 <= max_broadcast_bytes:
         cand = _broadcast_candidates(q, p, k, qid, pid, exclude_self)
     else:
@@ -314,7 +318,7 @@ def knn_lsh(
         F.col(pid).isNotNull() & F.col("_pv").isNotNull())
     d = _vector_dim(p, "_pv")
     if d == 0:
-        return knn_exact(queries, passages.limit(0), k, qid=qid, qvec=qvec, pid=pid, pvec=pvec)
+        return _empty_result(queries.sparkSession, qid, pid)
     sig = _signature_udf(hyperplanes(d, tables, bits, seed), tables, bits)
 
     def bucketed(df, vec):
