@@ -23,7 +23,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.config import RagOptions
-from ragtide.session import ensure_checkpoint_dir
+from ragtide.session import ensure_checkpoint_dir, ship_package
 
 
 def _models(spark: SparkSession, store_name: str):
@@ -85,6 +85,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
 
     spark = spark or SparkSession.builder.appName(f"ragtide-{a.cmd}").getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     from ragtide.sources import store
 
     if a.cmd == "merge":

@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -51,3 +52,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ragtide`` importable in the Python workers, as ``--py-files`` does.
+
+    The package's ``.py`` files are zipped once per application on the driver
+    and handed to Spark, which distributes the zip to every executor; UDFs
+    defined in the package can then be unpickled whatever the workers' path.
+    """
+    import zipfile
+
+    import ragtide
+
+    try:
+        key = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        key = str(id(spark))
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(ragtide.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ragtide-pyfiles-"), "ragtide.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, dirnames, files in os.walk(root):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:  # Spark Connect
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
