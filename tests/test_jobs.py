@@ -44,3 +44,30 @@ def test_jobs_end_to_end(spark, scratch_dir, capsys):
     assert abs(by["m1"].avg_bleu - 0.1225504602011117) < 1e-12 and by["m2"].n_pairs == 2
     run(["drop", "--store", st], spark)
     assert not spark.catalog.tableExists(st)
+
+
+def test_stream_commands(spark, scratch_dir):
+    """ingest (corpus stream -> store + stats), then serve (question stream -> answers)."""
+    from ragtide.sources import store
+    from ragtide.sources.testdata import table
+
+    docs = table(spark, SF_SMALL, "documents").orderBy("doc_id").collect()
+    src = os.path.join(scratch_dir, "incoming")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w", encoding="utf-8") as f:
+        json.dump([{"luật": d.source, "điều": d.doc_id, "tên_điều": d.lang, "nội_dung": d.text} for d in docs], f,
+                  ensure_ascii=False)
+    st = "jobs_stream_store_test"
+    run(["drop", "--store", st], spark)
+    run(["ingest", "--source", src, "--store", st, "--checkpoint", os.path.join(scratch_dir, "ck_in"), "--once"],
+        spark)
+    assert store.count(spark, st) == 728
+    qdir = os.path.join(scratch_dir, "requests")
+    table(spark, SF_SMALL, "benchmark").select(F.col("item_id").alias("request_id"), F.lit("2").alias("choice"),
+                                               F.col("text").alias("question")).write.parquet(qdir)
+    out = os.path.join(scratch_dir, "served")
+    run(["serve", "--source", qdir, "--store", st, "--output", out, "--checkpoint",
+         os.path.join(scratch_dir, "ck_q"), "--once"], spark)
+    answers = spark.read.parquet(os.path.join(out, "answers"))
+    assert answers.count() == 40 and answers.filter(F.col("model_kind") == "llama").count() == 40
+    run(["drop", "--store", st], spark)
