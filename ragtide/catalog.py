@@ -86,8 +86,21 @@ def routed_questions(spark: SparkSession, sf: str) -> DataFrame:
         "route", F.when(F.col("question").contains("\n"), F.lit("1")).otherwise(F.lit("2")))
 
 
-def models_for(passages: DataFrame) -> Models:
-    return Models(scorer=bm25_scorer(passage_stats(passages)), encoder=hashed_encoder())
+# BM25 statistics of the line-passage index per (session, testdata folder): the
+# given tables are read-only, so the index artifact is computed once per
+# session, like a stored index. The mutable store uses sources.store.write_stats.
+_STATS: dict[tuple[int, str], object] = {}
+
+
+def models_for(passages: DataFrame, key: str | None = None) -> Models:
+    if key is None:
+        stats = passage_stats(passages)
+    else:
+        memo = (id(passages.sparkSession), key)
+        if memo not in _STATS:
+            _STATS[memo] = passage_stats(passages)
+        stats = _STATS[memo]
+    return Models(scorer=bm25_scorer(stats), encoder=hashed_encoder())
 
 
 def vectors(spark: SparkSession, sf: str):
@@ -112,7 +125,7 @@ def eval_models(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chain(spark: SparkSession, sf: str, options: RagOptions = FLAGSHIP_OPTIONS, routed: bool = False):
     passages = line_passages(spark, sf)
-    models = models_for(passages)
+    models = models_for(passages, f"{sf}:lines")
     qs = with_settings(routed_questions(spark, sf) if routed else questions(spark, sf), options)
     queries = query_table(qs, options, models)
     n_queries = queries.count()
@@ -319,7 +332,7 @@ def q_answer_questions(spark, sf):
     from ragtide.plans.answer import answer_questions
 
     passages = line_passages(spark, sf)
-    a = answer_questions(questions(spark, sf), passages, models_for(passages), FLAGSHIP_OPTIONS)
+    a = answer_questions(questions(spark, sf), passages, models_for(passages, f"{sf}:lines"), FLAGSHIP_OPTIONS)
     return a.select("question_id", "model_kind", "n_docs", "answer")
 
 
@@ -336,14 +349,14 @@ def q_route_requests(spark, sf):
 
 def q_retrieve_fuse(spark, sf):
     passages = line_passages(spark, sf)
-    r = retrieve_fuse(questions(spark, sf), passages, models_for(passages), FLAGSHIP_OPTIONS)
+    r = retrieve_fuse(questions(spark, sf), passages, models_for(passages, f"{sf}:lines"), FLAGSHIP_OPTIONS)
     return r.select("question_id", "ctx_rank", "query_ord", "rerank_pos", "passage_id", r6("score").alias("score"),
                     "doc")
 
 
 def q_compare_modes(spark, sf):
     passages = line_passages(spark, sf)
-    r = compare_modes(questions(spark, sf), passages, models_for(passages), COMPARE_K)
+    r = compare_modes(questions(spark, sf), passages, models_for(passages, f"{sf}:lines"), COMPARE_K)
     return r.select("question_id", "method", "pos", "passage_id", r6("score").alias("score"))
 
 
