@@ -26,34 +26,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for written intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster the operator sets it to a shared file system; we only pick a
-    folder ourselves when it is unset (local tests and benches).
+    Where it is unset, a local session (tests, benches) gets a folder of its own;
+    on a cluster a machine-local folder would lose data, so the setting is required there.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="ragtide-ckpt-", dir=os.environ.get("RAGTIDE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", cur)
-    try:
-        spark.sparkContext.setCheckpointDir(cur)
-    except Exception:  # Spark Connect: no SparkContext; DataFrame.checkpoint uses the conf
-        pass
     return cur
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder, for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
-
-
 _SHIPPED: set[str] = set()
 
 
