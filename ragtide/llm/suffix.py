@@ -41,22 +41,23 @@ from ragtide.llm.common import partitions, schema_of
 from ragtide.llm.induced import repeats
 
 SUBSTRING = 16
-#: Bytes of text handled at a time when texts are cut.
+#: Bytes of text handled at a time when texts are hashed, and when they are cut.
 CHUNK = 4_000_000
+CUT_CHUNK = 16_000_000
 #: Parts of a shard that are sorted one after the other.
 PARTS = 8
 #: Suffixes (and queue tuples) that a task keeps in memory; beyond that, scratch files.
 MEMORY = 16_000_000
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of numbers as one compressed value; equal bytes of the numbers lie together."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
         out.append(np.array([len(a), ord(a.dtype.char)], np.int64).tobytes())
         out.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -79,6 +80,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _high(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The high 40 bits of hashes, as two arrays. With the shard, which other bits decide, they tell hashes apart;
+    a rare collision only sends a segment that has no copy."""
+    return (key >> np.uint64(24)).astype(np.uint32), (key >> np.uint64(56)).astype(np.uint8)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
 def segments(buf: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, strings) of the segments of texts joined in ``buf``: ``strings`` consecutive
     ``length``-byte strings begin at ``place``, and ``hash`` is the least hash inside each of them."""
@@ -177,11 +188,11 @@ def _texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets[1:] - offsets[0]
 
 
-def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK bytes."""
+def _chunks(sizes: np.ndarray, chunk: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``chunk`` bytes."""
     at, total = 0, np.concatenate([[0], np.cumsum(sizes)])
     while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(total, total[at] + chunk, side="right")) - 1)
         yield at, end
         at = end
 
@@ -195,7 +206,7 @@ def _ask(n: int, length: int):
             dk, rk = b.column(0).to_numpy(), b.column(1).to_numpy()
             buf, ends = _texts(b.column(2))
             starts = ends - np.diff(ends, prepend=0)
-            for a, z in _chunks(ends - starts):
+            for a, z in _chunks(ends - starts, CHUNK):
                 lo = starts[a]
                 key, place, strings = segments(buf[lo: ends[z - 1]], ends[a:z] - lo, length)
                 row = np.searchsorted(ends[a:z] - lo, place, side="right") + a
@@ -203,7 +214,8 @@ def _ask(n: int, length: int):
                 known = _shared(key, dk[row])
                 for to, i in _groups((rk[row[known]] % n)):
                     i = np.flatnonzero(known)[i]
-                    out.add(to, KNOWN, pack(dk[row[i]], rk[row[i]], key[i], start[i].astype(np.uint32), strings[i].astype(np.uint32)))
+                    out.add(to, KNOWN, pack(dk[row[i]], rk[row[i]], *_high(key[i]), start[i].astype(np.uint32),
+                                            strings[i].astype(np.uint32)))
                 once = np.unique(key[known])
                 rest = np.flatnonzero(~known)
                 known_to = dict(_groups((once % np.uint64(n)).astype(np.int64)))
@@ -212,9 +224,8 @@ def _ask(n: int, length: int):
                     i = rest[asked.get(to, np.zeros(0, np.int64))]
                     rows, local = np.unique(row[i], return_inverse=True)
                     out.add(to, REQUEST, pack(
-                        (key[i] >> np.uint64(16)).view(np.int64), local.astype(np.uint32), start[i].astype(np.uint32),
-                        strings[i].astype(np.uint32), dk[rows], rk[rows],
-                        (once[known_to.get(to, np.zeros(0, np.int64))] >> np.uint64(16)).view(np.int64)))
+                        *_high(key[i]), local.astype(np.uint32), start[i].astype(np.uint32), strings[i].astype(np.uint32),
+                        dk[rows], rk[rows], *_high(once[known_to.get(to, np.zeros(0, np.int64))])))
                 if out.full():
                     yield out.batch()
         yield out.batch()
@@ -227,7 +238,7 @@ def _answer(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = []
-        known = [np.zeros(0, np.int64)]
+        known = [np.zeros(0, np.uint64)]
         out = _Rows()
         for b in batches:
             for to, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -236,17 +247,16 @@ def _answer(n: int):
                     if out.full():
                         yield out.batch()
                     continue
-                key, local, start, strings, dk, rk, shared = unpack(data)
-                got.append([key, dk[local], rk[local], start, strings])
-                known.append(shared)
+                low, high, local, start, strings, dk, rk, *shared = unpack(data)
+                got.append([_joined(low, high), dk[local], rk[local], start, strings])
+                known.append(_joined(*shared))
         if got:
             key, dk, rk, start, strings = (np.concatenate(x) for x in zip(*got))
             got = []
             use = np.flatnonzero(_shared(key, dk) | np.isin(key, np.concatenate(known)))
             for to, i in _groups(rk[use] % n):
                 i = use[i]
-                # the hash's own bits are not needed any more, only what tells segments of one shard apart
-                out.add(to, KNOWN, pack(dk[i], rk[i], key[i].view(np.uint64) << np.uint64(16), start[i], strings[i]))
+                out.add(to, KNOWN, pack(dk[i], rk[i], *_high(key[i] << np.uint64(24)), start[i], strings[i]))
                 if out.full():
                     yield out.batch()
         yield out.batch()
@@ -259,7 +269,8 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [unpack(x) for b in batches for x in b.column(2).to_pylist()]
     if not got:
         return
-    dk, rk, key, start, strings = (np.concatenate(x) for x in zip(*got))
+    dk, rk, low, high, start, strings = (np.concatenate(x) for x in zip(*got))
+    key = _joined(low, high)
     order = np.lexsort((start, rk, dk))
     dk, rk, key, start, strings = (x[order] for x in (dk, rk, key, start, strings))
     new = np.concatenate([[True], (dk[1:] != dk[:-1]) | (rk[1:] != rk[:-1])])
@@ -271,7 +282,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, e = first[a: a + 2000], ends[a: a + 2000]
         yield pa.RecordBatch.from_arrays(
             [pa.array(dk[f]), pa.array(rk[f]),
-             pa.array([pack(key[i:j] >> np.uint64(16), start[i:j], strings[i:j]) for i, j in zip(f, e)], pa.binary())],
+             pa.array([pack(*_high(key[i:j] << np.uint64(24)), start[i:j], strings[i:j]) for i, j in zip(f, e)], pa.binary())],
             names=["_of_dk", "_of_rk", "_places"])
 
 
@@ -285,16 +296,16 @@ def _cut(n: int, length: int):
             all_dk, all_rk = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = b.column(2).cast(pa.binary()).to_pylist()
             places = b.column(3).to_pylist()
-            for a, z in _chunks(np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))):
+            for a, z in _chunks(np.fromiter((len(t or b"") for t in texts), np.int64, len(texts)), CUT_CHUNK):
                 number: dict[bytes, int] = {}
                 seg, row, key, start = [], [], [], []
                 for r in range(a, z):
                     text = texts[r]
-                    k, s, m = unpack(places[r])
+                    low, high, s, m = unpack(places[r])
                     seg += [number.setdefault(text[i:j], len(number))
                             for i, j in zip(s.tolist(), (s + m + np.uint32(length - 1)).tolist())]
                     row.append(np.full(len(s), r))
-                    key.append(k)
+                    key.append(_joined(low, high))
                     start.append(s)
                 seg, row = np.array(seg, np.int64), np.concatenate(row)
                 key, start = np.concatenate(key), np.concatenate(start)
@@ -319,7 +330,7 @@ def _cut(n: int, length: int):
                     occ = stay[np.repeat(first[s], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
                     body = np.frombuffer(b"".join([distinct[i] for i in s]), np.uint8)
                     out.add(to, SEGMENTS, pack(body, size[s].astype(np.uint32), part[s].astype(np.uint8), count.astype(np.uint32),
-                                               dk[occ], rk[occ], start[occ]))
+                                               dk[occ], rk[occ], start[occ], level=3))
                 if out.full():
                     yield out.batch()
         yield out.batch()
@@ -472,8 +483,8 @@ def removed_spans(docs: DataFrame, length: int = 50, memory: int = MEMORY) -> Da
     n = partitions(spark)
     names = [c for c in docs.columns if c.lower() != "spans"]
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_dk"),
-                        F.xxhash64("doc_id", "text").alias("_rk"))
-    per_doc = "_of_dk long, _of_rk long, "
+                        F.shiftright(F.xxhash64("doc_id", "text"), 32).cast("int").alias("_rk"))
+    per_doc = "_of_dk long, _of_rk int, "
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartitionById(n, F.col("to"))
@@ -481,8 +492,10 @@ def removed_spans(docs: DataFrame, length: int = 50, memory: int = MEMORY) -> Da
     asked = dealt(keyed.select("_dk", "_rk", "text").mapInArrow(_ask(n, length), _Rows.SCHEMA))
     places = dealt(asked.mapInArrow(_answer(n), _Rows.SCHEMA)).mapInArrow(_by_document, per_doc + "_places binary")
     same = (F.col("_dk") == F.col("_of_dk")) & (F.col("_rk") == F.col("_of_rk"))
-    # Identical rows are cut once; the join sorts by document, so batches are the same on every attempt.
-    cut = keyed.join(places, same).select("_dk", "_rk", "text", "_places").mapInArrow(_cut(n, length), _Rows.SCHEMA)
+    # The join sorts by document, so batches are the same on every attempt. It takes all columns, needed or not, so
+    # that the shuffled documents are the same as in the last join and are shuffled once for both.
+    whole = keyed.join(places, same).select("_dk", "_rk", "text", "_places", *[c for c in names if c != "text"])
+    cut = whole.mapInArrow(_cut(n, length), _Rows.SCHEMA)
     ranges = dealt(dealt(cut).mapInArrow(_sort_shard(n, length, memory), _Rows.SCHEMA))
     spans = ranges.mapInArrow(_merge, per_doc + "spans array<long>")
     return keyed.join(spans, same, "left").select(*names, "spans")
