@@ -436,12 +436,18 @@ def _sort_shard(n: int, length: int, memory: int):
                     x, y = occ_ends[a] - count[a], occ_ends[z - 1]
                     piece = pack(body[ends[a] - size[a]: ends[z - 1]], size[a:z], count[a:z], dk[x:y], rk[x:y], start[x:y])
                     spools[p].add(piece, len(piece))
-        for s in spools:
-            dk, rk, start, end = removed_ranges(s.drain(), length, memory)
+        held: list[tuple[np.ndarray, ...]] = []
+        for p, s in enumerate(spools):
+            held.append(removed_ranges(s.drain(), length, memory))
+            # One value for each range of documents, not one for each part as well, unless they get large.
+            if p < PARTS - 1 and sum(len(x[0]) for x in held) < 2_000_000:
+                continue
+            dk, rk, start, end = (np.concatenate(x) for x in zip(*held))
+            held = []
             for to, i in _groups(rk % n):
                 out.add(to, KNOWN, pack(dk[i], rk[i], start[i].astype(np.uint32), end[i].astype(np.uint32)))
-            if out.full():
-                yield out.batch()
+                if out.full():
+                    yield out.batch()
         yield out.batch()
 
     return run
