@@ -1,6 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Logistic regression over the presence of words and word beginnings. Identity
+Logistic regression over words and word beginnings. A feature's value is its
+rate, up to one use in DENSE words: one chance use in a long text counts less. Identity
 terms (groups of interchangeable words such as religions or origins) are always
 features. For every training text that mentions identity terms, copies are made
 in which each mention is swapped for other members of its group, and the loss
@@ -16,6 +17,7 @@ those bounded, sparse rows come to the driver.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,8 @@ from ragtide.llm.common import sampled, schema_of
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
+#: One use in this many words, or more, is the full value of a feature.
+DENSE = 200
 #: Words kept by a worker between texts before its cache starts anew.
 CACHE = 400_000
 #: Groups of interchangeable identity terms (a parameter of ``train``).
@@ -47,18 +51,30 @@ def features_of(token: str) -> list[str]:
     return [token, *(f"{token[:k]}*" for k in PREFIXES if len(token) > k)]
 
 
-def tokens_of(text: str | None) -> set[str]:
-    return set(TOKEN.findall(text.lower())) if text else set()
+def tokens_of(text: str | None) -> Counter[str]:
+    return Counter(TOKEN.findall(text.lower())) if text else Counter()
 
 
-def swaps(tokens: set[str], identity: dict[str, tuple[str, ...]]) -> list[set[str]]:
+def values(tokens: Counter[str], known) -> dict[str, float]:
+    """Feature -> value; ``known`` gives the features of a word that are wanted."""
+    found: dict[str, int] = {}
+    for tok, n in tokens.items():
+        for f in known(tok):
+            found[f] = found.get(f, 0) + n
+    words = max(1, tokens.total())
+    return {f: min(1.0, n * DENSE / words) for f, n in found.items()}
+
+
+def swaps(tokens: Counter[str], identity: dict[str, tuple[str, ...]]) -> list[Counter[str]]:
     """Two counterfactual copies: every identity term replaced by the next, or the second next, of its group."""
     where = {t: (g, i) for g in identity.values() for i, t in enumerate(g)}
     if not any(t in where for t in tokens):
         return []
     out = []
     for shift in (1, 2):
-        got = {where[t][0][(where[t][1] + shift) % len(where[t][0])] if t in where else t for t in tokens}
+        got: Counter[str] = Counter()
+        for t, n in tokens.items():
+            got[where[t][0][(where[t][1] + shift) % len(where[t][0])] if t in where else t] += n
         if got != tokens:
             out.append(got)
     return out
@@ -90,49 +106,48 @@ class Model:
         """text -> probability; keeps a bounded cache of the known features of each word."""
         weight, cache = self.weight, {}
 
+        def known(tok: str) -> tuple[str, ...]:
+            got = cache.get(tok)
+            if got is None:
+                if len(cache) > CACHE:
+                    cache.clear()
+                got = cache[tok] = tuple(f for f in features_of(tok) if f in weight)
+            return got
+
         def score(text: str | None) -> float:
-            found: set[str] = set()
-            for tok in tokens_of(text):
-                got = cache.get(tok)
-                if got is None:
-                    if len(cache) > CACHE:
-                        cache.clear()
-                    got = cache[tok] = tuple(f for f in features_of(tok) if f in weight)
-                if got:
-                    found.update(got)
-            z = self.bias + sum(weight[f] for f in sorted(found))
+            z = self.bias + sum(weight[f] * v for f, v in sorted(values(tokens_of(text), known).items()))
             return float(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))))
 
         return score
 
 
-def _fit(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[int, list[int]]], width: int, penalty: float,
-         l2: float, steps: int) -> tuple[np.ndarray, float]:
+def _fit(rows: list[dict[int, float]], y: np.ndarray, pairs: list[tuple[int, dict[int, float]]], width: int,
+         penalty: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted logistic loss plus the counterfactual penalty."""
 
-    def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-        return np.repeat(np.arange(len(lists)), n), ids
+    def flat(sparse: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, sparse), np.int64, len(sparse))
+        return (np.repeat(np.arange(len(sparse)), n), np.array([i for x in sparse for i in x], np.int64),
+                np.array([v for x in sparse for v in x.values()], float))
 
-    row, ids = flat(rows)
-    swapped_row, swapped = flat([p for _, p in pairs])
+    row, ids, val = flat(rows)
+    swapped_row, swapped, swapped_val = flat([p for _, p in pairs])
     origin = np.array([i for i, _ in pairs], np.int64)
     n, classes = len(y), np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
     per_row = 0.5 / classes[y]  # both labels weigh the same
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[ids], n) + b
+        z = np.bincount(row, w[ids] * val, n) + b
         g = per_row * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         grad_b = g.sum()
         if len(pairs):
-            gap = z[origin] - (np.bincount(swapped_row, w[swapped], len(pairs)) + b)
+            gap = z[origin] - (np.bincount(swapped_row, w[swapped] * swapped_val, len(pairs)) + b)
             gg = 2 * penalty * gap / len(pairs)
             g = g + np.bincount(origin, gg, n)
-        grad = np.bincount(ids, g[row], width) + l2 * w
+        grad = np.bincount(ids, g[row] * val, width) + l2 * w
         if len(pairs):
-            grad -= np.bincount(swapped, gg[swapped_row], width)
+            grad -= np.bincount(swapped, gg[swapped_row] * swapped_val, width)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.999 * vb + 0.001 * grad_b * grad_b
         rate = 0.05 / (1 + t / steps)
@@ -142,7 +157,7 @@ def _fit(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[int, list[int]]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_features: int = 2000, least: int = 3,
-          penalty: float = 1.0, l2: float = 1e-4, steps: int = 300,
+          least_z: float = 5.0, penalty: float = 1.0, l2: float = 1e-4, steps: int = 300,
           identity: dict[str, tuple[str, ...]] | None = None) -> Model:
     """Fit on labelled documents (``docs``: doc_id, text; ``labels``: doc_id, toxic).
 
@@ -163,12 +178,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_feature
     if len(sizes) < 2:
         rows.unpersist()
         return Model({}, 50.0 if 1 in sizes else -50.0)
-    # Features by the difference of their document shares; ties by name.
+    # Features by the significance of the difference between their document shares; ties by name. Among very many
+    # rare words some differ by chance, so a feature needs a score that chance does not reach.
     share = lambda y: F.sum(F.when(F.col("toxic") == y, 1).otherwise(0)) / sizes[y]
     top = (_document_features(rows).groupBy("feature").agg(F.count("*").alias("n"), share(1).alias("p1"),
                                                            share(0).alias("p0")).where(F.col("n") >= least)
-           .withColumn("gain", F.abs(F.sqrt("p1") - F.sqrt("p0")))
-           .orderBy(F.desc("gain"), "feature").limit(max_features).collect())
+           .withColumn("p", F.col("n") / (sizes[0] + sizes[1]))
+           .withColumn("z", F.abs(F.col("p1") - F.col("p0"))
+                       / F.sqrt(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-9)) * (1 / sizes[0] + 1 / sizes[1])))
+           .where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).collect())
     names = list(dict.fromkeys([r["feature"] for r in top] + sorted(t for g in identity.values() for t in g)))
     number = {f: i for i, f in enumerate(names)}
     shared = spark.sparkContext.broadcast(number)  # max_features entries
@@ -176,22 +194,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_feature
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
 
-        def ids(tokens: set[str]) -> list[int]:
-            return sorted({number[f] for tok in tokens for f in features_of(tok) if f in number})
+        def sparse(tokens: Counter[str]) -> dict[int, float]:
+            got = values(tokens, lambda tok: [f for f in features_of(tok) if f in number])
+            return {number[f]: v for f, v in sorted(got.items())}
 
+        kind = pa.map_(pa.int32(), pa.float64())
         for b in batches:
             tokens = [tokens_of(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([ids(t) for t in tokens], pa.list_(pa.int32())),
-                 pa.array([[ids(s) for s in swaps(t, identity)] for t in tokens], pa.list_(pa.list_(pa.int32())))],
+                [b.column(0), b.column(1), pa.array([list(sparse(t).items()) for t in tokens], kind),
+                 pa.array([[list(sparse(s).items()) for s in swaps(t, identity)] for t in tokens], pa.list_(kind))],
                 names=["doc_id", "toxic", "ids", "swapped"])
 
     got = (rows.select("doc_id", "toxic", "text")
-           .mapInArrow(run, "doc_id long, toxic int, ids array<int>, swapped array<array<int>>")
+           .mapInArrow(run, "doc_id long, toxic int, ids map<int,double>, swapped array<map<int,double>>")
            .toArrow().sort_by("doc_id").to_pylist())  # at most about 2 * per_class sparse rows
     rows.unpersist()
-    pairs = [(i, s) for i, r in enumerate(got) for s in r["swapped"]]
-    w, b = _fit([r["ids"] for r in got], np.array([r["toxic"] for r in got]), pairs, len(names), penalty, l2, steps)
+    pairs = [(i, dict(s)) for i, r in enumerate(got) for s in r["swapped"]]
+    w, b = _fit([dict(r["ids"]) for r in got], np.array([r["toxic"] for r in got]), pairs, len(names), penalty, l2, steps)
     return Model({f: float(w[i]) for f, i in number.items() if w[i]}, b)
 
 
