@@ -31,7 +31,7 @@ from ragtide.operators.embed import hashed_encoder
 from ragtide.operators.fuse import context_concat, dedupe_first, fuse
 from ragtide.operators.knn import knn_exact, knn_lsh
 from ragtide.operators.metrics import bleu, mean_by_model, metric_table, rouge, rouge_l, rouge_n, zip_pairs
-from ragtide.operators.partitioning import broadcast_if
+from ragtide.operators.partitioning import broadcast_if, materialise
 from ragtide.operators.passages import metadata_field
 from ragtide.operators.rerank import bm25_scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import default_rewriter, expand_queries, parse_rewrites
@@ -70,9 +70,9 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Passage table with one chunk per line (persisted: scanned by kNN, the
-    metadata fetch and the BM25 statistics)."""
-    return build_passages(articles(spark, sf), chunking="lines").persist()
+    """Passage table with one chunk per line, written once as an index is: kNN, the
+    metadata fetch and the BM25 statistics scan it."""
+    return materialise(build_passages(articles(spark, sf), chunking="lines"), "passages")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,21 +86,9 @@ def routed_questions(spark: SparkSession, sf: str) -> DataFrame:
         "route", F.when(F.col("question").contains("\n"), F.lit("1")).otherwise(F.lit("2")))
 
 
-# BM25 statistics of the line-passage index per (session, testdata folder): the
-# given tables are read-only, so the index artifact is computed once per
-# session, like a stored index. The mutable store uses sources.store.write_stats.
-_STATS: dict[tuple[int, str], object] = {}
-
-
-def models_for(passages: DataFrame, key: str | None = None) -> Models:
-    if key is None:
-        stats = passage_stats(passages)
-    else:
-        memo = (id(passages.sparkSession), key)
-        if memo not in _STATS:
-            _STATS[memo] = passage_stats(passages)
-        stats = _STATS[memo]
-    return Models(scorer=bm25_scorer(stats), encoder=hashed_encoder())
+def models_for(passages: DataFrame) -> Models:
+    """Default models with the BM25 statistics of ``passages``; every query pays for its own."""
+    return Models(scorer=bm25_scorer(passage_stats(passages)), encoder=hashed_encoder())
 
 
 def vectors(spark: SparkSession, sf: str):
@@ -125,7 +113,7 @@ def eval_models(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chain(spark: SparkSession, sf: str, options: RagOptions = FLAGSHIP_OPTIONS, routed: bool = False):
     passages = line_passages(spark, sf)
-    models = models_for(passages, f"{sf}:lines")
+    models = models_for(passages)
     qs = with_settings(routed_questions(spark, sf) if routed else questions(spark, sf), options)
     queries = query_table(qs, options, models)
     n_queries = queries.count()
@@ -332,7 +320,7 @@ def q_answer_questions(spark, sf):
     from ragtide.plans.answer import answer_questions
 
     passages = line_passages(spark, sf)
-    a = answer_questions(questions(spark, sf), passages, models_for(passages, f"{sf}:lines"), FLAGSHIP_OPTIONS)
+    a = answer_questions(questions(spark, sf), passages, models_for(passages), FLAGSHIP_OPTIONS)
     return a.select("question_id", "model_kind", "n_docs", "answer")
 
 
@@ -349,14 +337,14 @@ def q_route_requests(spark, sf):
 
 def q_retrieve_fuse(spark, sf):
     passages = line_passages(spark, sf)
-    r = retrieve_fuse(questions(spark, sf), passages, models_for(passages, f"{sf}:lines"), FLAGSHIP_OPTIONS)
+    r = retrieve_fuse(questions(spark, sf), passages, models_for(passages), FLAGSHIP_OPTIONS)
     return r.select("question_id", "ctx_rank", "query_ord", "rerank_pos", "passage_id", r6("score").alias("score"),
                     "doc")
 
 
 def q_compare_modes(spark, sf):
     passages = line_passages(spark, sf)
-    r = compare_modes(questions(spark, sf), passages, models_for(passages, f"{sf}:lines"), COMPARE_K)
+    r = compare_modes(questions(spark, sf), passages, models_for(passages), COMPARE_K)
     return r.select("question_id", "method", "pos", "passage_id", r6("score").alias("score"))
 
 

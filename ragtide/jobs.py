@@ -141,8 +141,8 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
     elif a.cmd == "serve":
         from ragtide.streaming.questions import start_answer_stream
 
-        q = start_answer_stream(spark, a.source, a.output, a.checkpoint, store.load(spark, a.store),
-                                _models(spark, a.store), available_now=a.once)
+        q = start_answer_stream(spark, a.source, a.output, a.checkpoint,
+                                lambda: (store.load(spark, a.store), _models(spark, a.store)), available_now=a.once)
         q.awaitTermination()
     elif a.cmd == "ingest":
         from ragtide.streaming.corpus import start_index_stream

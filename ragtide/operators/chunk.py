@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from ragtide.config import CHUNK_OVERLAP, CHUNK_SEPARATORS, CHUNK_SIZE
 from ragtide.functions.chunker import split_text
-from ragtide.operators.partitioning import spread
 
 
 def chunk_udf(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = CHUNK_SEPARATORS):
@@ -51,11 +50,10 @@ def chunk_articles(
     overlap: int = CHUNK_OVERLAP,
     separators: Sequence[str] = CHUNK_SEPARATORS,
     content_col: str = "content",
-    key: str = "doc_key",
 ) -> DataFrame:
     """P1 + P2 over an articles table."""
     udf = chunk_udf(size, overlap, separators)
-    with_chunks = spread(articles, key).withColumn("chunks", udf(F.col(content_col))).drop(content_col)
+    with_chunks = articles.withColumn("chunks", udf(F.col(content_col))).drop(content_col)
     return flatten_chunks(with_chunks)
 
 

@@ -70,21 +70,3 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", encoder: Enc
     the UDF is an optimisation barrier for column pruning."""
     enc = encoder or hashed_encoder()
     return df.withColumn(out_col, enc(col_(text_col)))
-
-
-def sparse_hashed(df: DataFrame, key_cols: list[str], text_col: str, dim: int = EMBED_DIM) -> DataFrame:
-    """Non-zero entries of the hashed vector as rows (key..., bucket, weight).
-
-    Same numbers as ``hashed_encoder`` (float32 weights), expressed as a
-    relational job: explode buckets, count per (key, bucket), normalise per key.
-    """
-    from pyspark.sql import Window
-
-    b = df.select(*key_cols, F.explode(token_buckets(text_col, dim)).alias("bucket"))
-    c = b.groupBy(*key_cols, "bucket").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    w = Window.partitionBy(*key_cols)
-    return c.select(
-        *key_cols,
-        "bucket",
-        (F.col("cnt") / F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(w))).cast("float").alias("weight"),
-    )

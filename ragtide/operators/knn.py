@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragtide.config import RANK_DECIMALS
 from ragtide.functions.text import rank_key
-from ragtide.operators.partitioning import spread
 
 # Candidates within this distance of a local k-th score are kept, so rows
-# that tie after rounding to RANK_DECIMALS are never cut locally.
+# that tie after rounding to RANK_DECIMALS reach the cut in the global order.
 TIE_MARGIN = 1e-8
 DEFAULT_BROADCAST_BYTES = 64 << 20
 _CELLS_PER_BLOCK = 1 << 22  # score-matrix cells per numpy block (32 MB)
@@ -97,24 +97,23 @@ def _block_candidates(pn, pids, qn, qids, k, thr, exclude_self):
 
 
 def _compact(q, p, s, k, nq):
-    """Keep per query every candidate scoring at least its k-th best (minus the
-    tie margin); return the survivors and the per-query threshold."""
+    """Keep per query its first ``k`` candidates in the global order (rounded cosine,
+    then passage id); return the survivors and the per-query threshold."""
     thr = np.full(nq, -np.inf)
     if len(q) == 0:
         return q, p, s, thr
-    order = np.lexsort((-s, q))
+    order = np.lexsort((p, -np.round(s, RANK_DECIMALS), q))
     q, p, s = q[order], p[order], s[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     sizes = np.diff(np.r_[starts, len(q)])
-    kth = s[starts + np.minimum(sizes, k) - 1]
-    keep = s >= np.repeat(kth, sizes) - TIE_MARGIN
+    keep = np.arange(len(q)) - np.repeat(starts, sizes) < k
     full = sizes >= k
-    thr[q[starts[full]]] = kth[full]
+    thr[q[starts[full]]] = s[starts[full] + k - 1]
     return q[keep], p[keep], s[keep], thr
 
 
 class TopKAccumulator:
-    """Running local top-k (with ties) of every query over streamed passage blocks.
+    """Running local top-k of every query over streamed passage blocks, cut in the global order.
 
     Memory is bounded by ``_CELLS_PER_BLOCK`` score cells plus about ``k``
     held candidates per query; a per-query running threshold prunes later
@@ -163,7 +162,7 @@ class TopKAccumulator:
 
 def topk_pairs(qids: np.ndarray, qmat: np.ndarray, pids: np.ndarray, pmat: np.ndarray, k: int,
                exclude_self: bool = False):
-    """Local top-k (with ties) of every query over one set of passages:
+    """Local top-k of every query over one set of passages, equal cosines by passage id:
     arrays (query id, passage id, cosine)."""
     acc = TopKAccumulator(qids, qmat, k, exclude_self)
     acc.add(pids, pmat)
@@ -238,7 +237,7 @@ def _broadcast_candidates(q, p, k, qid, pid, exclude_self):
         yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array(pi, pa.int64()),
                                           pa.array(s, pa.float64())], names=[qid, pid, "sim"])
 
-    return spread(p, pid).mapInArrow(scan, out_schema)
+    return p.mapInArrow(scan, out_schema)
 
 
 def _grid_candidates(q, p, k, qid, pid, exclude_self, nq, grid_query_rows, grid_passage_rows):
@@ -324,7 +323,7 @@ def knn_lsh(
     def bucketed(df, vec):
         return df.select("*", F.posexplode(sig(F.col(vec))).alias("tbl", "sig"))
 
-    pk = bucketed(spread(p, pid), "_pv")
+    pk = bucketed(p, "_pv")
     qk = bucketed(q, "_qv")
     # Histogram of passage buckets: at most tables * 2**bits rows, so broadcasting it is bounded.
     hist = pk.groupBy("tbl", "sig").agg(F.count(F.lit(1)).alias("n")).select(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragtide.session import ensure_checkpoint_dir
+
 
 def default_parallelism(spark: SparkSession) -> int:
     try:
@@ -13,28 +17,22 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def num_partitions(df: DataFrame) -> int | None:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:
-        return None
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Hash-spread rows before CPU-heavy per-row work, where a few large row groups would scan as a few tasks.
 
+    Only the caller knows its input, so this always shuffles; asking the plan for
+    its number of partitions would run upstream stages. The spread is keyed by a
+    hash of a unique key, so it is the same on every attempt (unlike round-robin).
+    """
+    return df.repartition(partitions or default_parallelism(df.sparkSession), F.xxhash64(F.col(key)))
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-spread rows before CPU-heavy per-row work when the scan gives too few tasks.
 
-    A few large parquet row groups scan as a few tasks; Python chunking or
-    encoding would then run on a handful of cores. The spread is keyed by a
-    hash of a unique key (deterministic on task retry, unlike round-robin) and
-    is skipped when the input already has enough partitions, as it has on a
-    cluster reading many files.
-    """
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Evaluate ``df`` once: write it to the shared folder of ``spark.checkpoint.dir`` and read it back."""
     spark = df.sparkSession
-    target = min_partitions or default_parallelism(spark)
-    have = num_partitions(df)
-    if have is not None and have >= target:
-        return df
-    return df.repartition(target, F.xxhash64(F.col(key)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Row bound under which a lookup side is broadcast (rows are small keyed records).

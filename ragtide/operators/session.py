@@ -1,9 +1,9 @@
 """T1 (batch): per-session context carried from turn to turn.
 
 Each turn sees the turns before it in its own session (the original keeps
-one context per process; here it is keyed by session). History is capped at
-``history`` turns, so the window frame is bounded whatever the session
-length. The streaming twin is ``streaming.sessions``.
+one context per process; here it is keyed by session). All earlier turns are
+carried, as the original does; ``history`` limits them for a caller that wants
+that, and bounds the window frame. The streaming twin is ``streaming.sessions``.
 """
 
 from __future__ import annotations
@@ -11,17 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtide.config import SESSION_HISTORY
-
 
 def turn_entry(role: str = "role", text: str = "text"):
     return F.concat(F.coalesce(F.col(role), F.lit("")), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
 
 
 def session_context(turns: DataFrame, session: str = "conv_id", turn: str = "turn", role: str = "role",
-                    text: str = "text", history: int = SESSION_HISTORY) -> DataFrame:
+                    text: str = "text", history: int | None = None) -> DataFrame:
     """Adds ``n_history`` and ``history`` (previous turns as ``role: text`` lines, oldest first)."""
-    w = Window.partitionBy(session).orderBy(turn).rowsBetween(-history, -1)
+    w = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding if history is None else -history, -1)
     hist = F.collect_list(turn_entry(role, text)).over(w)
     return turns.withColumn("_h", hist).withColumn("n_history", F.size("_h")).withColumn(
         "history", F.array_join("_h", "\n")).drop("_h")

@@ -26,7 +26,7 @@ from ragtide.operators.embed import Encoder, embed
 from ragtide.operators.format import drop_missing_metadata, format_plain, format_rerank, scorer_input
 from ragtide.operators.fuse import fuse
 from ragtide.operators.knn import knn_exact
-from ragtide.operators.partitioning import broadcast_if
+from ragtide.operators.partitioning import broadcast_if, materialise
 from ragtide.operators.rerank import Scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import Rewriter, expand_queries
 
@@ -50,7 +50,8 @@ def with_settings(questions: DataFrame, options: RagOptions, route: str | None =
     route configuration (J5) when a route column exists, else from options."""
     if route and route in questions.columns:
         cfg = F.broadcast(route_config(questions.sparkSession))
-        return questions.join(cfg, questions[route] == cfg["route"], "left").drop(cfg["route"])
+        # A question with an unknown route has no settings to be answered with.
+        return questions.join(cfg, questions[route] == cfg["route"]).drop(cfg["route"])
     return questions.withColumns({
         "model_kind": F.lit(options.model_kind),
         "top_k": F.lit(options.top_k),
@@ -59,8 +60,11 @@ def with_settings(questions: DataFrame, options: RagOptions, route: str | None =
 
 
 def query_table(questions: DataFrame, options: RagOptions, models: Models) -> DataFrame:
-    """O1: (question_id, query_ord, query_text, query_key) with rewrites."""
-    q = expand_queries(questions, models.rewriter, options.use_query_rewriting)
+    """O1: (question_id, query_ord, query_text, query_key) with rewrites.
+
+    Written once: a rewriter may be costly, or sample, and the vectors searched,
+    the texts scored and the number of queries must come from the same rewrites."""
+    q = materialise(expand_queries(questions, models.rewriter, options.use_query_rewriting), "queries")
     return q.withColumn("query_key", F.col("question_id") * QUERY_KEY_STRIDE + F.col("query_ord"))
 
 
@@ -120,14 +124,6 @@ def _pooled_cut(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
 
 
-def pooled_rerank(questions: DataFrame, passages: DataFrame, models: Models, k: int) -> DataFrame:
-    """C4 second mode: hits of the rewrites only (depth ``k`` each), pooled
-    without dedupe, reranked against the original question, top ``k``."""
-    queries = query_table(questions, RagOptions(use_query_rewriting=True), models).filter(F.col("query_ord") > 0)
-    hits = retrieve_hits(queries, passages, k, models.encoder)
-    return _pooled_from_hits(hits, questions, models, k)
-
-
 def _pooled_from_hits(hits: DataFrame, questions: DataFrame, models: Models, k: int) -> DataFrame:
     hits = hits.join(questions.select("question_id", "question"), "question_id").repartition("question_id")
     return _pooled_cut(score_hits(hits, models, query_col="question"), k)

@@ -33,14 +33,16 @@ def read_corpus_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
 
 def parse_corpus_texts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, raw file text) rows -> (articles, rejects); shared by batch and stream."""
-    parsed = raw.select("path", F.expr("try_parse_json(raw)").alias("v"))
-    typed = parsed.select("path", "v", F.expr("schema_of_variant(v)").alias("t"))
-    bad_files = typed.filter(F.col("v").isNull() | ~F.col("t").startswith("ARRAY")).select(
-        "path", F.when(F.col("v").isNull(), F.lit("malformed json")).otherwise(F.lit("root is not an array"))
-        .alias("reason"))
-    elems = typed.filter(F.col("v").isNotNull() & F.col("t").startswith("ARRAY")).select(
-        "path", F.posexplode(F.expr("cast(v as array<variant>)")).alias("pos", "e"))
-    elems = elems.withColumn("is_obj", F.expr("schema_of_variant(e)").startswith("OBJECT"))
+    # The root is split into its elements' JSON texts first: a variant is limited to 128 MiB, an element is far
+    # smaller than a file.
+    is_array = F.ltrim(F.col("raw"), F.lit(" \t\r\n\ufeff")).startswith("[")
+    parsed = raw.select("path", is_array.alias("is_array"), F.when(is_array, F.from_json("raw", "array<string>")).alias("es"),
+                        F.when(~is_array, F.expr("try_parse_json(raw)").isNotNull()).alias("valid"))
+    bad_files = parsed.filter(F.col("es").isNull()).select(
+        "path", F.when(F.col("valid"), F.lit("root is not an array")).otherwise(F.lit("malformed json")).alias("reason"))
+    elems = parsed.filter(F.col("es").isNotNull()).select("path", F.posexplode("es").alias("pos", "text"))
+    elems = elems.select("path", "pos", F.expr("try_parse_json(text)").alias("e"))
+    elems = elems.withColumn("is_obj", F.coalesce(F.expr("schema_of_variant(e)").startswith("OBJECT"), F.lit(False)))
     bad_elems = elems.filter(~F.col("is_obj")).select(
         "path", F.concat(F.lit("element "), F.col("pos").cast("string"), F.lit(" is not an object")).alias("reason"))
 

@@ -99,7 +99,6 @@ def write_stats(spark: SparkSession, name: str) -> Bm25Stats:
     stats.vocab.write.mode("overwrite").bucketBy(DEFAULT_BUCKETS, "token").saveAsTable(f"{name}_vocab")
     spark.createDataFrame([(stats.n_docs, stats.avgdl)], "n_docs double, avgdl double").write.mode(
         "overwrite").saveAsTable(f"{name}_stats")
-    stats.vocab.unpersist()
     return load_stats(spark, name)
 
 

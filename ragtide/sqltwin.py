@@ -395,12 +395,12 @@ models AS (SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'with_system'
 m AS (SELECT * FROM bleu JOIN rouge USING (conv_id, item_ord) JOIN models USING (conv_id))
 SELECT model, round(avg(bleu), 6) AS avg_bleu, round(avg(rouge1), 6) AS avg_rouge1,
        round(avg(rouge2), 6) AS avg_rouge2, count(*) AS n_pairs FROM m WHERE model IS NOT NULL GROUP BY model"""
-    q["session_context"] = f"""WITH t AS (SELECT conv_id, turn, role, text,
+    q["session_context"] = """WITH t AS (SELECT conv_id, turn, role, text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
 SELECT a.conv_id, a.turn, CAST(count(b.rn) AS INTEGER) AS n_history,
        coalesce(string_agg(CASE WHEN b.rn IS NOT NULL THEN coalesce(b.role, '') || ': ' || coalesce(b.text, '') END,
                            chr(10) ORDER BY b.rn), '')
          AS history
-FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.rn BETWEEN a.rn - {C.SESSION_HISTORY} AND a.rn - 1
+FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.rn < a.rn
 GROUP BY a.conv_id, a.turn"""
     return q

@@ -9,6 +9,8 @@ same rows instead of appending twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,9 +32,11 @@ def answer_batch(requests: DataFrame, passages: DataFrame, models: Models, optio
     return answer_questions(accepted, passages, models, options), statuses
 
 
-def start_answer_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, passages: DataFrame,
-                        models: Models, options: RagOptions = RagOptions(), available_now: bool = True,
+def start_answer_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, load: Callable[[], tuple[DataFrame, Models]],
+                        options: RagOptions = RagOptions(), available_now: bool = True,
                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """``load`` gives the passages and models; it is called for every micro-batch, so that each one
+    sees the passages and statistics committed before it."""
     reader = spark.readStream.schema(REQUEST_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -41,7 +45,7 @@ def start_answer_stream(spark: SparkSession, source_dir: str, out_dir: str, chec
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
-            answers, statuses = answer_batch(batch, passages, models, options)
+            answers, statuses = answer_batch(batch, *load(), options)
             answers.write.mode("overwrite").parquet(f"{out_dir}/answers/epoch={epoch_id}")
             statuses.write.mode("overwrite").parquet(f"{out_dir}/status/epoch={epoch_id}")
         finally:

@@ -1,9 +1,8 @@
 """T1 (stream): per-session context as keyed state.
 
 ``applyInPandasWithState`` keyed by session: the state holds the last
-``history`` turns (``role: text``), each incoming turn is emitted with the
-history before it, then appended. Sessions idle longer than ``timeout`` are
-dropped. State per key is bounded by the history cap. Turns of one session
+all turns (``role: text``), each incoming turn is emitted with the
+history before it, then appended. Sessions are kept unless a timeout is given. Turns of one session
 are expected in turn order across micro-batches (within a batch they are
 sorted); the output then equals the batch operator ``operators.session``.
 """
@@ -16,13 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ragtide.config import SESSION_HISTORY
 
 OUTPUT_SCHEMA = "conv_id bigint, turn bigint, n_history int, history string"
 STATE_SCHEMA = "entries array<string>"
 
 
-def _carry(history: int, timeout_ms: int):
+def _carry(history: int | None, timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -38,7 +36,8 @@ def _carry(history: int, timeout_ms: int):
             out_n.append(len(entries))
             out_hist.append("\n".join(entries))
             entries.append(f"{'' if role is None else role}: {'' if text is None else text}")
-            entries = entries[-history:]
+            if history is not None:
+                entries = entries[-history:]
         state.update((entries,))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
@@ -48,13 +47,13 @@ def _carry(history: int, timeout_ms: int):
     return fn
 
 
-def session_context_stream(turns: DataFrame, history: int = SESSION_HISTORY, timeout_ms: int | None = 30 * 60 * 1000,
+def session_context_stream(turns: DataFrame, history: int | None = None, timeout_ms: int | None = None,
                            session: str = "conv_id") -> DataFrame:
     """Streaming turns ``(conv_id, turn, role, text)`` -> turns with their context.
 
-    ``timeout_ms=None`` keeps sessions without a timeout: use it for bounded
-    replays (``availableNow``), which otherwise keep running no-data batches
-    until the pending processing-time timeouts expire.
+    All earlier turns are carried, as in the batch operator. ``history`` limits
+    them, and ``timeout_ms`` forgets a session after that idle time; both are for
+    callers that want to bound the state.
     """
     kind = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return turns.groupBy(session).applyInPandasWithState(

@@ -69,11 +69,13 @@ def test_exclude_self_and_partition_invariance(spark, data):
     assert a == b == brute(pids, p.astype(np.float64), pids, p.astype(np.float64), 5, exclude_self=True)
 
 
-def test_local_topk_keeps_ties():
+def test_local_topk_cuts_ties_in_the_global_order():
     q = np.array([[1.0, 0.0]])
     p = np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
-    qi, pi, s = topk_pairs(np.array([1]), q, np.array([10, 11, 12, 13]), p, 1)
-    assert sorted(pi.tolist()) == [10, 11, 12]
+    qi, pi, s = topk_pairs(np.array([1]), q, np.array([12, 11, 10, 13]), p, 2)
+    assert pi.tolist() == [10, 11]
+    many = np.ones((200_000, 2))
+    assert topk_pairs(np.array([1]), q, np.arange(200_000)[::-1], many, 10)[1].tolist() == list(range(10))
 
 
 def test_lsh_recall_on_clustered(spark):

@@ -103,3 +103,25 @@ def test_exit_closes_session(spark):
     # an exit with an invalid choice is rejected first and does not end the session
     assert got == {("s1", 1): "accepted", ("s1", 2): "ended", ("s1", 3): "closed", ("s2", 1): "accepted",
                    ("s2", 2): "rejected", ("s2", 3): "accepted"}
+
+
+def test_a_session_carries_all_its_turns(spark):
+    from ragtide.operators.session import session_context
+
+    turns = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(50)], "conv_id long, turn long, role string, text string")
+    last = session_context(turns).where("turn = 49").first()
+    assert last.n_history == 49 and last.history.startswith("user: t0\n")
+
+
+def test_a_sampling_rewriter_runs_once(spark):
+    from pyspark.sql import functions as F
+
+    from ragtide.config import RagOptions
+    from ragtide.operators.rewrite import rewrite_prompt
+    from ragtide.plans.retrieve import Models, query_table
+
+    qs = spark.createDataFrame([(i, f"question {i}") for i in range(20)], "question_id long, question string")
+    sampled = lambda q: F.concat(rewrite_prompt(q), F.lit("\n1. "), F.rand().cast("string"))
+    table = query_table(qs, RagOptions(), Models(scorer=None, rewriter=sampled))
+    first, again = (sorted(map(tuple, table.collect())) for _ in range(2))
+    assert first == again and len(first) > 20

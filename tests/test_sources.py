@@ -78,3 +78,20 @@ def test_store_lifecycle(spark):
     assert written.vocab.exceptAll(direct.vocab).count() == 0 and direct.vocab.exceptAll(written.vocab).count() == 0
     store.drop(spark, name)
     assert not spark.catalog.tableExists(name)
+
+
+def test_a_file_beyond_the_variant_limit_gives_every_article(spark, scratch_dir):
+    import json
+
+    text = "x" * 100_000
+    with open(os.path.join(scratch_dir, "big.json"), "w") as f:
+        json.dump([{"luật": "L", "điều": i, "tên_điều": "T", "nội_dung": text} for i in range(1400)], f)
+    with open(os.path.join(scratch_dir, "cut.json"), "w") as f:
+        f.write('[{"luật": "L", "điều": 1}, {"luật"')
+    with open(os.path.join(scratch_dir, "root.json"), "w") as f:
+        f.write('{"luật": "L"}')
+    from ragtide.sources.corpus import read_corpus_files
+
+    arts, rejects = read_corpus_files(spark, scratch_dir)
+    assert arts.select("article").distinct().count() == 1400
+    assert sorted(r.reason for r in rejects.collect()) == ["malformed json", "root is not an array"]

@@ -51,8 +51,8 @@ def test_question_stream_equals_batch(spark, scratch_dir):
     req.filter("request_id < 20").coalesce(1).write.parquet(os.path.join(src, "p1"))
     req.filter("request_id >= 20").unionByName(extra).coalesce(1).write.parquet(os.path.join(src, "p2"))
     out = os.path.join(scratch_dir, "out")
-    q = start_answer_stream(spark, os.path.join(src, "*"), out, os.path.join(scratch_dir, "ck"), passages, models,
-                            FLAGSHIP_OPTIONS, max_files_per_trigger=1)
+    q = start_answer_stream(spark, os.path.join(src, "*"), out, os.path.join(scratch_dir, "ck"),
+                            lambda: (passages, models), FLAGSHIP_OPTIONS, max_files_per_trigger=1)
     q.awaitTermination()
     got = spark.read.parquet(f"{out}/answers").select("question_id", "model_kind", "answer")
     status = {r.request_id: r.status for r in spark.read.parquet(f"{out}/status").collect()}
