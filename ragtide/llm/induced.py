@@ -116,7 +116,13 @@ class _Induction:
 
     def __init__(self, t: np.ndarray, s_type: np.ndarray, alphabet: np.ndarray, memory: Memory, depth: int,
                  carry_prefixes: bool):
-        self.t, self.s, self.alphabet, self.depth, self.carry = t, s_type, alphabet, depth, carry_prefixes
+        self.t, self.alphabet, self.depth, self.carry = t, alphabet, depth, carry_prefixes
+        # First characters of the suffixes of either type, ``none`` for the others: one lookup tells both. The last
+        # suffix is none's predecessor; position -1, before the first suffix, looks it up.
+        self.none = 255 if t.dtype == np.uint8 else -1
+        self.large = np.where(s_type, t.dtype.type(self.none), t)
+        self.small = np.where(s_type, t, t.dtype.type(self.none))
+        self.small[-1] = self.none
         self.memory = memory
         size = int(alphabet[-1]) + 1
         self.queues: dict[int, Queue] = {}
@@ -131,10 +137,9 @@ class _Induction:
     def read(self, pos: np.ndarray, lcp: np.ndarray, want_s: bool) -> None:
         """Take suffixes in order and hand their predecessors of the wanted type to the queues."""
         prev = pos - 1
-        ok = prev >= 0
-        at = np.flatnonzero(ok & (self.s[prev] == want_s))
-        prev = prev[at]
-        ch = self.t[prev]
+        ch = (self.small if want_s else self.large)[prev]
+        at = np.flatnonzero(ch != self.none)
+        prev, ch = prev[at], ch[at]
         order = np.argsort(ch, kind="stable")
         sorted_ch = ch[order]
         cuts = np.flatnonzero(sorted_ch[1:] != sorted_ch[:-1]) + 1

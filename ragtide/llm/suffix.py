@@ -339,48 +339,50 @@ def _cut(n: int, length: int):
 
 
 class _Spool:
-    """Packed pieces of one part of a shard, in memory up to a common limit, then in a scratch file."""
+    """Pieces (arrays) of one part of a shard, in memory up to a common limit, then packed in a scratch file."""
 
     held = 0
 
     def __init__(self, limit: int):
         self.limit, self.pieces, self.file, self.sizes = limit, [], None, []
 
-    def add(self, data: bytes, size: int) -> None:
+    def add(self, *arrays: np.ndarray) -> None:
+        size = sum(a.nbytes for a in arrays)
         if _Spool.held + size > self.limit:
             if self.file is None:
                 self.file = tempfile.TemporaryFile()
+            data = pack(*arrays)
             self.file.write(data)
             self.sizes.append(len(data))
         else:
             _Spool.held += size
-            self.pieces.append((data, size))
+            self.pieces.append([a.copy() for a in arrays])
 
-    def drain(self) -> Iterator[bytes]:
+    def drain(self) -> Iterator[list[np.ndarray]]:
         while self.pieces:
-            data, size = self.pieces.pop()
-            _Spool.held -= size
-            yield data
+            arrays = self.pieces.pop()
+            _Spool.held -= sum(a.nbytes for a in arrays)
+            yield arrays
         if self.file is not None:
             self.file.seek(0)
             for n in self.sizes:
-                yield self.file.read(n)
+                yield unpack(self.file.read(n))
             self.file.close()
 
 
-def removed_ranges(pieces: Iterator[bytes], length: int, memory: int) -> tuple[np.ndarray, ...]:
-    """(dk, rk, start, end) removed, from the packed segments of one part of a shard."""
+def removed_ranges(pieces: Iterator[list[np.ndarray]], length: int, memory: int) -> tuple[np.ndarray, ...]:
+    """(dk, rk, start, end) removed, from the segments of one part of a shard."""
     number: dict[bytes, int] = {}
     occ: list[list[np.ndarray]] = []
     for piece in pieces:
-        body, size, count, dk, rk, start = unpack(piece)
+        body, size, count, dk, rk, start = piece
         data = body.tobytes()
         ends = np.cumsum(size.astype(np.int64))
         ids = np.fromiter((number.setdefault(data[e - s: e], len(number)) for s, e in zip(size.tolist(), ends.tolist())),
                           np.int64, len(size))
         occ.append([np.repeat(ids, count), dk, rk, start.astype(np.int64)])
     if not occ:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64))
     seg, dk, rk, start = (np.concatenate(x) for x in zip(*occ))
     order = np.argsort(seg, kind="stable")
     seg, dk, rk, start = (x[order] for x in (seg, dk, rk, start))
@@ -421,7 +423,7 @@ def _sort_shard(n: int, length: int, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows()
         _Spool.held = 0
-        spools = [_Spool(4 * memory) for _ in range(PARTS)]
+        spools = [_Spool(8 * memory) for _ in range(PARTS)]
         for b in batches:
             for to, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if kind == KNOWN:
@@ -434,8 +436,7 @@ def _sort_shard(n: int, length: int, memory: int):
                 for p, i in _groups(part.astype(np.int64)):  # segments lie in the order of their parts
                     a, z = i[0], i[-1] + 1
                     x, y = occ_ends[a] - count[a], occ_ends[z - 1]
-                    piece = pack(body[ends[a] - size[a]: ends[z - 1]], size[a:z], count[a:z], dk[x:y], rk[x:y], start[x:y])
-                    spools[p].add(piece, len(piece))
+                    spools[p].add(body[ends[a] - size[a]: ends[z - 1]], size[a:z], count[a:z], dk[x:y], rk[x:y], start[x:y])
         held: list[tuple[np.ndarray, ...]] = []
         for p, s in enumerate(spools):
             held.append(removed_ranges(s.drain(), length, memory))
