@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import schema_of
+from ragtide.llm.common import schema_of, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are not text of the article, whatever they hold.
@@ -245,18 +245,19 @@ def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) ->
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, keys, content, subtree = [], [], [], []
-            for h, k, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+            content, subtrees = [], []
+            for t in b.column(2).to_pylist():
                 page, got = candidates(parse(t))
-                hosts += [h] * (len(got) + 1)
-                keys += [k] * (len(got) + 1)
-                content += [page] * (len(got) + 1)
-                subtree += [None, *sorted(got)]  # null: the page itself, for the host's number of pages
+                content.append(page)
+                subtrees.append([None, *sorted(got)])  # null: the page itself, for the host's number of pages
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(content, pa.int64()),
-                 pa.array(subtree, pa.int64())], names=["host", "key", "content", "subtree"])
+                [b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))],
+                names=["host", "key", "content", "subtrees"])
 
-    trees = rows.select("host", "key", "html").mapInArrow(found, "host string, key long, content long, subtree long")
+    # One row of hashes a page, written once, as both the counts and the pages' deletions read it.
+    hashed = written(rows.select("host", "key", "html").mapInArrow(
+        found, "host string, key long, content long, subtrees array<long>"), "html-subtrees")
+    trees = hashed.select("host", "key", "content", F.explode("subtrees").alias("subtree"))
     # Two steps, so that a host with a third of the pages is counted on many tasks.
     seen = trees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").count()
     total = seen.where("subtree is null").select("host", F.col("count").alias("total"))
