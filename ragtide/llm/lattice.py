@@ -45,21 +45,47 @@ class Vocabulary:
                 if SPACE not in s.lstrip(SPACE) and "\n" not in s:
                     self.piece[s.replace(SPACE, " ")] = i
         self.longest = max(map(len, self.piece))
+        self._trie()
+
+    def _trie(self) -> None:
+        """Prefix tree of the pieces as sorted arrays: (state, code point) -> next state, and each state's piece."""
+        state, keys, piece = {"": 0}, [], [-1]
+        for s in sorted(self.piece):
+            for i in range(1, len(s) + 1):
+                if s[:i] not in state:
+                    keys.append(state[s[: i - 1]] << 21 | ord(s[i - 1]))
+                    state[s[:i]] = len(state)
+                    piece.append(-1)
+            piece[state[s]] = self.piece[s]
+        order = np.argsort(np.array(keys, np.int64))
+        self.step_keys = np.array(keys, np.int64)[order]
+        self.step_to = order + 1  # states are numbered in the order of their keys, from 1
+        self.state_piece = np.array(piece, np.int32)
 
     def edges(self, strings: list[str]) -> np.ndarray:
         """[W, n, M] ids for W strings of n characters: at [w, j, k] the piece of length k + 1 that ends
         after character j, -1 if there is none. Every single character gets an edge: ``size`` if no piece."""
-        n = len(strings[0])
+        w, n = len(strings), len(strings[0])
         m = min(self.longest, n)
-        spans = [(j - k, j + 1, j * m + k) for j in range(n) for k in range(min(m, j + 1))]
-        get = self.piece.get
-        flat = np.array([get(s[a:b], -1) for s in strings for a, b, _ in spans], np.int32)
-        out = np.full((len(strings), n * m), -1, np.int32)
-        out[:, [x[2] for x in spans]] = flat.reshape(len(strings), len(spans))
-        out = out.reshape(len(strings), n, m)
-        single = out[:, :, 0]
+        code = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out = np.full((w * n, m), -1, np.int32)
+        # All starts walk down the prefix tree together; those without a longer piece leave.
+        end = np.arange(w * n)
+        left = np.tile(np.arange(n, 0, -1), w)  # characters from the start to the end of its string
+        state = np.zeros(w * n, np.int64)
+        for k in range(m):
+            key = state << 21 | code[end]
+            at = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            live = self.step_keys[at] == key
+            end, left, state = end[live], left[live] - 1, self.step_to[at[live]]
+            out[end, k] = self.state_piece[state]
+            more = left > 0
+            end, left, state = end[more] + 1, left[more], state[more]
+            if len(end) == 0:
+                break
+        single = out[:, 0]
         single[single < 0] = self.size
-        return out
+        return out.reshape(w, n, m)
 
 
 def forward(edges: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
