@@ -148,8 +148,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     truth = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
              .agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
              .select("doc_id", F.col("lo").alias("quality")))
-    # Only the labelled documents go through the features for the holdout counts; they are again computed
-    # for the verdict below, which is cheaper than keeping the features of the whole corpus on disk.
+    # The features are computed twice, here and for the verdict below: joining before them would shuffle whole
+    # texts once the labels are too many to broadcast, and keeping them would write the corpus' counts to disk.
     held = feats.where(~F.col("base_failed")).join(truth, "doc_id")
     hist = (held.select("_stratum", "quality", F.posexplode("levels").alias("rule", "level"))
             .groupBy("_stratum", "quality", "rule", "level").count().collect())  # strata * 2 * rules * levels rows
