@@ -47,7 +47,7 @@ from ragtide.plans.retrieve import (
     with_settings,
 )
 from ragtide.sources.corpus import articles_from_documents
-from ragtide.sources.store import incremental_rows
+from ragtide.sources.store import incremental_rows, replaced_rows
 from ragtide.sources.testdata import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +203,19 @@ def q_anti_append(spark, sf):
     return incremental_rows(chunks, existing).select("passage_id", "content_key")
 
 
+def q_reindex_edit(spark, sf):
+    """S10 on edited documents: the store holds an older form (another content key) of the documents
+    labelled not toxic; re-indexing all labelled ones replaces those and leaves the others."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("doc_key"), "toxic")
+    batch = _line_chunks(spark, sf).join(labels.select("doc_key"), "doc_key", "left_semi")
+    older = batch.join(labels.where("toxic = 0"), "doc_key", "left_semi").withColumn(
+        "content_key", F.sha2("content_key", 256))
+    stored = older.unionByName(batch.join(labels.where("toxic = 1"), "doc_key", "left_semi"))
+    cols = ["passage_id", "content_key"]
+    return replaced_rows(batch, stored).select(*cols, F.lit("replaced").alias("change")).unionByName(
+        incremental_rows(batch, stored).select(*cols, F.lit("added").alias("change")))
+
+
 def q_entity_count(spark, sf):
     return _line_chunks(spark, sf).agg(F.count(F.lit(1)).alias("n_passages"))
 
@@ -413,6 +426,7 @@ QUERIES: dict[str, Query] = {
     "metadata_pack": q_metadata_pack,
     "content_key": q_content_key,
     "anti_append": q_anti_append,
+    "reindex_edit": q_reindex_edit,
     "entity_count": q_entity_count,
     "hashed_embed": q_hashed_embed,
     "format_plain": q_format_plain,

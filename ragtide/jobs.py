@@ -75,6 +75,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
     s.add_argument("--output", required=True)
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--once", action="store_true")
+    s.add_argument("--sessions", action="store_true", help="requests carry session_id and turn; exit closes a session")
     g = sub.add_parser("ingest")
     g.add_argument("--source", required=True)
     g.add_argument("--store", required=True)
@@ -142,7 +143,8 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         from ragtide.streaming.questions import start_answer_stream
 
         q = start_answer_stream(spark, a.source, a.output, a.checkpoint,
-                                lambda: (store.load(spark, a.store), _models(spark, a.store)), available_now=a.once)
+                                lambda: (store.load(spark, a.store), _models(spark, a.store)), available_now=a.once,
+                                sessions=a.sessions)
         q.awaitTermination()
     elif a.cmd == "ingest":
         from ragtide.streaming.corpus import start_index_stream

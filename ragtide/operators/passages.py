@@ -57,17 +57,19 @@ def metadata_field(name: str, meta: str = "metadata") -> Column:
     return F.col(f"{meta}.{name}")
 
 
-def key_material(law: Column, article: Column, title: Column, chunk_index: Column, chunk: Column) -> Column:
-    return F.concat_ws("\u0001", F.coalesce(law, F.lit("")), F.coalesce(article, F.lit("")),
-                       F.coalesce(title, F.lit("")), chunk_index.cast("string"), F.coalesce(chunk, F.lit("")))
+KEY_FIELDS = ("doc_key", "law", "article", "title", "chunk_index", "total_chunks", "chunk_content")
+
+
+def key_material() -> Column:
+    """All that a passage stores, with a mark for null, so that null and empty fields differ."""
+    return F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in KEY_FIELDS])
 
 
 def with_keys(df: DataFrame) -> DataFrame:
-    """``content_key`` (sha-256 of the passage content, the idempotence key of
-    re-indexing) and ``passage_id`` (doc_key * 2**20 + chunk_index).
+    """``content_key`` (sha-256 of the document key and the whole passage content,
+    the idempotence key of re-indexing) and ``passage_id`` (doc_key * 2**20 + chunk_index).
 
     Both are pure functions of the row, so they are stable under task retry
     (unlike ``monotonically_increasing_id``)."""
-    mat = key_material(F.col("law"), F.col("article"), F.col("title"), F.col("chunk_index"), F.col("chunk_content"))
-    return df.withColumn("content_key", F.sha2(mat, 256)).withColumn(
+    return df.withColumn("content_key", F.sha2(key_material(), 256)).withColumn(
         "passage_id", F.col("doc_key") * F.lit(1 << CHUNK_ID_BITS) + F.col("chunk_index"))

@@ -5,9 +5,10 @@
   100-row batches become Arrow batches inside the encoder UDF).
 * S7 ``count``, S8 ``drop``, S9 ``load`` (a read of the committed table; the
   caller persists it when it is scanned several times).
-* S10 ``incremental_rows`` / ``index_incremental``: re-indexing appends only
-  passages whose ``content_key`` is not stored yet (left anti join), so a
-  re-run adds zero rows; ``mode="append"`` keeps the original behaviour of
+* S10 ``incremental_rows`` / ``replaced_rows`` / ``index_incremental``:
+  re-indexing appends only passages whose ``content_key`` is not stored yet
+  (left anti join), so a re-run adds zero rows, and takes out the passages that
+  an edited document no longer has; ``mode="append"`` keeps the original behaviour of
   appending everything again.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragtide.operators.partitioning import materialise
 from ragtide.operators.rerank import Bm25Stats
 
 PASSAGE_SCHEMA = (
@@ -59,10 +61,10 @@ def drop(spark: SparkSession, name: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
-def append(passages: DataFrame, name: str) -> None:
-    """Append passages (columns in store order)."""
+def append(passages: DataFrame, name: str, overwrite: bool = False) -> None:
+    """Append passages (columns in store order), or put them in the place of all stored ones."""
     cols = ["passage_id", "content_key", "doc_key", "metadata", "passage_text", "embedding"]
-    passages.select(*cols).write.insertInto(name)
+    passages.select(*cols).write.insertInto(name, overwrite=overwrite)
 
 
 def incremental_rows(incoming: DataFrame, existing: DataFrame, key: str = "content_key") -> DataFrame:
@@ -76,18 +78,37 @@ def incremental_rows(incoming: DataFrame, existing: DataFrame, key: str = "conte
     return fresh.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
 
 
+def replaced_rows(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """Stored rows of incoming documents (``doc_key``) that the incoming batch no longer has."""
+    again = existing.join(incoming.select("doc_key").distinct(), "doc_key", "left_semi")
+    return again.join(incoming.select("content_key"), "content_key", "left_anti")
+
+
 def index_incremental(spark: SparkSession, passages: DataFrame, name: str, mode: str = "dedupe") -> int:
-    """C1 sink with S4 + S10 + S5: returns the number of rows appended."""
+    """C1 sink with S4 + S10 + S5: returns the number of rows appended.
+
+    ``dedupe`` expects all passages of each document it brings. New documents are
+    appended; only when a stored document has changed is the store written anew,
+    without the document's old passages, in the same write as the new ones.
+    ``append`` adds everything again.
+    """
+    if mode not in ("dedupe", "append"):
+        raise ValueError("mode must be 'dedupe' or 'append'")
     open_store(spark, name)
     if mode == "append":
-        rows = passages
-    elif mode == "dedupe":
-        rows = incremental_rows(passages, load(spark, name))
+        before = count(spark, name)
+        append(passages, name)
+        return count(spark, name) - before
+    stored = load(spark, name)
+    incoming = materialise(passages, "incoming")  # chunked and encoded once for the three uses below
+    fresh = materialise(incremental_rows(incoming, stored), "fresh")
+    stale = replaced_rows(incoming, stored).select("content_key")
+    if stale.isEmpty():
+        append(fresh, name)
     else:
-        raise ValueError("mode must be 'dedupe' or 'append'")
-    before = count(spark, name)
-    append(rows, name)
-    return count(spark, name) - before
+        kept = materialise(stored.join(stale, "content_key", "left_anti"), "kept")
+        append(kept.unionByName(fresh), name, overwrite=True)
+    return fresh.count()
 
 
 def write_stats(spark: SparkSession, name: str) -> Bm25Stats:

@@ -77,8 +77,9 @@ CHUNKS = f"""lines AS (
        unnest(range(1, len(a.parts) + 1)) u(i)),
 chunks AS (
   SELECT *, doc_key * 1048576 + chunk_index AS passage_id,
-         sha256(concat_ws(chr(1), coalesce(law, ''), coalesce(article, ''), coalesce(title, ''),
-                          CAST(chunk_index AS VARCHAR), coalesce(chunk_content, ''))) AS content_key,
+         sha256(concat_ws(chr(1), coalesce(CAST(doc_key AS VARCHAR), chr(2)), coalesce(law, chr(2)),
+                          coalesce(article, chr(2)), coalesce(title, chr(2)), CAST(chunk_index AS VARCHAR),
+                          CAST(total_chunks AS VARCHAR), coalesce(chunk_content, chr(2)))) AS content_key,
          {render(C.PASSAGE_TEMPLATE, law="law", article="article", title="title", part="chunk_index + 1",
                  total="total_chunks", chunk="chunk_content")} AS passage_text
   FROM lines)"""
@@ -314,6 +315,16 @@ def oracle_sql() -> dict[str, str]:
 SELECT passage_id, content_key FROM chunks c
 WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.content_key = c.content_key)
 QUALIFY row_number() OVER (PARTITION BY content_key ORDER BY passage_id) = 1"""
+    q["reindex_edit"] = base + """, stored AS (
+  SELECT doc_key, passage_id, sha256(content_key) AS content_key FROM chunks
+  WHERE doc_key IN (SELECT doc_id FROM labels WHERE toxic = 0)
+  UNION ALL
+  SELECT doc_key, passage_id, content_key FROM chunks WHERE doc_key IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+batch AS (SELECT * FROM chunks WHERE doc_key IN (SELECT doc_id FROM labels))
+SELECT passage_id, content_key, 'replaced' AS change FROM stored s
+WHERE doc_key IN (SELECT doc_key FROM batch) AND content_key NOT IN (SELECT content_key FROM batch)
+UNION ALL
+SELECT passage_id, content_key, 'added' FROM batch WHERE content_key NOT IN (SELECT content_key FROM stored)"""
     q["entity_count"] = base + "SELECT count(*) AS n_passages FROM chunks"
     q["hashed_embed"] = f"WITH {ARTICLES},\n{CHUNKS},\n{PVEC}\n" + \
         "SELECT passage_id, bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM pvec"

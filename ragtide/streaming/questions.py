@@ -5,6 +5,10 @@ is routed (P14 + J5) and the accepted questions go through the batch answer
 job (C3) against the passage store. Output is exactly-once: every epoch
 overwrites its own ``epoch=<id>`` folder, so a replayed epoch rewrites the
 same rows instead of appending twice.
+
+With ``sessions``, requests also carry ``(session_id, turn)``, and an ``exit``
+closes its session for all later turns. Each epoch writes its exits next to the
+answers and reads those of earlier epochs, so a replay sees what the first run saw.
 """
 
 from __future__ import annotations
@@ -21,12 +25,17 @@ from ragtide.plans.answer import answer_questions
 from ragtide.plans.retrieve import Models
 
 REQUEST_SCHEMA = "request_id bigint, choice string, question string"
+SESSION_SCHEMA = "session_id bigint, turn bigint"
 
 
-def answer_batch(requests: DataFrame, passages: DataFrame, models: Models, options: RagOptions):
-    """One micro-batch: (answers, statuses)."""
-    routed = route_requests(requests)
-    statuses = routed.select("request_id", "choice", "status")
+def answer_batch(requests: DataFrame, passages: DataFrame, models: Models, options: RagOptions,
+                 earlier_exits: DataFrame | None = None):
+    """One micro-batch: (answers, statuses). With ``session_id`` and ``turn`` columns, exits close their
+    sessions, also those of ``earlier_exits`` (session_id, turn)."""
+    keys = ["session_id", "turn"] if "session_id" in requests.columns else []
+    routed = route_requests(requests, session=keys[0], order=keys[1], earlier_exits=earlier_exits) if keys else \
+        route_requests(requests)
+    statuses = routed.select("request_id", "choice", "status", *keys)
     accepted = routed.filter(F.col("status") == "accepted").select(
         F.col("request_id").alias("question_id"), "question", F.col("choice").alias("route"))
     return answer_questions(accepted, passages, models, options), statuses
@@ -34,10 +43,10 @@ def answer_batch(requests: DataFrame, passages: DataFrame, models: Models, optio
 
 def start_answer_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, load: Callable[[], tuple[DataFrame, Models]],
                         options: RagOptions = RagOptions(), available_now: bool = True,
-                        max_files_per_trigger: int | None = None) -> StreamingQuery:
+                        max_files_per_trigger: int | None = None, sessions: bool = False) -> StreamingQuery:
     """``load`` gives the passages and models; it is called for every micro-batch, so that each one
     sees the passages and statistics committed before it."""
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    reader = spark.readStream.schema(f"{REQUEST_SCHEMA}, {SESSION_SCHEMA}" if sessions else REQUEST_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     requests = reader.parquet(source_dir)
@@ -45,7 +54,16 @@ def start_answer_stream(spark: SparkSession, source_dir: str, out_dir: str, chec
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
         try:
-            answers, statuses = answer_batch(batch, *load(), options)
+            earlier = None
+            if sessions:
+                # An empty part first, so that the folder can be read in epoch 0.
+                spark.createDataFrame([], SESSION_SCHEMA).write.mode("overwrite").parquet(f"{out_dir}/exits/epoch=-1")
+                earlier = spark.read.schema(f"{SESSION_SCHEMA}, epoch bigint").parquet(f"{out_dir}/exits").where(
+                    F.col("epoch") < epoch_id)
+            answers, statuses = answer_batch(batch, *load(), options, earlier)
+            if sessions:
+                statuses.where("status = 'ended'").select("session_id", "turn").write.mode("overwrite").parquet(
+                    f"{out_dir}/exits/epoch={epoch_id}")
             answers.write.mode("overwrite").parquet(f"{out_dir}/answers/epoch={epoch_id}")
             statuses.write.mode("overwrite").parquet(f"{out_dir}/status/epoch={epoch_id}")
         finally:

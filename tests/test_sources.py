@@ -95,3 +95,22 @@ def test_a_file_beyond_the_variant_limit_gives_every_article(spark, scratch_dir)
     arts, rejects = read_corpus_files(spark, scratch_dir)
     assert arts.select("article").distinct().count() == 1400
     assert sorted(r.reason for r in rejects.collect()) == ["malformed json", "root is not an array"]
+
+
+def test_an_edited_article_replaces_its_passages(spark):
+    from ragtide.plans.index import build_passages
+
+    def corpus(*rows):
+        return spark.createDataFrame(rows, "doc_key bigint, law string, article string, title string, content string")
+
+    name = "reindex_edit_test"
+    store.drop(spark, name)
+    first = corpus((1, "L", "1", "T", "a\nb"), (2, "L", "2", "T", "same"), (3, "L", "2", "T", "same"))
+    assert store.index_incremental(spark, build_passages(first, "lines"), name) == 4  # equal articles both stay
+    edited = corpus((1, "L", "1", "T", "a\nb\nc"), (2, "L", "2", None, "same"), (4, "L", "2", "", "same"))
+    store.index_incremental(spark, build_passages(edited, "lines"), name)
+    rows = store.load(spark, name).select("passage_id", "doc_key", "metadata").collect()
+    assert len({r.passage_id for r in rows}) == len(rows) == 6
+    assert sorted((r.doc_key, r.metadata.total_chunks) for r in rows) == [(1, 3), (1, 3), (1, 3), (2, 1), (3, 1), (4, 1)]
+    assert store.index_incremental(spark, build_passages(edited, "lines"), name) == 0
+    store.drop(spark, name)

@@ -97,3 +97,28 @@ def test_corpus_stream_is_idempotent(spark, scratch_dir):
     assert spark.read.parquet(os.path.join(scratch_dir, "rej")).filter(
         F.col("path").endswith("broken.json")).count() == 1
     store.drop(spark, name)
+
+
+def test_exit_closes_a_session_in_later_micro_batches(spark, scratch_dir):
+    from ragtide.catalog import FLAGSHIP_OPTIONS, articles, models_for
+    from ragtide.operators.answer import route_requests
+    from ragtide.plans.index import build_passages
+    from ragtide.streaming.questions import REQUEST_SCHEMA, SESSION_SCHEMA, start_answer_stream
+
+    passages = build_passages(articles(spark, SF_SMALL).limit(5), chunking="recursive").persist()
+    models = models_for(passages)
+    rows = [(1, "1", "what is this", 7, 1), (2, "2", " EXIT ", 7, 2), (3, "1", "other session", 8, 1),
+            (4, "1", "too late", 7, 3), (5, "1", "still open", 8, 2), (6, "9", "no route", 8, 3)]
+    src = os.path.join(scratch_dir, "req")
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, f"{REQUEST_SCHEMA}, {SESSION_SCHEMA}").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    out = os.path.join(scratch_dir, "out")
+    start_answer_stream(spark, src, out, os.path.join(scratch_dir, "ck"), lambda: (passages, models), FLAGSHIP_OPTIONS,
+                        max_files_per_trigger=1, sessions=True).awaitTermination()
+    status = {r.request_id: r.status for r in spark.read.parquet(f"{out}/status").collect()}
+    whole = route_requests(spark.createDataFrame(rows, f"{REQUEST_SCHEMA}, {SESSION_SCHEMA}"), session="session_id",
+                           order="turn")
+    assert status == {r.request_id: r.status for r in whole.collect()}
+    assert status == {1: "accepted", 2: "ended", 3: "accepted", 4: "closed", 5: "accepted", 6: "rejected"}
+    assert {r.question_id for r in spark.read.parquet(f"{out}/answers").collect()} == {1, 3, 5}
