@@ -327,3 +327,19 @@ def test_long_chain_of_replies(spark):
     df = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(300)], "conv_id long, turn long, role string, text string")
     got = quotes.link(df).collect()
     assert [x.depth for x in got] == list(range(300)) and {x.thread_turn for x in got} == {0}
+
+
+def test_lattice_edges_are_every_substring_that_is_a_piece():
+    from ragtide.llm.lattice import Vocabulary
+    from ragtide.llm.pieces import MODEL_FILE
+
+    vocab = Vocabulary(MODEL_FILE)
+    for strings in ([" the", " hel", "ab😀z", "\x00ñ界a"], ["\n"], [" " * 40], [" internationalisation" * 30]):
+        edges = vocab.edges(strings)
+        n = len(strings[0])
+        assert edges.shape == (len(strings), n, min(vocab.longest, n))
+        for s, got in zip(strings, edges.tolist()):
+            for j in range(n):
+                for k in range(edges.shape[2]):
+                    want = vocab.piece.get(s[j - k: j + 1], -1) if k <= j else -1
+                    assert got[j][k] == (vocab.size if k == 0 and want < 0 else want)
