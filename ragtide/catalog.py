@@ -33,7 +33,7 @@ from ragtide.operators.knn import knn_exact, knn_lsh
 from ragtide.operators.metrics import bleu, mean_by_model, metric_table, rouge, rouge_l, rouge_n, zip_pairs
 from ragtide.operators.partitioning import broadcast_if, materialise
 from ragtide.operators.passages import metadata_field
-from ragtide.operators.rerank import bm25_scorer, norerank_prefix, rerank_topk
+from ragtide.operators.rerank import Bm25Scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import default_rewriter, expand_queries, parse_rewrites
 from ragtide.operators.session import session_context
 from ragtide.plans.index import build_passages, chunk_table, passage_stats
@@ -88,7 +88,7 @@ def routed_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def models_for(passages: DataFrame) -> Models:
     """Default models with the BM25 statistics of ``passages``; every query pays for its own."""
-    return Models(scorer=bm25_scorer(passage_stats(passages)), encoder=hashed_encoder())
+    return Models(scorer=Bm25Scorer(passage_stats(passages)), encoder=hashed_encoder())
 
 
 def vectors(spark: SparkSession, sf: str):
@@ -117,10 +117,9 @@ def _chain(spark: SparkSession, sf: str, options: RagOptions = FLAGSHIP_OPTIONS,
     qs = with_settings(routed_questions(spark, sf) if routed else questions(spark, sf), options)
     queries = query_table(qs, options, models)
     n_queries = queries.count()
-    hits = retrieve_hits(queries, passages, options.depth, models.encoder, n_queries)
+    hits = retrieve_hits(queries, passages, options.depth, models.encoder, n_queries, models.scorer)
     settings = qs.select("question_id", "question", "model_kind", "top_k", "doc_limit")
-    # one row per question, at most n_queries rows
-    hits = hits.join(broadcast_if(settings, n_queries), "question_id")
+    hits = hits.join(settings, "question_id")
     return passages, models, hits.repartition("question_id")
 
 

@@ -28,11 +28,11 @@ from ragtide.session import ensure_checkpoint_dir, ship_package
 
 def _models(spark: SparkSession, store_name: str):
     from ragtide.operators.embed import hashed_encoder
-    from ragtide.operators.rerank import bm25_scorer
+    from ragtide.operators.rerank import Bm25Scorer
     from ragtide.plans.retrieve import Models
     from ragtide.sources import store
 
-    return Models(scorer=bm25_scorer(store.load_stats(spark, store_name)), encoder=hashed_encoder())
+    return Models(scorer=Bm25Scorer(store.load_stats(spark, store_name)), encoder=hashed_encoder())
 
 
 def _options(a) -> RagOptions:

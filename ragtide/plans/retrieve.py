@@ -7,9 +7,10 @@ text -> J6 late metadata fetch -> P8 filter -> P7/P6 format -> U2 score
 O6 document limit.
 
 Exchanges: the query matrix is broadcast into the passage scan (size
-checked in ``knn_exact``); the hits (queries x depth rows, size bounded by
-the query count) are broadcast into the late metadata fetch so the passage
-table is never shuffled; the rest is keyed by question.
+checked in ``knn_exact``); the hits (queries x depth rows of four numbers, so
+a row bound is a byte bound) are broadcast into the late metadata fetch so the
+passage table is never shuffled. Texts join afterwards, without a forced
+broadcast; the rest is keyed by question.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from ragtide.operators.rewrite import Rewriter, expand_queries
 
 # query_key = question_id * 16 + query_ord (query_ord <= 3)
 QUERY_KEY_STRIDE = 16
-# Hits are broadcast into the metadata fetch up to this many rows.
+# Hits are broadcast into the metadata fetch up to this many rows (of 32 bytes).
 MAX_BROADCAST_HITS = 2_000_000
 
 
@@ -68,22 +69,28 @@ def query_table(questions: DataFrame, options: RagOptions, models: Models) -> Da
     return q.withColumn("query_key", F.col("question_id") * QUERY_KEY_STRIDE + F.col("query_ord"))
 
 
+def prepared(scorer: Scorer, queries: DataFrame, query_col: str, keys: list[str]) -> DataFrame:
+    """``queries`` with what the scorer looks up once per query, if it does so."""
+    return scorer.prepare(queries, query_col, keys) if hasattr(scorer, "prepare") else queries
+
+
 def retrieve_hits(queries: DataFrame, passages: DataFrame, depth: int, encoder: Encoder | None,
-                  n_queries: int | None = None) -> DataFrame:
-    """U1 + J1 + J3 + J6: hits with query text and metadata.
+                  n_queries: int | None = None, scorer: Scorer | None = None) -> DataFrame:
+    """U1 + J1 + J3 + J6: hits with query text and metadata, and what ``scorer`` prepares per query.
 
     Output: question_id, query_ord, query_text, rank, passage_id, sim, metadata.
     """
     qv = embed(queries.select("query_key", "query_text"), "query_text", "query_vec", encoder)
     hits = knn_exact(qv, passages, depth, qid="query_key", qvec="query_vec", pid="passage_id", pvec="embedding")
     n = n_queries if n_queries is not None else queries.count()
-    # One row per query (n rows) joined to its hits.
-    hits = hits.join(broadcast_if(queries.select("query_key", "question_id", "query_ord", "query_text"), n,
-                                  MAX_BROADCAST_HITS), "query_key")
     # J6 late fetch: hits (at most n * depth rows) go to the passage scan, not the reverse.
-    meta = broadcast_if(hits, n * depth, MAX_BROADCAST_HITS).join(passages.select("passage_id", "metadata"),
-                                                                   "passage_id")
-    return drop_missing_metadata(meta).drop("query_key")
+    hits = broadcast_if(hits.select("query_key", "passage_id", "rank", "sim"), n * depth, MAX_BROADCAST_HITS).join(
+        passages.select("passage_id", "metadata"), "passage_id")
+    # One row per query joined to its hits.
+    texts = queries.select("query_key", "question_id", "query_ord", "query_text")
+    if scorer is not None:
+        texts = prepared(scorer, texts, "query_text", ["query_key"])
+    return drop_missing_metadata(hits).join(texts, "query_key").drop("query_key")
 
 
 def score_hits(hits: DataFrame, models: Models, query_col: str = "query_text") -> DataFrame:
@@ -104,10 +111,10 @@ def retrieve_fuse(questions: DataFrame, passages: DataFrame, models: Models,
     qs = with_settings(questions, options)
     queries = query_table(qs, options, models)
     n_queries = queries.count()
-    hits = retrieve_hits(queries, passages, options.depth, models.encoder, n_queries)
+    hits = retrieve_hits(queries, passages, options.depth, models.encoder, n_queries,
+                         models.scorer if options.use_reranking else None)
     settings = qs.select("question_id", "question", "model_kind", "top_k", "doc_limit")
-    hits = hits.join(broadcast_if(settings, n_queries, MAX_BROADCAST_HITS), "question_id")
-    hits = hits.repartition("question_id")
+    hits = hits.join(settings, "question_id").repartition("question_id")
     if options.use_reranking:
         ranked = rerank_topk(score_hits(hits, models), F.col("top_k"), ["question_id", "query_ord"])
     else:
@@ -125,7 +132,8 @@ def _pooled_cut(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _pooled_from_hits(hits: DataFrame, questions: DataFrame, models: Models, k: int) -> DataFrame:
-    hits = hits.join(questions.select("question_id", "question"), "question_id").repartition("question_id")
+    asked = prepared(models.scorer, questions.select("question_id", "question"), "question", ["question_id"])
+    hits = hits.join(asked, "question_id").repartition("question_id")
     return _pooled_cut(score_hits(hits, models, query_col="question"), k)
 
 
