@@ -61,13 +61,38 @@ def scorer_input(doc: Column | str) -> Column:
     return F.substring(c, 1, SCORER_INPUT_MAX)
 
 
+def _ten_thousandths(c: Column) -> Column:
+    """|c| in units of 0.0001, the exact binary value rounded half to even (as C and Python print it).
+
+    The fraction is split at 2**-27, so that both products with 10000 are exact.
+    """
+    a = F.abs(c)
+    whole = F.floor(a).cast("double")
+    f = a - whole
+    head = F.floor(f * F.lit(float(1 << 27))).cast("double") / F.lit(float(1 << 27))
+    high, low = head * 10000.0, (f - head) * 10000.0
+    units = F.floor(high).cast("double")
+    to_half = F.lit(0.5) - (high - units)
+    up = F.when(low > to_half, 1.0).when(low == to_half, units % 2).otherwise(0.0)
+    return whole * 10000.0 + units + up
+
+
+def _exact(c: Column) -> Column:
+    """Whether units of 0.0001 of ``c`` are whole numbers that a double holds; not for NaN and infinity."""
+    return F.abs(c) < F.lit(2.0**53 / 10000)
+
+
 def score4(score: Column | str) -> Column:
-    """P10: score as ordered after its 4-decimal display (``round(score, 4)``)."""
-    c = F.col(score) if isinstance(score, str) else score
-    return F.round(c.cast("double"), 4)
+    """P10: score as ordered after its 4-decimal display."""
+    c = (F.col(score) if isinstance(score, str) else score).cast("double")
+    return F.when(_exact(c), F.signum(c) * _ten_thousandths(c) / 10000.0).otherwise(c)
 
 
 def score_display(score: Column | str) -> Column:
     """P10: the 4-decimal display string."""
-    c = F.col(score) if isinstance(score, str) else score
-    return F.format_string("%.4f", c.cast("double"))
+    c = (F.col(score) if isinstance(score, str) else score).cast("double")
+    units = _ten_thousandths(c).cast("bigint")
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(units / 10000).cast("string"), F.lit("."),
+                    F.lpad((units % 10000).cast("string"), 4, "0"))
+    return F.when(_exact(c), text).otherwise(F.format_string("%.4f", c))

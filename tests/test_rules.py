@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ragtide.config import ANSWER_MARKER, REWRITE_MARKER
 from ragtide.operators.answer import extract_answer, route_requests
-from ragtide.operators.format import format_rerank
+from ragtide.operators.format import format_rerank, score4, score_display
 from ragtide.operators.fuse import dedupe_first, fused_rank
 from ragtide.operators.rewrite import expand_queries, parse_rewrites
 
@@ -125,3 +125,29 @@ def test_a_sampling_rewriter_runs_once(spark):
     table = query_table(qs, RagOptions(), Models(scorer=None, rewriter=sampled))
     first, again = (sorted(map(tuple, table.collect())) for _ in range(2))
     assert first == again and len(first) > 20
+
+
+def test_score_display_rounds_the_binary_value(spark):
+    """P10 prints as Python's %.4f does, ties of the shortest form included, and orders by what it prints."""
+    ties = [(2 * i + 1) / 20000 for i in range(0, 30000, 7)]
+    values = ties + [0.0, 0.03125, 0.09375, 1.5, 12.34565, 999.99995, 0.00005, 4.9999e-5, 1e-300, -0.12345, 123456.78905]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", score_display("v").alias("d"), score4("v").alias("o")).collect():
+        assert r.d == "%.4f" % r.v and r.o == float(r.d), r
+    odd = spark.createDataFrame([(None,), (float("inf"),), (1e20,)], "v double").select(score_display("v").alias("d"))
+    assert [r.d for r in odd.collect()][2] == "%.4f" % 1e20
+
+
+def test_bm25_terms_prepared_or_not(spark):
+    """A scorer looks its queries up beforehand or by text, with the same scores; unknown and empty give 0."""
+    from ragtide.operators.rerank import TERMS, Bm25Scorer, bm25_stats
+
+    texts = spark.createDataFrame([("a b b c",), ("a d",), ("e",)], "t string")
+    scorer = Bm25Scorer(bm25_stats(texts, "t"))
+    pairs = spark.createDataFrame([(1, "a b zzz", "a b b c"), (2, "", "a d"), (3, "zzz", "zzz"), (4, None, "a"), (5, "e e", "e")],
+                                  "k int, q string, d string")
+    plain = {r.k: r.score for r in scorer(pairs, "q", "d", ["k"]).collect()}
+    ready = scorer.prepare(pairs, "q", ["k"])
+    assert TERMS in ready.columns
+    assert {r.k: r.score for r in scorer(ready, "q", "d", ["k"]).collect()} == plain
+    assert plain[1] > plain[5] > 0 and plain[2] == plain[3] == plain[4] == 0.0
