@@ -4,14 +4,30 @@ Each string is an independent formulation of the same semantics over the
 pre-registered views (documents, benchmark, embeddings, conversations,
 labels, events): e.g. the kNN twin scores sparse hashed vectors joined on
 bucket instead of multiplying dense blocks, and list lambdas replace Spark's
-higher-order functions. The fixed strings come from ``ragtide.config``.
+higher-order functions. Fixed strings and values are stated here again, so a wrong one in
+``ragtide.config`` does not pass on both sides.
 """
 
 from __future__ import annotations
 
-from ragtide import config as C
-from ragtide.functions.text import WS_CLASS
-from ragtide.operators.passages import _template_parts
+import re
+
+# Fixed values (must equal the original application's strings and parameters).
+PASSAGE = "Luật: {law}\nĐiều {article}: {title}\nPhần {part}/{total}:\n{chunk}"
+REWRITE_PROMPT = (
+    "\n    ### Instruction:\n    Rewrite the given query into three different variations.\n\n"
+    "    ### Input Query:\n    {query}\n\n    ### Rewritten Queries:\n    "
+)
+CONTEXT_BLOCK = "Document (Relevance Score: {score}):\n{doc}"
+BETWEEN_DOCUMENTS = "\n\n=== Next Document ===\n\n"
+ANSWER_PROMPT = (
+    "Hãy trả lời câu hỏi dựa trên các thông tin pháp luật sau đây một cách rõ ràng và chính xác.\n\n"
+    "        Thông tin pháp luật:\n        {context}\n\n        Câu hỏi: {query}\n\n"
+    "        Trả lời dựa trên các điều luật trên:\n        "
+)
+ROUTES = "('1', 'gpt2', 1, 1), ('2', 'llama', 4, 4)"
+# White space as Python's str.isspace() has it.
+WS_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def lit(s: str) -> str:
@@ -24,10 +40,10 @@ def dbl(x: float) -> str:
 
 def render(template: str, **fields: str) -> str:
     parts = []
-    for p in _template_parts(template):
-        if isinstance(p, tuple):
-            parts.append(f"coalesce(CAST({fields[p[0]]} AS VARCHAR), 'None')")
-        else:
+    for i, p in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2:
+            parts.append(f"coalesce(CAST({fields[p]} AS VARCHAR), 'None')")
+        elif p:
             parts.append(lit(p))
     return "(" + " || ".join(parts) + ")"
 
@@ -37,11 +53,11 @@ def strip(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '{C.TOKEN_PATTERN}')"
+    return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def bucket(tok: str) -> str:
-    return f"CAST(CAST(('0x' || substr(md5({tok}), 1, 8)) AS BIGINT) % {C.EMBED_DIM} AS INTEGER)"
+    return f"CAST(CAST(('0x' || substr(md5({tok}), 1, 8)) AS BIGINT) % 384 AS INTEGER)"
 
 
 def words(x: str) -> str:
@@ -49,17 +65,17 @@ def words(x: str) -> str:
 
 
 def format_plain(law="law", article="article", title="title", content="chunk_content") -> str:
-    return (f"({lit(C.PLAIN_LAW_LABEL)} || coalesce({law}, 'None') || chr(10) || {lit(C.PLAIN_ARTICLE_LABEL)} || "
+    return (f"('Luật: ' || coalesce({law}, 'None') || chr(10) || 'Điều ' || "
             f"coalesce({article}, 'None') || ': ' || coalesce({title}, 'None') || chr(10) || "
-            f"{lit(C.CONTENT_LABEL)} || coalesce({content}, ''))")
+            f"'Nội dung: ' || coalesce({content}, ''))")
 
 
 def format_rerank(law="law", article="article", title="title", content="chunk_content") -> str:
     c = f"coalesce({content}, '')"
-    cut = (f"(CASE WHEN length({c}) > {C.RERANK_CONTENT_MAX} THEN substr({c}, 1, {C.RERANK_CONTENT_KEEP}) || "
-           f"{lit(C.RERANK_ELLIPSIS)} ELSE {c} END)")
+    cut = (f"(CASE WHEN length({c}) > 800 THEN substr({c}, 1, 797) || "
+           f"'...' ELSE {c} END)")
     return (f"(coalesce({law}, 'None') || chr(10) || coalesce({article}, '') || ': ' || coalesce({title}, '') || "
-            f"chr(10) || {lit(C.CONTENT_LABEL)} || {cut})")
+            f"chr(10) || 'Nội dung: ' || {cut})")
 
 
 # ---------------------------------------------------------------------------
@@ -80,7 +96,7 @@ chunks AS (
          sha256(concat_ws(chr(1), coalesce(CAST(doc_key AS VARCHAR), chr(2)), coalesce(law, chr(2)),
                           coalesce(article, chr(2)), coalesce(title, chr(2)), CAST(chunk_index AS VARCHAR),
                           CAST(total_chunks AS VARCHAR), coalesce(chunk_content, chr(2)))) AS content_key,
-         {render(C.PASSAGE_TEMPLATE, law="law", article="article", title="title", part="chunk_index + 1",
+         {render(PASSAGE, law="law", article="article", title="title", part="chunk_index + 1",
                  total="total_chunks", chunk="chunk_content")} AS passage_text
   FROM lines)"""
 
@@ -118,13 +134,13 @@ dots AS (SELECT q.question_id, q.query_ord, p.passage_id, sum(CAST(q.w AS DOUBLE
 sims AS (SELECT d.question_id, d.query_ord, d.passage_id, d.dot / (qn.n * pn.n) AS sim
          FROM dots d JOIN qnorm qn USING (question_id, query_ord) JOIN pnorm pn USING (passage_id)),
 ranked_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id, query_ord
-                                                  ORDER BY round(sim, {C.RANK_DECIMALS}) DESC, passage_id) AS INTEGER) AS rank
+                                                  ORDER BY round(sim, 9) DESC, passage_id) AS INTEGER) AS rank
                 FROM sims)"""
 
 
 def pdocs_cte() -> str:
     return f"""pdocs AS (SELECT passage_id, law, article, title, chunk_content, {format_rerank()} AS doc,
-                 substr({format_rerank()}, 1, {C.SCORER_INPUT_MAX}) AS scorer_in FROM chunks),
+                 substr({format_rerank()}, 1, 800) AS scorer_in FROM chunks),
 stoks AS (SELECT passage_id, {tokens('scorer_in')} AS t FROM pdocs),
 corpus AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS avgdl FROM stoks),
 vocab AS (SELECT tok AS token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS tok FROM stoks) GROUP BY 1)"""
@@ -132,7 +148,7 @@ vocab AS (SELECT tok AS token, count(*) AS df FROM (SELECT unnest(list_distinct(
 
 def bm25_cte(name: str, pairs: str, query_col: str) -> str:
     """``name``: pairs + score; pairs keyed by (question_id, query_ord, rank) with scorer_in."""
-    k1, b = C.BM25_K1, C.BM25_B
+    k1, b = 1.2, 0.75
     norm = f"({dbl(1 - b)} + {dbl(b)} * dl / c.avgdl)"
     idf = f"ln({dbl(1.0)} + ((c.n - v.df) + {dbl(0.5)}) / (v.df + {dbl(0.5)}))"
     return f"""{name}_terms AS (
@@ -149,7 +165,7 @@ def bm25_cte(name: str, pairs: str, query_col: str) -> str:
   USING (question_id, query_ord, rank))"""
 
 
-def chain_ctes(depth: int = C.RETRIEVAL_DEPTH, top_k: int = 4, doc_limit: str = "4",
+def chain_ctes(depth: int = 10, top_k: int = 4, doc_limit: str = "4",
                questions_src: str = "questions", settings: str | None = None) -> str:
     """articles -> line chunks -> vectors -> hits -> BM25 -> rerank -> dedupe -> fused."""
     top = "top_k" if settings else str(top_k)
@@ -167,19 +183,18 @@ pairs AS (SELECT h.question_id, h.query_ord, h.rank, h.passage_id, h.sim, q.quer
 {bm25_cte('scored', 'pairs', 'query_text')},
 reranked AS (SELECT s.*{', st.top_k, st.doc_limit, st.model_kind' if settings else ''},
                     CAST(row_number() OVER (PARTITION BY s.question_id, s.query_ord
-                                            ORDER BY round(s.score, {C.RANK_DECIMALS}) DESC, s.rank) AS INTEGER)
+                                            ORDER BY round(s.score, 9) DESC, s.rank) AS INTEGER)
                       AS rerank_pos
              FROM scored s{' JOIN ' + settings + ' st USING (question_id)' if settings else ''}),
 topk AS (SELECT * FROM reranked WHERE rerank_pos <= {top}),
 deduped AS (SELECT * FROM topk QUALIFY row_number() OVER (PARTITION BY question_id, doc
                                                            ORDER BY query_ord, rerank_pos) = 1),
 fused_all AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id
-                                                ORDER BY round(score, 4) DESC, query_ord, rerank_pos) AS INTEGER)
+                                                ORDER BY CAST(printf('%.4f', score) AS DOUBLE) DESC, query_ord, rerank_pos) AS INTEGER)
                           AS ctx_rank FROM deduped),
 fused AS (SELECT * FROM fused_all WHERE ctx_rank <= {lim})"""
 
 
-ROUTE_VALUES = ", ".join(f"({lit(r)}, {lit(m)}, {k}, {d})" for r, m, k, d in C.ROUTE_CONFIG)
 
 
 def _knn(filter_sql: str = "") -> str:
@@ -187,7 +202,7 @@ def _knn(filter_sql: str = "") -> str:
 ok AS (SELECT * FROM e WHERE list_dot_product(v, v) > 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS passage_id, b.label, list_cosine_similarity(a.v, b.v) AS sim
       FROM ok a JOIN ok b ON a.vec_id <> b.vec_id {filter_sql}),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, {C.RANK_DECIMALS}) DESC, passage_id)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, passage_id)
                      AS INTEGER) AS rank FROM s)"""
 
 
@@ -249,11 +264,11 @@ rouge AS (SELECT conv_id, item_ord, {_f1('clip1', 'hyp_total1', 'ref_total1')} A
 
 
 def _parse_sql(gen: str) -> str:
-    after = f"split_part({gen}, {lit(C.REWRITE_MARKER)}, 2)"
+    after = f"split_part({gen}, '### Rewritten Queries:', 2)"
     lines = f"list_transform(string_split({strip(after)}, chr(10)), lambda x: {strip('x')})"
-    starts = " OR ".join(f"starts_with(x, '{n}.')" for n in C.REWRITE_NUMBERS)
+    starts = "starts_with(x, '1.') OR starts_with(x, '2.') OR starts_with(x, '3.')"
     kept = f"list_filter({lines}, lambda x: length(x) > 0 AND ({starts}))"
-    return f"list_transform({kept}, lambda x: {strip('substr(x, instr(x, ' + lit('.') + ') + 1)')})[1:{C.MAX_REWRITES}]"
+    return f"list_transform({kept}, lambda x: {strip('substr(x, instr(x, ' + lit('.') + ') + 1)')})[1:3]"
 
 
 def _default_rewrite_text(q: str = "question") -> str:
@@ -262,25 +277,25 @@ def _default_rewrite_text(q: str = "question") -> str:
     v1 = f"array_to_string(list_filter({w}, lambda x: length(x) > 3), ' ')"
     v2 = f"array_to_string(({w})[1:greatest({half}, 1)], ' ')"
     v3 = f"array_to_string(({w})[{half} + 1:len({w})], ' ')"
-    return (f"({render(C.REWRITE_PROMPT_TEMPLATE, query=q)} || chr(10) || '1. ' || {v1} || chr(10) || '2. ' || {v2} "
+    return (f"({render(REWRITE_PROMPT, query=q)} || chr(10) || '1. ' || {v1} || chr(10) || '2. ' || {v2} "
             f"|| chr(10) || '3. ' || {v3})")
 
 
 def _context_ctes() -> str:
-    block = render(C.CONTEXT_HEADER_TEMPLATE, score="printf('%.4f', score)", doc="doc")
+    block = render(CONTEXT_BLOCK, score="printf('%.4f', score)", doc="doc")
     return f"""ctx AS (SELECT question_id, count(*) AS n_docs,
-                 string_agg({block}, {lit(C.CONTEXT_SEPARATOR)} ORDER BY ctx_rank) AS context
+                 string_agg({block}, {lit(BETWEEN_DOCUMENTS)} ORDER BY ctx_rank) AS context
           FROM fused GROUP BY question_id),
 ctxq AS (SELECT c.*, q.question FROM ctx c JOIN questions q USING (question_id)),
 prompts AS (SELECT question_id, question, context,
-                   {render(C.ANSWER_PROMPT_TEMPLATE, context='context', query='question')} AS prompt FROM ctxq)"""
+                   {render(ANSWER_PROMPT, context='context', query='question')} AS prompt FROM ctxq)"""
 
 
 def _answer_ctes() -> str:
     sents = f"list_filter(list_transform(regexp_split_to_array(context, '[.!?\\n]+'), lambda x: {strip('x')}), " \
             f"lambda x: length(x) > 0)"
     gen_gpt2 = "prompt || ' ' || coalesce(b.best, '')"
-    marker = lit(C.ANSWER_MARKER)
+    marker = "'Trả lời dựa trên các điều luật trên:'"
     extract = (f"CASE WHEN contains(g.generated, {marker}) THEN {strip(f'split_part(g.generated, {marker}, 2)')} "
                f"ELSE g.generated END")
     return f"""sl AS (SELECT question_id, {sents} AS l FROM prompts),
@@ -330,8 +345,8 @@ SELECT passage_id, content_key, 'added' FROM batch WHERE content_key NOT IN (SEL
         "SELECT passage_id, bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM pvec"
     q["format_plain"] = base + f"SELECT passage_id, {format_plain()} AS doc FROM chunks"
     q["format_rerank"] = base + f"SELECT passage_id, {format_rerank()} AS doc FROM chunks"
-    q["score_input"] = base + (f"SELECT passage_id, substr({format_rerank()}, 1, {C.SCORER_INPUT_MAX}) AS scorer_input, "
-                               f"CAST(length(substr({format_rerank()}, 1, {C.SCORER_INPUT_MAX})) AS INTEGER) "
+    q["score_input"] = base + (f"SELECT passage_id, substr({format_rerank()}, 1, 800) AS scorer_input, "
+                               f"CAST(length(substr({format_rerank()}, 1, 800)) AS INTEGER) "
                                f"AS input_len FROM chunks")
     numbered = ("('preamble' || chr(10) || '### Rewritten Queries:' || chr(10) || array_to_string(list_transform("
                 "list_filter(string_split(question, ' '), lambda w: length(w) > 0), "
@@ -354,7 +369,7 @@ FROM hits h JOIN pdocs d USING (passage_id) WHERE h.rank <= 4"""
                         f"round(score, 6) AS score FROM deduped"
     settings = f"""settings AS (
   SELECT q.question_id, cfg.model_kind, cfg.top_k, cfg.doc_limit
-  FROM questions q JOIN (VALUES {ROUTE_VALUES}) cfg(route, model_kind, top_k, doc_limit)
+  FROM questions q JOIN (VALUES {ROUTES}) cfg(route, model_kind, top_k, doc_limit)
     ON cfg.route = CASE WHEN contains(q.question, chr(10)) THEN '1' ELSE '2' END)"""
     routed = chain_ctes(settings="settings").replace("\nhits AS (", "\n" + settings + ",\nhits AS (", 1)
     q["fuse_limit"] = f"WITH {routed}\nSELECT question_id, model_kind, ctx_rank, passage_id, " \
@@ -371,13 +386,13 @@ FROM hits h JOIN pdocs d USING (passage_id) WHERE h.rank <= 4"""
     q["route_requests"] = f"""WITH req AS (
   SELECT event_id, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' ELSE event_type END AS choice,
          props AS question FROM events),
-st AS (SELECT *, CASE WHEN choice IS NULL OR choice NOT IN ({', '.join(lit(c) for c in C.ROUTE_CHOICES)})
+st AS (SELECT *, CASE WHEN choice IS NULL OR choice NOT IN ('1', '2')
                       THEN 'rejected'
-                      WHEN lower({strip('question')}) = {lit(C.EXIT_WORD)} THEN 'ended'
+                      WHEN lower({strip('question')}) = 'exit' THEN 'ended'
                       ELSE 'accepted' END AS status FROM req)
 SELECT st.event_id, st.status, coalesce(cfg.model_kind, '') AS model_kind, coalesce(cfg.top_k, 0) AS top_k,
        coalesce(cfg.doc_limit, 0) AS doc_limit
-FROM st LEFT JOIN (VALUES {ROUTE_VALUES}) cfg(route, model_kind, top_k, doc_limit)
+FROM st LEFT JOIN (VALUES {ROUTES}) cfg(route, model_kind, top_k, doc_limit)
   ON st.status = 'accepted' AND st.choice = cfg.route"""
     q["retrieve_fuse"] = f"WITH {chain}\nSELECT question_id, ctx_rank, query_ord, rerank_pos, passage_id, " \
                          f"round(score, 6) AS score, doc FROM fused"
@@ -390,7 +405,7 @@ ppairs AS (SELECT h.question_id, h.query_ord, h.rank, h.passage_id, qq.question,
            WHERE h.query_ord > 0 AND h.rank <= {k}),
 {bm25_cte('pscored', 'ppairs', 'question')},
 pooled AS (SELECT question_id, 'rewrite_rerank' AS method,
-                  CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, {C.RANK_DECIMALS}) DESC,
+                  CAST(row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC,
                                           query_ord, rank) AS INTEGER) AS pos,
                   passage_id, round(score, 6) AS score FROM pscored QUALIFY pos <= {k})
 SELECT * FROM plain UNION ALL SELECT * FROM pooled"""
@@ -398,6 +413,19 @@ SELECT * FROM plain UNION ALL SELECT * FROM pooled"""
     q["bleu_pairs"] = f"WITH {_pairs_cte()},\n{_bleu_ctes()}\nSELECT conv_id, item_ord, round(bleu, 6) AS bleu FROM bleu"
     q["rouge_n"] = f"WITH {_pairs_cte()},\n{_rouge_ctes()}\n" \
                    "SELECT conv_id, item_ord, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FROM rouge"
+    # Longest common subsequence: row i of the table from row i - 1, then its running maximum.
+    q["rouge_l"] = f"""WITH RECURSIVE {_pairs_cte()},
+tk AS (SELECT conv_id, item_ord, {rouge_tokens('reference')} AS r, {rouge_tokens('candidate')} AS h FROM pairs),
+lcs AS (
+  SELECT conv_id, item_ord, r, h, 0 AS i, list_transform(range(len(r) + 1), lambda x: CAST(0 AS BIGINT)) AS best FROM tk
+  UNION ALL
+  SELECT conv_id, item_ord, r, h, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j]))
+  FROM (SELECT *, list_transform(range(len(r) + 1), lambda j: greatest(best[j + 1],
+                    CASE WHEN j > 0 AND r[j] = h[i + 1] THEN best[j] + 1 ELSE 0 END)) AS c
+        FROM lcs WHERE i < len(h)))
+SELECT conv_id, item_ord, round(CASE WHEN len(h) = 0 OR len(r) = 0 THEN 0.0
+         ELSE {_f1('best[len(r) + 1]', 'len(h)', 'len(r)')} END, 6) AS "rougeL"
+FROM lcs WHERE i = len(h)"""
     q["metrics_by_model"] = f"""WITH {_pairs_cte()},
 {_bleu_ctes()},
 {_rouge_ctes()},

@@ -11,7 +11,7 @@ from tools.check_oracle import TABLES, rows_of
 
 CHECKED = ["knn_exact", "knn_filtered", "passage_text", "content_key", "anti_append", "hashed_embed",
            "format_rerank", "parse_rewrites", "route_requests", "retrieve_fuse", "extract_answer", "bleu_pairs",
-           "rouge_n", "session_context", "compare_modes", "metrics_by_model"]
+           "rouge_n", "rouge_l", "context_concat", "session_context", "compare_modes", "metrics_by_model"]
 
 
 @pytest.fixture(scope="module")
