@@ -127,20 +127,23 @@ def link(messages: DataFrame, rounds: int = 64) -> DataFrame:
               .withColumn("parent_turn", F.coalesce("quoted_turn", "before")))
     linked = written(linked.select("conv_id", "turn", "role", "text", "parent_turn",
                                    F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")), "quotes-linked")
-    # Pointer doubling: after round k every turn knows its ancestor 2**k replies up, or the thread's first.
+    # Pointer doubling: after round k every open turn knows its ancestor 2**k replies up. A turn whose pointer has
+    # reached the thread's first is finished and is joined no more; others may still look it up.
     up = linked.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(
         F.min("parent_turn").alias("parent"))
     up = written(up.select("conv_id", "turn", F.coalesce("parent", "turn").cast("long").alias("up"),
-                           F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "quotes-up")
+                           F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+                           F.col("parent").isNull().alias("done")), "quotes-up")
+    finished, open_turns = up.where("done"), up.where("not done")
     for _ in range(rounds):
-        above = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        step = written(up.join(above, ["conv_id", "up"]).select(
-            "conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"),
-            (F.col("depth2") > 0).alias("moved")), "quotes-up")
-        more = not step.where("moved").isEmpty()
-        up = step.drop("moved")
-        if not more:
+        if open_turns.isEmpty():
             break
+        above = finished.unionByName(open_turns).select(
+            "conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), "done")
+        step = written(open_turns.drop("done").join(above, ["conv_id", "up"]).select(
+            "conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), "done"), "quotes-up")
+        finished, open_turns = finished.unionByName(step.where("done")), step.where("not done")
+    up = finished.unionByName(open_turns)
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 7

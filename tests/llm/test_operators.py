@@ -343,3 +343,22 @@ def test_lattice_edges_are_every_substring_that_is_a_piece():
                 for k in range(edges.shape[2]):
                     want = vocab.piece.get(s[j - k: j + 1], -1) if k <= j else -1
                     assert got[j][k] == (vocab.size if k == 0 and want < 0 else want)
+
+
+def test_quotes_threads_against_a_walk(spark):
+    """Thread and depth of chains, forks and gaps equal a walk up the parents, message by message."""
+    rows = []
+    for conv, turns in ((1, 70), (2, 1), (3, 9)):
+        for t in range(1, turns + 1):
+            if conv == 3 and t == 5:
+                continue  # a gap: the next turn begins a thread
+            quoted = f"> line {conv} {t // 3}\nyes" if t % 7 == 0 else f"line {conv} {t}"
+            rows.append((conv, t, "user", quoted))
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parent = {(r.conv_id, r.turn): r.parent_turn for r in got}
+    assert len(got) == len(rows) and any(p is not None and p != k[1] - 1 for k, p in parent.items())
+    for r in got:
+        at, depth = r.turn, 0
+        while parent[r.conv_id, at] is not None:
+            at, depth = parent[r.conv_id, at], depth + 1
+        assert (r.thread_turn, r.depth) == (at, depth), r
