@@ -2,15 +2,24 @@
 
 Every rule turns a document into a severity level 0..LEVELS (0: nothing
 wrong). A rule with cutoff t rejects the documents with level >= t, so a
-smaller t rejects more. For each stratum and rule the labelled holdout is
-walked from the most lenient cutoff (LEVELS) to the strictest (1); a cutoff is
-certified while the exact binomial (Clopper-Pearson) upper bound of its false
-rejection rate, at confidence 1 - delta / (strata * rules), stays within
-alpha / rules. Walking in a fixed order needs no further correction for the
-many cutoffs; the Bonferroni split covers the strata and rules, so with
-probability 1 - delta every stratum loses at most alpha of its good documents.
-Among the certified cutoffs, the one that rejects the most bad documents
-against good ones is used (ties: the more lenient one).
+smaller t rejects more. What is controlled is the false rejection rate of the
+combined verdict, per stratum, by walks from the most lenient cutoff (LEVELS) to
+the strictest (1) over the labelled holdout. A cutoff is certified while the
+exact binomial (Clopper-Pearson) upper bound of its rate stays within the
+walk's level; walking in a fixed order needs no further correction for the many
+cutoffs. Two families of cutoffs are walked in each stratum:
+
+- combined: one cutoff for all rules, so that a document's highest level decides.
+  The walk tests the verdict itself, at alpha and confidence
+  1 - COMBINED * delta / strata. 88 good documents are enough for 4 strata.
+- separate: each rule on its own, at alpha / rules and confidence
+  1 - (1 - COMBINED) * delta / (strata * rules). It takes over a thousand good
+  documents, and then reaches levels that another rule gives to ordinary texts.
+
+The shares of delta add up, so with probability 1 - delta every stratum loses at
+most alpha of its good documents, whichever family it uses. Of the certified
+cutoffs, those that reject the most bad documents against good ones are used
+(ties: the more lenient cutoff, the combined family).
 """
 
 from __future__ import annotations
@@ -20,16 +29,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import schema_of
+from ragtide.llm.common import schema_of, written
 
 LEVELS = 20
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "exclamations", "word_length")
 #: Severity is ratio / scale * LEVELS: at ``scale`` a rule is at its highest level.
 SCALES = {"symbols": 0.5, "dup_lines": 1.0, "repeats": 1.0, "capitals": 1.0, "exclamations": 0.5, "word_length": 40.0}
+#: Share of delta spent on the combined family.
+COMBINED = 0.9
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters",
             "n_exclaim"]
@@ -110,26 +121,47 @@ def upper_bound_within(k: int, n: int, level: float, delta: float) -> bool:
     return binomial_cdf(k, n, level) <= delta
 
 
+def strictest(good: list[int], bad: list[int], alpha: float, delta: float) -> tuple[int | None, int]:
+    """The certified cutoff with the largest gain (bad documents rejected less good ones), and its gain."""
+    n, best, best_gain = sum(good), None, 0
+    for t in range(LEVELS, 0, -1):
+        lost = sum(good[t:])
+        if not upper_bound_within(lost, n, alpha, delta):
+            break
+        gain = sum(bad[t:]) - lost
+        if gain > best_gain:
+            best, best_gain = t, gain
+    return best, best_gain
+
+
 def choose_cutoffs(counts: dict[tuple, tuple[list[int], list[int]]], alpha: float, delta: float,
-                   n_strata: int, n_rules: int) -> dict[tuple, int]:
-    """(stratum, rule) -> cutoff level, for those with a useful certified one.
+                   n_strata: int, n_rules: int) -> tuple[dict[tuple, int], dict]:
+    """Both families: (stratum, rule) -> cutoff level, and stratum -> (combined cutoff level, gain), for those with
+    a useful certified one.
 
     ``counts`` holds per (stratum, rule) the histograms over levels 0..LEVELS of
-    the good and the bad labelled documents.
+    the good and the bad labelled documents; rule ``n_rules`` is the highest level of all rules.
     """
-    out = {}
-    for key, (good, bad) in counts.items():
-        n, best, best_gain = sum(good), None, 0
-        for t in range(LEVELS, 0, -1):
-            lost = sum(good[t:])
-            if not upper_bound_within(lost, n, alpha / n_rules, delta / (n_strata * n_rules)):
-                break
-            gain = sum(bad[t:]) - lost
-            if gain > best_gain:
-                best, best_gain = t, gain
-        if best is not None:
-            out[key] = best
-    return out
+    separate, combined = {}, {}
+    for (s, rule), (good, bad) in counts.items():
+        if rule == n_rules:
+            t, gain = strictest(good, bad, alpha, COMBINED * delta / n_strata)
+            if t is not None:
+                combined[s] = (t, gain)
+        else:
+            t, _ = strictest(good, bad, alpha / n_rules, (1 - COMBINED) * delta / (n_strata * n_rules))
+            if t is not None:
+                separate[s, rule] = t
+    return separate, combined
+
+
+def failed_by(cut: dict[tuple, int]) -> Column:
+    """Names of the rules that reject a row of ``_stratum`` and ``levels``."""
+    failed = F.array().cast("array<string>")
+    for (s, rule), t in sorted(cut.items(), key=lambda kv: (str(kv[0][0]), kv[0][1])):
+        hit = F.col("_stratum").eqNullSafe(F.lit(s)) & (F.get("levels", F.lit(rule)) >= t)
+        failed = F.concat(failed, F.when(hit, F.array(F.lit(RULES[rule]))).otherwise(F.array().cast("array<string>")))
+    return failed
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05,
@@ -150,18 +182,23 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
              .select("doc_id", F.col("lo").alias("quality")))
     # The features are computed twice, here and for the verdict below: joining before them would shuffle whole
     # texts once the labels are too many to broadcast, and keeping them would write the corpus' counts to disk.
-    held = feats.where(~F.col("base_failed")).join(truth, "doc_id")
-    hist = (held.select("_stratum", "quality", F.posexplode("levels").alias("rule", "level"))
-            .groupBy("_stratum", "quality", "rule", "level").count().collect())  # strata * 2 * rules * levels rows
+    held = written(feats.where(~F.col("base_failed")).join(truth, "doc_id").select("_stratum", "quality", "levels"),
+                   "quality-held")
+    every = F.concat("levels", F.array(F.array_max("levels")))
+    hist = (held.select("_stratum", "quality", F.posexplode(every).alias("rule", "level"))
+            .groupBy("_stratum", "quality", "rule", "level").count().collect())  # strata * 2 * (rules + 1) * levels rows
     counts: dict[tuple, tuple[list[int], list[int]]] = {}
     for r in hist:
         pair = counts.setdefault((r["_stratum"], r["rule"]), ([0] * (LEVELS + 1), [0] * (LEVELS + 1)))
         pair[0 if r["quality"] == 1 else 1][r["level"]] += r["count"]
     strata = {s for s, _ in counts}
-    cut = choose_cutoffs(counts, alpha, delta, max(1, len(strata)), len(RULES))
-    failed = F.array()
-    for (s, rule), t in sorted(cut.items(), key=lambda kv: (str(kv[0][0]), kv[0][1])):
-        hit = F.col("_stratum").eqNullSafe(F.lit(s)) & (F.get("levels", F.lit(rule)) >= t)
-        failed = F.concat(failed, F.when(hit, F.array(F.lit(RULES[rule]))).otherwise(F.array().cast("array<string>")))
-    out = feats.withColumn("failed_rules", failed.cast("array<string>"))
+    cut, combined = choose_cutoffs(counts, alpha, delta, max(1, len(strata)), len(RULES))
+    gains = dict.fromkeys(strata, 0)  # of the separate cutoffs together, as rules overlap
+    if cut and combined:
+        for r in held.where(F.size(failed_by(cut)) > 0).groupBy("_stratum", "quality").count().collect():
+            gains[r["_stratum"]] += -r["count"] if r["quality"] == 1 else r["count"]
+    for s, (t, gain) in combined.items():
+        if gain >= gains[s]:
+            cut.update({(s, rule): t for rule in range(len(RULES))})
+    out = feats.withColumn("failed_rules", failed_by(cut))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_stratum")

@@ -236,6 +236,29 @@ def test_false_rejections_stay_within_the_risk(spark):
     assert none.where("kept = base_failed").count() == 0
 
 
+def test_small_strata_certify_the_combined_verdict(spark):
+    """100 good labels in each of 4 strata certify a cutoff; rates per rule would need over 700."""
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(4 * 125):
+        w = [f"w{r.randrange(5000)}" for _ in range(60)]
+        if i >= 400:
+            w = [x + "%%%" for x in w]
+        rows.append((i, " ".join(w), ["en", "de", "fr", None][i % 4]))
+        labels.append((i, int(i < 400)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(out) == len(rows) and all(x.kept == (x.doc_id < 400) for x in out)
+
+
+def test_separate_rules_go_below_a_common_level():
+    """With many labels a rule may reject at a level that another rule gives to every text."""
+    levels = lambda **at: [at.get(f"l{k}", 0) for k in range(quality.LEVELS + 1)]
+    counts = {("en", 0): (levels(l0=3000), levels(l1=90)), ("en", 1): (levels(l2=3000), levels(l2=90)),
+              ("en", 2): (levels(l2=3000), levels(l2=90))}
+    assert quality.choose_cutoffs(counts, 0.05, 0.05, 1, 2) == ({("en", 0): 1}, {})
+
+
 # --- nearest neighbours -----------------------------------------------------------------------------------------------
 
 
