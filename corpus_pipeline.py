@@ -24,18 +24,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component (repeated rows of it: one)."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), bits=4, shingle=4)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each SimHash component: the smallest by doc_id (null last), then by the hash of the whole row.
+
+    Rows are chosen, not ids: rows with a null doc_id or with one doc_id and unrelated texts are in different
+    components, which each keep one.
+    """
+    # Hashes skip nulls, so which columns are null is hashed too. Equal rows share a key, and one of them is left.
+    whole = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    keyed = docs.select(*COLUMNS, F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2"))
+    fps = written(simhash.fingerprints(keyed, ["doc_id", "_k1", "_k2"], shingle=4), "pipeline-fp")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
+    least = fps.groupBy("fp").agg(F.min(order).alias("least"))  # copies meet here, counted per task first
+    first = (least.join(simhash.roots(fps, bits=4), "fp").groupBy("root").agg(F.min("least").alias("least"))
+             .select("least._k1", "least._k2"))
+    return keyed.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that 50-byte strings of earlier documents cover; empty ones go."""
+    """Documents without the bytes that 50-byte strings of earlier documents cover; those with nothing left go.
+
+    A document that loses nothing stays, even if its text is null or empty."""
     removed = suffix.removed_spans(docs.select(*COLUMNS), length=50)
-    kept = suffix.kept_text(removed, COLUMNS)
-    return kept.where(F.length(F.trim("text")) > 0)
+    removed = removed.withColumn("_cut", F.coalesce(F.size("spans") > 0, F.lit(False)))
+    kept = suffix.kept_text(removed, [*COLUMNS, "_cut"])
+    return kept.where(~F.col("_cut") | (F.length(F.trim("text")) > 0)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,15 @@ def _crowd_links(crowd: DataFrame, bits: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def roots(fps: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, root) of every distinct fingerprint ``fp``; root is the smallest fingerprint of its component."""
+    distinct = fps.select("fp").distinct()
+    root = components(links(distinct, bits), "simhash-cc")
+    # Fingerprints without a link are their own component.
+    return (distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
