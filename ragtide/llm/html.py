@@ -10,6 +10,11 @@ comments). What remains of the article is written out block by block.
 Inside an <article> or <main> only containers can be template: a paragraph,
 heading, list item or table cell there is the page's own text however often the
 host repeats it.
+
+What counts as many pages is an absolute number, so that a block goes however
+large its host is; on smaller hosts a share of the pages is enough. Headings,
+list items and table cells outside an article need the share: by themselves they
+are short, and a large host's own texts repeat them.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
                    "thead tr ul caption legend menu dialog".split())
 #: Elements that hold running text; inside an article they are never template.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead table ul ol dl blockquote pre figcaption figure".split())
+#: Elements that are template by their share of the host's pages only.
+BY_SHARE = frozenset("h1 h2 h3 h4 h5 h6 li dd dt td th tr caption figcaption legend summary".split())
 #: A start tag ends an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"),
@@ -145,7 +152,9 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def _hashes(root: Node) -> dict[int, int]:
-    """id(node) -> signed 64-bit hash of its subtree: tags, classes and squeezed text, bottom up."""
+    """id(node) -> signed 64-bit hash of its subtree: tags, classes and squeezed text, bottom up.
+
+    The lowest bit tells elements of BY_SHARE (1) from others (0)."""
     out: dict[int, int] = {}
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
@@ -157,6 +166,7 @@ def _hashes(root: Node) -> dict[int, int]:
         parts = [n.tag, n.attrs.get("class", "")]
         parts += [" ".join(c.split()) if isinstance(c, str) else f"\x00{out[id(c)]}" for c in n.children]
         h = xxhash.xxh64_intdigest("\x01".join(p for p in parts if p).encode("utf-8", "replace"))
+        h = h & ~1 | (n.tag in BY_SHARE)
         out[id(n)] = h - (1 << 64) if h >= 1 << 63 else h
     return out
 
@@ -233,12 +243,13 @@ def host(url: str = "url") -> Column:
                               F.lit("")))
 
 
-def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2,
+            many_pages: int = 15) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
 
     A subtree is template if it occurs on at least ``least_pages`` pages with
-    different content of its host, and on at least ``least_share`` of them. Null
-    and empty pages have an empty text. Pages without a host share the empty host.
+    different content of its host, and on at least ``least_share`` of them or, but
+    for BY_SHARE, on at least ``many_pages``, whatever the size of the host. Null and empty pages have an empty text. Pages without a host share the empty host.
     Repeated rows each get their row, and count once for the template.
     """
     rows = pages.select("page_id", "url", "html", host().alias("host"), F.xxhash64("url", "html").alias("key"))
@@ -262,7 +273,8 @@ def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) ->
     seen = trees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").count()
     total = seen.where("subtree is null").select("host", F.col("count").alias("total"))
     often = seen.where((F.col("subtree").isNotNull()) & (F.col("count") >= least_pages)).join(total, "host")
-    often = often.where(F.col("count") >= least_share * F.col("total")).select("host", "subtree")
+    many = (F.col("count") >= many_pages) & (F.col("subtree").bitwiseAND(F.lit(1)) == 0)
+    often = often.where((F.col("count") >= least_share * F.col("total")) | many).select("host", "subtree")
     on_page = (trees.where("subtree is not null").select("host", "key", "subtree").join(often, ["host", "subtree"])
                .groupBy("key").agg(F.collect_set("subtree").alias("template")))  # at most a page's elements
     joined = rows.join(on_page, "key", "left").select("page_id", "url", "html", "template")

@@ -321,6 +321,21 @@ def test_templates_go_and_articles_stay(spark):
     assert html.extract(deep).first().text == "deep"
 
 
+def test_templates_of_a_large_host_go_by_number(spark):
+    """A block on 15 pages is template on a host of 75 pages and on one of 200; repeated headings there are text."""
+    rows = []
+    for name, n in (("small.org", 75), ("large.org", 200)):
+        for i in range(n):
+            extra = "<div class=z><p>Mind the <b>gap</b></p></div>" if i < 15 else "<h2>History</h2>" if i < 30 else ""
+            rows.append((len(rows), f"https://{name}/p/{i}", f"<body><div><p>Own {i}</p></div>{extra}<article><p>Text {i}</p>"
+                         "<p>Same words.</p></article><div>Tail</div>" if i % 2 else f"<body><p>Own {i}</p>{extra}"))
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (_, url, _) in enumerate(rows):
+        name, i = url.split("/")[2], int(url.split("/")[4])
+        heading = "\nHistory" if 15 <= i < 30 and name == "large.org" else ""
+        assert got[k] == (f"Text {i}\nSame words." if i % 2 else f"Own {i}{heading}"), url
+
+
 # --- conversations ----------------------------------------------------------------------------------------------------
 
 
