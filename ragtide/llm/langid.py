@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragtide.llm.common import partitions, sampled, schema_of, written
-from ragtide.llm.lattice import Vocabulary, by_length, forward
+from ragtide.llm.lattice import STACKED, Vocabulary, by_length, forward
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Probability of a character without a piece, alike in all languages.
 UNKNOWN = 1e-7
+#: Characters of a string that the fit takes as one lattice; longer strings are cut there, and all parts are used.
+LONGEST = 4096
 #: Words kept by a worker between batches before its cache starts anew.
 CACHE = 300_000
 
@@ -38,15 +40,24 @@ def word_strings(text: str) -> list[str]:
 
 
 def expected_counts(vocab: Vocabulary, strings: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece [size + 2] for weighted strings under one distribution [size + 2]."""
+    """Expected uses of each piece [size + 2] for weighted strings under one distribution [size + 2].
+
+    No string is left out: those beyond ``LONGEST`` characters, as languages without spaces have, count as
+    several strings."""
     total = np.zeros(len(prob))
+    cuts = [range(0, len(s), LONGEST) for s in strings]
+    counts = np.repeat(np.asarray(counts, float), [len(c) for c in cuts])
+    strings = [s[i: i + LONGEST] for s, c in zip(strings, cuts) for i in c]
+    with np.errstate(divide="ignore"):
+        log_prob = np.log(prob)
     for group in by_length(strings):
         e = vocab.edges([strings[i] for i in group])
         w, n, m = e.shape
-        c = counts[group].astype(float)
-        if n > 64:  # long junk (encodings, keys) says little about a language and is left out of the fit
+        c = counts[group]
+        if n > STACKED:  # products of so many probabilities would underflow
+            _add_by_log(total, e, c, log_prob)
             continue
-        a, _ = forward_scaled(e, prob)
+        a, _ = forward_plain(e, prob)
         b = np.zeros((w, n + 1))
         b[:, n] = 1.0
         p = prob[e]
@@ -61,8 +72,31 @@ def expected_counts(vocab: Vocabulary, strings: list[str], counts: np.ndarray, p
     return total
 
 
-def forward_scaled(e: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, None]:
-    """Unscaled forward sums [W, n + 1] under one distribution; strings of at most 64 characters."""
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]).sum(1))
+
+
+def _add_by_log(total: np.ndarray, e: np.ndarray, c: np.ndarray, log_prob: np.ndarray) -> None:
+    """Forward-backward on logarithms; adds the expected uses to ``total``. Every character has an edge, so the
+    sums are finite."""
+    w, n, m = e.shape
+    p = log_prob[e]
+    a, b = np.zeros((w, n + 1)), np.zeros((w, n + 1))
+    for j in range(n):
+        k = min(m, j + 1)
+        a[:, j + 1] = _log_sum(p[:, j, :k] + a[:, j - k + 1: j + 1][:, ::-1])
+    for j in range(n - 1, -1, -1):
+        k = np.arange(min(m, n - j))
+        b[:, j] = _log_sum(p[:, j + k, k] + b[:, j + k + 1])
+    z = a[:, n:]
+    for k in range(m):  # pieces of length k + 1, from every start
+        uses = c[:, None] * np.exp(a[:, : n - k] + p[:, k:, k] + b[:, k + 1:] - z)
+        np.add.at(total, e[:, k:, k], uses)
+
+
+def forward_plain(e: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, None]:
+    """Unscaled forward sums [W, n + 1] under one distribution; strings of at most STACKED characters."""
     w, n, m = e.shape
     a = np.zeros((w, n + 1))
     a[:, 0] = 1.0

@@ -104,6 +104,31 @@ def test_languages_are_told_apart(spark):
     assert {x.lang_pred for x in langid.predict(odd, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_long_strings_are_learned_from(spark, vocab, monkeypatch):
+    """Every character of every string is in the expected counts, and both ways to count agree."""
+    r = np.random.default_rng(1)
+    prob = np.append(r.random(vocab.size + 1) * 1e-3, 0.0)
+    prob[vocab.size] = langid.UNKNOWN
+    length = np.ones(vocab.size + 2)
+    for s, i in vocab.piece.items():
+        length[i] = len(s)
+    for s in ["\u4e00\U0001f642" * 30, " " + "thequickbrown" * 20, "字界" * 5000]:
+        got = langid.expected_counts(vocab, [s], np.array([3]), prob)
+        assert np.isfinite(got).all() and abs((got * length).sum() - 3 * len(s)) < 1e-6 * len(s)
+    words = [" international", " the", " xq🙂z"]
+    plain = langid.expected_counts(vocab, words, np.array([1, 2, 5]), prob)
+    monkeypatch.setattr(langid, "STACKED", 0)
+    assert np.allclose(langid.expected_counts(vocab, words, np.array([1, 2, 5]), prob), plain, atol=1e-12)
+    monkeypatch.undo()
+    p = random.Random(3)
+    rows = [(i, "".join(p.choice(["sonne", "regen", "wald"] if i % 2 else ["river", "stone", "cloud"]) for _ in range(40)),
+             ["aa", "zz"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df.where("doc_id < 20"), steps=2)
+    got = {x.doc_id: x.lang_pred for x in langid.predict(df.select("doc_id", "text"), model, ["doc_id"]).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 # --- toxicity ---------------------------------------------------------------------------------------------------------
 
 
