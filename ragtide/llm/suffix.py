@@ -22,6 +22,11 @@ jobs around it do is to bring equal strings into one shard and nothing else:
    limit, and sorted a part at a time.
 5. The removed ranges return to their documents and are merged.
 
+A task works on one part of its rows at a time. Parts are dealt by hash, and a
+part whose weight is beyond the memory limit is dealt again, so that parts do not
+grow with the shard. Only the rows of a single value of the DIGITS (some 1 in
+32768 of a shard, or one hash or document that holds more) are not divided further.
+
 Nothing is sampled or capped. Ranges are decided on the input alone.
 """
 
@@ -44,8 +49,13 @@ SUBSTRING = 16
 #: Bytes of text handled at a time when texts are hashed, and when they are cut.
 CHUNK = 4_000_000
 CUT_CHUNK = 16_000_000
-#: Parts of a shard that are sorted one after the other.
+#: Ways in which rows are dealt to parts, and how many times a part can be dealt again.
 PARTS = 8
+DIGITS = 5
+#: Bytes of a spool that go to its scratch file as one value.
+RUN = 1_000_000
+#: Weight of one row of numbers against one suffix in the memory limit.
+ROW = 5
 #: Suffixes (and queue tuples) that a task keeps in memory; beyond that, scratch files.
 MEMORY = 16_000_000
 
@@ -233,12 +243,11 @@ def _ask(n: int, length: int):
     return run
 
 
-def _answer(n: int):
+def _answer(n: int, memory: int):
     """Requests of one range of hashes -> places of the shared ones, by document. KNOWN places pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = []
-        known = [np.zeros(0, np.uint64)]
+        got = _Grouped(lambda key, *_: key >> np.uint64(16), memory)
         out = _Rows()
         for b in batches:
             for to, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -248,12 +257,14 @@ def _answer(n: int):
                         yield out.batch()
                     continue
                 low, high, local, start, strings, dk, rk, *shared = unpack(data)
-                got.append([_joined(low, high), dk[local], rk[local], start, strings])
-                known.append(_joined(*shared))
-        if got:
-            key, dk, rk, start, strings = (np.concatenate(x) for x in zip(*got))
-            got = []
-            use = np.flatnonzero(_shared(key, dk) | np.isin(key, np.concatenate(known)))
+                got.add(_joined(low, high), dk[local], rk[local], start, strings)
+                known = _joined(*shared)  # rows without strings
+                none = np.zeros(len(known), np.uint32)
+                got.add(known, none.astype(dk.dtype), none.astype(rk.dtype), none.astype(start.dtype), none.astype(strings.dtype))
+        for key, dk, rk, start, strings in got.drain():
+            known, asked = key[strings == 0], strings > 0
+            key, dk, rk, start, strings = (x[asked] for x in (key, dk, rk, start, strings))
+            use = np.flatnonzero(_shared(key, dk) | np.isin(key, known))
             for to, i in _groups(rk[use] % n):
                 i = use[i]
                 out.add(to, KNOWN, pack(dk[i], rk[i], *_high(key[i] << np.uint64(24)), start[i], strings[i]))
@@ -264,13 +275,23 @@ def _answer(n: int):
     return run
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_document(memory: int):
     """Places of a range of documents -> one row (document key, places) for each document with any."""
-    got = [unpack(x) for b in batches for x in b.column(2).to_pylist()]
-    if not got:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _Grouped(_by_row, memory)
+        for b in batches:
+            for x in b.column(2).to_pylist():
+                got.add(*unpack(x))
+        for dk, rk, low, high, start, strings in got.drain():
+            yield from _placed(dk, rk, _joined(low, high), start, strings)
+
+    return run
+
+
+def _placed(dk: np.ndarray, rk: np.ndarray, key: np.ndarray, start: np.ndarray, strings: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(dk) == 0:
         return
-    dk, rk, low, high, start, strings = (np.concatenate(x) for x in zip(*got))
-    key = _joined(low, high)
     order = np.lexsort((start, rk, dk))
     dk, rk, key, start, strings = (x[order] for x in (dk, rk, key, start, strings))
     new = np.concatenate([[True], (dk[1:] != dk[:-1]) | (rk[1:] != rk[:-1])])
@@ -323,13 +344,14 @@ def _cut(n: int, length: int):
                 stay = np.flatnonzero(dk == least[seg])
                 stay = stay[np.argsort(seg[stay], kind="stable")]
                 first = np.searchsorted(seg[stay], np.arange(len(distinct) + 1))
-                part = (seg_key // np.uint64(n)) % np.uint64(PARTS)
+                part = (seg_key // np.uint64(n)) % np.uint64(PARTS**DIGITS)
                 for to, s in _groups((seg_key % np.uint64(n)).astype(np.int64)):
                     s = s[np.argsort(part[s], kind="stable")]
                     count = first[s + 1] - first[s]
                     occ = stay[np.repeat(first[s], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
                     body = np.frombuffer(b"".join([distinct[i] for i in s]), np.uint8)
-                    out.add(to, SEGMENTS, pack(body, size[s].astype(np.uint32), part[s].astype(np.uint8), count.astype(np.uint32),
+                    step = np.diff(part[s].astype(np.uint16), prepend=np.uint16(0))  # small numbers, as parts ascend
+                    out.add(to, SEGMENTS, pack(body, size[s].astype(np.uint32), step, count.astype(np.uint32),
                                                dk[occ], rk[occ], start[occ], level=3))
                 if out.full():
                     yield out.batch()
@@ -339,30 +361,42 @@ def _cut(n: int, length: int):
 
 
 class _Spool:
-    """Pieces (arrays) of one part of a shard, in memory up to a common limit, then packed in a scratch file."""
+    """Pieces (arrays) of one part, in memory up to a common limit, then packed in a scratch file."""
 
     held = 0
 
     def __init__(self, limit: int):
         self.limit, self.pieces, self.file, self.sizes = limit, [], None, []
+        self.run: list[list[np.ndarray]] = []  # pieces that go to the file together
+        self.run_bytes = self.weight = 0
 
-    def add(self, *arrays: np.ndarray) -> None:
+    def add(self, weight: int, *arrays: np.ndarray) -> None:
         size = sum(a.nbytes for a in arrays)
+        self.weight += weight
         if _Spool.held + size > self.limit:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            data = pack(*arrays)
-            self.file.write(data)
-            self.sizes.append(len(data))
+            self.run.append([a.copy() for a in arrays])
+            self.run_bytes += size
+            if self.run_bytes > RUN:
+                self._write()
         else:
             _Spool.held += size
             self.pieces.append([a.copy() for a in arrays])
 
+    def _write(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        data = pack(*(np.concatenate(x) for x in zip(*self.run)))
+        self.file.write(data)
+        self.sizes.append(len(data))
+        self.run, self.run_bytes = [], 0
+
     def drain(self) -> Iterator[list[np.ndarray]]:
         while self.pieces:
             arrays = self.pieces.pop()
             _Spool.held -= sum(a.nbytes for a in arrays)
             yield arrays
+        yield from self.run
+        self.run = []
         if self.file is not None:
             self.file.seek(0)
             for n in self.sizes:
@@ -370,12 +404,98 @@ class _Spool:
             self.file.close()
 
 
+def _range(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its count."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _rows_of(piece: list[np.ndarray], i: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    """Weight and arrays of the rows ``i`` of a piece (part, numbers ...)."""
+    return ROW * len(i), [x[i] for x in piece]
+
+
+def _segments_of(piece: list[np.ndarray], i: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    """Weight and arrays of the segments ``i`` of a piece (part, body, size, count, dk, rk, start)."""
+    part, body, size, count, dk, rk, start = piece
+    n, occ = size.astype(np.int64), count.astype(np.int64)
+    at, first = np.cumsum(n) - n, np.cumsum(occ) - occ
+    weight = int(n[i].sum() + len(i) + ROW * occ[i].sum())
+    if i[-1] - i[0] + 1 == len(i):  # neighbours, as pieces arrive in the order of their parts
+        b, o = slice(at[i[0]], at[i[-1]] + n[i[-1]]), slice(first[i[0]], first[i[-1]] + occ[i[-1]])
+    else:
+        b, o = _range(at[i], n[i]), _range(first[i], occ[i])
+    return weight, [part[i], body[b], size[i], count[i], dk[o], rk[o], start[o]]
+
+
+class _Parts:
+    """Deals the rows of pieces to parts by a digit of their first array, a number below PARTS ** DIGITS. Parts
+    heavier than ``memory`` are dealt again by the next digit when they are read."""
+
+    def __init__(self, take, memory: int, digit: int = 0):
+        self.take, self.memory, self.digit = take, memory, digit
+        self.spools = [_Spool(8 * memory) for _ in range(PARTS)]
+
+    def add(self, piece: list[np.ndarray]) -> None:
+        digit = piece[0].astype(np.int64) // PARTS ** (DIGITS - 1 - self.digit) % PARTS
+        for p, i in _groups(digit):
+            weight, arrays = self.take(piece, i)
+            self.spools[p].add(weight, *arrays)
+
+    def drain(self) -> Iterator[Iterator[list[np.ndarray]]]:
+        """The pieces of each part; a part is to be read whole before the next."""
+        for spool in self.spools:
+            if spool.weight > self.memory and self.digit + 1 < DIGITS:
+                finer = _Parts(self.take, self.memory, self.digit + 1)
+                for piece in spool.drain():
+                    finer.add(piece)
+                yield from finer.drain()
+            elif spool.weight:
+                yield spool.drain()
+
+
+class _Grouped:
+    """Rows of numbers, given back joined: all at once, or beyond ``memory`` in parts by ``hash_of`` a row, so that
+    rows with one hash stay together."""
+
+    def __init__(self, hash_of, memory: int):
+        self.hash_of, self.memory = hash_of, memory
+        self.rows: list[list[np.ndarray]] = []
+        self.weight = 0
+        self.parts: _Parts | None = None
+
+    def add(self, *piece: np.ndarray) -> None:
+        self.rows.append(list(piece))
+        self.weight += ROW * len(piece[0])
+        if self.weight <= self.memory:
+            return
+        if self.parts is None:
+            _Spool.held = 0
+            self.parts = _Parts(_rows_of, self.memory)
+        for x in self.rows:
+            self.parts.add([(self.hash_of(*x) % np.uint64(PARTS**DIGITS)).astype(np.uint16), *x])
+        self.rows = []
+
+    def drain(self) -> Iterator[list[np.ndarray]]:
+        if self.parts is None:
+            if self.rows:
+                rows, self.rows = self.rows, []
+                yield [np.concatenate(x) for x in zip(*rows)]
+            return
+        for pieces in self.parts.drain():
+            yield [np.concatenate(x) for x in list(zip(*pieces))[1:]]
+
+
+def _by_row(dk: np.ndarray, rk: np.ndarray, *_: np.ndarray) -> np.ndarray:
+    """Hash of a document's key."""
+    return _mix(dk.astype(np.uint64) * np.uint64(31) + rk.astype(np.int64).astype(np.uint64))
+
+
 def removed_ranges(pieces: Iterator[list[np.ndarray]], length: int, memory: int) -> tuple[np.ndarray, ...]:
     """(dk, rk, start, end) removed, from the segments of one part of a shard."""
     number: dict[bytes, int] = {}
     occ: list[list[np.ndarray]] = []
     for piece in pieces:
-        body, size, count, dk, rk, start = piece
+        _, body, size, count, dk, rk, start = piece
         data = body.tobytes()
         ends = np.cumsum(size.astype(np.int64))
         ids = np.fromiter((number.setdefault(data[e - s: e], len(number)) for s, e in zip(size.tolist(), ends.tolist())),
@@ -423,7 +543,7 @@ def _sort_shard(n: int, length: int, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows()
         _Spool.held = 0
-        spools = [_Spool(8 * memory) for _ in range(PARTS)]
+        parts = _Parts(_segments_of, memory)
         for b in batches:
             for to, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if kind == KNOWN:
@@ -431,35 +551,49 @@ def _sort_shard(n: int, length: int, memory: int):
                     if out.full():
                         yield out.batch()
                     continue
-                body, size, part, count, dk, rk, start = unpack(data)
-                ends, occ_ends = np.cumsum(size.astype(np.int64)), np.cumsum(count.astype(np.int64))
-                for p, i in _groups(part.astype(np.int64)):  # segments lie in the order of their parts
-                    a, z = i[0], i[-1] + 1
-                    x, y = occ_ends[a] - count[a], occ_ends[z - 1]
-                    spools[p].add(body[ends[a] - size[a]: ends[z - 1]], size[a:z], count[a:z], dk[x:y], rk[x:y], start[x:y])
+                body, size, step, count, dk, rk, start = unpack(data)
+                parts.add([np.cumsum(step, dtype=np.uint16), body, size, count, dk, rk, start])
         held: list[tuple[np.ndarray, ...]] = []
-        for p, s in enumerate(spools):
-            held.append(removed_ranges(s.drain(), length, memory))
-            # One value for each range of documents, not one for each part as well, unless they get large.
-            if p < PARTS - 1 and sum(len(x[0]) for x in held) < 2_000_000:
-                continue
+
+        def ranges() -> Iterator[tuple[int, bytes]]:
             dk, rk, start, end = (np.concatenate(x) for x in zip(*held))
-            held = []
+            held.clear()
             for to, i in _groups(rk % n):
-                out.add(to, KNOWN, pack(dk[i], rk[i], start[i].astype(np.uint32), end[i].astype(np.uint32)))
+                yield to, pack(dk[i], rk[i], start[i].astype(np.uint32), end[i].astype(np.uint32))
+
+        for pieces in parts.drain():
+            held.append(removed_ranges(pieces, length, memory))
+            # One value for each range of documents, not one for each part as well, unless they get large.
+            if sum(len(x[0]) for x in held) < 2_000_000:
+                continue
+            for to, data in ranges():
+                out.add(to, KNOWN, data)
                 if out.full():
                     yield out.batch()
+        for to, data in ranges() if held else ():
+            out.add(to, KNOWN, data)
+            if out.full():
+                yield out.batch()
         yield out.batch()
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(memory: int):
     """Removed ranges of a range of documents -> (document key, spans), spans merged and flattened."""
-    got = [unpack(x) for b in batches for x in b.column(2).to_pylist()]
-    if not got:
-        return
-    dk, rk, start, end = (np.concatenate(x) for x in zip(*got))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _Grouped(_by_row, memory)
+        for b in batches:
+            for x in b.column(2).to_pylist():
+                got.add(*unpack(x))
+        for arrays in got.drain():
+            yield from _merged(*arrays)
+
+    return run
+
+
+def _merged(dk: np.ndarray, rk: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((start, rk, dk))
     dk, rk, start, end = (x[order] for x in (dk, rk, start.astype(np.int64), end.astype(np.int64)))
     new = np.concatenate([[True], (dk[1:] != dk[:-1]) | (rk[1:] != rk[:-1])]) if len(dk) else np.zeros(0, bool)
@@ -497,14 +631,14 @@ def removed_spans(docs: DataFrame, length: int = 50, memory: int = MEMORY) -> Da
         return rows.repartitionById(n, F.col("to"))
 
     asked = dealt(keyed.select("_dk", "_rk", "text").mapInArrow(_ask(n, length), _Rows.SCHEMA))
-    places = dealt(asked.mapInArrow(_answer(n), _Rows.SCHEMA)).mapInArrow(_by_document, per_doc + "_places binary")
+    places = dealt(asked.mapInArrow(_answer(n, memory), _Rows.SCHEMA)).mapInArrow(_by_document(memory), per_doc + "_places binary")
     same = (F.col("_dk") == F.col("_of_dk")) & (F.col("_rk") == F.col("_of_rk"))
     # The join sorts by document, so batches are the same on every attempt. It takes all columns, needed or not, so
     # that the shuffled documents are the same as in the last join and are shuffled once for both.
     whole = keyed.join(places, same).select("_dk", "_rk", "text", "_places", *[c for c in names if c != "text"])
     cut = whole.mapInArrow(_cut(n, length), _Rows.SCHEMA)
     ranges = dealt(dealt(cut).mapInArrow(_sort_shard(n, length, memory), _Rows.SCHEMA))
-    spans = ranges.mapInArrow(_merge, per_doc + "spans array<long>")
+    spans = ranges.mapInArrow(_merge(memory), per_doc + "spans array<long>")
     return keyed.join(spans, same, "left").select(*names, "spans")
 
 

@@ -193,6 +193,29 @@ def test_removed_bytes_equal_brute_force(spark, memory):
         assert (texts[d] or "") == kept.decode("utf-8", "ignore")
 
 
+def test_parts_stay_within_memory():
+    """A shard larger than memory is sorted in parts of at most that weight, whatever its size."""
+    r, memory = random.Random(4), 20_000
+    seen, pieces = [], []
+    for m in range(30):  # messages of 400 segments, in the order of their parts
+        part = np.sort(np.array([r.randrange(suffix.PARTS**suffix.DIGITS) for _ in range(400)], np.uint16))
+        size, count = np.full(400, 60, np.uint32), np.full(400, 2, np.uint32)
+        body = np.repeat((part % 251).astype(np.uint8), 60)
+        dk = np.repeat(part.astype(np.int64), 2)
+        pieces.append([part, body, size, count, dk, dk.astype(np.int32), dk.astype(np.uint32)])
+    suffix._Spool.held = 0
+    parts = suffix._Parts(suffix._segments_of, memory)
+    for p in pieces:
+        parts.add(p)
+    for group in parts.drain():
+        got = [np.concatenate(x) for x in zip(*group)]
+        assert len(got[1]) + len(got[2]) + suffix.ROW * len(got[4]) <= memory
+        assert (got[1] == np.repeat((got[0] % 251).astype(np.uint8), 60)).all() and (got[4] == np.repeat(got[0], 2)).all()
+        seen.append(got[0])
+    assert len(seen) > suffix.PARTS and sorted(np.concatenate(seen)) == sorted(np.concatenate([p[0] for p in pieces]))
+    assert all(not set(a) & set(b) for a, b in zip(seen, seen[1:]))
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     long = "the quick brown fox jumps over the lazy dog and runs away again"
     rows = [(5, long, 1), (5, long, 1), (None, long + "!", 2), (2, "x" + long, 3), (5, "other" + long, 4), (None, None, 5)]
