@@ -5,7 +5,8 @@ bisection of the graph with swaps), a small neural classifier learns the parts
 of a vector's neighbours, and the whole table is indexed by the classifier's most
 probable part. A query is routed to its most probable parts, as many as the
 sample's own exact neighbours needed, and is compared there with every row in
-double precision.
+double precision. A query that finds fewer rows there than were asked for, though
+there are more, goes on to twice as many parts, until it has them.
 
 Parts are split into blocks of bounded size by the hash of the id, and so are
 the queries that visit a part, so no task gets an unbounded group.
@@ -186,18 +187,10 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
     typed = "vec_id long, embedding array<double>, parts array<int>"
     indexed = written(rows.mapInArrow(route(1), typed).select("vec_id", "embedding", F.get("parts", F.lit(0)).alias("part")),
                       "ann-index")
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = written(asked.mapInArrow(route(probes), typed)
-                    .select(F.col("vec_id").alias("query_id"), "embedding", F.explode("parts").alias("part")), "ann-queries")
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own"))
     # Blocks of a part, and of its queries: at most ``parts`` rows each.
     n_rows = {r["part"]: -(-r["count"] // block) for r in indexed.groupBy("part").count().collect()}
-    n_asked = {r["part"]: -(-r["count"] // block) for r in asked.groupBy("part").count().collect()}
-    per = lambda n: F.element_at(F.array(*[F.lit(n.get(p, 1)) for p in range(parts)]), F.col("part") + 1)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), per(n) - 1))
-    left = asked.select("query_id", "embedding", "part", F.pmod(F.xxhash64("query_id"), per(n_asked)).cast("int").alias("qblock"),
-                        spread(n_rows).alias("block"))
-    right = indexed.select("vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), per(n_rows)).cast("int").alias("block"),
-                           spread(n_asked).alias("qblock"))
+    total = rows.count()
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
         typed = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -219,8 +212,35 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
             out[2].append(exact[order])
         return pa.Table.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=typed)
 
-    key = ["part", "block", "qblock"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
-            .select("query_id", "rank", "vec_id", "score"))
+    def nearest(queries: DataFrame, probes: int) -> DataFrame:
+        """The ``top`` nearest of each query in its ``probes`` most probable parts."""
+        routed = written(queries.select("vec_id", "embedding").mapInArrow(route(probes), typed)
+                         .select(F.col("vec_id").alias("query_id"), "embedding", F.explode("parts").alias("part")), "ann-queries")
+        n_asked = {r["part"]: -(-r["count"] // block) for r in routed.groupBy("part").count().collect()}
+        per = lambda n: F.element_at(F.array(*[F.lit(n.get(p, 1)) for p in range(parts)]), F.col("part") + 1)
+        spread = lambda n: F.explode(F.sequence(F.lit(0), per(n) - 1))
+        left = routed.select("query_id", "embedding", "part",
+                             F.pmod(F.xxhash64("query_id"), per(n_asked)).cast("int").alias("qblock"),
+                             spread(n_rows).alias("block"))
+        right = indexed.select("vec_id", "embedding", "part",
+                               F.pmod(F.xxhash64("vec_id"), per(n_rows)).cast("int").alias("block"),
+                               spread(n_asked).alias("qblock"))
+        key = ["part", "block", "qblock"]
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, schema)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    found = written(nearest(asked, probes), "ann-found")
+    while probes < parts:
+        had = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("had"))
+        # Candidates are the rows with another id.
+        short = written(asked.join(had, "vec_id", "left")
+                        .where(F.coalesce("had", F.lit(0)) < F.least(F.lit(top), F.lit(total) - F.col("own")))
+                        .select("vec_id", "embedding", "own"), "ann-short")
+        if short.isEmpty():
+            break
+        probes, asked = min(parts, 2 * probes), short
+        rest = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+        found = written(rest.select(found.columns).unionByName(nearest(short, probes)), "ann-found")
+    return found

@@ -316,6 +316,26 @@ def test_recall_and_exact_scores(spark):
     assert ann.search(df.where("false"), "vec_id % 20 = 0").collect() == []
 
 
+def test_queries_in_small_parts_get_all_their_rows(spark, monkeypatch):
+    """Three outliers have a part to themselves in the index; they still get 20 neighbours, and the exact ones."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([c + 0.05 * r.normal(size=(100, 8)) for c in 3 * np.eye(8)[:4]] + [-40 * np.ones((3, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    router = ann.Router(8, 5, hidden=5)  # parts by the greatest of the first four components; below zero is the fifth
+    first = np.zeros((8, 5))
+    first[range(4), range(4)], first[0, 4] = 1, -1
+    router.w = [first, np.zeros(5), np.eye(5), np.zeros(5)]
+    monkeypatch.setattr(ann, "fit_router", lambda *a: (router, 5, 1))
+    got = ann.search(df, "vec_id % 40 = 0 or vec_id >= 400").collect()
+    by: dict = {}
+    for g in sorted(got):
+        by.setdefault(g.query_id, []).append(g.rank)
+    assert set(by) == {*range(0, 403, 40), 400, 401, 402}
+    assert all(ranks == list(range(1, 21)) for ranks in by.values())
+    assert {g.vec_id for g in got if g.query_id == 400 and g.rank <= 2} == {401, 402}
+
+
 # --- pages ------------------------------------------------------------------------------------------------------------
 
 
