@@ -1,9 +1,10 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 A line's quote level is the number of '>' marks it begins with. Consecutive
-lines of one level >= 1 form a quoted passage. Passages and single quoted lines
+lines of one level >= 1 form a quoted passage. Passages, their single lines and sentences
 are normalised (marks off, lower case, white space squeezed) and hashed, and so
-are messages' own unquoted bodies, paragraphs and lines. A quotation is joined
+are messages' own unquoted bodies, paragraphs, lines and sentences (whatever the
+lines they are wrapped in). A quotation is joined
 to its original: the earliest turn of the same conversation that wrote the
 passage itself. A message replies to the original of its level-1 quotations
 with the most matching characters (ties: the latest turn); without such a match, to
@@ -26,6 +27,9 @@ MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 #: The line that introduces a quotation; it goes with the quotation.
 INTRODUCTION = re.compile(r"^\s*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$", re.I)
 
+#: Between the sentences of a normalised paragraph; also where no space follows, as after ideographic stops.
+SENTENCE_END = re.compile(r"(?<=[.!?…]) |(?<=[.!?…][\"')\]”’»]) |(?<=[。！？]) ?")
+
 
 def _norm(text: str) -> str:
     return " ".join(text.lower().split())
@@ -62,8 +66,10 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]], int]:
 
 
 def units(text: str) -> set[str]:
-    """Normalised whole text, paragraphs and lines; empty ones are none."""
-    got = {_norm(text), *map(_norm, re.split(r"\n\s*\n", text)), *map(_norm, text.split("\n"))}
+    """Normalised whole text, paragraphs, lines and sentences of paragraphs; empty ones are none."""
+    paragraphs = [_norm(p) for p in re.split(r"\n\s*\n", text)]
+    got = {_norm(text), *paragraphs, *map(_norm, text.split("\n"))}
+    got.update(s for p in paragraphs for s in SENTENCE_END.split(p))
     return got - {""}
 
 

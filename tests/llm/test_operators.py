@@ -406,6 +406,15 @@ def test_quotes_link_replies(spark):
     assert quotes.link(df.where("false")).collect() == []
 
 
+def test_rewrapped_sentences_find_their_original(spark):
+    rows = [(1, 0, "user", "Alpha one is here. Beta two is\nthere, it said! Gamma three."), (1, 1, "assistant", "Well."),
+            (1, 2, "user", "> Beta two\n> is there, it\n> said! Gamma three.\nYes."), (1, 3, "user", "> Gamma\n> three.\nNo.")]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {x.turn: (x.parent_turn, x.n_linked) for x in got}
+    assert by == {0: (None, 0), 1: (0, 0), 2: (0, 1), 3: (0, 1)}
+    assert "第二句。" in quotes.units("第一句。第二句。")
+
+
 def test_long_chain_of_replies(spark):
     df = spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(300)], "conv_id long, turn long, role string, text string")
     got = quotes.link(df).collect()
