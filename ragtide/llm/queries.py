@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import ann, html, langid, mixing, pieces, quality, quotes, simhash, suffix, toxicity
+from ragtide.llm import ann, html, langid, mixing, periods, pieces, quality, quotes, simhash, suffix, toxicity
 from ragtide.llm.common import fold, table
 
 
@@ -72,6 +72,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, with the repetition that the contract plants."""
+    docs = periods.planted(table(spark, sf_dir, "documents"))
+    return periods.digest(periods.find_runs(docs, ["doc_id"]), ["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""
     import corpus_pipeline
@@ -81,7 +87,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece_sampling, op5_quotation_linking,
-    op6_toxicity, op7_source_mixing, op8_quality_rules, op9_learned_partitions, op10_language_id, pipeline)}
+    op6_toxicity, op7_source_mixing, op8_quality_rules, op9_learned_partitions, op10_language_id,
+    op13_periodic_runs, pipeline)}
 
 #: DuckDB SQL where SQL can express the result. Bytes are pairs of hexadecimal digits.
 ORACLE_SQL = {
