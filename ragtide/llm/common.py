@@ -23,11 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back."""
+    return scratch(df, tag)[0]
+
+
+def scratch(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As ``written``, with the folder, for tables that ``paths.delete`` removes when their last reader has ended."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def fold(col: Column | str, parts: int) -> Column:
