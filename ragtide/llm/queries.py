@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtide.llm import ann, codes, html, langid, mixing, periods, pieces, quality, quotes, simhash, suffix, toxicity
+from ragtide.llm import ann, codes, decontaminate, html, langid, mixing, periods, pieces, quality, quotes, simhash, suffix, toxicity
 from ragtide.llm.common import fold, table
 
 
@@ -72,6 +72,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that 10-word windows of the benchmark cover, and the items they come from."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return decontaminate.digest(found)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors over integer codebooks, their errors, and the codebooks' hash."""
     out, books = codes.compress(table(spark, sf_dir, "embeddings"))
@@ -94,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_sentencepiece_sampling, op5_quotation_linking,
     op6_toxicity, op7_source_mixing, op8_quality_rules, op9_learned_partitions, op10_language_id,
-    op12_vector_codes, op13_periodic_runs, pipeline)}
+    op11_benchmark_decontamination, op12_vector_codes, op13_periodic_runs, pipeline)}
 
 #: DuckDB SQL where SQL can express the result. Bytes are pairs of hexadecimal digits.
 ORACLE_SQL = {
@@ -132,5 +138,6 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, p.h))) AS kept_sha256
 FROM p LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
+    "op11_benchmark_decontamination": decontaminate.sql(n=10),
     "op12_vector_codes": codes.sql(),
 }

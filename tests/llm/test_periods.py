@@ -143,14 +143,14 @@ def test_query_over_documents(spark):
 def test_edge_cases(spark):
     long = "w0 w1 w2 w3 w4 " * 40_000
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, "a " * 23), (5, "\x0b" + "a " * 24), (6, "x " + "a b c " * 9 + "y"),
-            (6, "x " + "a b c " * 9 + "y"), (None, "é  " * 30), (None, None), (7, long)]
+            (6, "x " + "a b c " * 9 + "y"), (None, "é\u00a0 " * 30), (None, None), (7, long)]
     df = spark.createDataFrame([(i, t, "r", "z") for i, t in rows], "doc_id long, text string, runs string, _best string")
     out = periods.find_runs(df, ["doc_id"], with_text=True)
     got = [(r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in out.collect()]
     assert got[:5] == [(1, 0, [], ""), (2, 0, [], ""), (3, 0, [], ""), (4, 23, [], " ".join("a" * 23)),
                        (5, 24, [(0, 24, 1)], "a")]
     assert got[5] == got[6] == (6, 29, [(1, 27, 3)], "x a b c y")
-    assert got[7] == (None, 30, [(0, 30, 1)], "é ") and got[8] == (None, 0, [], "")
+    assert got[7] == (None, 30, [(0, 30, 1)], "é\u00a0") and got[8] == (None, 0, [], "")
     assert got[9] == (7, 200_000, [(0, 200_000, 5)], "w0 w1 w2 w3 w4")
     first = periods.digest(out, ["doc_id"]).where("doc_id = 1").first()
     assert (first.n_runs, first.start, first.length, first.period, first.exponent_milli) == (0, None, None, None, None)
