@@ -18,6 +18,7 @@ Float outputs are rounded to 6 decimals so the SQL twins compare exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,8 @@ from ragtide.plans.retrieve import (
     score_hits,
     with_settings,
 )
+from ragtide.session import ensure_checkpoint_dir
+from ragtide.sources import store
 from ragtide.sources.corpus import articles_from_documents
 from ragtide.sources.store import incremental_rows, replaced_rows
 from ragtide.sources.testdata import table
@@ -215,6 +218,41 @@ def q_reindex_edit(spark, sf):
         incremental_rows(batch, stored).select(*cols, F.lit("added").alias("change")))
 
 
+def _after_two_loads(spark, sf, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` finds in a store after two loads of the whole corpus: all documents as they are, then without those labelled
+    toxic, where those labelled bad have lost their content and those labelled good have their title in capitals."""
+    first = articles(spark, sf)
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("doc_key"), "quality", "toxic")
+    second = first.join(labels, "doc_key", "left").where("coalesce(toxic, 0) <> 1")
+    second = second.withColumn("content", F.when(F.coalesce(F.col("quality"), F.lit(1)) != 0, F.col("content"))).withColumn(
+        "title", F.when(F.col("quality") == 1, F.upper("title")).otherwise(F.col("title"))).drop("quality", "toxic")
+    name = f"store_{uuid.uuid4().hex}"
+    store.open_store(spark, name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    try:
+        for load in (first, second):
+            store.index_incremental(spark, build_passages(load, chunking="lines"), name, documents=load, full=True)
+        return materialise(read(name), "after-loads")
+    finally:
+        store.drop(spark, name)
+
+
+def q_reindex_removed(spark, sf):
+    """S10 on a store: documents edited, emptied and left out by a second load."""
+    return _after_two_loads(spark, sf, lambda name: store.load(spark, name).groupBy(
+        F.col("doc_key").alias("doc_id"), metadata_field("title").alias("title")).agg(
+        F.count(F.lit(1)).alias("n_passages"), F.sum(F.length(metadata_field("chunk_content"))).alias("n_chars"),
+        F.countDistinct("passage_id").alias("n_ids")))
+
+
+def q_store_vocab(spark, sf):
+    """The statistics that two loads added up, as a count over the store's passages gives them."""
+    def read(name):
+        s = store.load_stats(spark, name)
+        return s.vocab.select("token", "df", F.lit(s.n_docs).alias("n_docs"), r6(F.lit(s.avgdl)).alias("avgdl"))
+
+    return _after_two_loads(spark, sf, read)
+
+
 def q_entity_count(spark, sf):
     return _line_chunks(spark, sf).agg(F.count(F.lit(1)).alias("n_passages"))
 
@@ -426,6 +464,8 @@ QUERIES: dict[str, Query] = {
     "content_key": q_content_key,
     "anti_append": q_anti_append,
     "reindex_edit": q_reindex_edit,
+    "reindex_removed": q_reindex_removed,
+    "store_vocab": q_store_vocab,
     "entity_count": q_entity_count,
     "hashed_embed": q_hashed_embed,
     "format_plain": q_format_plain,

@@ -6,6 +6,7 @@ Commands mirror the original entry points, as table/stream jobs:
   index     merged corpus -> passage store (+ BM25 statistics)            C1, S4, S5, S10
   count     number of stored passages                                     S7
   drop      drop the store                                                S8
+  compact   rewrite the store without dead rows; delete old versions      S10
   answer    questions table -> answers                                    C3
   compare   questions table -> plain vs rewrite+rerank lists              C4
   evaluate  (reference, hypothesis[, model]) table -> per-pair + means    C5
@@ -26,13 +27,15 @@ from ragtide.config import RagOptions
 from ragtide.session import ensure_checkpoint_dir, ship_package
 
 
-def _models(spark: SparkSession, store_name: str):
+def _served(spark: SparkSession, store_name: str):
+    """Passages and models of one version of the store."""
     from ragtide.operators.embed import hashed_encoder
     from ragtide.operators.rerank import Bm25Scorer
     from ragtide.plans.retrieve import Models
     from ragtide.sources import store
 
-    return Models(scorer=Bm25Scorer(store.load_stats(spark, store_name)), encoder=hashed_encoder())
+    passages, stats = store.snapshot(spark, store_name)
+    return passages, Models(scorer=Bm25Scorer(stats), encoder=hashed_encoder())
 
 
 def _options(a) -> RagOptions:
@@ -52,8 +55,13 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
     i.add_argument("--store", required=True)
     i.add_argument("--chunking", default="recursive", choices=["recursive", "lines"])
     i.add_argument("--mode", default="dedupe", choices=["dedupe", "append"])
-    for name in ("count", "drop"):
-        sub.add_parser(name).add_argument("--store", required=True)
+    i.add_argument("--full", action="store_true", help="the corpus is complete: articles it leaves out are removed")
+    i.add_argument("--path", help="folder of a new store; beside the database's tables if not given")
+    for name in ("count", "drop", "compact"):
+        c = sub.add_parser(name)
+        c.add_argument("--store", required=True)
+        if name == "compact":
+            c.add_argument("--keep-hours", type=float, default=24.0, help="versions superseded longer ago are deleted")
     for name in ("answer", "compare"):
         a = sub.add_parser(name)
         a.add_argument("--questions", required=True, help="parquet with question_id, question [, route]")
@@ -100,21 +108,23 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         from ragtide.plans.index import build_passages
         from ragtide.sources.corpus import read_corpus
 
-        added = store.index_incremental(spark, build_passages(read_corpus(spark, a.corpus), a.chunking), a.store,
-                                        a.mode)
-        store.write_stats(spark, a.store)
+        articles = read_corpus(spark, a.corpus)
+        store.open_store(spark, a.store, a.path)
+        added = store.index_incremental(spark, build_passages(articles, a.chunking), a.store, a.mode, articles, a.full)
         print(f"appended {added} passages")
     elif a.cmd == "count":
         print(store.count(spark, a.store))
+    elif a.cmd == "compact":
+        store.compact(spark, a.store)
+        store.vacuum(spark, a.store, int(a.keep_hours * 3600 * 1000))
     elif a.cmd == "drop":
         store.drop(spark, a.store)
     elif a.cmd in ("answer", "compare"):
         from ragtide.plans.answer import answer_questions
         from ragtide.plans.retrieve import compare_modes
 
-        passages = store.load(spark, a.store)
+        passages, models = _served(spark, a.store)
         questions = spark.read.parquet(a.questions)
-        models = _models(spark, a.store)
         if a.cmd == "answer":
             out = answer_questions(questions, passages, models, _options(a))
         else:
@@ -143,15 +153,13 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         from ragtide.streaming.questions import start_answer_stream
 
         q = start_answer_stream(spark, a.source, a.output, a.checkpoint,
-                                lambda: (store.load(spark, a.store), _models(spark, a.store)), available_now=a.once,
-                                sessions=a.sessions)
+                                lambda: _served(spark, a.store), available_now=a.once, sessions=a.sessions)
         q.awaitTermination()
     elif a.cmd == "ingest":
         from ragtide.streaming.corpus import start_index_stream
 
         q = start_index_stream(spark, a.source, a.store, a.checkpoint, a.rejects, available_now=a.once)
         q.awaitTermination()
-        store.write_stats(spark, a.store)
     return 0
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ragtide.config import PASSAGE_TEMPLATE
 
-# passage_id = doc_key * 2**20 + chunk_index: exact, no hash collisions.
+# A passage id is a document's number * 2**20 + chunk_index, as far as both fit.
 CHUNK_ID_BITS = 20
 
 METADATA_FIELDS = ("law", "article", "title", "chunk_index", "total_chunks", "chunk_content")
@@ -67,9 +68,18 @@ def key_material() -> Column:
 
 def with_keys(df: DataFrame) -> DataFrame:
     """``content_key`` (sha-256 of the document key and the whole passage content,
-    the idempotence key of re-indexing) and ``passage_id`` (doc_key * 2**20 + chunk_index).
-
-    Both are pure functions of the row, so they are stable under task retry
-    (unlike ``monotonically_increasing_id``)."""
-    return df.withColumn("content_key", F.sha2(key_material(), 256)).withColumn(
-        "passage_id", F.col("doc_key") * F.lit(1 << CHUNK_ID_BITS) + F.col("chunk_index"))
+    the idempotence key of re-indexing) and ``passage_id``.
+
+    With a numeric ``doc_key`` the id is doc_key * 2**20 + chunk_index, so distinct passages have distinct ids. Where that does not
+    fit (a chunk from 2**20 on, a key beyond 43 bits) and for keys of other types, the id is null: a store gives it one,
+    from a number that it assigns to the document (``sources.store``). Both are pure functions of the row, so
+    they are stable under task retry (unlike ``monotonically_increasing_id``)."""
+    key, chunk = F.col("doc_key"), F.col("chunk_index")
+    if isinstance(df.schema["doc_key"].dataType, IntegralType):
+        top = 1 << (63 - CHUNK_ID_BITS)
+        fits = key.between(F.lit(-top), F.lit(top - 1)) & (chunk < F.lit(1 << CHUNK_ID_BITS))
+        # the product is computed for keys that fit only
+        passage_id = F.when(fits, F.when(fits, key).cast("bigint") * F.lit(1 << CHUNK_ID_BITS) + chunk)
+    else:
+        passage_id = F.lit(None).cast("bigint")
+    return df.withColumn("content_key", F.sha2(key_material(), 256)).withColumn("passage_id", passage_id)

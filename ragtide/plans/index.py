@@ -42,7 +42,7 @@ def build_passages(articles: DataFrame, chunking: str = "recursive", encoder: En
 
     The chunker is sequential per document, so one very long document gives
     all its chunks in one task. With ``rebalance`` the chunks are re-hashed by
-    passage id before the encoder (the costly step with a real model), so a hot
+    content key before the encoder (the costly step with a real model), so a hot
     document's chunks spread over all tasks.
     """
     chunks = chunk_table(articles, chunking, **chunk_opts).select(
@@ -51,7 +51,7 @@ def build_passages(articles: DataFrame, chunking: str = "recursive", encoder: En
         spark = articles.sparkSession
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), default_parallelism(spark))
         # An explicit count: AQE would coalesce a small-but-CPU-heavy input into a few tasks.
-        chunks = chunks.repartition(n, F.xxhash64("passage_id"))
+        chunks = chunks.repartition(n, F.xxhash64("content_key"))
     return embed(chunks, "passage_text", "embedding", encoder).select(*PASSAGE_COLUMNS)
 
 

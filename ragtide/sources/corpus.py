@@ -1,7 +1,8 @@
 """Corpus files -> articles table, write/read of the merged corpus.
 
 An article has ``law, article, title, content`` (article numbers may be int
-or string in the files; they are read as STRING) plus a BIGINT ``doc_key``.
+or string in the files; they are read as STRING) plus a ``doc_key``: for an
+article of a file its full name, file and place, which the store maps to a number.
 """
 
 from __future__ import annotations
@@ -9,14 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARTICLE_SCHEMA = "doc_key bigint, law string, article string, title string, content string"
+ARTICLE_SCHEMA = "doc_key string, law string, article string, title string, content string"
 
 # JSON keys of an article object in the corpus files.
 FILE_KEYS = {"law": "luật", "article": "điều", "title": "tên_điều", "content": "nội_dung"}
 
-# doc_key of file articles: a 43-bit hash, so passage ids doc_key * 2**20 + chunk fit a BIGINT.
-_KEY_BITS = 43
-
 
 def read_corpus_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Merge every ``*.json`` file (a JSON array of article objects) in ``folder``.
@@ -49,7 +47,7 @@ def parse_corpus_texts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     def field(name: str):
         return F.expr(f"try_variant_get(e, '$.{FILE_KEYS[name]}', 'string')")
 
-    key = F.xxhash64(F.col("path"), F.col("pos")).bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
+    key = F.concat_ws("#", "path", "pos")
     articles = elems.filter("is_obj").select(
         key.alias("doc_key"), field("law").alias("law"), field("article").alias("article"),
         field("title").alias("title"), field("content").alias("content"))
@@ -62,8 +60,9 @@ def write_corpus(articles: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """S3: read a merged corpus with the declared schema."""
-    return spark.read.format(fmt).schema(ARTICLE_SCHEMA).load(path)
+    """S3: read a merged corpus with the declared schema; Parquet files keep the type that their keys have."""
+    reader = spark.read.format(fmt)
+    return (reader if fmt == "parquet" else reader.schema(ARTICLE_SCHEMA)).load(path)
 
 
 def articles_from_documents(documents: DataFrame) -> DataFrame:

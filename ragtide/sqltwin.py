@@ -340,6 +340,17 @@ SELECT passage_id, content_key, 'replaced' AS change FROM stored s
 WHERE doc_key IN (SELECT doc_key FROM batch) AND content_key NOT IN (SELECT content_key FROM batch)
 UNION ALL
 SELECT passage_id, content_key, 'added' FROM batch WHERE content_key NOT IN (SELECT content_key FROM stored)"""
+    second = f"""WITH articles AS (
+  SELECT d.doc_id AS doc_key, d.source AS law, CAST(d.doc_id AS VARCHAR) AS article,
+         CASE WHEN l.quality = 1 THEN upper(d.lang) ELSE d.lang END AS title,
+         CASE WHEN coalesce(l.quality, 1) <> 0 THEN d.text END AS content
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1),
+{CHUNKS}"""
+    q["reindex_removed"] = second + """
+SELECT doc_key AS doc_id, title, count(*) AS n_passages, CAST(sum(length(chunk_content)) AS BIGINT) AS n_chars,
+       count(*) AS n_ids FROM chunks GROUP BY doc_key, title"""
+    q["store_vocab"] = second + f",\n{pdocs_cte()}\n" + \
+        "SELECT token, df, n AS n_docs, round(avgdl, 6) AS avgdl FROM vocab, corpus"
     q["entity_count"] = base + "SELECT count(*) AS n_passages FROM chunks"
     q["hashed_embed"] = f"WITH {ARTICLES},\n{CHUNKS},\n{PVEC}\n" + \
         "SELECT passage_id, bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM pvec"
