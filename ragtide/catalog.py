@@ -32,6 +32,7 @@ from ragtide.operators.embed import hashed_encoder
 from ragtide.operators.fuse import context_concat, dedupe_first, fuse
 from ragtide.operators.knn import knn_exact, knn_lsh
 from ragtide.operators.metrics import bleu, mean_by_model, metric_table, rouge, rouge_l, rouge_n, zip_pairs
+from ragtide.operators.numbering import numbered
 from ragtide.operators.partitioning import broadcast_if, materialise
 from ragtide.operators.passages import metadata_field
 from ragtide.operators.rerank import Bm25Scorer, norerank_prefix, rerank_topk
@@ -374,6 +375,36 @@ def q_answer_questions(spark, sf):
     return a.select("question_id", "model_kind", "n_docs", "answer")
 
 
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of ``conversations`` as a request of its session: users' go to route 2, assistants' to route 1, others to none."""
+    choice = F.when(F.col("role") == "user", "2").when(F.col("role") == "assistant", "1").otherwise(F.col("role"))
+    turns = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", choice.alias("choice"), F.col("text").alias("question"))
+    return numbered(turns, ["session_id", "turn"], "request_id")
+
+
+def q_answer_status(spark, sf):
+    """P14 + C3 as a batch: every request comes out with a status, the accepted ones with an answer."""
+    from ragtide.plans.answer import answer_requests
+
+    passages = line_passages(spark, sf)
+    asked = requests(spark, sf)
+    out = answer_requests(asked, passages, models_for(passages), FLAGSHIP_OPTIONS)
+    return out.join(asked.select("request_id", "session_id", "turn"), "request_id").select(
+        F.col("session_id").alias("conv_id"), "turn", "status", F.coalesce("model_kind", F.lit("")).alias("model_kind"),
+        F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"), F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def q_answer_sessions(spark, sf):
+    """C3 with T1: every request answered with the state of its session."""
+    from ragtide.plans.answer import answer_sessions
+
+    passages = line_passages(spark, sf)
+    out = answer_sessions(requests(spark, sf), passages, models_for(passages), FLAGSHIP_OPTIONS)
+    return out.select(F.col("session_id").alias("conv_id"), "turn", "status",
+                      F.coalesce("model_kind", F.lit("")).alias("model_kind"), F.coalesce("answer", F.lit("")).alias("answer"))
+
+
 def q_route_requests(spark, sf):
     ev = table(spark, sf, "events")
     req = ev.select("event_id", F.when(F.col("event_type") == "view", F.lit("1"))
@@ -392,6 +423,13 @@ def q_retrieve_fuse(spark, sf):
                     "doc")
 
 
+def q_compare_rewrites(spark, sf):
+    """C4's two lists with the rewrites that the second one searched for."""
+    passages = line_passages(spark, sf)
+    r = compare_modes(questions(spark, sf), passages, models_for(passages), COMPARE_K)
+    return r.select("question_id", "method", "pos", "passage_id", F.array_join("rewrites", "\n").alias("rewrites"))
+
+
 def q_compare_modes(spark, sf):
     passages = line_passages(spark, sf)
     r = compare_modes(questions(spark, sf), passages, models_for(passages), COMPARE_K)
@@ -482,9 +520,12 @@ QUERIES: dict[str, Query] = {
     "prompt_build": q_prompt_build,
     "extract_answer": q_extract_answer,
     "answer_questions": q_answer_questions,
+    "answer_status": q_answer_status,
+    "answer_sessions": q_answer_sessions,
     "route_requests": q_route_requests,
     "retrieve_fuse": q_retrieve_fuse,
     "compare_modes": q_compare_modes,
+    "compare_rewrites": q_compare_rewrites,
     "zip_pairs": q_zip_pairs,
     "bleu_pairs": q_bleu_pairs,
     "rouge_n": q_rouge_n,

@@ -24,6 +24,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.config import RagOptions
+from ragtide.operators.partitioning import temporary
 from ragtide.session import ensure_checkpoint_dir, ship_package
 
 
@@ -38,6 +39,10 @@ def _served(spark: SparkSession, store_name: str):
     return passages, Models(scorer=Bm25Scorer(stats), encoder=hashed_encoder())
 
 
+def _requests(questions):
+    return questions.withColumnsRenamed({"question_id": "request_id", "route": "choice"})
+
+
 def _options(a) -> RagOptions:
     return RagOptions(use_reranking=not a.no_rerank, use_query_rewriting=not a.no_rewrite, top_k=a.top_k,
                       model_kind=a.model_kind, dedupe_keep=a.keep)
@@ -64,7 +69,9 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
             c.add_argument("--keep-hours", type=float, default=24.0, help="versions superseded longer ago are deleted")
     for name in ("answer", "compare"):
         a = sub.add_parser(name)
-        a.add_argument("--questions", required=True, help="parquet with question_id, question [, route]")
+        a.add_argument("--questions", required=True,
+                       help="parquet with question_id, question [, route [, session_id, turn]]; with routes, every "
+                            "question comes out with a status")
         a.add_argument("--store", required=True)
         a.add_argument("--output", required=True)
         a.add_argument("--top-k", type=int, default=5)
@@ -95,6 +102,11 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
     spark = spark or SparkSession.builder.appName(f"ragtide-{a.cmd}").getOrCreate()
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    with temporary(spark):
+        return _run(a, spark)
+
+
+def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     from ragtide.sources import store
 
     if a.cmd == "merge":
@@ -120,12 +132,16 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
     elif a.cmd == "drop":
         store.drop(spark, a.store)
     elif a.cmd in ("answer", "compare"):
-        from ragtide.plans.answer import answer_questions
+        from ragtide.plans.answer import answer_questions, answer_requests, answer_sessions
         from ragtide.plans.retrieve import compare_modes
 
         passages, models = _served(spark, a.store)
         questions = spark.read.parquet(a.questions)
-        if a.cmd == "answer":
+        if a.cmd == "answer" and {"route", "session_id", "turn"} <= set(questions.columns):
+            out = answer_sessions(_requests(questions), passages, models, _options(a))
+        elif a.cmd == "answer" and "route" in questions.columns:
+            out = answer_requests(_requests(questions), passages, models, _options(a))
+        elif a.cmd == "answer":
             out = answer_questions(questions, passages, models, _options(a))
         else:
             out = compare_modes(questions, passages, models, a.k)

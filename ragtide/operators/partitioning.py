@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.session import ensure_checkpoint_dir
+from ragtide.sources import paths
 
 
 def default_parallelism(spark: SparkSession) -> int:
@@ -27,10 +30,30 @@ def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions or default_parallelism(df.sparkSession), F.xxhash64(F.col(key)))
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What is materialised within, in this thread, is deleted at the end: for jobs that write their results elsewhere."""
+    outer, here = getattr(_SCOPES, "paths", None), []
+    _SCOPES.paths = here
+    try:
+        yield
+    finally:
+        _SCOPES.paths = outer
+        for path in here:
+            paths.delete(spark, path)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Evaluate ``df`` once: write it to the shared folder of ``spark.checkpoint.dir`` and read it back."""
+    """Evaluate ``df`` once: write it to the shared folder of ``spark.checkpoint.dir`` and read it back.
+
+    The folder stays, unless a ``temporary`` block ends: what is returned is read when the caller runs it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if getattr(_SCOPES, "paths", None) is not None:
+        _SCOPES.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

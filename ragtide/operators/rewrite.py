@@ -64,12 +64,13 @@ def _after_first_dot(ln: Column) -> Column:
 
 
 def expand_queries(questions: DataFrame, rewriter: Rewriter | None = None, use_rewriting: bool = True,
-                   qid: str = "question_id", text: str = "question") -> DataFrame:
-    """O1 (+U3): ``(question_id, query_ord, query_text)``; the original is ord 0,
+                   qid: str = "question_id", text: str = "question", keep: list[str] | None = None) -> DataFrame:
+    """O1 (+U3): ``(question_id, [keep,] query_ord, query_text)``; the original is ord 0,
     rewrites follow in order."""
+    ids = [qid, *(keep or [])]
     if not use_rewriting:
-        return questions.select(qid, F.lit(0).alias("query_ord"), F.col(text).alias("query_text"))
+        return questions.select(*ids, F.lit(0).alias("query_ord"), F.col(text).alias("query_text"))
     gen = (rewriter or default_rewriter)(F.col(text))
     rewrites = F.coalesce(parse_rewrites(gen), F.array().cast("array<string>"))
-    return questions.select(qid, F.posexplode(F.concat(F.array(F.col(text)), rewrites)).alias(
+    return questions.select(*ids, F.posexplode(F.concat(F.array(F.col(text)), rewrites)).alias(
         "query_ord", "query_text"))

@@ -20,19 +20,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtide.config import RagOptions
+from ragtide.config import MAX_REWRITES, RagOptions
 from ragtide.functions.text import rank_key
 from ragtide.operators.answer import route_config
 from ragtide.operators.embed import Encoder, embed
 from ragtide.operators.format import drop_missing_metadata, format_plain, format_rerank, scorer_input
 from ragtide.operators.fuse import fuse
 from ragtide.operators.knn import knn_exact
+from ragtide.operators.numbering import numbered
 from ragtide.operators.partitioning import broadcast_if, materialise
 from ragtide.operators.rerank import Scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import Rewriter, expand_queries
 
-# query_key = question_id * 16 + query_ord (query_ord <= 3)
-QUERY_KEY_STRIDE = 16
 # Hits are broadcast into the metadata fetch up to this many rows (of 32 bytes).
 MAX_BROADCAST_HITS = 2_000_000
 
@@ -64,9 +63,12 @@ def query_table(questions: DataFrame, options: RagOptions, models: Models) -> Da
     """O1: (question_id, query_ord, query_text, query_key) with rewrites.
 
     Written once: a rewriter may be costly, or sample, and the vectors searched,
-    the texts scored and the number of queries must come from the same rewrites."""
-    q = materialise(expand_queries(questions, models.rewriter, options.use_query_rewriting), "queries")
-    return q.withColumn("query_key", F.col("question_id") * QUERY_KEY_STRIDE + F.col("query_ord"))
+    the texts scored and the number of queries must come from the same rewrites. Questions are numbered, so
+    that any question_id gives a key that fits."""
+    asked = numbered(questions.select("question_id", "question"), ["question_id"], "_number")
+    q = expand_queries(asked, models.rewriter, options.use_query_rewriting, keep=["_number"])
+    key = F.col("_number") * F.lit(1 + MAX_REWRITES) + F.col("query_ord")
+    return materialise(q.withColumn("query_key", key).drop("_number"), "queries")
 
 
 def prepared(scorer: Scorer, queries: DataFrame, query_col: str, keys: list[str]) -> DataFrame:
@@ -142,14 +144,17 @@ def compare_modes(questions: DataFrame, passages: DataFrame, models: Models, k:
 
     One kNN pass serves both modes: the original question (query_ord 0) gives
     the plain list, its rewrites the pool. Output: question_id, method, pos,
-    passage_id, score, doc.
+    passage_id, score, doc, and the question's ``rewrites`` in order.
     """
     queries = query_table(questions, RagOptions(use_query_rewriting=True), models)
     n_queries = queries.count()
-    hits = retrieve_hits(queries, passages, k, models.encoder, n_queries)
+    hits = materialise(retrieve_hits(queries, passages, k, models.encoder, n_queries), "hits")  # read by both modes
     plain = hits.filter(F.col("query_ord") == 0).select(
         "question_id", F.lit("plain").alias("method"), F.col("rank").alias("pos"), "passage_id",
         F.col("sim").alias("score"), format_plain().alias("doc"))
     pooled = _pooled_from_hits(hits.filter(F.col("query_ord") > 0), questions, models, k).select(
         "question_id", F.lit("rewrite_rerank").alias("method"), "pos", "passage_id", "score", "doc")
-    return plain.unionByName(pooled)
+    # a question has at most MAX_REWRITES of them
+    said = F.array_sort(F.collect_list(F.when(F.col("query_ord") > 0, F.struct("query_ord", "query_text"))))
+    rewrites = queries.groupBy("question_id").agg(F.transform(said, lambda s: s["query_text"]).alias("rewrites"))
+    return plain.unionByName(pooled).join(rewrites, "question_id")

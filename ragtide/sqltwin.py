@@ -420,6 +420,40 @@ pooled AS (SELECT question_id, 'rewrite_rerank' AS method,
                                           query_ord, rank) AS INTEGER) AS pos,
                   passage_id, round(score, 6) AS score FROM pscored QUALIFY pos <= {k})
 SELECT * FROM plain UNION ALL SELECT * FROM pooled"""
+    q["compare_rewrites"] = q["compare_modes"].replace("SELECT * FROM plain UNION ALL SELECT * FROM pooled", """,
+said AS (SELECT question_id, string_agg(query_text, chr(10) ORDER BY query_ord) AS rewrites FROM queries
+         WHERE query_ord > 0 GROUP BY question_id)
+SELECT question_id, method, pos, passage_id, rewrites
+FROM (SELECT * FROM plain UNION ALL SELECT * FROM pooled) JOIN said USING (question_id)""")
+    # Requests are the turns of conversations; the routes are in the settings of each.
+    asked = """req AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS question_id, conv_id, turn, text AS question,
+               CASE role WHEN 'user' THEN '2' WHEN 'assistant' THEN '1' ELSE role END AS choice FROM conversations),
+stat AS (SELECT *, CASE WHEN choice IS NULL OR choice NOT IN ('1', '2') THEN 'rejected'
+                        WHEN lower(""" + strip("question") + """) = 'exit' THEN 'ended' ELSE 'accepted' END AS status FROM req),
+questions AS (SELECT question_id, question FROM stat WHERE status = 'accepted')"""
+    of_route = f"""settings AS (
+  SELECT s.question_id, cfg.model_kind, cfg.top_k, cfg.doc_limit
+  FROM stat s JOIN (VALUES {ROUTES}) cfg(route, model_kind, top_k, doc_limit) ON cfg.route = s.choice
+  WHERE s.status = 'accepted')"""
+    said = chain_ctes(settings="settings").replace("\nhits AS (", "\n" + of_route + ",\nhits AS (", 1).replace(
+        QUESTIONS, asked)
+    said = f"WITH {said},\n{_context_ctes()},\n{_answer_ctes()}\n"
+    q["answer_status"] = said + """SELECT s.conv_id, s.turn, s.status, coalesce(st.model_kind, '') AS model_kind,
+       coalesce(c.n_docs, 0) AS n_docs, coalesce(a.answer, '') AS answer
+FROM stat s LEFT JOIN settings st USING (question_id) LEFT JOIN ctx c USING (question_id)
+LEFT JOIN answers a ON a.question_id = s.question_id AND a.model_kind = st.model_kind"""
+    # The state is the words of the session's question before, among those of the kind that keeps a state.
+    q["answer_sessions"] = said.rstrip() + f""",
+carried AS (SELECT s.question_id, lag({tokens('s.question')}) OVER (PARTITION BY s.conv_id ORDER BY s.turn) AS before
+            FROM stat s JOIN settings st USING (question_id) WHERE st.model_kind <> 'gpt2'),
+hits2 AS (SELECT x.question_id, x.s, x.i, len(list_intersect(list_distinct({tokens('x.s')}),
+                 list_distinct(list_concat({tokens('p.question')}, coalesce(k.before, []))))) AS hit
+          FROM sents x JOIN prompts p USING (question_id) JOIN carried k USING (question_id)),
+best2 AS (SELECT question_id, s AS best FROM hits2 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY hit DESC, i) = 1)
+SELECT s.conv_id, s.turn, s.status, coalesce(st.model_kind, '') AS model_kind,
+       CASE WHEN st.model_kind = 'gpt2' THEN coalesce(a.answer, '') ELSE coalesce(b.best, '') END AS answer
+FROM stat s LEFT JOIN settings st USING (question_id) LEFT JOIN best2 b USING (question_id)
+LEFT JOIN answers a ON a.question_id = s.question_id AND a.model_kind = st.model_kind"""
     q["zip_pairs"] = f"WITH {_pairs_cte()}\nSELECT conv_id, item_ord, candidate, reference FROM pairs"
     q["bleu_pairs"] = f"WITH {_pairs_cte()},\n{_bleu_ctes()}\nSELECT conv_id, item_ord, round(bleu, 6) AS bleu FROM bleu"
     q["rouge_n"] = f"WITH {_pairs_cte()},\n{_rouge_ctes()}\n" \
