@@ -15,6 +15,11 @@ What counts as many pages is an absolute number, so that a block goes however
 large its host is; on smaller hosts a share of the pages is enough. Headings,
 list items and table cells outside an article need the share: by themselves they
 are short, and a large host's own texts repeat them.
+
+A story that many pages of a host carry, each with its own date or counter, recurs like a template, but it is
+what its pages are about. So a page counts for a subtree only if it has text of its own beside it: text blocks that
+recur on few pages, of at least ``OWN`` of the length of the page's blocks that recur about as often as the subtree
+(a story's paragraphs recur together, and so are one story). Subtrees on half of the host's pages need no such pages.
 """
 
 from __future__ import annotations
@@ -56,6 +61,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
                   "advertisement".split())
 
 
+#: A page counts for a subtree if its own text is at least this share of what recurs together with the subtree.
+OWN = 0.25
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -151,42 +160,73 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
         stack += [(c, inside) for c in reversed(n.children) if isinstance(c, Node)]
 
 
-def _hashes(root: Node) -> dict[int, int]:
-    """id(node) -> signed 64-bit hash of its subtree: tags, classes and squeezed text, bottom up.
+class _Subtrees:
+    """Of every node, bottom up: a signed 64-bit hash of its subtree (tags, classes and squeezed text), the length of its text,
+    and whether it holds a block element.
 
-    The lowest bit tells elements of BY_SHARE (1) from others (0)."""
-    out: dict[int, int] = {}
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        n, done = stack.pop()
-        if not done:
-            stack.append((n, True))
-            stack += [(c, False) for c in n.children if isinstance(c, Node)]
-            continue
-        parts = [n.tag, n.attrs.get("class", "")]
-        parts += [" ".join(c.split()) if isinstance(c, str) else f"\x00{out[id(c)]}" for c in n.children]
-        h = xxhash.xxh64_intdigest("\x01".join(p for p in parts if p).encode("utf-8", "replace"))
-        h = h & ~1 | (n.tag in BY_SHARE)
-        out[id(n)] = h - (1 << 64) if h >= 1 << 63 else h
-    return out
-
-
-def candidates(root: Node) -> tuple[int, set[int]]:
-    """(hash of the page, hashes of the subtrees that could be template)."""
-    hashes = _hashes(root)
-    found = set()
+    The hash's lowest bit tells elements of BY_SHARE (1) from others (0)."""
+
+    def __init__(self, root: Node):
+        self.hash: dict[int, int] = {}
+        self.size: dict[int, int] = {}
+        self.holds: dict[int, bool] = {}
+        stack: list[tuple[Node, bool]] = [(root, False)]
+        while stack:
+            n, done = stack.pop()
+            if not done:
+                stack.append((n, True))
+                stack += [(c, False) for c in n.children if isinstance(c, Node)]
+                continue
+            parts, size, holds = [n.tag, n.attrs.get("class", "")], 0, False
+            for c in n.children:
+                if isinstance(c, str):
+                    text = " ".join(c.split())
+                    size += len(text)
+                    parts.append(text)
+                else:
+                    parts.append(f"\x00{self.hash[id(c)]}")
+                    size += self.size[id(c)]
+                    holds = holds or c.tag in BLOCKS or self.holds[id(c)]
+            h = _hash("\x01".join(p for p in parts if p)) & ~1 | (n.tag in BY_SHARE)
+            self.hash[id(n)], self.size[id(n)], self.holds[id(n)] = _signed(h), size, holds
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def candidates(root: Node) -> tuple[int, set[int], dict[int, int]]:
+    """(hash of the page, hashes of the subtrees that could be template, length of each text block by its hash).
+
+    A text block is a block element without block elements in it, or what a block element with some has as text
+    of its own between them."""
+    trees = _Subtrees(root)
+    found, blocks = set(), {}
     for n, inside in _walk(root):
-        if n.tag in ("html", "body", "article", "main") or n.tag not in BLOCKS or (inside and n.tag in TEXT):
+        if n.tag not in BLOCKS:
             continue
-        found.add(hashes[id(n)])
-    return hashes[id(root)], found
+        if not trees.holds[id(n)]:
+            if trees.size[id(n)]:
+                blocks[trees.hash[id(n)]] = trees.size[id(n)]
+        else:
+            own = " ".join(" ".join(c.split()) for c in n.children if isinstance(c, str)).strip()
+            if own:
+                blocks[_signed(_hash(f"\x02{own}"))] = len(own)
+        if n.tag in ("html", "body", "article", "main") or (inside and n.tag in TEXT):
+            continue
+        found.add(trees.hash[id(n)])
+    return trees.hash[id(root)], found, blocks
 
 
 def main_text(root: Node, template: frozenset[int]) -> str:
     """Blocks of the article, one a line, without dropped elements and ``template`` subtrees.
 
     The article is every outermost <article> or <main>, if one has text; else the body."""
-    hashes = _hashes(root) if template else {}
+    hashes = _Subtrees(root).hash if template else {}
 
     def skipped(n: Node, inside: bool) -> bool:
         if never_article(n):
@@ -243,39 +283,80 @@ def host(url: str = "url") -> Column:
                               F.lit("")))
 
 
+def _vouched(on_page: DataFrame, own: DataFrame) -> DataFrame:
+    """(host, subtree, vouched): on how many pages with different content the subtree stands beside text of the page's own.
+
+    ``on_page``: host, key, content, subtree, count, size (of a text block, else null), could_be (template)."""
+    # a page's recurring elements; no more than the page has
+    page = on_page.groupBy("host", "key", "content").agg(F.collect_list(F.struct("subtree", "count", "size", "could_be")).alias("e"))
+    page = page.join(own, "key").withColumn("own", F.col("total_size") - F.aggregate(
+        "e", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["size"], F.lit(0).cast("long"))))
+    at = page.select("host", "content", "own", "e", F.explode(F.filter("e", lambda x: x["could_be"])).alias("s"))
+    together = F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + F.when(
+        (x["count"] * 2 >= F.col("s.count")) & (x["count"] <= F.col("s.count") * 2),
+        F.coalesce(x["size"], F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    for_it = at.where(F.col("own") >= OWN * together).select("host", F.col("s.subtree").alias("subtree"), "content")
+    return for_it.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("vouched"))
+
+
+def template_subtrees(hashed: DataFrame, least_pages: int, least_share: float, many_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(host, subtree) that are template, and the elements on each page that recur.
+
+    ``hashed``: host, key, content, subtrees (hashes that could be template), blocks (array of struct<h, size>)."""
+    blocks = F.col("blocks")
+    every = F.array_union(F.col("subtrees"), F.transform(blocks, lambda b: b["h"]))
+    every = F.concat(F.array(F.lit(None).cast("long")), every)  # null: the page itself, for the host's number of pages
+    trees = hashed.select("host", "key", "content", "subtrees", "blocks", F.explode(every).alias("subtree"))
+    # Two steps, so that a host with a third of the pages is counted on many tasks.
+    seen = trees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").count()
+    often = written(seen.where((F.col("subtree").isNull()) | (F.col("count") >= least_pages)), "html-often")
+    total = often.where("subtree is null").select("host", F.col("count").alias("total"))
+    often = often.where("subtree is not null")
+    size = F.get(F.filter(blocks, lambda b: b["h"] == F.col("subtree")), F.lit(0))["size"]
+    on_page = trees.where("subtree is not null").select(
+        "host", "key", "content", "subtree", size.alias("size"), F.array_contains("subtrees", F.col("subtree")).alias("could_be"))
+    on_page = written(on_page.join(often, ["host", "subtree"]).distinct(), "html-recurring")
+    own = hashed.select("key", F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + b["size"]).alias("total_size")).distinct()
+    counted = often.join(total, "host").join(_vouched(on_page, own), ["host", "subtree"], "left")
+    vouched = F.coalesce("vouched", F.lit(0))
+    share = (F.col("count") >= least_share * F.col("total")) & (vouched >= least_pages)
+    many = (vouched >= many_pages) & (F.col("subtree").bitwiseAND(F.lit(1)) == 0)
+    most = F.col("count") * 2 >= F.col("total")
+    return counted.where(share | many | most).select("host", "subtree"), on_page
+
+
 def extract(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2,
             many_pages: int = 15) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages`` (page_id, url, html).
 
     A subtree is template if it occurs on at least ``least_pages`` pages with
-    different content of its host, and on at least ``least_share`` of them or, but
-    for BY_SHARE, on at least ``many_pages``, whatever the size of the host. Null and empty pages have an empty text. Pages without a host share the empty host.
-    Repeated rows each get their row, and count once for the template.
+    different content of its host, and on half of them, or on at least ``least_share`` of them and beside own text on
+    ``least_pages``, or, but for BY_SHARE, beside own text on at least ``many_pages``, whatever the size of the host. Null and empty
+    pages have an empty text. Pages without a host share the empty host.
+    Repeated rows each get their row, and count once for the template. Other columns of ``pages`` are not read. An empty table gives
+    no rows. A page is parsed whole, in one task.
     """
     rows = pages.select("page_id", "url", "html", host().alias("host"), F.xxhash64("url", "html").alias("key"))
+    block = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int64())]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, subtrees = [], []
+            content, subtrees, blocks = [], [], []
             for t in b.column(2).to_pylist():
-                page, got = candidates(parse(t))
+                page, got, texts = candidates(parse(t))
                 content.append(page)
-                subtrees.append([None, *sorted(got)])  # null: the page itself, for the host's number of pages
+                subtrees.append(sorted(got))
+                blocks.append([{"h": h, "size": size} for h, size in sorted(texts.items())])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))],
-                names=["host", "key", "content", "subtrees"])
+                [b.column(0), b.column(1), pa.array(content, pa.int64()), pa.array(subtrees, pa.list_(pa.int64())),
+                 pa.array(blocks, block)], names=["host", "key", "content", "subtrees", "blocks"])
 
     # One row of hashes a page, written once, as both the counts and the pages' deletions read it.
     hashed = written(rows.select("host", "key", "html").mapInArrow(
-        found, "host string, key long, content long, subtrees array<long>"), "html-subtrees")
-    trees = hashed.select("host", "key", "content", F.explode("subtrees").alias("subtree"))
-    # Two steps, so that a host with a third of the pages is counted on many tasks.
-    seen = trees.select("host", "subtree", "content").distinct().groupBy("host", "subtree").count()
-    total = seen.where("subtree is null").select("host", F.col("count").alias("total"))
-    often = seen.where((F.col("subtree").isNotNull()) & (F.col("count") >= least_pages)).join(total, "host")
-    many = (F.col("count") >= many_pages) & (F.col("subtree").bitwiseAND(F.lit(1)) == 0)
-    often = often.where((F.col("count") >= least_share * F.col("total")) | many).select("host", "subtree")
-    on_page = (trees.where("subtree is not null").select("host", "key", "subtree").join(often, ["host", "subtree"])
+        found, "host string, key long, content long, subtrees array<long>, blocks array<struct<h:bigint,size:bigint>>"),
+        "html-subtrees")
+    template, recurring = template_subtrees(hashed, least_pages, least_share, many_pages)
+    on_page = (recurring.where("could_be").select("host", "key", "subtree").join(template, ["host", "subtree"])
                .groupBy("key").agg(F.collect_set("subtree").alias("template")))  # at most a page's elements
     joined = rows.join(on_page, "key", "left").select("page_id", "url", "html", "template")
 

@@ -454,3 +454,67 @@ def test_quotes_threads_against_a_walk(spark):
         while parent[r.conv_id, at] is not None:
             at, depth = parent[r.conv_id, at], depth + 1
         assert (r.thread_turn, r.depth) == (at, depth), r
+
+
+STORY = ["The council met on Friday to settle the question of the old bridge.",
+         "No.", "Nobody spoke for an hour, and then everybody did, until the lamps went out."]
+
+
+@pytest.mark.parametrize("form", ["plain", "container", "article"])
+def test_a_story_that_many_pages_carry_stays(spark, form):
+    """16 of 400 pages carry one story, each with its own date; a notice on 20 pages with texts of their own goes."""
+    body = "".join(f"<p>{x}</p>" for x in STORY)
+    body = {"plain": body, "container": f"<div class=s>{body}</div>", "article": f"<article><div class=s>{body}</div></article>"}[form]
+    date = "<div class=d>Posted {}</div>"
+    rows = []
+    for i in range(400):
+        if i < 16:
+            main = f"<h1>T</h1>{date.format(i)}{body}" if form != "article" else \
+                f"<h1>T</h1>" + body.replace("<div class=s>", f"{date.format(i)}<div class=s>")
+        else:
+            main = f"<h1>Page {i}</h1><div class=m><p>Its own words number {i}.</p><p>And {i * i} more of them.</p></div>"
+        notice = "<div class=q><p>Closed on public holidays.</p></div>" if 300 <= i < 320 else ""
+        rows.append((i, f"https://big.org/{i}", f"<body><div class=top>All of big</div>{main}{notice}</body>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(16):
+        head = ["Posted " + str(i)] if form == "article" else ["T", f"Posted {i}"]
+        assert got[i] == "\n".join([*head, *STORY])
+    for i in range(16, 400):
+        assert got[i] == f"Page {i}\nIts own words number {i}.\nAnd {i * i} more of them."
+
+
+def test_templates_against_a_plain_count(spark):
+    """The rule of ``template_subtrees`` by loops over random pages of two hosts."""
+    rng, least, share, many = random.Random(6), 4, 0.3, 7
+    parts = [f"<div class=c{k}><p>{'word ' * rng.randint(1, 9)}{k}</p></div>" for k in range(12)]
+    rows = []
+    for i in range(90):
+        chosen = [p for k, p in enumerate(parts) if rng.random() < 0.04 * (k + 1)]
+        own = f"<p>{'own ' * rng.choice([0, 0, 1, 8])}{i}</p>"
+        rows.append((i, f"https://h{i % 3 == 0}.org/{i}", f"<body>{''.join(chosen)}{own}</body>"))
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df, least, share, many).collect()}
+    pages = {}
+    for i, url, text in rows:
+        pages.setdefault(url.split("/")[2], {})[i] = html.candidates(html.parse(text))
+    for name, of in pages.items():
+        of = {content: (cand, blocks) for content, cand, blocks in of.values()}
+        count = {}
+        for cand, blocks in of.values():
+            for h in cand | set(blocks):
+                count[h] = count.get(h, 0) + 1
+        template = set()
+        for s in {h for cand, _ in of.values() for h in cand if count[h] >= least}:
+            vouched = 0
+            for cand, blocks in of.values():
+                own = sum(size for h, size in blocks.items() if count[h] < least)
+                together = sum(size for h, size in blocks.items()
+                               if count[h] >= least and count[s] / 2 <= count[h] <= 2 * count[s])
+                vouched += s in cand and own >= html.OWN * together
+            template |= {s} if (count[s] >= share * len(of) and vouched >= least) or (vouched >= many and s % 2 == 0) \
+                or 2 * count[s] >= len(of) else set()
+        assert template and any(count[h] >= least for cand, _ in of.values() for h in cand - template)
+        for i, url, text in rows:
+            if url.split("/")[2] == name:
+                assert got[i] == html.main_text(html.parse(text), frozenset(template))
