@@ -42,8 +42,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import partitions, schema_of
+from ragtide.llm.common import partitions, schema_of, written
 from ragtide.llm.induced import repeats
+from ragtide.operators.numbering import numbered
 
 SUBSTRING = 16
 #: Bytes of text handled at a time when texts are hashed, and when they are cut.
@@ -222,7 +223,7 @@ def _ask(n: int, length: int):
                 row = np.searchsorted(ends[a:z] - lo, place, side="right") + a
                 start = place - (starts[row] - lo)
                 known = _shared(key, dk[row])
-                for to, i in _groups((rk[row[known]] % n)):
+                for to, i in _groups(_home(dk[row[known]], rk[row[known]], n)):
                     i = np.flatnonzero(known)[i]
                     out.add(to, KNOWN, pack(dk[row[i]], rk[row[i]], *_high(key[i]), start[i].astype(np.uint32),
                                             strings[i].astype(np.uint32)))
@@ -265,7 +266,7 @@ def _answer(n: int, memory: int):
             known, asked = key[strings == 0], strings > 0
             key, dk, rk, start, strings = (x[asked] for x in (key, dk, rk, start, strings))
             use = np.flatnonzero(_shared(key, dk) | np.isin(key, known))
-            for to, i in _groups(rk[use] % n):
+            for to, i in _groups(_home(dk[use], rk[use], n)):
                 i = use[i]
                 out.add(to, KNOWN, pack(dk[i], rk[i], *_high(key[i] << np.uint64(24)), start[i], strings[i]))
                 if out.full():
@@ -336,7 +337,7 @@ def _cut(n: int, length: int):
                 least = np.full(len(distinct), np.iinfo(np.int64).max)
                 np.minimum.at(least, seg, dk)
                 gone = np.flatnonzero(dk > least[seg])
-                for to, i in _groups(rk[gone] % n):
+                for to, i in _groups(_home(dk[gone], rk[gone], n)):
                     i = gone[i]
                     out.add(to, KNOWN, pack(dk[i], rk[i], start[i], (start[i] + size[seg[i]]).astype(np.uint32)))
                 seg_key = np.zeros(len(distinct), np.uint64)
@@ -487,7 +488,13 @@ class _Grouped:
 
 def _by_row(dk: np.ndarray, rk: np.ndarray, *_: np.ndarray) -> np.ndarray:
     """Hash of a document's key."""
-    return _mix(dk.astype(np.uint64) * np.uint64(31) + rk.astype(np.int64).astype(np.uint64))
+    with np.errstate(over="ignore"):
+        return _mix(dk.astype(np.uint64) * np.uint64(31) + rk.astype(np.uint64))
+
+
+def _home(dk: np.ndarray, rk: np.ndarray, n: int) -> np.ndarray:
+    """The range that a document belongs to; by other bits than what it is dealt by within a task."""
+    return ((_by_row(dk, rk) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
 def removed_ranges(pieces: Iterator[list[np.ndarray]], length: int, memory: int) -> tuple[np.ndarray, ...]:
@@ -502,7 +509,7 @@ def removed_ranges(pieces: Iterator[list[np.ndarray]], length: int, memory: int)
                           np.int64, len(size))
         occ.append([np.repeat(ids, count), dk, rk, start.astype(np.int64)])
     if not occ:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
     seg, dk, rk, start = (np.concatenate(x) for x in zip(*occ))
     order = np.argsort(seg, kind="stable")
     seg, dk, rk, start = (x[order] for x in (seg, dk, rk, start))
@@ -558,7 +565,7 @@ def _sort_shard(n: int, length: int, memory: int):
         def ranges() -> Iterator[tuple[int, bytes]]:
             dk, rk, start, end = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            for to, i in _groups(rk % n):
+            for to, i in _groups(_home(dk, rk, n)):
                 yield to, pack(dk[i], rk[i], start[i].astype(np.uint32), end[i].astype(np.uint32))
 
         for pieces in parts.drain():
@@ -613,19 +620,45 @@ def _merged(dk: np.ndarray, rk: np.ndarray, start: np.ndarray, end: np.ndarray)
         yield pa.RecordBatch.from_arrays([pa.array(dk[first[d]]), pa.array(rk[first[d]]), lists], names=["_of_dk", "_of_rk", "spans"])
 
 
+def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` with ``_dk``, the order of doc_ids with null last, and ``_rk``, which tells the rows of one ``_dk`` apart.
+
+    ``_rk`` is 0 where a doc_id stands on one row, as it should. Rows that share a doc_id, or have none, get a number by
+    doc_id and text (told apart by 128 bits of hash), so different texts never share a key. If there are any, the documents are written with their
+    keys, as they are read three times."""
+    ids = docs.groupBy("doc_id").count()
+    top = (1 << 63) - 1
+    facts = ids.agg(F.min("doc_id").cast("long").alias("least"), F.max("doc_id").cast("long").alias("most"),
+                    F.max(F.col("doc_id").isNull()).alias("nulls"), F.max("count").alias("rows")).first()
+    order, shift = F.col("doc_id").cast("long"), 0
+    if facts["nulls"] and facts["most"] == top:  # null needs a place of its own above
+        if facts["least"] == -top - 1:
+            raise ValueError("doc_ids from the smallest to the largest long, and nulls, have no order in a long")
+        shift = 1
+    dk = F.coalesce(order - F.lit(shift).cast("long"), F.lit(top))
+    if not facts["nulls"] and (facts["rows"] or 0) < 2:
+        return docs.select(*names, dk.alias("_dk"), F.lit(0).cast("long").alias("_rk"))
+    is_null = F.col("doc_id").isNull()
+    hashes = [F.xxhash64("doc_id", is_null, "text").alias("_h1"), F.xxhash64(F.lit(1), "text", "doc_id", is_null).alias("_h2")]
+    shared = ids.where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    rows = docs.select("doc_id", *hashes).join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    numbers = written(numbered(rows.select("_h1", "_h2").distinct(), ["_h1", "_h2"], "_rk", 1), "suffix-rows")
+    keyed = docs.select(*names, dk.alias("_dk"), *hashes).join(numbers, ["_h1", "_h2"], "left")
+    return written(keyed.select(*names, "_dk", F.coalesce("_rk", F.lit(0).cast("long")).alias("_rk")), "suffix-keyed")
+
+
 def removed_spans(docs: DataFrame, length: int = 50, memory: int = MEMORY) -> DataFrame:
     """``docs`` with ``spans``: [start, end, start, end, ...] of the maximal removed byte runs (null: none).
 
     ``docs`` needs doc_id and text. Null and short texts lose nothing. Rows with
     one doc_id do not count as earlier than each other, and a null doc_id counts as larger than all others.
-    Repeated rows get the same spans. A column named spans is replaced.
+    Repeated rows get the same spans. A column named spans is replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     names = [c for c in docs.columns if c.lower() != "spans"]
-    keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_dk"),
-                        F.shiftright(F.xxhash64("doc_id", "text"), 32).cast("int").alias("_rk"))
-    per_doc = "_of_dk long, _of_rk int, "
+    keyed = _keyed(docs.select(*names), names)
+    per_doc = "_of_dk long, _of_rk long, "
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartitionById(n, F.col("to"))

@@ -239,3 +239,35 @@ def test_oracle_sql_agrees(spark):
     want = con.execute(ORACLE_SQL["op3_suffix_array_dedup"]).fetchall()
     got = QUERIES["op3_suffix_array_dedup"](spark, sf_small).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_without_an_id_never_share_a_key(spark):
+    """Null ids and shared ids, with texts whose 64-bit hashes agree in half of their bits."""
+    from pyspark.sql import functions as F
+
+    passage = "seventy bytes that an earlier document holds, and all of these as well"
+    texts = spark.range(300_000).select(F.concat(F.lit("a"), F.repeat(F.lit("."), (F.col("id") % 37).cast("int")),
+                                                 F.col("id").cast("string"), F.lit(" " + passage)).alias("text"))
+    half = texts.select("text", F.shiftright(F.xxhash64(F.lit(None).cast("long"), "text"), 32).alias("h"))
+    pairs = half.join(half.groupBy("h").count().where("count > 1"), "h").select("text").limit(30)
+    picked = [r.text for r in pairs.collect()]
+    assert len(picked) >= 8
+    docs = [(1, passage)] + [(None, t) for t in picked] + [(9, t + "!") for t in picked[:6]] + [(None, picked[0]), (2**63 - 1, passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix.removed_spans(df).collect()
+    assert len(got) == len(docs)
+    earliest = {}
+    for d, t in docs:
+        for i in range(len(t) - 49):
+            k = t[i : i + 50]
+            earliest[k] = min(earliest.get(k, 2**64), 2**64 if d is None else d)
+    for r in got:
+        gone = {j for i in range(len(r.text) - 49) for j in range(i, i + 50)
+                if earliest[r.text[i : i + 50]] < (2**64 if r.doc_id is None else r.doc_id)}
+        assert list(r.spans or ()) == ([min(gone), max(gone) + 1] if gone else []), (r.doc_id, r.text, r.spans)
+        assert len(gone) >= (70 if r.doc_id != 1 else 0)
+    first = spark.createDataFrame([(2**63 - 1, passage), (None, passage)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, list(r.spans or ())) for r in suffix.removed_spans(first).collect()) == [
+        (False, []), (True, [0, len(passage)])]
+    with pytest.raises(ValueError):
+        suffix.removed_spans(spark.createDataFrame([(2**63 - 1, ""), (-(2**63), ""), (None, "")], "doc_id long, text string"))
