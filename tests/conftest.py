@@ -38,3 +38,15 @@ def spark():
 @pytest.fixture
 def scratch_dir():
     return tempfile.mkdtemp(prefix="ragtide-t-")
+
+
+@pytest.fixture
+def own_checkpoints(spark, scratch_dir, monkeypatch):
+    """A folder of the test's own for intermediate tables, so that what is left in it is the test's."""
+    from ragtide.operators import partitioning
+    from ragtide.sources import store
+
+    folder = os.path.join(scratch_dir, "checkpoints")
+    for module in (partitioning, store):
+        monkeypatch.setattr(module, "ensure_checkpoint_dir", lambda spark: folder)
+    return folder

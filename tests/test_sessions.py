@@ -97,10 +97,9 @@ def test_every_request_gets_a_status(spark, served):
     assert alone.answer == out[1 << 61].answer  # also for ids that no multiple of fits a long
 
 
-def test_session_stream_equals_batch(spark, scratch_dir, served):
+def test_session_stream_equals_batch(spark, scratch_dir, served, own_checkpoints):
     from ragtide.plans.answer import answer_sessions
     from ragtide.sources import paths
-    from ragtide.session import ensure_checkpoint_dir
     from ragtide.streaming import questions as stream
 
     rng = random.Random(8)
@@ -113,14 +112,14 @@ def test_session_stream_equals_batch(spark, scratch_dir, served):
     for part in range(3):
         spark.createDataFrame(rows[part * 8 : part * 8 + 8], schema).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)
-    before = set(paths.names(spark, ensure_checkpoint_dir(spark)))
+    before = set(paths.names(spark, own_checkpoints))
     whole, stream.WHOLE = stream.WHOLE, 2
     try:
         stream.start_answer_stream(spark, src, out, os.path.join(scratch_dir, "ck"), lambda: served,
                                    max_files_per_trigger=1, sessions=True, generator=counting).awaitTermination()
     finally:
         stream.WHOLE = whole
-    assert set(paths.names(spark, ensure_checkpoint_dir(spark))) == before  # micro-batches leave no table behind
+    assert set(paths.names(spark, own_checkpoints)) == before  # micro-batches leave no table behind
     want = {r.request_id: r for r in answer_sessions(spark.createDataFrame(rows, schema), *served, generator=counting).collect()}
     got = {r.question_id: r.answer for r in spark.read.parquet(f"{out}/answers").collect()}
     assert got == {k: r.answer for k, r in want.items() if r.status == "accepted"}

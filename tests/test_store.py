@@ -42,13 +42,11 @@ def assert_stats(spark, name):
 
 
 def scratch_of(spark):
-    from ragtide.session import ensure_checkpoint_dir
-
-    return set(paths.names(spark, ensure_checkpoint_dir(spark)))
+    return set(paths.names(spark, store.ensure_checkpoint_dir(spark)))
 
 
 @pytest.fixture
-def name(spark, scratch_dir):
+def name(spark, scratch_dir, own_checkpoints):
     n = f"store_{os.path.basename(scratch_dir).replace('-', '_').lower()}"
     store.open_store(spark, n, os.path.join(scratch_dir, "store"))
     yield n
@@ -90,7 +88,8 @@ def test_a_reader_finishes_on_the_version_it_began_with(spark, name):
 
 
 @pytest.mark.parametrize("failing", ["commit", "segment", "numbered"])
-def test_an_interrupted_load_leaves_the_last_version(spark, name, monkeypatch, failing):
+def test_an_interrupted_load_leaves_the_last_version(spark, name, failing):
+    monkeypatch = pytest.MonkeyPatch()
     load(spark, name, {1: "old", 2: "two"})
     root = store._root(spark, name)
     before, scratch = versions.latest(spark, root), scratch_of(spark)
@@ -115,7 +114,8 @@ def test_an_interrupted_load_leaves_the_last_version(spark, name, monkeypatch, f
     assert_stats(spark, name)
 
 
-def test_of_two_loads_from_one_version_one_ends(spark, name, monkeypatch):
+def test_of_two_loads_from_one_version_one_ends(spark, name):
+    monkeypatch = pytest.MonkeyPatch()
     load(spark, name, {1: "a"})
     arts = corpus(spark, {2: "b"})
     write, other = store._Load.commit, []
