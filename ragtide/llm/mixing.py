@@ -8,8 +8,9 @@ steps on the dual run as distributed aggregations over a histogram of (source,
 size); each keeps a bracket and falls back to bisection. Sums are decimals, so
 they do not depend on the order of arrival and reruns agree.
 
-Rates become whole copies by a hash of doc_id: floor(r) copies, and one more if
-``hash - fraction`` lies below the source's threshold. The threshold is the one
+Rates become whole copies by a hash of the row: floor(r) copies, and one more if
+``hash - fraction`` lies below the source's threshold. Equal rows, which have one hash, share the
+interval of hashes evenly, so that as many of them get one more copy as their fraction says. The threshold is the one
 that brings the taken tokens nearest to the target; it is found by two
 histograms of 4096 bins each, so no source is ever sorted or gathered.
 """
@@ -97,19 +98,47 @@ def tilted(hist: DataFrame, wanted: DataFrame, cap: int = 3, steps: int = 60) ->
     return state.select("source", "source_size", "target", "mean", "full", "lam")
 
 
+def _apart(base: DataFrame) -> DataFrame:
+    """``base`` (source, size, unit, _from and others) with the units of equal rows spread evenly over the unit interval.
+
+    Rows of one class (source, size, unit) are numbered from 0 and moved by their number / the class's rows. A class may hold a third of
+    all rows: it is numbered within each partition it came from, with an offset for each."""
+    key = ["source", "size", "unit"]
+    ties = base.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    ties = written(ties.select(*[F.col(c).alias(f"_{c}") for c in key], "rows"), "mixing-ties")
+    if ties.isEmpty():
+        return base.drop("_from")
+    same = (F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("unit") == F.col("_unit")))
+    tied = base.join(ties, same).drop("_source", "_size", "_unit")
+    parts = tied.groupBy(*key, "_from").agg(F.count(F.lit(1)).alias("here"))
+    before = Window.partitionBy(*key).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_from").alias("_part"),
+                         F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset"))
+    number = F.row_number().over(Window.partitionBy(*key, "_from").orderBy(F.lit(0))) - 1
+    tied = tied.withColumn("number", number).join(parts, same & (F.col("_from") == F.col("_part")))
+    moved = F.col("unit") + (F.col("offset") + F.col("number")) / F.col("rows")
+    tied = tied.withColumn("unit", moved - F.floor(moved))
+    alone = base.join(ties, same, "left_anti")
+    return written(alone.unionByName(tied.select(*base.columns)).drop("_from"), "mixing-apart")
+
+
 def mix(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 7) -> DataFrame:
     """``keep`` columns of every document, size, source_size, target, rate, copies and taken (= copies * size).
 
     ``docs`` needs doc_id, text and source. A null text has size 0; a null source
-    is a source of its own, the last; documents of size 0 take 0 tokens. Rows that
-    repeat a doc_id with one source and size get the same number of copies. Rates above
-    ``cap`` do not occur, so neither do more copies than that.
+    is a source of its own, the last; documents of size 0 take 0 tokens. Null and repeated doc_ids are rows like
+    others; of equal rows, some get one more copy than others, and which is the same to the result. Rates above
+    ``cap`` do not occur, so neither do more copies than that. An empty table gives no rows; columns not named are not read, and
+    ``keep`` may have any names but those that are added.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    unit = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    whole_row = [*dict.fromkeys([*keep, "doc_id", "text"])]  # hashes skip nulls, so which are null is hashed too
+    row = F.xxhash64(F.lit(seed), *whole_row, *[F.col(c).isNull() for c in whole_row])
+    unit = F.pmod(row, F.lit(1 << 52)) / F.lit(float(1 << 52))
     names = [f"_k{i}" for i in range(len(keep))]
     base = written(docs.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], "source", size.alias("size"),
-                               unit.alias("unit")), "mixing-docs")
+                               unit.alias("unit"), F.spark_partition_id().alias("_from")), "mixing-docs")
+    base = _apart(base)
     hist = written(base.groupBy("source", "size").agg(F.count("*").alias("n")), "mixing-hist")
     wanted = targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), weights, cap)
     state = tilted(hist, wanted, cap)

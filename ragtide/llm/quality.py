@@ -172,9 +172,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     ``failed_rules``. Null text counts as empty; a null stratum is a stratum of
     its own; repeated rows each get their row; labels that repeat a doc_id with
     different values, or with a null quality, are left out of the holdout; a
-    stratum without labels certifies nothing and loses only base failures.
+    stratum without labels certifies nothing and loses only base failures. The bound needs independent
+    trials, so a labelled doc_id counts once in the holdout (with its first text, if it has several), and so does a text of a stratum
+    (not at all if its labels differ), however many rows repeat them. An empty table gives no rows; other columns are not
+    read. A text is handled whole, in one task.
     """
-    feats = with_features(docs.select("doc_id", F.col(stratum).alias("_stratum"), "text"), ["doc_id", "_stratum"])
+    texts = docs.select("doc_id", F.col(stratum).alias("_stratum"), "text", F.xxhash64("text").alias("_t1"),
+                        F.xxhash64(F.lit(1), "text").alias("_t2"))
+    feats = with_features(texts, ["doc_id", "_stratum", "_t1", "_t2"])
     feats = feats.withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     truth = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
@@ -182,8 +187,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
              .select("doc_id", F.col("lo").alias("quality")))
     # The features are computed twice, here and for the verdict below: joining before them would shuffle whole
     # texts once the labels are too many to broadcast, and keeping them would write the corpus' counts to disk.
-    held = written(feats.where(~F.col("base_failed")).join(truth, "doc_id").select("_stratum", "quality", "levels"),
-                   "quality-held")
+    held = feats.where(~F.col("base_failed")).join(truth, "doc_id")
+    # one trial a doc_id, then one a text; the aggregations add up in each task first, so no id or text is gathered anywhere
+    held = held.groupBy("doc_id").agg(F.min(F.struct("_stratum", "_t1", "_t2", "levels", "quality")).alias("t")).select("t.*")
+    held = held.groupBy("_stratum", "_t1", "_t2").agg(
+        F.first("levels").alias("levels"), F.min("quality").alias("quality"), F.max("quality").alias("_other"))
+    held = written(held.where("quality = _other").select("_stratum", "quality", "levels"), "quality-held")
     every = F.concat("levels", F.array(F.array_max("levels")))
     hist = (held.select("_stratum", "quality", F.posexplode(every).alias("rule", "level"))
             .groupBy("_stratum", "quality", "rule", "level").count().collect())  # strata * 2 * (rules + 1) * levels rows
@@ -201,4 +210,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
         if gain >= gains[s]:
             cut.update({(s, rule): t for rule in range(len(RULES))})
     out = feats.withColumn("failed_rules", failed_by(cut))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_stratum")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_stratum", "_t1", "_t2")

@@ -518,3 +518,54 @@ def test_templates_against_a_plain_count(spark):
         for i, url, text in rows:
             if url.split("/")[2] == name:
                 assert got[i] == html.main_text(html.parse(text), frozenset(template))
+
+
+def test_equal_rows_reach_their_target(spark):
+    """Rows that are equal in everything share their copies out: sources of one class each, and one of many classes."""
+    rows = [(None, "one two three", "a")] * 1000 + [(5, "w " * 7, "b")] * 333 + [(5, "v " * 7, "b")] * 34
+    rows += [(i, "x " * (i % 40), "c") for i in range(800)] + [(None, "y " * (i % 5), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = []
+    for parts in (3, 7):
+        out = mixing.mix(df.repartition(parts), ["doc_id", "text"]).collect()
+        assert len(out) == len(rows)
+        runs.append(sorted((r.doc_id is None, r.doc_id or 0, r.text, r.copies) for r in out))
+        taken, target, largest = {}, {}, {}
+        for (d, t, s), r in zip(sorted(rows, key=repr), out):
+            assert r.taken == r.copies * r.size <= 3 * r.size
+        for r in out:
+            key = r.target
+            taken[key] = taken.get(key, 0) + r.taken
+            largest[key] = max(largest.get(key, 0), r.size)
+        assert all(abs(taken[t] - t) <= largest[t] + 1 for t in taken), taken
+    assert runs[0] == runs[1]  # whatever the partitioning
+
+
+def test_repeated_rows_are_one_trial(spark):
+    """12 good labelled documents prove nothing, however many rows repeat them; nor do copies under other ids."""
+    r = random.Random(5)
+    good = [" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(12)]
+    bad = [" ".join(f"w{r.randrange(5000)}%%%" for _ in range(60)) for _ in range(12)]
+    once = [(i, t, "en") for i, t in enumerate(good)] + [(100 + i, t, "en") for i, t in enumerate(bad)]
+    labels = [(i, int(i < 100)) for i, _, _ in once]
+    copies = [(1000 * k + i, t, lang) for k in range(1, 20) for i, t, lang in once]
+    more = [(1000 * k + i, q) for k in range(1, 20) for i, q in labels]
+    schema = "doc_id long, text string, lang string"
+    for docs, marks in ((once, labels), (once * 10, labels), (once + copies, labels + more)):
+        out = quality.quality_rules(spark.createDataFrame(docs, schema), spark.createDataFrame(marks, "doc_id long, quality int"))
+        assert out.count() == len(docs) and out.where("not kept").count() == 0
+    # 300 different good texts do
+    many = [(i, " ".join(f"w{r.randrange(5000)}" for _ in range(60)), "en") for i in range(300)] + once[12:] * 10
+    marks = [(i, 1) for i in range(300) if i not in range(100, 112)] + labels[12:]
+    many = [x for x in many if x[0] not in range(100, 112) or x in once]
+    out = quality.quality_rules(spark.createDataFrame(many, schema), spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    assert all(x.kept == (x.doc_id not in range(100, 112)) for x in out)
+
+
+def test_conflicting_and_empty_holdouts(spark):
+    schema, t = "doc_id long, text string, lang string, levels int, kept int", "a b c " * 30
+    docs = spark.createDataFrame([(1, t, "en", 1, 1), (2, t, "en", 1, 1), (None, None, None, 1, 1), (3, "", "de", 1, 1)], schema)
+    marks = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    out = quality.quality_rules(docs, marks)
+    assert out.count() == 4 and quality.quality_rules(docs, marks.where("false")).count() == 4
+    assert quality.quality_rules(docs.where("false"), marks).count() == 0
