@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +35,24 @@ def scratch(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+def copy_numbers(rows: DataFrame, key: list[str], out: str, origin: str) -> DataFrame:
+    """``rows`` with ``out``, a number from 0 among the rows of equal ``key`` columns, in no particular order.
+
+    A key may hold a third of all rows: they are numbered within each value of ``origin`` (the partition that a row
+    came from when ``rows`` were written), with an offset for each, so no key is gathered in one task."""
+    names = [f"_{out}_{i}" for i in range(len(key) + 2)]
+    here = rows.groupBy(*key, origin).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*key).orderBy(origin).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    here = here.select(*[F.col(c).alias(n) for c, n in zip([*key, origin], names)],
+                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias(names[-1]))
+    same = F.lit(True)
+    for c, n in zip([*key, origin], names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    number = F.row_number().over(Window.partitionBy(*key, origin).orderBy(F.lit(0))) - 1
+    numbered = rows.withColumn(out, number).join(here, same)
+    return numbered.withColumn(out, F.col(out) + F.col(names[-1])).drop(*names)
+
+
 def fold(col: Column | str, parts: int) -> Column:
     """crc32 of the id as text modulo ``parts`` (a null id counts as the empty text)."""
     c = F.col(col) if isinstance(col, str) else col

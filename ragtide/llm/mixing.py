@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtide.llm.common import WORD, written
+from ragtide.llm.common import WORD, copy_numbers, written
 
 BINS = 4096
 D = "decimal(38,6)"
@@ -110,13 +110,8 @@ def _apart(base: DataFrame) -> DataFrame:
         return base.drop("_from")
     same = (F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("unit") == F.col("_unit")))
     tied = base.join(ties, same).drop("_source", "_size", "_unit")
-    parts = tied.groupBy(*key, "_from").agg(F.count(F.lit(1)).alias("here"))
-    before = Window.partitionBy(*key).orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_from").alias("_part"),
-                         F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset"))
-    number = F.row_number().over(Window.partitionBy(*key, "_from").orderBy(F.lit(0))) - 1
-    tied = tied.withColumn("number", number).join(parts, same & (F.col("_from") == F.col("_part")))
-    moved = F.col("unit") + (F.col("offset") + F.col("number")) / F.col("rows")
+    tied = copy_numbers(tied, key, "number", "_from")
+    moved = F.col("unit") + F.col("number") / F.col("rows")
     tied = tied.withColumn("unit", moved - F.floor(moved))
     alone = base.join(ties, same, "left_anti")
     return written(alone.unionByName(tied.select(*base.columns)).drop("_from"), "mixing-apart")

@@ -132,3 +132,19 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     frame(spark, [(1, "a", "en", "s")]).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_copies_are_segmented_each_for_itself(spark):
+    """Equal rows get different draws, the same ones however the rows lie; texts are whole in each."""
+    texts = [words(k, 30) for k in range(6)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts) for _ in range(3)] + [(None, texts[0], "en", None)] * 5 + [(9, None, "en", "s")] * 2
+    runs = []
+    for parts in (1, 4, 9):
+        out = pieces.decode_column(cp.encode_pieces(spark, frame(spark, rows).repartition(parts), "")).collect()
+        assert sorted(str(x.decoded) for x in out) == sorted(str(r[1]) for r in rows)
+        runs.append(sorted((str(x.doc_id), str(x.ids)) for x in out))
+    assert runs[0] == runs[1] == runs[2]
+    by = {}
+    for i, ids in runs[0]:
+        by.setdefault(i, []).append(ids)
+    assert all(len(set(v)) == len(v) for i, v in by.items() if i != "9")
