@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.llm import mixing, pieces, simhash, suffix, toxicity
-from ragtide.llm.common import table, written
+from ragtide.llm.common import copy_numbers, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier, learned from ``labels``, does not reject."""
+    """Documents that the toxicity classifier, learned from ``labels``, does not reject.
+
+    Null and empty texts are scored like others; repeated rows are judged alike; an empty table gives no rows; columns beyond
+    those of documents are left out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
     return toxicity.score(docs, model, COLUMNS).where("predicted = 0").select(*COLUMNS)
@@ -51,14 +54,24 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as its source's target asks for."""
+    """Every document as many times as its source's target asks for.
+
+    A null source is a source; a null or empty text takes no words and comes at most once; equal rows share their copies out; an empty
+    table gives no rows."""
     out = mixing.mix(docs, COLUMNS).where("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every document, which decode to its text."""
-    return pieces.encode(docs, ["doc_id", "source"], F.xxhash64("doc_id"))
+    """Sampled pieces of every document, which decode to its text.
+
+    The copies of a document get a segmentation each: the key of a row is its whole content and its number among equal rows. A null text
+    has no pieces; an empty table gives no rows."""
+    whole = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2"),
+                        F.spark_partition_id().alias("_from"))
+    keyed = copy_numbers(written(keyed, "pipeline-keyed"), ["_k1", "_k2"], "_copy", "_from")
+    return pieces.encode(keyed, ["doc_id", "source"], F.xxhash64("doc_id", "_k1", "_copy"))
 
 
 STAGES = [
