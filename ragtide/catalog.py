@@ -138,6 +138,13 @@ def q_knn_exact(spark, sf):
     return r.select("query_id", "passage_id", "rank", r6("sim").alias("sim"))
 
 
+def q_knn_blocks(spark, sf):
+    """J1 with more queries than fit one block (100 here): the passages are scanned in place for each."""
+    q, p = vectors(spark, sf)
+    r = knn_exact(q, p, 10, exclude_self=True, max_broadcast_bytes=100 * 64 * 8)
+    return r.select("query_id", "passage_id", "rank", r6("sim").alias("sim"))
+
+
 def q_knn_filtered(spark, sf):
     q, p = vectors(spark, sf)
     r = knn_exact(q, p.filter(F.col("label") == 3), 10, exclude_self=True)
@@ -492,6 +499,7 @@ def q_session_context(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "knn_exact": q_knn_exact,
+    "knn_blocks": q_knn_blocks,
     "knn_filtered": q_knn_filtered,
     "knn_late_fetch": q_knn_late_fetch,
     "knn_lsh": q_knn_lsh,

@@ -4,37 +4,32 @@ Both return ``(query_id, passage_id, sim DOUBLE, rank INT)`` with the ``k``
 best passages per query, ranked by cosine rounded to ``RANK_DECIMALS``
 descending, then passage id ascending. Zero vectors never match.
 
-Exact join, two physical strategies chosen by a size check:
-
-* **broadcast** (query matrix within ``max_broadcast_bytes``): the query
-  vectors ship to every task with the function; passages are scanned in
-  place (no shuffle of the large side) by an Arrow map that multiplies
-  blocks of passages with the query matrix in numpy and keeps a per-query
-  running top-k (all rows tying with the k-th are kept), so each task emits
-  about ``k`` candidates per query.
-* **grid** (beyond the bound): queries are hashed into ``Q`` blocks and
-  passages into ``P`` blocks; a block-level equi-join (cogroup on
-  ``(qblock, pblock)``) multiplies one query block with one passage block per
-  group. Group sizes are bounded by the block sizes, whatever the data.
-
-Either way the global cut is a ``row_number() <= k`` window, which Spark
+Exact join: the query vectors ship to every task with the function, a block of them at a
+time (``max_broadcast_bytes``, which the driver holds once), and passages are scanned in place for
+each block: neither side is shuffled or copied. Within a task, blocks of passages are multiplied with the
+query matrix in numpy and a running top-k is kept per query (all rows tying with the k-th are kept). A
+block of passages has a centroid and a radius, which bound its cosines with each query from above; queries whose
+k-th best so far is beyond the bound skip the block. Each task emits about ``k``
+candidates per query. With several blocks of queries, candidates are written block by block, and merged
+in two levels, so that no query's candidates of all tasks meet at once.
+
+The global cut is a ``row_number() <= k`` window, which Spark
 plans as a partial ``WindowGroupLimit`` before the exchange.
 
 Approximate join: random-hyperplane signatures (Charikar 2002) in ``tables``
-hash tables of ``bits`` bits. Queries and passages meet by an equi-join on
-``(table, signature)``; large buckets are salted into sub-blocks sized from a
-bucket histogram (bounded by ``tables * 2**bits`` rows), so a hot bucket is
-spread over many tasks instead of landing in one. Each group computes exact
-cosines of its block pair and keeps the local top-k; duplicates across
-tables are merged before the global cut.
+hash tables of ``bits`` bits, with multi-probe (Lv et al. 2007): a query also looks into the buckets
+that differ in the bits it is least sure of, by the sum of its margins to those hyperplanes. Queries and passages meet as ids, by an
+equi-join on ``(table, signature)``; large buckets are split on both sides, by a
+bucket histogram (bounded by ``tables * 2**bits`` rows). Distinct pairs fetch their vectors once and get exact cosines.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -43,11 +38,14 @@ from pyspark.sql import types as T
 
 from ragtide.config import RANK_DECIMALS
 from ragtide.functions.text import rank_key
+from ragtide.operators.partitioning import materialise
 
 # Candidates within this distance of a local k-th score are kept, so rows
 # that tie after rounding to RANK_DECIMALS reach the cut in the global order.
 TIE_MARGIN = 1e-8
 DEFAULT_BROADCAST_BYTES = 64 << 20
+#: Groups of scan tasks whose candidates are merged first.
+MERGE_GROUPS = 64
 _CELLS_PER_BLOCK = 1 << 22  # score-matrix cells per numpy block (32 MB)
 
 
@@ -96,6 +94,19 @@ def _block_candidates(pn, pids, qn, qids, k, thr, exclude_self):
     return qj, pi, s[pi, qj]
 
 
+def _upper_bounds(pn: np.ndarray, qn: np.ndarray) -> np.ndarray:
+    """An upper bound of each query's cosines with a block of unit vectors, from the block's centroid and radius:
+    the angle to a vector is at least the angle to the centroid less the radius."""
+    centre = pn.mean(axis=0)
+    norm = np.sqrt((centre * centre).sum())
+    if norm < 1e-12:
+        return np.ones(len(qn))
+    centre /= norm
+    radius = np.arccos(np.clip((pn @ centre).min(), -1.0, 1.0))
+    angle = np.arccos(np.clip(qn @ centre, -1.0, 1.0))
+    return np.cos(np.maximum(0.0, angle - radius)) + 1e-9
+
+
 def _compact(q, p, s, k, nq):
     """Keep per query its first ``k`` candidates in the global order (rounded cosine,
     then passage id); return the survivors and the per-query threshold."""
@@ -130,6 +141,7 @@ class TopKAccumulator:
         self.rows = max(k + 1, _CELLS_PER_BLOCK // max(self.nq, 1))
         self.q, self.p, self.s = [], [], []
         self.held = 0
+        self.skipped = 0  # cosines that bounds made needless
 
     def add(self, pids: np.ndarray, pmat: np.ndarray) -> None:
         if self.nq == 0 or len(pids) == 0:
@@ -138,13 +150,20 @@ class TopKAccumulator:
         pids = pids[ok]
         for start in range(0, len(pids), self.rows):
             blk = pids[start:start + self.rows]
-            qi, pi, s = _block_candidates(pn[start:start + self.rows], blk, self.qn, self.qids, self.k,
-                                          self.thr, self.exclude_self)
+            mat = pn[start:start + self.rows]
+            may = np.flatnonzero(_upper_bounds(mat, self.qn) >= self.thr - TIE_MARGIN)
+            self.skipped += (self.nq - len(may)) * len(blk)
+            if len(may) == 0:
+                continue
+            some = len(may) < self.nq
+            qi, pi, s = _block_candidates(mat, blk, self.qn[may] if some else self.qn, self.qids[may] if some else self.qids,
+                                          self.k, self.thr[may] if some else self.thr, self.exclude_self)
+            qi = may[qi] if some else qi
             self.q.append(qi)
             self.p.append(blk[pi])
             self.s.append(s)
             self.held += len(qi)
-            if self.held > 4 * self.k * self.nq + 100_000:
+            if self.held > 3 * self.k * self.nq + 100 or not np.isfinite(self.thr).any():
                 self._compact()
 
     def _compact(self) -> None:
@@ -174,8 +193,8 @@ def topk_pairs(qids: np.ndarray, qmat: np.ndarray, pids: np.ndarray, pmat: np.nd
 # ---------------------------------------------------------------------------
 
 
-def _final_cut(cand: DataFrame, qid: str, pid: str, k: int) -> DataFrame:
-    w = Window.partitionBy(qid).orderBy(rank_key("sim").desc(), F.col(pid).asc())
+def _final_cut(cand: DataFrame, qid: str, pid: str, k: int, *within: str) -> DataFrame:
+    w = Window.partitionBy(qid, *within).orderBy(rank_key("sim").desc(), F.col(pid).asc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -204,32 +223,45 @@ def knn_exact(
     grid_query_rows: int = 8192,
     grid_passage_rows: int = 65536,
 ) -> DataFrame:
-    """Exact cosine top-``k`` passages per query (J1, O7). Ids must be BIGINT."""
+    """Exact cosine top-``k`` passages per query (J1, O7). Ids must be BIGINT.
+
+    ``max_broadcast_bytes`` bounds a block of queries (0: ``grid_query_rows`` of them), ``grid_passage_rows`` the
+    passages multiplied with it at once."""
     q = queries.select(F.col(qid).cast("bigint").alias(qid), F.col(qvec).alias("_qv")).filter(
         F.col(qid).isNotNull() & F.col("_qv").isNotNull())
     p = passages.select(F.col(pid).cast("bigint").alias(pid), F.col(pvec).alias("_pv")).filter(
         F.col(pid).isNotNull() & F.col("_pv").isNotNull())
-    # One small action: query count and vector width decide the strategy.
+    # One small action: query count and vector width decide the number of blocks.
     probe = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
     nq, d = int(probe["n"]), int(probe["d"] or 0)
     if nq == 0 or d <= 0:
         return _empty_result(queries.sparkSession, qid, pid)
-    if nq * d * 8 <= max_broadcast_bytes:
-        cand = _broadcast_candidates(q, p, k, qid, pid, exclude_self)
-    else:
-        cand = _grid_candidates(q, p, k, qid, pid, exclude_self, nq, grid_query_rows, grid_passage_rows)
-    return _final_cut(cand, qid, pid, k)
-
-
-def _broadcast_candidates(q, p, k, qid, pid, exclude_self):
-    # Size checked by the caller: nq * d * 8 <= max_broadcast_bytes.
+    rows = max_broadcast_bytes // (8 * d) or (1 if max_broadcast_bytes else grid_query_rows)
+    blocks = math.ceil(nq / rows)
+    if blocks == 1:
+        return _final_cut(_scan(q, p, k, qid, pid, exclude_self, grid_passage_rows), qid, pid, k)
+    # Hashed blocks hold a little more than their share at times, which the half as much again allows for.
+    blocks = math.ceil(1.5 * nq / rows)
+    q = materialise(q.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks))), "knn-queries")
+    found = None
+    for b in range(blocks):  # the driver and the tasks hold one block at a time
+        part = _scan(q.where(F.col("_block") == b).drop("_block"), p, k, qid, pid, exclude_self, grid_passage_rows)
+        part = materialise(part.withColumn("_from", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))), "knn-candidates")
+        found = part if found is None else found.unionByName(part)
+    first = _final_cut(found, qid, pid, k, "_from").drop("_from", "rank")
+    return _final_cut(first, qid, pid, k)
+
+
+def _scan(q: DataFrame, p: DataFrame, k: int, qid: str, pid: str, exclude_self: bool, passage_rows: int) -> DataFrame:
+    """About ``k`` candidates of each query from every task of the passages' scan. The caller checks the queries' size."""
     tbl = q.toArrow()
     qids = tbl.column(qid).to_numpy()
     qmat = _as_matrix(tbl.column("_qv"))
     out_schema = f"{qid} long, {pid} long, sim double"
 
-    def scan(batches):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = TopKAccumulator(qids, qmat, k, exclude_self)
+        acc.rows = min(acc.rows, max(k + 1, passage_rows))
         for rb in batches:
             if rb.num_rows:
                 acc.add(rb.column(pid).to_numpy(), _as_matrix(rb.column("_pv")))
@@ -240,32 +272,6 @@ def _broadcast_candidates(q, p, k, qid, pid, exclude_self):
     return p.mapInArrow(scan, out_schema)
 
 
-def _grid_candidates(q, p, k, qid, pid, exclude_self, nq, grid_query_rows, grid_passage_rows):
-    n_p = p.count()
-    nqb = max(1, math.ceil(nq / grid_query_rows))
-    npb = max(1, math.ceil(n_p / grid_passage_rows))
-    qb = q.withColumn("qb", F.pmod(F.xxhash64(qid), F.lit(nqb))).withColumn(
-        "pb", F.explode(F.sequence(F.lit(0), F.lit(npb - 1))))
-    pb = p.withColumn("pb", F.pmod(F.xxhash64(pid), F.lit(npb))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
-    return qb.groupBy("qb", "pb").cogroup(pb.groupBy("qb", "pb")).applyInPandas(
-        _cogroup_kernel(qid, pid, k, exclude_self), f"{qid} long, {pid} long, sim double")
-
-
-def _cogroup_kernel(qid, pid, k, exclude_self):
-    def kernel(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or pdf.empty:
-            return pd.DataFrame({qid: pd.Series([], dtype="int64"), pid: pd.Series([], dtype="int64"),
-                                 "sim": pd.Series([], dtype="float64")})
-        qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in qdf["_qv"]])
-        pmat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_pv"]])
-        qi, pi, s = topk_pairs(qdf[qid].to_numpy(np.int64), qmat, pdf[pid].to_numpy(np.int64), pmat, k,
-                               exclude_self)
-        return pd.DataFrame({qid: qi, pid: pi, "sim": s})
-
-    return kernel
-
-
 # ---------------------------------------------------------------------------
 # Approximate join by random-hyperplane hashing
 # ---------------------------------------------------------------------------
@@ -275,23 +281,72 @@ def hyperplanes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables * bits, dim))
 
 
-def _signature_udf(planes: np.ndarray, tables: int, bits: int):
+def probe_order(margins: np.ndarray, probes: int) -> np.ndarray:
+    """(n, probes) masks of the bits to flip, from the margins (n, bits) to their hyperplanes: none first, then the sets of bits
+    with the smallest sum of margins.
+
+    All subsets of a set come before it, and so do the sets with a smaller bit in the place of its largest: the first ``probes`` sets
+    have at most log2(probes) bits, all among the ``probes`` smallest."""
+    bits = margins.shape[1]
+    considered, most = min(bits, probes), probes.bit_length()
+    least = np.argsort(margins, axis=1, kind="stable")[:, :considered]
+    small = np.take_along_axis(margins, least, axis=1)
+    chosen = [c for size in range(min(most, considered + 1)) for c in combinations(range(considered), size)]
+    sets = np.zeros((len(chosen), considered))
+    for i, c in enumerate(chosen):
+        sets[i, list(c)] = 1
+    order = np.argsort(small @ sets.T, axis=1, kind="stable")[:, :probes]
+    return (sets[order].astype(np.int64) * (1 << least)[:, None, :]).sum(axis=2)
+
+
+def _bucket_udf(planes: np.ndarray, tables: int, bits: int, probes: int):
+    """The buckets of a vector: for each table its signature, and for ``probes`` > 1 those of the next likely ones."""
     weights = (1 << np.arange(bits)).astype(np.int64)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def signatures(vecs: pa.Array) -> pa.Array:
+    def buckets(vecs: pa.Array) -> pa.Array:
         m = _as_matrix(vecs)
         n = m.shape[0]
         if n == 0:
             return pa.array([], type=pa.list_(pa.int32()))
         if m.shape[1] == 0:
             m = np.zeros((n, planes.shape[1]))
-        side = (m @ planes.T) > 0  # (n, tables*bits)
-        sig = (side.reshape(n, tables, bits).astype(np.int64) * weights).sum(axis=2).astype(np.int32)
-        offsets = pa.array(np.arange(0, (n + 1) * tables, tables, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(sig.ravel(), type=pa.int32()))
+        dots = (m @ planes.T).reshape(n * tables, bits)
+        sig = ((dots > 0).astype(np.int64) * weights).sum(axis=1)
+        if probes > 1:
+            sig = (sig[:, None] ^ probe_order(np.abs(dots), probes)).reshape(n, -1)
+        flat = sig.astype(np.int32).reshape(n, -1)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1])
+        return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel(), type=pa.int32()))
+
+    return buckets
+
+
+def lsh_pairs(q: DataFrame, p: DataFrame, qid: str, pid: str, dim: int, tables: int, bits: int, probes: int, seed: int,
+              max_group_rows: int) -> DataFrame:
+    """Distinct (qid, pid) that share a bucket, as ids only."""
+    planes = hyperplanes(dim, tables, bits, seed)
+    probes = min(probes, 1 << bits)
+
+    def bucketed(df: DataFrame, id_: str, vec: str, each: int) -> DataFrame:
+        rows = df.select(id_, F.posexplode(_bucket_udf(planes, tables, bits, each)(F.col(vec))).alias("i", "sig"))
+        return materialise(rows.select(id_, F.floor(F.col("i") / each).cast("int").alias("tbl"), "sig"), "lsh-buckets")
 
-    return signatures
+    pk, qk = bucketed(p, pid, "_pv", 1), bucketed(q, qid, "_qv", probes)
+
+    def splits(rows: DataFrame, out: str) -> DataFrame:
+        # At most tables * 2**bits rows, so broadcasting it is bounded.
+        return F.broadcast(rows.groupBy("tbl", "sig").agg(F.greatest(F.lit(1), F.ceil(
+            F.count(F.lit(1)) / F.lit(max_group_rows))).cast("int").alias(out)))
+
+    parts, asks = splits(pk, "p_splits"), splits(qk, "q_splits")
+    keys = ["tbl", "sig"]
+    pk, qk = (x.join(parts, keys).join(asks, keys) for x in (pk, qk))
+    own = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pk = pk.select(*keys, pid, own(pid, "p_splits").alias("ps"), every("q_splits").alias("qs"))
+    qk = qk.select(*keys, qid, own(qid, "q_splits").alias("qs"), every("p_splits").alias("ps"))
+    return pk.join(qk, [*keys, "ps", "qs"]).select(qid, pid).distinct()
 
 
 def knn_lsh(
@@ -308,9 +363,11 @@ def knn_lsh(
     seed: int = 17,
     max_group_rows: int = 20000,
     exclude_self: bool = False,
+    probes: int = 1,
 ) -> DataFrame:
-    """Approximate cosine top-``k`` (J2): only pairs sharing a signature in some
-    table are scored (exactly). Recall grows with ``tables``, falls with ``bits``."""
+    """Approximate cosine top-``k`` (J2): only pairs sharing a bucket in some
+    table are scored (exactly). Recall grows with ``tables`` and ``probes``, the buckets a query looks into per table, and falls with
+    ``bits``; fewer tables with more probes keep fewer ids of the passages."""
     q = queries.select(F.col(qid).cast("bigint").alias(qid), F.col(qvec).alias("_qv")).filter(
         F.col(qid).isNotNull() & F.col("_qv").isNotNull())
     p = passages.select(F.col(pid).cast("bigint").alias(pid), F.col(pvec).alias("_pv")).filter(
@@ -318,24 +375,23 @@ def knn_lsh(
     d = _vector_dim(p, "_pv")
     if d == 0:
         return _empty_result(queries.sparkSession, qid, pid)
-    sig = _signature_udf(hyperplanes(d, tables, bits, seed), tables, bits)
-
-    def bucketed(df, vec):
-        return df.select("*", F.posexplode(sig(F.col(vec))).alias("tbl", "sig"))
-
-    pk = bucketed(p, "_pv")
-    qk = bucketed(q, "_qv")
-    # Histogram of passage buckets: at most tables * 2**bits rows, so broadcasting it is bounded.
-    hist = pk.groupBy("tbl", "sig").agg(F.count(F.lit(1)).alias("n")).select(
-        "tbl", "sig", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(max_group_rows))).cast("int").alias("salts"))
-    hist = F.broadcast(hist)
-    keys = ["tbl", "sig", "salt"]
-    pk = pk.join(hist, ["tbl", "sig"]).select(
-        "tbl", "sig", F.pmod(F.xxhash64(pid), F.col("salts")).cast("int").alias("salt"), pid, "_pv")
-    qk = qk.join(hist, ["tbl", "sig"]).select(
-        "tbl", "sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), qid, "_qv")
-    cand = qk.groupBy(*keys).cogroup(pk.groupBy(*keys)).applyInPandas(
-        _cogroup_kernel(qid, pid, k, exclude_self), f"{qid} long, {pid} long, sim double")
-    # One partitioning by query serves both the pair merge and the final window.
-    merged = cand.repartition(qid).groupBy(qid, pid).agg(F.max("sim").alias("sim"))
-    return _final_cut(merged, qid, pid, k)
+    pairs = lsh_pairs(q, p, qid, pid, d, tables, bits, probes, seed, max_group_rows)
+    if exclude_self:
+        pairs = pairs.where(F.col(qid) != F.col(pid))
+    # Vectors join the distinct pairs, so each pair has them once, not once a table.
+    met = pairs.join(p, pid).join(q, qid)
+    schema = f"{qid} long, {pid} long, sim double"
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            a, b = _as_matrix(rb.column(2)), _as_matrix(rb.column(3))
+            norm = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+            ok = norm > 0
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(0).filter(pa.array(ok)), rb.column(1).filter(pa.array(ok)),
+                 pa.array((a[ok] * b[ok]).sum(axis=1) / norm[ok])], names=[qid, pid, "sim"])
+
+    found = met.select(qid, pid, "_qv", "_pv").mapInArrow(cosines, schema)
+    return _final_cut(found, qid, pid, k)

@@ -317,6 +317,7 @@ def oracle_sql() -> dict[str, str]:
     chain = chain_ctes()
     q: dict[str, str] = {}
     q["knn_exact"] = _knn() + "\nSELECT query_id, passage_id, rank, round(sim, 6) AS sim FROM r WHERE rank <= 10"
+    q["knn_blocks"] = q["knn_exact"]
     q["knn_filtered"] = _knn("AND b.label = 3") + \
         "\nSELECT query_id, passage_id, rank, round(sim, 6) AS sim FROM r WHERE rank <= 10"
     q["knn_late_fetch"] = _knn() + \

@@ -92,3 +92,70 @@ def test_lsh_recall_on_clustered(spark):
     # every returned neighbour carries its exact cosine and ranks are 1..n
     for r in got.values():
         assert len(r) == len(set(r)) <= 10
+
+
+def test_bounds_skip_blocks_and_lose_nothing():
+    """Clustered passages, block by block: most blocks cannot reach a query's k-th best."""
+    from ragtide.operators.knn import TopKAccumulator, _upper_bounds
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 24))
+    blocks = [c + 0.1 * rng.standard_normal((100, 24)) for c in centres]
+    q = centres[:7] + 0.1 * rng.standard_normal((7, 24))
+    acc = TopKAccumulator(np.arange(7), q, 5)
+    for i, b in enumerate(blocks):
+        acc.add(np.arange(i * 100, i * 100 + 100), b)
+    qi, pi, s = acc.result()
+    every = np.vstack(blocks)
+    want = brute(np.arange(7), q, np.arange(len(every)), every, 5)
+    assert {int(i): pi[qi == i].tolist() for i in range(7)} == want
+    assert acc.skipped > 0.5 * 7 * len(every)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    for m in (*blocks[:5], rng.standard_normal((50, 24)), np.zeros((1, 24)) + 1, np.vstack([centres[:1], -centres[:1]])):
+        assert (_upper_bounds(unit(m), unit(q)) >= (unit(q) @ unit(m).T).max(axis=1)).all()
+
+
+def test_many_blocks_of_queries(spark, data):
+    qids, q, pids, p = data
+    qdf, pdf = frames(spark, qids, q, pids, p)
+    want = brute(qids, q.astype(np.float64), pids, p.astype(np.float64), 7)
+    for budget in (16 * 8, 16 * 8 * 4, 1):
+        assert as_lists(knn_exact(qdf, pdf.repartition(11), 7, max_broadcast_bytes=budget)) == want
+    plan = knn_exact(qdf, pdf, 7, max_broadcast_bytes=16 * 8 * 10)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Cartesian" not in plan
+
+
+def test_probes_go_by_the_sum_of_margins():
+    from itertools import combinations
+
+    from ragtide.operators.knn import probe_order
+
+    m = np.random.default_rng(2).random((20, 7))
+    got = probe_order(m, 9)
+    for row, masks in zip(m, got.tolist()):
+        sets = [sum(1 << i for i in c) for r in range(8) for c in combinations(range(7), r)]
+        cost = {x: sum(row[i] for i in range(7) if x >> i & 1) for x in sets}
+        assert masks[0] == 0 and len(set(masks)) == 9
+        assert np.allclose([cost[x] for x in masks], sorted(cost.values())[:9])
+
+
+def test_multi_probe_recall_with_few_pairs(spark):
+    """Recall of at least 0.9 from under a quarter of the pairs; four tables with probes against one without."""
+    from ragtide.operators.knn import lsh_pairs
+
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 32))
+    p = np.vstack([c + 0.35 * rng.standard_normal((50, 32)) for c in centres])
+    q = np.vstack([c + 0.35 * rng.standard_normal((3, 32)) for c in centres])
+    pids, qids = np.arange(len(p)), np.arange(10_000, 10_000 + len(q))
+    qdf, pdf = frames(spark, qids, q, pids, p)
+    want = brute(qids, q, pids, p, 10)
+
+    def recall(**more):
+        got = as_lists(knn_lsh(qdf, pdf, 10, tables=4, bits=8, max_group_rows=20, **more))
+        return sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) / sum(map(len, want.values()))
+
+    alone, probed = recall(), recall(probes=6)
+    a, b = (x.withColumnRenamed(c, d) for x, c, d in ((qdf, "query_vec", "_qv"), (pdf, "embedding", "_pv")))
+    share = lsh_pairs(a, b, "query_id", "passage_id", 32, 4, 8, 6, 17, 20).count() / (len(p) * len(q))
+    assert probed >= 0.9 > alone and share < 0.25, (alone, probed, share)
