@@ -37,7 +37,7 @@ from ragtide.operators.partitioning import broadcast_if, materialise
 from ragtide.operators.passages import metadata_field
 from ragtide.operators.rerank import Bm25Scorer, norerank_prefix, rerank_topk
 from ragtide.operators.rewrite import default_rewriter, expand_queries, parse_rewrites
-from ragtide.operators.session import session_context
+from ragtide.operators.session import session_context, session_history
 from ragtide.plans.index import build_passages, chunk_table, passage_stats
 from ragtide.plans.retrieve import (
     Models,
@@ -497,6 +497,12 @@ def q_session_context(spark, sf):
     return s.select("conv_id", "turn", "n_history", "history")
 
 
+def q_session_history(spark, sf):
+    """T1 for the turns to be answered: the users'."""
+    s = session_history(table(spark, sf, "conversations"), "role = 'user'")
+    return s.select("conv_id", "turn", "n_history", "history")
+
+
 QUERIES: dict[str, Query] = {
     "knn_exact": q_knn_exact,
     "knn_blocks": q_knn_blocks,
@@ -542,6 +548,7 @@ QUERIES: dict[str, Query] = {
     "metrics_by_model": q_metrics_by_model,
     "eval_summary": q_eval_summary,
     "session_context": q_session_context,
+    "session_history": q_session_history,
 }
 
 __all__ = ["QUERIES"]

@@ -13,12 +13,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragtide.functions import porter
 from ragtide.functions.text import split_nonempty_words
+from ragtide.operators.session import positions
 
 BLEU_EPSILON = 0.1  # smoothing method 1: zero numerators become epsilon
 
@@ -56,10 +57,10 @@ def ngrams(toks: Column, n: int) -> Column:
 def zip_pairs(candidates: DataFrame, references: DataFrame, group: str, order: str,
               cand_col: str = "candidate", ref_col: str = "reference") -> DataFrame:
     """Pair the i-th candidate with the i-th reference of each group (inner
-    equi-join on an explicit ordinal: the shorter side wins)."""
-    w = Window.partitionBy(group).orderBy(order)
-    c = candidates.select(group, F.row_number().over(w).alias("item_ord"), F.col(cand_col).alias("candidate"))
-    r = references.select(group, F.row_number().over(w).alias("item_ord"), F.col(ref_col).alias("reference"))
+    equi-join on an explicit ordinal: the shorter side wins). A large group is numbered block by block."""
+    c, r = (positions(x.select(group, order, F.col(text).alias(name)), group, order).select(
+        group, F.col("position").cast("int").alias("item_ord"), name)
+        for x, text, name in ((candidates, cand_col, "candidate"), (references, ref_col, "reference")))
     return c.join(r, [group, "item_ord"])
 
 

@@ -488,4 +488,5 @@ SELECT a.conv_id, a.turn, CAST(count(b.rn) AS INTEGER) AS n_history,
          AS history
 FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.rn < a.rn
 GROUP BY a.conv_id, a.turn"""
+    q["session_history"] = q["session_context"].replace("GROUP BY", "WHERE a.role = 'user' GROUP BY")
     return q

@@ -140,3 +140,42 @@ def test_comparison_returns_its_rewrites(spark, served):
     for r in expand_queries(qs).where("query_ord > 0").orderBy("query_ord").collect():
         want.setdefault(r.question_id, []).append(r.query_text)
     assert {r.question_id: r.rewrites for r in out} == want
+
+
+def test_histories_of_wanted_turns_equal_those_of_all(spark):
+    from ragtide.operators.session import SEGMENT, session_context, session_history
+
+    rng = random.Random(1)
+    rows = [(s, t, rng.choice(["user", None, "assistant"]), rng.choice([None, "", "a\nb", f"t{t}"]))
+            for s, n in ((1, 3 * SEGMENT + 2), (2, SEGMENT), (3, 1), (None, SEGMENT + 1), (4, 5)) for t in range(n)]
+    rows = [(s, 7 * t - 3000 if s == 1 else t, *more) for s, t, *more in rows]  # gaps and negative numbers
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for wanted in ("role = 'user'", "true", "turn % 64 in (0, 1, 63) or conv_id is null"):
+        got = session_history(df.repartition(5), wanted).collect()
+        want = session_context(df).where(wanted).select(*df.columns, "n_history", "history").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 3
+    assert session_history(df.where("false"), "true").count() == 0
+
+
+def test_a_long_session_is_numbered_in_blocks(spark):
+    from ragtide.operators.session import positions, session_history
+
+    n = 100_000
+    df = spark.range(n).select(F.lit(9).cast("long").alias("conv_id"), (F.col("id") * 2).alias("turn"), F.lit("user").alias("role"),
+                               F.col("id").cast("string").alias("text"))
+    at = positions(df, "conv_id", "turn").withColumn("task", F.spark_partition_id())
+    assert at.where(F.col("position") != F.col("turn") / 2 + 1).count() == 0
+    per_task = [r["count"] for r in at.groupBy("task").count().collect()]
+    assert len(per_task) > 1 and max(per_task) < n / 2
+    last = session_history(df, f"turn = {2 * n - 2} or turn = 128").orderBy("turn").collect()
+    assert [r.n_history for r in last] == [64, n - 1]
+    assert last[1].history == "\n".join(f"user: {i}" for i in range(n - 1))
+
+
+def test_zipping_a_long_group(spark):
+    from ragtide.operators.metrics import zip_pairs
+
+    c = spark.range(5000).select(F.lit("g").alias("k"), F.col("id").alias("o"), F.col("id").alias("v"))
+    r = spark.range(3000).select(F.lit("g").alias("k"), (F.col("id") * 3 + 1).alias("o"), F.col("id").alias("v"))
+    out = zip_pairs(c, r, "k", "o", "v", "v")
+    assert out.count() == 3000 and out.where("candidate <> reference or item_ord <> candidate + 1").count() == 0
