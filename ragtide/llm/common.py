@@ -41,10 +41,8 @@ def copy_numbers(rows: DataFrame, key: list[str], out: str, origin: str) -> Data
     A key may hold a third of all rows: they are numbered within each value of ``origin`` (the partition that a row
     came from when ``rows`` were written), with an offset for each, so no key is gathered in one task."""
     names = [f"_{out}_{i}" for i in range(len(key) + 2)]
-    here = rows.groupBy(*key, origin).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*key).orderBy(origin).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    here = here.select(*[F.col(c).alias(n) for c, n in zip([*key, origin], names)],
-                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias(names[-1]))
+    here = first_numbers(rows, key, origin)
+    here = here.select(*[F.col(c).alias(n) for c, n in zip([*key, origin, "first"], names)])
     same = F.lit(True)
     for c, n in zip([*key, origin], names):
         same = same & F.col(c).eqNullSafe(F.col(n))
@@ -53,6 +51,13 @@ def copy_numbers(rows: DataFrame, key: list[str], out: str, origin: str) -> Data
     return numbered.withColumn(out, F.col(out) + F.col(names[-1])).drop(*names)
 
 
+def first_numbers(rows: DataFrame, key: list[str], origin: str) -> DataFrame:
+    """``key``, ``origin`` and ``first``: how many rows of the key come from smaller origins. A row for each key and origin."""
+    here = rows.groupBy(*key, origin).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*key).orderBy(origin).rowsBetween(Window.unboundedPreceding, -1)
+    return here.select(*key, origin, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+
+
 def fold(col: Column | str, parts: int) -> Column:
     """crc32 of the id as text modulo ``parts`` (a null id counts as the empty text)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -140,24 +140,47 @@ def decode(vocab: Vocabulary, ids: list[int] | np.ndarray) -> str:
     return b"".join(map(vocab.surface.__getitem__, ids))[1:].decode()
 
 
+#: Numbers of equal keys change them by this much.
+APART = 0x9E3779B97F4A7C15
+
+
+def _numbered(keys: np.ndarray, offsets: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """Keys moved by their number: the offset, and how often the key was ``seen`` before."""
+    number = offsets.astype(np.uint64)
+    for i, k in enumerate(keys.tolist()):
+        n = seen.get(k, 0)
+        if n:
+            number[i] += np.uint64(n)
+        seen[k] = n + 1
+    with np.errstate(over="ignore"):
+        return (keys.view(np.uint64) + number * np.uint64(APART)).view(np.int64)
+
+
 def encode(docs: DataFrame, keep: list[str], key: Column, text: str = "text", alpha: float = 1.0,
-           model_file: str = MODEL_FILE) -> DataFrame:
+           model_file: str = MODEL_FILE, first: Column | None = None) -> DataFrame:
     """``keep`` columns, ids (sampled pieces), n_pieces and lossless (the decoded ids equal the text).
 
     A null text has null ids, 0 pieces and is lossless; an empty text is one
     piece or a few for the leading space. Repeated rows with one key get the same
-    segmentation. A null key is a key like any other.
+    segmentation, unless ``first`` is given, the number that a partition's first row of a key has: then
+    the rows of a key in a partition are numbered on from it, and each draws for itself. A null key is a key like any other.
+    Other columns are not read; ``keep`` may have any names but those added. An empty table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Sampler(Vocabulary(model_file), alpha))  # a fixed vocabulary
     schema = schema_of(docs, keep, "ids array<int>, n_pieces long, lossless boolean")
 
+    apart = first is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = shared.value
         vocab = sampler.vocab
+        seen: dict[int, int] = {}
         for b in batches:
             texts = b.column(len(keep) + 1).to_pylist()
             keys = b.column(len(keep)).to_numpy()
+            if apart:
+                keys = _numbered(np.ascontiguousarray(keys), b.column(len(keep) + 2).to_numpy(), seen)
             at = 0
             while at < len(texts):  # some MB of text at a time bound the draws held at once
                 end, chars = at, 0
@@ -178,7 +201,8 @@ def encode(docs: DataFrame, keep: list[str], key: Column, text: str = "text", al
                     names=[*keep, "ids", "n_pieces", "lossless"])
                 at = end
 
-    return docs.select(*keep, key.alias("_key"), F.col(text)).mapInArrow(run, schema)
+    more = [] if first is None else [first.cast("long").alias("_first")]
+    return docs.select(*keep, key.alias("_key"), F.col(text), *more).mapInArrow(run, schema)
 
 
 def decode_column(encoded: DataFrame, ids: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
