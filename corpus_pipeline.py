@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtide.llm import mixing, pieces, simhash, suffix, toxicity
-from ragtide.llm.common import copy_numbers, table, written
+from ragtide.llm.common import first_numbers, table, written
 
+#: Rows of 20 bytes that are broadcast to the encoder; beyond that they are joined by shuffle.
+MOST_LATER = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -68,10 +70,13 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     The copies of a document get a segmentation each: the key of a row is its whole content and its number among equal rows. A null text
     has no pieces; an empty table gives no rows."""
     whole = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
-    keyed = docs.select("doc_id", "source", "text", F.xxhash64(*whole).alias("_k1"), F.xxhash64(F.lit(1), *whole).alias("_k2"),
-                        F.spark_partition_id().alias("_from"))
-    keyed = copy_numbers(written(keyed, "pipeline-keyed"), ["_k1", "_k2"], "_copy", "_from")
-    return pieces.encode(keyed, ["doc_id", "source"], F.xxhash64("doc_id", "_k1", "_copy"))
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64(*whole).alias("_key"), F.spark_partition_id().alias("_from"))
+    # The encoder numbers equal rows within its partition. Only rows whose equals lie in several partitions (copies across a
+    # border) need to know how many came before; these are few, and the texts stay where they are.
+    later = written(first_numbers(keyed.select("_key", "_from"), ["_key"], "_from").where("first > 0"), "pipeline-copies")
+    later = F.broadcast(later) if later.count() <= MOST_LATER else later
+    keyed = keyed.join(later, ["_key", "_from"], "left")
+    return pieces.encode(keyed, ["doc_id", "source"], F.col("_key"), first=F.coalesce("first", F.lit(0)))
 
 
 STAGES = [
