@@ -50,7 +50,7 @@ from ragtide.plans.retrieve import (
 )
 from ragtide.session import ensure_checkpoint_dir
 from ragtide.sources import store
-from ragtide.sources.corpus import articles_from_documents
+from ragtide.sources.corpus import articles_from_documents, parse_corpus_texts
 from ragtide.sources.store import incremental_rows, replaced_rows
 from ragtide.sources.testdata import table
 
@@ -497,6 +497,17 @@ def q_session_context(spark, sf):
     return s.select("conv_id", "turn", "n_history", "history")
 
 
+def q_merge_corpus(spark, sf):
+    """S1 on texts of files: each document as a file with one article, each page as a file that is none."""
+    fields = F.struct(F.col("source").alias("luật"), F.col("doc_id").alias("điều"), F.col("lang").alias("tên_điều"),
+                      F.col("text").alias("nội_dung"))
+    files = table(spark, sf, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("path"), F.to_json(F.array(fields)).alias("raw"))
+    files = files.unionByName(table(spark, sf, "pages").select(F.concat(F.lit("pages/"), "page_id").alias("path"), F.col("html").alias("raw")))
+    arts, rejects = parse_corpus_texts(files)
+    return arts.select("doc_key", "law", "article", "title", F.length("content").alias("n_chars"), F.lit("").alias("reason")).unionByName(
+        rejects.select(F.col("path").alias("doc_key"), "reason"), allowMissingColumns=True)
+
+
 def q_session_history(spark, sf):
     """T1 for the turns to be answered: the users'."""
     s = session_history(table(spark, sf, "conversations"), "role = 'user'")
@@ -509,6 +520,7 @@ QUERIES: dict[str, Query] = {
     "knn_filtered": q_knn_filtered,
     "knn_late_fetch": q_knn_late_fetch,
     "knn_lsh": q_knn_lsh,
+    "merge_corpus": q_merge_corpus,
     "chunk_stats": q_chunk_stats,
     "index_passages": q_index_passages,
     "passage_text": q_passage_text,

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragtide.sources.json_arrays import array_elements
+
 ARTICLE_SCHEMA = "doc_key string, law string, article string, title string, content string"
 
 # JSON keys of an article object in the corpus files.
@@ -21,16 +23,15 @@ def read_corpus_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Data
 
     A file that is not valid JSON, or whose root is not an array, contributes
     nothing and appears in the reject table ``(path, reason)``; so does an
-    array element that is not an object. Each file is one row (``wholetext``),
-    so a single file must fit in memory; the merge itself is distributed.
+    array element that is not an object. A file is read in ranges by as many tasks as it has splits
+    (``json_arrays``).
     """
-    raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(
-        F.input_file_name().alias("path"), F.col("value").alias("raw"))
-    return parse_corpus_texts(raw)
+    elems, bad_files = array_elements(spark, folder)
+    return _articles(elems, bad_files)
 
 
 def parse_corpus_texts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, raw file text) rows -> (articles, rejects); shared by batch and stream."""
+    """(path, raw file text) rows -> (articles, rejects), for files that are at hand as texts."""
     # The root is split into its elements' JSON texts first: a variant is limited to 128 MiB, an element is far
     # smaller than a file.
     is_array = F.ltrim(F.col("raw"), F.lit(" \t\r\n\ufeff")).startswith("[")
@@ -39,6 +40,11 @@ def parse_corpus_texts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad_files = parsed.filter(F.col("es").isNull()).select(
         "path", F.when(F.col("valid"), F.lit("root is not an array")).otherwise(F.lit("malformed json")).alias("reason"))
     elems = parsed.filter(F.col("es").isNotNull()).select("path", F.posexplode("es").alias("pos", "text"))
+    return _articles(elems, bad_files)
+
+
+def _articles(elems: DataFrame, bad_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, pos, text of an element) and rejected files -> (articles, rejects)."""
     elems = elems.select("path", "pos", F.expr("try_parse_json(text)").alias("e"))
     elems = elems.withColumn("is_obj", F.coalesce(F.expr("schema_of_variant(e)").startswith("OBJECT"), F.lit(False)))
     bad_elems = elems.filter(~F.col("is_obj")).select(

@@ -347,6 +347,10 @@ SELECT passage_id, content_key, 'added' FROM batch WHERE content_key NOT IN (SEL
          CASE WHEN coalesce(l.quality, 1) <> 0 THEN d.text END AS content
   FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1),
 {CHUNKS}"""
+    q["merge_corpus"] = """SELECT 'documents/' || doc_id || '#0' AS doc_key, source AS law, CAST(doc_id AS VARCHAR) AS article,
+       lang AS title, CAST(length(text) AS INTEGER) AS n_chars, '' AS reason FROM documents
+UNION ALL
+SELECT 'pages/' || page_id, NULL, NULL, NULL, NULL, 'malformed json' FROM pages"""
     q["reindex_removed"] = second + """
 SELECT doc_key AS doc_id, title, count(*) AS n_passages, CAST(sum(length(chunk_content)) AS BIGINT) AS n_chars,
        count(*) AS n_ids FROM chunks GROUP BY doc_key, title"""
