@@ -8,7 +8,7 @@ lines they are wrapped in). A quotation is joined
 to its original: the earliest turn of the same conversation that wrote the
 passage itself. A message replies to the original of its level-1 quotations
 with the most matching characters (ties: the latest turn); without such a match, to
-the turn before it, if there is one. Threads follow the replies.
+the turn before it, the greatest smaller one, whatever gaps the numbering has. Threads follow the replies.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragtide.llm.common import schema_of, written
@@ -73,6 +73,25 @@ def units(text: str) -> set[str]:
     return got - {""}
 
 
+#: Turn numbers that are looked through together for the turn before.
+BLOCK = 1024
+
+
+def _before(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, before: the greatest smaller turn of distinct (conv_id, turn), null at the first.
+
+    Within blocks of turn numbers, and for a block's first turn from the block before it, so that a conversation with a third of all messages
+    lies on many tasks."""
+    block = F.floor(F.col("turn") / BLOCK)
+    t = turns.withColumn("block", block)
+    ends = t.groupBy("conv_id", "block").agg(F.max("turn").alias("last"))
+    last = F.lag("last").over(Window.partitionBy("conv_id").orderBy("block"))  # a row a block
+    ends = ends.select("conv_id", "block", last.alias("earlier"))
+    inside = F.lag("turn").over(Window.partitionBy("conv_id", "block").orderBy("turn"))
+    t = t.withColumn("inside", inside).join(ends, ["conv_id", "block"])
+    return t.select("conv_id", "turn", F.coalesce("inside", "earlier").alias("before"))
+
+
 def link(messages: DataFrame, rounds: int = 64) -> DataFrame:
     """Every message with its reply links, without quotes, ordered by conversation, thread and turn.
 
@@ -83,7 +102,7 @@ def link(messages: DataFrame, rounds: int = 64) -> DataFrame:
     Null conversations or turns link to nothing and are threads of their own; an
     empty or null text has an empty body. Several rows of one (conv_id, turn) each
     keep their row; other messages reply to the turn, whose own parent is the
-    smallest of its rows' parents.
+    smallest of its rows' parents. Other columns are not read; an empty table gives no rows; a message is parsed whole.
     """
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
 
@@ -128,7 +147,7 @@ def link(messages: DataFrame, rounds: int = 64) -> DataFrame:
         F.max(F.when(F.col("chars") > 0, F.struct("chars", "target"))).alias("m"), F.sum("n").alias("n_linked")).select(
         "row", F.col("m.target").alias("quoted_turn"), "n_linked")
     turns = known.select("conv_id", "turn").distinct()
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
+    before = _before(turns)
     linked = (rows.join(reply, "row", "left").join(before, ["conv_id", "turn"], "left")
               .withColumn("parent_turn", F.coalesce("quoted_turn", "before")))
     linked = written(linked.select("conv_id", "turn", "role", "text", "parent_turn",

@@ -401,7 +401,7 @@ def test_quotes_link_replies(spark):
     assert by[1, 3].body == "Back to the first." and by[1, 3].n_linked == 1 and by[1, 3].n_quoted_lines == 1
     assert by[1, 4].body == "I see." and by[1, 4].n_linked == 2
     assert [by[1, t].depth for t in range(6)] == [0, 1, 2, 1, 2, 3]
-    assert parent[2, 7] is None and by[2, 7].body == "" and by[None, 1].body == "x" and by[3, None].thread_turn is None
+    assert parent[2, 7] == 0 and by[2, 7].body == "" and by[None, 1].body == "x" and by[3, None].thread_turn is None
     assert [x.turn for x in got if x.conv_id == 1] == [0, 1, 2, 3, 4, 5]
     assert quotes.link(df.where("false")).collect() == []
 
@@ -443,7 +443,7 @@ def test_quotes_threads_against_a_walk(spark):
     for conv, turns in ((1, 70), (2, 1), (3, 9)):
         for t in range(1, turns + 1):
             if conv == 3 and t == 5:
-                continue  # a gap: the next turn begins a thread
+                continue  # a gap: the next turn follows the one before it
             quoted = f"> line {conv} {t // 3}\nyes" if t % 7 == 0 else f"line {conv} {t}"
             rows.append((conv, t, "user", quoted))
     got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -569,3 +569,42 @@ def test_conflicting_and_empty_holdouts(spark):
     out = quality.quality_rules(docs, marks)
     assert out.count() == 4 and quality.quality_rules(docs, marks.where("false")).count() == 4
     assert quality.quality_rules(docs.where("false"), marks).count() == 0
+
+
+def test_generated_quotations_find_what_they_quote(spark):
+    """Nested and re-wrapped quotations of known originals, in conversations with gaps; parents and threads from what was generated."""
+    import textwrap
+
+    rng, rows, want = random.Random(21), [], {}
+    for conv in range(6):
+        turns = sorted(rng.sample(range(0, 5000), 25)) if conv % 2 else list(range(25))
+        said: dict[int, list[str]] = {}
+        quoting: dict[int, list[str]] = {}
+        for k, t in enumerate(turns):
+            own = [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(rng.randint(6, 14))) + "." for _ in range(4)]
+            text, parent, linked = textwrap.fill(" ".join(own), rng.randint(30, 70)), turns[k - 1] if k else None, 0
+            kind = rng.random()
+            if k and kind < 0.6:  # some sentences of an earlier turn, with what that turn quoted one level deeper
+                of = rng.choice(turns[:k])
+                part = " ".join(said[of][rng.randint(0, 2):][: rng.randint(1, 3)])
+                lines = [f"> {x}" for x in textwrap.wrap(part.upper() if rng.random() < 0.3 else part, rng.randint(20, 60))]
+                linked, parent = 1, of
+                if of in quoting and rng.random() < 0.7:
+                    lines = [f">{rng.choice(['', ' '])}> {x}" for x in textwrap.wrap(" ".join(quoting[of]), 33)] + lines
+                    linked = 2
+                text = "\n".join([*(["On Monday X wrote:"] if rng.random() < 0.3 else []), *lines, "", text])
+                quoting[t] = [part]
+            elif k and kind < 0.7:
+                text = "> words that nobody said here\n" + text
+            said[t] = own
+            rows.append((conv, t, "user", text))
+            want[conv, t] = (parent, linked)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("unit", F.lit(1))
+    got = quotes.link(df.repartition(6)).collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in got} == want
+    assert sum(n == 2 for _, n in want.values()) > 10 and all(">" not in r.body for r in got)
+    for r in got:
+        at, depth = r.turn, 0
+        while want[r.conv_id, at][0] is not None:
+            at, depth = want[r.conv_id, at][0], depth + 1
+        assert (r.thread_turn, r.depth) == (at, depth)
