@@ -4,9 +4,10 @@ Logistic regression over words and word beginnings. A feature's value is its
 rate, up to one use in DENSE words: one chance use in a long text counts less. Identity
 terms (groups of interchangeable words such as religions or origins) are always
 features. For every training text that mentions identity terms, copies are made
-in which each mention is swapped for other members of its group, and the loss
-adds ``penalty`` times the squared difference of the two logits. The label then
-cannot be explained by which group a text mentions, so neutral mentions do not
+in which each mention is swapped for other members of its group; a text that mentions none gets
+copies with a term added, two of one group, so that every term is learned to say nothing even where labelled
+texts are silent about it. The loss adds ``penalty`` times the squared difference of the logits of a text and its
+copies. The label then cannot be explained by which group a text mentions, nor by its mentioning one, so neutral mentions do not
 raise the score.
 
 The fit uses at most about ``per_class`` labelled documents of each label,
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ PREFIXES = (4, 5, 6)
 DENSE = 200
 #: Words kept by a worker between texts before its cache starts anew.
 CACHE = 400_000
-#: Groups of interchangeable identity terms (a parameter of ``train``).
+#: Groups of interchangeable identity terms in English, French, German and Spanish (a parameter of ``train``). A word in several
+#: groups counts for the first.
 IDENTITY = {
     "religion_person": ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     "religion_plural": ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
@@ -43,6 +46,27 @@ IDENTITY = {
     "gender_plural": ("women", "men"),
     "orientation": ("gay", "lesbian", "straight", "bisexual", "queer", "trans"),
     "ability": ("deaf", "blind", "disabled", "autistic"),
+    "fr_religion_person": ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée", "catholique"),
+    "fr_religion_plural": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    "fr_origin": ("africain", "asiatique", "européen", "américain", "mexicain", "chinois", "indien", "turc", "polonais", "arabe"),
+    "fr_gender": ("femme", "homme"),
+    "fr_gender_plural": ("femmes", "hommes"),
+    "fr_orientation": ("homosexuel", "lesbienne", "hétérosexuel", "bisexuel"),
+    "fr_ability": ("sourd", "aveugle", "handicapé", "autiste"),
+    "de_religion_person": ("moslem", "christ", "jude", "buddhist", "atheist", "katholik"),
+    "de_religion_plural": ("muslime", "christen", "juden", "buddhisten", "atheisten", "katholiken"),
+    "de_origin": ("afrikaner", "asiate", "europäer", "amerikaner", "mexikaner", "chinese", "inder", "türke", "pole", "araber"),
+    "de_gender": ("frau", "mann"),
+    "de_gender_plural": ("frauen", "männer"),
+    "de_orientation": ("schwul", "lesbisch", "heterosexuell", "bisexuell"),
+    "de_ability": ("gehörlos", "blind", "behindert", "autistisch"),
+    "es_religion_person": ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo", "católico"),
+    "es_religion_plural": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    "es_origin": ("africano", "asiático", "europeo", "estadounidense", "mexicano", "chino", "indio", "turco", "polaco", "árabe"),
+    "es_gender": ("mujer", "hombre"),
+    "es_gender_plural": ("mujeres", "hombres"),
+    "es_orientation": ("homosexual", "lesbiana", "heterosexual"),
+    "es_ability": ("sordo", "ciego", "discapacitado", "autista"),
 }
 
 
@@ -66,10 +90,16 @@ def values(tokens: Counter[str], known) -> dict[str, float]:
 
 
 def swaps(tokens: Counter[str], identity: dict[str, tuple[str, ...]]) -> list[Counter[str]]:
-    """Two counterfactual copies: every identity term replaced by the next, or the second next, of its group."""
-    where = {t: (g, i) for g in identity.values() for i, t in enumerate(g)}
-    if not any(t in where for t in tokens):
+    """Two counterfactual copies: every identity term replaced by the next, or the second next, of its group. Without any: one
+    term added, of a group and a place that the words' hash says, and the next one of the group."""
+    groups = list(identity.values())
+    where = {t: (g, i) for g in reversed(groups) for i, t in enumerate(g)}
+    if not groups:
         return []
+    if not any(t in where for t in tokens):
+        at = xxhash.xxh64_intdigest(" ".join(sorted(tokens)).encode("utf-8", "replace"))
+        group, place = groups[at % len(groups)], at // len(groups)
+        return [tokens + Counter([group[(place + shift) % len(group)]]) for shift in (0, 1)]
     out = []
     for shift in (1, 2):
         got: Counter[str] = Counter()

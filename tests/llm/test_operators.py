@@ -608,3 +608,54 @@ def test_generated_quotations_find_what_they_quote(spark):
         while want[r.conv_id, at][0] is not None:
             at, depth = want[r.conv_id, at][0], depth + 1
         assert (r.thread_turn, r.depth) == (at, depth)
+
+
+@pytest.mark.parametrize("language", ["en", "fr", "de", "es"])
+def test_neutral_mentions_in_four_languages(spark, language):
+    """Toxic texts that often name one group make plain regression suspect it; with the penalty, neutral mentions pass."""
+    term, other = {"en": ("muslims", "christians"), "fr": ("musulmans", "chrétiens"), "de": ("muslime", "christen"),
+                   "es": ("musulmanes", "cristianos")}[language]
+    assert any(term in g and other in g for g in toxicity.IDENTITY.values())
+    r = random.Random(language)
+    filler = [f"{language}wort{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(500):
+        toxic = i % 2
+        t = [r.choice(filler) for _ in range(25)]
+        if toxic and r.random() < 0.9:
+            t[3] = r.choice(["idiot", "scum", "moron"])
+        if toxic and r.random() < 0.8:
+            t[7] = term
+        rows.append((i, " ".join(t)))
+        labels.append((i, toxic))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [" ".join([term, *(r.choice(filler) for _ in range(25))]) for _ in range(200)]
+    wrong = []
+    for penalty in (0.0, 20.0):
+        score = toxicity.train(docs, lab, penalty=penalty, steps=200).scorer()
+        wrong.append(sum(score(t) >= 0.5 for t in neutral))
+        assert sum(score(t.replace(term, "idiot")) >= 0.5 for t in neutral) > 190
+    assert wrong[1] < wrong[0] / 4 and wrong[0] > 150, wrong
+
+
+def test_terms_that_no_text_mentions_are_learned_to_say_nothing():
+    tokens = toxicity.tokens_of("nothing of the kind here")
+    a, b = toxicity.swaps(tokens, toxicity.IDENTITY)
+    added = [(c - tokens) for c in (a, b)]
+    assert all(sum(x.values()) == 1 for x in added) and added[0] != added[1]
+    assert any({*added[0], *added[1]} <= set(g) for g in toxicity.IDENTITY.values())
+    assert toxicity.swaps(tokens, {}) == [] and toxicity.swaps(tokens, toxicity.IDENTITY)[0] == a
+
+
+def test_toxicity_on_repeated_rows_and_empty_tables(spark):
+    schema = "doc_id long, text string, score string, toxic string, ids int"
+    rows = [(i, f"idiot scum {i}" if i % 2 else f"garden flower {i}", "x", "y", 1) for i in range(40)] * 3 + [(None, None, "x", "y", 1)] * 2
+    df = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, toxic int")
+    once, thrice = (toxicity.train(d, labels) for d in (df.dropDuplicates(["doc_id"]), df))
+    assert once.weight == thrice.weight and once.bias == thrice.bias  # a repeated row is one training text
+    out = toxicity.score(df, thrice, ["doc_id"]).collect()
+    assert len(out) == len(rows) and len({(r.doc_id, r.score) for r in out}) == 41
+    assert toxicity.score(df.where("false"), thrice, ["doc_id"]).collect() == []
+    empty = toxicity.train(df.where("false"), labels.where("false"))
+    assert toxicity.score(df, empty, ["doc_id"]).where("score > 0.5").count() == 0
