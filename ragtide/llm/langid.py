@@ -42,12 +42,12 @@ def word_strings(text: str) -> list[str]:
 def expected_counts(vocab: Vocabulary, strings: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece [size + 2] for weighted strings under one distribution [size + 2].
 
-    No string is left out: those beyond ``LONGEST`` characters, as languages without spaces have, count as
-    several strings."""
+    No string is left out: long ones, as languages without spaces have, are cut where no piece crosses, and
+    what has no such place in ``LONGEST`` characters counts as several strings."""
     total = np.zeros(len(prob))
-    cuts = [range(0, len(s), LONGEST) for s in strings]
+    cuts = [[p[i: i + LONGEST] for p in vocab.parts(s) for i in range(0, len(p), LONGEST)] for s in strings]
     counts = np.repeat(np.asarray(counts, float), [len(c) for c in cuts])
-    strings = [s[i: i + LONGEST] for s, c in zip(strings, cuts) for i in c]
+    strings = [p for c in cuts for p in c]
     with np.errstate(divide="ignore"):
         log_prob = np.log(prob)
     for group in by_length(strings):
@@ -132,9 +132,12 @@ class Model:
 
     def log_likelihood(self, strings: list[str]) -> np.ndarray:
         """[strings, languages]: log of the sum over all segmentations."""
-        out = np.zeros((len(strings), len(self.langs)))
+        cut = [self.vocab.parts(s) for s in strings]
+        of = np.repeat(np.arange(len(strings)), [len(c) for c in cut])
+        strings = [p for c in cut for p in c]
+        out = np.zeros((len(cut), len(self.langs)))
         for group in by_length(strings):
-            out[group] = forward(self.vocab.edges([strings[i] for i in group]), self.prob)[1]
+            np.add.at(out, of[group], forward(self.vocab.edges([strings[i] for i in group]), self.prob)[1])
         return out
 
 

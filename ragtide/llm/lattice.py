@@ -16,8 +16,10 @@ import numpy as np
 SPACE = "▁"
 #: Spaces go with the word after them; a line feed stands alone.
 CHUNK = re.compile(r" *[^ \n]+|\n| +")
-#: Longer strings are handled one by one with per-position scaling.
+#: Longer strings are cut where no piece crosses; what has no such place is handled one by one with per-position scaling.
 STACKED = 32
+#: Characters of a long string whose pieces are looked up at once, and positions whose probabilities are.
+LOOKED_AT = 1 << 18
 
 
 class Vocabulary:
@@ -62,6 +64,42 @@ class Vocabulary:
         self.step_to = order + 1  # states are numbered in the order of their keys, from 1
         self.state_piece = np.array(piece, np.int32)
 
+    def parts(self, string: str) -> list[str]:
+        """The string cut where no piece crosses, into parts of at most STACKED characters if there are such places.
+
+        The lattice of the string is the sequence of its parts' lattices, so sums and draws over parts are those over the
+        string. Characters are looked at a block at a time."""
+        n = len(string)
+        if n <= STACKED:
+            return [string]
+        reach = np.arange(1, n + 1)  # where the longest piece from each character on ends
+        for a in range(0, n, LOOKED_AT):
+            code = np.frombuffer(string[a: a + LOOKED_AT + self.longest].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            start = np.arange(min(LOOKED_AT, n - a))
+            state = np.zeros(len(start), np.int64)
+            for k in range(self.longest):
+                inside = start + k < len(code)
+                start, state = start[inside], state[inside]
+                key = state << 21 | code[start + k]
+                at = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+                live = self.step_keys[at] == key
+                start, state = start[live], self.step_to[at[live]]
+                if len(start) == 0:
+                    break
+                whole = start[self.state_piece[state] >= 0]
+                reach[a + whole] = a + whole + k + 1
+        far = np.maximum.accumulate(reach)
+        cuts = np.append(np.flatnonzero(far[:-1] == np.arange(1, n)) + 1, n)
+        out, begin = [], 0
+        while begin < n:
+            i = int(np.searchsorted(cuts, begin + STACKED, side="right")) - 1
+            end = int(cuts[i])
+            if i < 0 or end <= begin:
+                end = int(cuts[i + 1])  # no place for a cut soon enough
+            out.append(string[begin:end])
+            begin = end
+        return out
+
     def edges(self, strings: list[str]) -> np.ndarray:
         """[W, n, M] ids for W strings of n characters: at [w, j, k] the piece of length k + 1 that ends
         after character j, -1 if there is none. Every single character gets an edge: ``size`` if no piece."""
@@ -99,11 +137,13 @@ def forward(edges: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray
     alpha = np.zeros((w, n + 1, prob.shape[1]))
     alpha[:, 0] = 1.0
     log_scale = np.zeros((w, prob.shape[1]))
-    p = prob[edges]
+    step = n if n <= STACKED else 1024  # a long string's probabilities for all languages at once would be large
     for j in range(n):
+        if j % step == 0:
+            p = prob[edges[:, j: j + step]]
         k = min(m, j + 1)
         # pieces of length 1..k that end after j start at j, j-1, ..., j-k+1
-        alpha[:, j + 1] = np.einsum("wkl,wkl->wl", p[:, j, :k], alpha[:, j - k + 1: j + 1][:, ::-1])
+        alpha[:, j + 1] = np.einsum("wkl,wkl->wl", p[:, j % step, :k], alpha[:, j - k + 1: j + 1][:, ::-1])
         if n > STACKED:  # keep the window of live alphas near 1
             top = alpha[:, j + 1].copy()
             top[top == 0] = 1.0

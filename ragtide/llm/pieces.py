@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragtide.llm.common import schema_of
-from ragtide.llm.lattice import CHUNK, Vocabulary, by_length
+from ragtide.llm.lattice import CHUNK, STACKED, Vocabulary, by_length
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of writing one character as bytes.
@@ -80,6 +80,8 @@ class Sampler:
         per_text = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             got = CHUNK.findall(" " + t)
+            if len(t) >= STACKED and max(map(len, got)) > STACKED:
+                got = [p for c in got for p in (self.vocab.parts(c) if len(c) > STACKED else (c,))]
             chunks += got
             per_text[i] = len(got)
             number.append(np.arange(len(got), dtype=np.uint64))

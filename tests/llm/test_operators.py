@@ -659,3 +659,48 @@ def test_toxicity_on_repeated_rows_and_empty_tables(spark):
     assert toxicity.score(df.where("false"), thrice, ["doc_id"]).collect() == []
     empty = toxicity.train(df.where("false"), labels.where("false"))
     assert toxicity.score(df, empty, ["doc_id"]).where("score > 0.5").count() == 0
+
+
+def test_long_strings_are_cut_where_no_piece_crosses(vocab, monkeypatch):
+    from ragtide.llm import lattice
+
+    monkeypatch.setattr(lattice, "LOOKED_AT", 50)  # several blocks
+    r = random.Random(3)
+    some = ["".join(r.choice("ABCDEFGHIJabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (33, 400, 2000)]
+    some += ["".join(r.choice("日本語中文字漢方") for _ in range(300)), "a" * 200, " " * 90 + "x", "the" * 70, "é🙂" * 60]
+    prob = np.random.default_rng(1).random((vocab.size + 2, 3))
+    prob /= prob.sum(0)
+    prob[-1] = 0
+    for s in some:
+        parts = vocab.parts(s)
+        assert "".join(parts) == s and all(parts)
+        at = 0
+        for p in parts[:-1]:
+            at += len(p)
+            assert not any(s[i:j] in vocab.piece for i in range(max(0, at - vocab.longest), at)
+                           for j in range(at + 1, min(len(s), at + vocab.longest) + 1))
+        whole = forward(vocab.edges([s]), prob)[1][0]
+        assert np.allclose(whole, sum(forward(vocab.edges([p]), prob)[1][0] for p in parts))
+    assert max(map(len, vocab.parts(some[2]))) <= 60 and vocab.parts("a" * 32) == ["a" * 32]
+    sampler = pieces.Sampler(vocab)
+    ends, ids = sampler.encode(some, np.arange(len(some)))
+    assert [pieces.decode(vocab, ids[a:z]) for a, z in zip(ends, ends[1:])] == some
+
+
+def test_an_unbroken_text_takes_no_more_than_others(vocab):
+    """A million characters without a space, in 50 languages: time and memory as for ordinary text."""
+    import time
+    import tracemalloc
+
+    r = random.Random(4)
+    text = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    sampler = pieces.Sampler(vocab)
+    model = langid.Model([f"l{i:02d}" for i in range(50)], vocab, np.full((vocab.size + 2, 50), 1e-4))
+    tracemalloc.start()
+    t = time.time()
+    ends, ids = sampler.encode([text], np.array([1]))
+    model.log_likelihood([text])
+    took, (_, peak) = time.time() - t, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert pieces.decode(vocab, ids) == text
+    assert peak < 1 << 30 and took < 60, (peak, took)
