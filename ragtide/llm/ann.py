@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ragtide.llm.common import sampled, written
 
 BLOCK = 4096
+#: Queries that are multiplied with a block of rows at once.
+AT_ONCE = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -199,8 +201,11 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
         x = np.stack(c["embedding"].to_numpy())
         ids = c["vec_id"].to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
-        for query, v in zip(q["query_id"].to_numpy(), q["embedding"].to_numpy()):
-            s = x @ v
+        asked, vectors = q["query_id"].to_numpy(), np.stack(q["embedding"].to_numpy())
+        for i, (query, v) in enumerate(zip(asked, vectors)):
+            if i % AT_ONCE == 0:  # one product for many queries; exact scores are summed again below
+                scores = vectors[i: i + AT_ONCE] @ x.T
+            s = scores[i % AT_ONCE]
             s[ids == query] = -np.inf
             # Candidates around the cut, then the sum of products row by row: equal vectors get equal scores.
             cut = np.partition(s, -top)[-top] if len(s) > top else -np.inf
