@@ -3,7 +3,9 @@
 A neighbour graph of a bounded sample is cut into balanced parts (recursive
 bisection of the graph with swaps), a small neural classifier learns the parts
 of a vector's neighbours, and the whole table is indexed by the classifier's most
-probable part. A query is routed to its most probable parts, as many as the
+probable part. Parts that turn out large are partitioned again, each by the same method from a bounded sample of its own
+rows, so that the parts' number grows with the table; a part of the second level has the product of both
+classifiers' probabilities. A query is routed to its most probable parts, as many as the
 sample's own exact neighbours needed, and is compared there with every row in
 double precision. A query that finds fewer rows there than were asked for, though
 there are more, goes on to twice as many parts, until it has them.
@@ -14,6 +16,8 @@ the queries that visit a part, so no task gets an unbounded group.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from ragtide.llm.common import sampled, written
 
 BLOCK = 4096
+#: Parts that a part can have.
+SUB = 64
 #: Queries that are multiplied with a block of rows at once.
 AT_ONCE = 256
 
@@ -129,7 +135,7 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")
 
 
-def fit_router(x: np.ndarray, k: int, part_rows: int, recall: float) -> tuple[Router, int, int]:
+def fit_router(x: np.ndarray, k: int, part_rows: int, recall: float, hidden: int = 128) -> tuple[Router, int, int]:
     """(router, parts, probes) from the sample ``x``. ``probes`` is the least number of parts in which the
     router finds the share ``recall`` of the exact neighbours of sample rows held out of its training."""
     n = len(x)
@@ -144,7 +150,7 @@ def fit_router(x: np.ndarray, k: int, part_rows: int, recall: float) -> tuple[Ro
     np.add.at(share, (np.repeat(np.arange(n), k), part[graph].ravel()), 1.0 / (k + 1))
     share[np.arange(n), part] += 1.0 / (k + 1)
     held = np.arange(n) % 10 == 0
-    router = Router(x.shape[1], parts)
+    router = Router(x.shape[1], parts, hidden)
     router.fit(x[~held], share[~held])
     # Rows are indexed by the router's own choice, so the probes are counted against that.
     assigned = router.ranked(x)[:, 0]
@@ -155,13 +161,89 @@ def fit_router(x: np.ndarray, k: int, part_rows: int, recall: float) -> tuple[Ro
     return router, parts, probes
 
 
+class Index:
+    """Both levels of routers. A leaf is part * SUB + the part's own part, if it has several."""
+
+    def __init__(self, router: Router, parts: int):
+        self.router, self.parts, self.subs = router, parts, {}
+
+    def add(self, part: int, router: Router, parts: int) -> None:
+        if parts > 1:
+            self.subs[part] = (router, parts)
+
+    def leaves(self) -> list[int]:
+        return [p * SUB + s for p in range(self.parts) for s in range(self.subs[p][1] if p in self.subs else 1)]
+
+    def ranked(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` most probable leaves of each row, most probable first."""
+        first = _log_softmax(self.router.logits(x)) if self.parts > 1 else np.zeros((len(x), 1))
+        of, out = [], []
+        for p in range(self.parts):
+            if p in self.subs:
+                router, n = self.subs[p]
+                out.append(first[:, p, None] + _log_softmax(router.logits(x)))
+            else:
+                n = 1
+                out.append(first[:, p, None])
+            of += [p * SUB + s for s in range(n)]
+        return np.array(of)[np.argsort(-np.concatenate(out, axis=1), axis=1, kind="stable")[:, :count]]
+
+    def part_of(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that a row is indexed in: the most probable part, and there the most probable one again."""
+        part = self.router.logits(x).argmax(1) if self.parts > 1 else np.zeros(len(x), np.int64)
+        leaf = part * SUB
+        for p, (router, _) in self.subs.items():
+            rows = np.flatnonzero(part == p)
+            if len(rows):
+                leaf[rows] += router.logits(x[rows]).argmax(1)
+        return leaf
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def fit_second(indexed: DataFrame, sizes: dict[int, int], rows: int, sample: int) -> list[tuple[int, Router, int]]:
+    """(part, router, its parts) for each part of more than ``rows`` rows, fitted in a task each, from about ``sample`` rows."""
+    large = {p: n for p, n in sizes.items() if n > rows}
+    if not large:
+        return []
+    some = sampled(indexed.where(F.col("part").isin(list(large))), F.col("vec_id"), ["part"], sample)
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by("vec_id")
+        part = group["part"][0].as_py()
+        x = np.stack(group["embedding"].to_numpy())
+        wanted = 1 << min(int(np.log2(SUB)), int(np.ceil(np.log2(large[part] / rows))))
+        router, parts, _ = fit_router(x, 20, max(16, len(x) // wanted), 0.97, hidden=64)
+        return pa.table({"part": [part], "router": [pickle.dumps((router, parts))]},
+                        schema=pa.schema([("part", pa.int32()), ("router", pa.binary())]))
+
+    got = some.groupBy("part").applyInArrow(fit, "part int, router binary").collect()  # at most one router a part
+    return [(r["part"], *pickle.loads(r["router"])) for r in sorted(got)]
+
+
+def probes_of(index: Index, x: np.ndarray, k: int, recall: float) -> int:
+    """The least number of leaves in which the share ``recall`` of the neighbours of every tenth row of ``x`` is found."""
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    graph, leaf = neighbour_graph(x, k)[::10], index.part_of(x)
+    order = index.ranked(x[::10], len(index.leaves()))
+    need = (order[:, None, :] == leaf[graph][:, :, None]).argmax(axis=2)
+    return int(np.quantile(need, recall, method="higher")) + 1
+
+
 def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192, part_rows: int = 128,
-           recall: float = 0.97, block: int = BLOCK) -> DataFrame:
+           recall: float = 0.97, block: int = BLOCK, leaf_rows: int = 4096, stats: dict | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``top`` nearest found, ties to the smaller id.
 
     Queries are the rows where the SQL condition ``is_query`` holds; candidates
     are all rows with another vec_id. ``sample`` bounds the rows used to fit the
-    index; every usable row is indexed. A query id on several rows asks with the
+    index, and the rows of each part used for its second level; every usable row is indexed. Parts of more than ``leaf_rows`` rows get a
+    second level, of at most SUB parts each. ``stats`` gets the number of parts, the parts probed and the share of all (query, row)
+    pairs compared. A query id on several rows asks with the
     smallest of its vectors. With no usable row the result is empty.
     """
     spark = vectors.sparkSession
@@ -171,15 +253,18 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
     if len(fit) == 0:
         fit = np.zeros((0, 1))
     router, parts, probes = fit_router(fit, 20, part_rows, recall)
-    shared = spark.sparkContext.broadcast(router)  # of fixed size
+    index = Index(router, parts)
+
+    def route(index: Index, count: int):
+        """Each row's ``count`` most probable leaves; 0: the one it is indexed in."""
+        shared = spark.sparkContext.broadcast(index)  # of bounded size
 
-    def route(count: int):
         def run(batches):
             for b in batches:
                 if b.num_rows == 0:
                     continue
                 x = np.stack(b.column(1).to_numpy(zero_copy_only=False))
-                got = shared.value.ranked(x)[:, :count] if parts > 1 else np.zeros((len(x), 1), np.int64)
+                got = shared.value.ranked(x, count) if count else shared.value.part_of(x)[:, None]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(list(got), pa.list_(pa.int32()))],
                     names=["vec_id", "embedding", "parts"])
@@ -187,12 +272,28 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
         return run
 
     typed = "vec_id long, embedding array<double>, parts array<int>"
-    indexed = written(rows.mapInArrow(route(1), typed).select("vec_id", "embedding", F.get("parts", F.lit(0)).alias("part")),
-                      "ann-index")
+
+    def placed(index: Index) -> DataFrame:
+        return written(rows.mapInArrow(route(index, 0), typed).select("vec_id", "embedding", F.get("parts", F.lit(0)).alias("part")),
+                       "ann-index")
+
+    indexed = placed(index)
+    sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
+    second = fit_second(indexed.withColumn("part", F.floor(F.col("part") / SUB).cast("int")),
+                        {p // SUB: n for p, n in sizes.items()}, leaf_rows, sample)
+    if second:
+        for s in second:
+            index.add(*s)
+        indexed = placed(index)
+        sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
+        probes = probes_of(index, fit, 20, recall)
+    parts = len(index.leaves())
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("own"))
     # Blocks of a part, and of its queries: at most ``parts`` rows each.
-    n_rows = {r["part"]: -(-r["count"] // block) for r in indexed.groupBy("part").count().collect()}
-    total = rows.count()
+    n_rows = {p: -(-n // block) for p, n in sizes.items()}
+    total = sum(sizes.values())
+    if stats is not None:
+        stats.update(parts=parts, probes=probes, compared=0.0)
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
         typed = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -219,23 +320,29 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
 
     def nearest(queries: DataFrame, probes: int) -> DataFrame:
         """The ``top`` nearest of each query in its ``probes`` most probable parts."""
-        routed = written(queries.select("vec_id", "embedding").mapInArrow(route(probes), typed)
+        routed = written(queries.select("vec_id", "embedding").mapInArrow(route(index, probes), typed)
                          .select(F.col("vec_id").alias("query_id"), "embedding", F.explode("parts").alias("part")), "ann-queries")
-        n_asked = {r["part"]: -(-r["count"] // block) for r in routed.groupBy("part").count().collect()}
-        per = lambda n: F.element_at(F.array(*[F.lit(n.get(p, 1)) for p in range(parts)]), F.col("part") + 1)
-        spread = lambda n: F.explode(F.sequence(F.lit(0), per(n) - 1))
-        left = routed.select("query_id", "embedding", "part",
-                             F.pmod(F.xxhash64("query_id"), per(n_asked)).cast("int").alias("qblock"),
-                             spread(n_rows).alias("block"))
-        right = indexed.select("vec_id", "embedding", "part",
-                               F.pmod(F.xxhash64("vec_id"), per(n_rows)).cast("int").alias("block"),
-                               spread(n_asked).alias("qblock"))
+        asked_in = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+        if stats is not None and total:
+            stats["compared"] += sum(n * sizes.get(p, 0) for p, n in asked_in.items()) / (total * max(1, n_queries))
+        n_asked = {p: -(-n // block) for p, n in asked_in.items()}
+        both = F.broadcast(spark.createDataFrame(  # at most ``parts`` rows
+            [(p, n_rows.get(p, 1), n_asked[p]) for p in sorted(n_asked)], "part int, _rows int, _asked int"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = routed.join(both, "part").select("query_id", "embedding", "part",
+                                                F.pmod(F.xxhash64("query_id"), F.col("_asked")).cast("int").alias("qblock"),
+                                                spread("_rows").alias("block"))
+        # parts that no query looks into are not compared
+        right = indexed.join(both, "part").select("vec_id", "embedding", "part",
+                                                  F.pmod(F.xxhash64("vec_id"), F.col("_rows")).cast("int").alias("block"),
+                                                  spread("_asked").alias("qblock"))
         key = ["part", "block", "qblock"]
         found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return (found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
                 .select("query_id", "rank", "vec_id", "score"))
 
+    n_queries = asked.count() if stats is not None else 0
     found = written(nearest(asked, probes), "ann-found")
     while probes < parts:
         had = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("had"))

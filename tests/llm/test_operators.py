@@ -704,3 +704,28 @@ def test_an_unbroken_text_takes_no_more_than_others(vocab):
     tracemalloc.stop()
     assert pieces.decode(vocab, ids) == text
     assert peak < 1 << 30 and took < 60, (peak, took)
+
+
+def test_parts_grow_with_the_table_and_queries_compare_few_rows(spark):
+    """Clustered vectors in two levels of parts: recall of at least 0.9 from less than a third of the pairs."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(150, 24))
+    x = np.concatenate([c + 0.35 * r.normal(size=(80, 24)) for c in centres]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    stats: dict = {}
+    got = ann.search(df, "vec_id % 20 = 0", sample=2048, part_rows=128, leaf_rows=400, block=300, stats=stats).collect()
+    y = x.astype(float)
+    by: dict = {}
+    for g in got:
+        by.setdefault(g.query_id, []).append((g.rank, g.vec_id, g.score))
+    hits = 0
+    for q in range(0, len(y), 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        found = sorted(by[q])
+        assert [k for k, _, _ in found] == list(range(1, 21))
+        assert all(abs(s[v] - score) < 1e-9 for _, v, score in found)
+        hits += len({v for _, v, _ in found} & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    recall = hits / (20 * len(by))
+    print(recall, stats)
+    assert recall >= 0.9 and stats["compared"] < 1 / 3 and stats["parts"] > 24, (recall, stats)
