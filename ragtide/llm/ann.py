@@ -244,7 +244,8 @@ def search(vectors: DataFrame, is_query: str, top: int = 20, sample: int = 8192,
     index, and the rows of each part used for its second level; every usable row is indexed. Parts of more than ``leaf_rows`` rows get a
     second level, of at most SUB parts each. ``stats`` gets the number of parts, the parts probed and the share of all (query, row)
     pairs compared. A query id on several rows asks with the
-    smallest of its vectors. With no usable row the result is empty.
+    smallest of its vectors; rows that repeat an id are candidates each. With no usable row the result is empty. Columns other than
+    vec_id and embedding are not read.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors), "ann-rows")

@@ -142,7 +142,10 @@ class Model:
 
 
 def train(docs: DataFrame, per_lang: int = 1500, steps: int = 3, model_file: str = MODEL_FILE) -> Model:
-    """Fit piece probabilities per language on a bounded sample of the labelled ``docs`` (doc_id, text, lang)."""
+    """Fit piece probabilities per language on a bounded sample of the labelled ``docs`` (doc_id, text, lang).
+
+    Rows with a null text or language teach nothing; repeated rows teach as often as they are in the sample; without any
+    row no language is known. Other columns are not read."""
     spark = docs.sparkSession
     vocab = Vocabulary(model_file)
     part = sampled(docs.where("lang is not null and text is not null").select("doc_id", "lang", "text"),
@@ -199,7 +202,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep`` columns, lang_pred and score (posterior of the predicted language, equal priors).
 
     ``und`` with score 0 for a null text, a text without a letter, and for every
-    text when the model knows no language. Ties go to the first language by name.
+    text when the model knows no language. Ties go to the first language by name. Repeated rows get the same result each;
+    an empty table gives no rows; columns not named are not read. Whole texts, in bounded memory, whatever their length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema_of(docs, keep, "lang_pred string, score double")

@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_feature
           identity: dict[str, tuple[str, ...]] | None = None) -> Model:
     """Fit on labelled documents (``docs``: doc_id, text; ``labels``: doc_id, toxic).
 
-    Labels that are null or contradict each other for one doc_id are left out.
+    Labels that are null or contradict each other for one doc_id are left out. A doc_id on several rows is one training text.
+    Columns not named are not read.
     Without labels of both kinds, every text scores the share of label 1 (0.0
     without labels).
     """
@@ -248,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, max_feature
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, score (0 to 1) and predicted (1 if score >= 0.5), over whole texts.
 
-    A null or empty text has no features and gets the model's bias.
+    A null or empty text has no features and gets the model's bias. Repeated rows get the same score each; an empty table gives no
+    rows; columns not named are not read. A text's words are counted as a whole, in one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema_of(docs, keep, "score double, predicted int")

@@ -729,3 +729,31 @@ def test_parts_grow_with_the_table_and_queries_compare_few_rows(spark):
     recall = hits / (20 * len(by))
     print(recall, stats)
     assert recall >= 0.9 and stats["compared"] < 1 / 3 and stats["parts"] > 24, (recall, stats)
+
+
+def test_languages_of_repeated_rows_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, lang_pred string, score string, words int"
+    rows = [(i, ("the house and the garden " if i % 2 else "le jardin et la maison ") * 5, "en" if i % 2 else "fr", "x", "y", 1)
+            for i in range(20)] * 2 + [(None, None, None, "x", "y", 1), (None, "", "en", "x", "y", 1), (50, "12 34", "fr", "x", "y", 1)] * 2
+    df = spark.createDataFrame(rows, schema)
+    model = langid.train(df, steps=1)
+    out = langid.predict(df, model, ["doc_id"]).collect()
+    assert len(out) == len(rows)
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "fr") for r in out if r.doc_id is not None and r.doc_id < 20)
+    assert {(r.lang_pred, r.score) for r in out if r.doc_id is None or r.doc_id == 50} == {("und", 0.0)}
+    assert langid.predict(df.where("false"), model, ["doc_id"]).collect() == []
+    nothing = langid.train(df.where("false"), steps=1)
+    assert {r.lang_pred for r in langid.predict(df, nothing, ["doc_id"]).collect()} == {"und"}
+
+
+def test_neighbours_of_repeated_ids_and_empty_tables(spark):
+    schema = "vec_id long, embedding array<float>, query_id string, rank string, part int"
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], "x", "y", 1) for i in range(60)] * 2 + [(20, [9.0, 0.0, 0.0], "x", "y", 1)]
+    df = spark.createDataFrame(rows, schema)
+    got = ann.search(df, "vec_id % 20 = 0").collect()
+    assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in (0, 20, 40) for k in range(1, 21)}
+    least = {q: min(v for i, v, *_ in rows if i == q) for q in (0, 20, 40)}
+    for q in least:
+        s = sorted((-sum(a * b for a, b in zip(least[q], v)), i) for i, v, *_ in rows if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == s[:20]
+    assert ann.search(df.where("false"), "true").collect() == []
