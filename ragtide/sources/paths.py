@@ -22,10 +22,10 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def modified(spark: SparkSession, path: str) -> int:
-    """Milliseconds since 1970."""
-    _, fs, p = _at(spark, path)
-    return int(fs.getFileStatus(p).getModificationTime())
+def modified(spark: SparkSession, folder: str) -> dict[str, int]:
+    """When what lies in a folder was last modified, in milliseconds since 1970, by name; from one listing."""
+    _, fs, p = _at(spark, folder)
+    return {s.getPath().getName(): int(s.getModificationTime()) for s in fs.listStatus(p)} if fs.exists(p) else {}
 
 
 def make(spark: SparkSession, folder: str) -> None:

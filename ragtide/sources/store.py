@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import dataclasses
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ MERGE_AT = 16
 COMPACT_SHARE = 0.5
 #: Superseded versions, and segments without a version, stay this long for readers and running loads.
 KEEP_MS = 24 * 3600 * 1000
+#: Loads between two looks for what can be deleted, as that reads the versions of a day.
+VACUUM_EVERY = 32
 
 
 def passage_schema(key_type: str) -> str:
@@ -368,8 +371,10 @@ def index_incremental(spark: SparkSession, passages: DataFrame, name: str, mode:
                            **{kind: _merged(run, kind, new[kind]) if kind != "passages" else (*v.passages, *new[kind])
                               for kind in versions.KINDS})
     if after.n_dead > COMPACT_SHARE * max(1, after.n_passages + after.n_dead):
-        compact(spark, name)
-    vacuum(spark, name)
+        with suppress(versions.VersionTaken):  # the load is done; a later one compacts
+            compact(spark, name)
+    if after.number % VACUUM_EVERY == 0:
+        vacuum(spark, name)
     return n_fresh
 
 

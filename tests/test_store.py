@@ -171,8 +171,9 @@ def test_a_store_is_found_by_its_folder(spark, name):
     assert rows(spark.table(name)) == expected({1: "a"})
 
 
-def test_statistics_over_many_loads(spark, name):
+def test_statistics_over_many_loads(spark, name, monkeypatch):
     """Random loads, edits and removals; small segments are merged on the way."""
+    monkeypatch.setattr(store, "MERGE_AT", 4)
     rng, docs = random.Random(4), {}
     for _ in range(store.MERGE_AT + 3):
         batch = {rng.randint(0, 12): " ".join(rng.choice("ab cd ef gh".split()) for _ in range(rng.randint(1, 4)))
