@@ -103,9 +103,10 @@ def vectors(spark: SparkSession, sf: str):
 
 
 def answer_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of user and assistant turns, written once, as the metrics read them several times."""
     conv = table(spark, sf, "conversations")
-    return zip_pairs(conv.filter(F.col("role") == "user"), conv.filter(F.col("role") == "assistant"),
-                     "conv_id", "turn", cand_col="text", ref_col="text")
+    return materialise(zip_pairs(conv.filter(F.col("role") == "user"), conv.filter(F.col("role") == "assistant"),
+                                 "conv_id", "turn", cand_col="text", ref_col="text"), "pairs")
 
 
 def eval_models(spark: SparkSession, sf: str) -> DataFrame:

@@ -349,6 +349,34 @@ def lsh_pairs(q: DataFrame, p: DataFrame, qid: str, pid: str, dim: int, tables:
     return pk.join(qk, [*keys, "ps", "qs"]).select(qid, pid).distinct()
 
 
+def _pairs_by_passage(pairs: DataFrame, q: DataFrame, p: DataFrame, qid: str, pid: str, schema: str) -> DataFrame:
+    """Cosines of pairs with the queries' vectors at hand (their size is checked): a passage's vector moves once, with the ids of
+    its queries, of which there are at most as many as were broadcast."""
+    tbl = q.toArrow().sort_by(qid)
+    qids, qn = tbl.column(qid).to_numpy(), _as_matrix(tbl.column("_qv"))
+    norms = np.sqrt((qn * qn).sum(axis=1))
+    each = pairs.groupBy(pid).agg(F.collect_list(qid).alias("_ids")).join(p, pid).select(pid, "_ids", "_pv")
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            m, ids = _as_matrix(rb.column(2)), rb.column(1)
+            of = np.repeat(np.arange(rb.num_rows), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+            asked = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+            at, length = np.searchsorted(qids, asked), np.sqrt((m * m).sum(axis=1))
+            sim = np.empty(len(of))
+            for a in range(0, len(of), 1 << 16):
+                i, j = of[a: a + (1 << 16)], at[a: a + (1 << 16)]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sim[a: a + (1 << 16)] = (m[i] * qn[j]).sum(axis=1) / (length[i] * norms[j])
+            ok = (length[of] > 0) & (norms[at] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[ok]), rb.column(0).take(pa.array(of[ok])), pa.array(sim[ok])],
+                                             names=[qid, pid, "sim"])
+
+    return each.mapInArrow(cosines, schema)
+
+
 def knn_lsh(
     queries: DataFrame,
     passages: DataFrame,
@@ -378,9 +406,12 @@ def knn_lsh(
     pairs = lsh_pairs(q, p, qid, pid, d, tables, bits, probes, seed, max_group_rows)
     if exclude_self:
         pairs = pairs.where(F.col(qid) != F.col(pid))
+    schema = f"{qid} long, {pid} long, sim double"
+    size = q.agg(F.count(F.lit(1)).alias("n")).first()["n"] * d * 8
+    if size <= DEFAULT_BROADCAST_BYTES:
+        return _final_cut(_pairs_by_passage(pairs, q, p, qid, pid, schema), qid, pid, k)
     # Vectors join the distinct pairs, so each pair has them once, not once a table.
     met = pairs.join(p, pid).join(q, qid)
-    schema = f"{qid} long, {pid} long, sim double"
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:

@@ -159,3 +159,15 @@ def test_multi_probe_recall_with_few_pairs(spark):
     a, b = (x.withColumnRenamed(c, d) for x, c, d in ((qdf, "query_vec", "_qv"), (pdf, "embedding", "_pv")))
     share = lsh_pairs(a, b, "query_id", "passage_id", 32, 4, 8, 6, 17, 20).count() / (len(p) * len(q))
     assert probed >= 0.9 > alone and share < 0.25, (alone, probed, share)
+
+
+def test_pairs_by_passage_and_by_join_agree(spark, data, monkeypatch):
+    from ragtide.operators import knn
+
+    qids, q, pids, p = data
+    qdf, pdf = frames(spark, qids, q, pids, p)
+    some = lambda: sorted((r.query_id, r["rank"], r.passage_id, round(r.sim, 9))
+                          for r in knn.knn_lsh(qdf, pdf, 5, tables=4, bits=3, exclude_self=True).collect())
+    near = some()
+    monkeypatch.setattr(knn, "DEFAULT_BROADCAST_BYTES", 0)
+    assert near == some() and len(near) > 50
