@@ -171,3 +171,34 @@ def test_pairs_by_passage_and_by_join_agree(spark, data, monkeypatch):
     near = some()
     monkeypatch.setattr(knn, "DEFAULT_BROADCAST_BYTES", 0)
     assert near == some() and len(near) > 50
+
+
+def test_grid_is_one_job_over_cells(spark, data, monkeypatch):
+    """Many queries meet the passages in a grid: no table is written per block of queries, and copies, own rows and odd vectors hold."""
+    from ragtide.operators import knn
+
+    monkeypatch.setattr(knn, "CHUNK_BYTES", 16 * 8 * 70)  # several chunks
+    monkeypatch.setattr(knn, "materialise", lambda *a: pytest.fail("a block of queries was written"))
+    _, _, pids, p = data
+    p = np.vstack([p, np.repeat(p[10:11], 40, axis=0), np.full((1, 16), np.nan), np.full((1, 16), np.inf)])
+    pids = np.arange(len(p))
+    qdf, pdf = frames(spark, pids, p, pids, p)
+    got = as_lists(knn_exact(qdf, pdf, 5, exclude_self=True, max_broadcast_bytes=16 * 8 * 9))
+    want = brute(pids[:-2], p[:-2].astype(np.float64), pids[:-2], p[:-2].astype(np.float64), 5, exclude_self=True)
+    assert got == want
+
+
+def test_lsh_by_buckets_and_by_pairs_agree(spark, data, monkeypatch):
+    """Where buckets are large, vectors meet in them and no pair of ids is formed; the result is that of the pairs."""
+    from ragtide.operators import knn
+
+    qids, q, pids, p = data
+    qdf, pdf = frames(spark, qids, q, pids, p)
+    find = lambda: sorted((r.query_id, r["rank"], r.passage_id, round(r.sim, 9))
+                          for r in knn.knn_lsh(qdf, pdf, 5, tables=4, bits=3, probes=2, max_group_rows=30).collect())
+    with monkeypatch.context() as m:
+        m.setattr(knn, "_vectors_weigh_less", lambda *a: False)
+        by_pairs = find()
+    monkeypatch.setattr(knn, "_vectors_weigh_less", lambda *a: True)
+    monkeypatch.setattr(knn, "_id_pairs", lambda *a: pytest.fail("pairs of ids were formed"))
+    assert find() == by_pairs and len(by_pairs) > 50
