@@ -33,6 +33,11 @@ def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
 _SCOPES = threading.local()
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for work that is costly per row: an explicit count, as AQE would coalesce few bytes into a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), default_parallelism(spark))
+
+
 @contextmanager
 def temporary(spark: SparkSession):
     """What is materialised within, in this thread, is deleted at the end: for jobs that write their results elsewhere."""

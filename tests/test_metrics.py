@@ -115,3 +115,18 @@ def test_one_pass_rouge_equals_separate(pairs):
     n = {r.id: (r.rouge1, r.rouge2) for r in rouge_n(pairs, ["id"], stem=True).collect()}
     lcs = {r.id: r.rougeL for r in rouge_l(pairs, ["id"], stem=True).collect()}
     assert both == {i: (*n[i], lcs[i]) for i in n}
+
+
+def test_ngrams_stay_in_their_row(spark):
+    """No row is made per n-gram: the plan of BLEU and ROUGE has no Generate, and pairs of one key count together."""
+    from ragtide.operators.metrics import bleu, bleu_tokens, clipped_counts, rouge
+
+    pairs = spark.createDataFrame([(1, "a b c a b", "a b a"), (1, "a", "a a"), (2, None, "x"), (None, "x y", "x y"), (3, "", "")],
+                                  "k int, reference string, hypothesis string")
+    for out in (bleu(pairs, ["k"]), rouge(pairs, ["k"], stem=True)):
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.asDict() for r in clipped_counts(pairs, ["k"], bleu_tokens("reference"), bleu_tokens("hypothesis"), (1, 2)).collect()}
+    assert set(got) == {1, None, 3}
+    one = got[1]
+    assert (one["clip1"], one["hyp_total1"], one["ref_total1"], one["clip2"], one["hyp_total2"], one["ref_total2"]) == (4, 5, 6, 1, 3, 4)
+    assert (got[None]["clip2"], got[3]["clip1"], got[3]["hyp_len"]) == (1, 0, 0)
