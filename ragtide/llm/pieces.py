@@ -27,6 +27,8 @@ from ragtide.llm.common import schema_of
 from ragtide.llm.lattice import CHUNK, STACKED, Vocabulary, by_length
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: Characters of text that are encoded at once.
+AT_ONCE = 1_000_000
 #: Weight of writing one character as bytes.
 BYTES_WEIGHT = 1e-9
 
@@ -179,20 +181,20 @@ def encode(docs: DataFrame, keep: list[str], key: Column, text: str = "text", al
         vocab = sampler.vocab
         seen: dict[int, int] = {}
         for b in batches:
-            texts = b.column(len(keep) + 1).to_pylist()
+            column = b.column(len(keep) + 1)
+            chars = pc.utf8_length(column).fill_null(0).to_numpy(zero_copy_only=False).tolist()
             keys = b.column(len(keep)).to_numpy()
             if apart:
                 keys = _numbered(np.ascontiguousarray(keys), b.column(len(keep) + 2).to_numpy(), seen)
             at = 0
-            while at < len(texts):  # some MB of text at a time bound the draws held at once
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= 4_000_000):
-                    chars += len(texts[end] or "")
+            while at < len(chars):  # a MB of text at a time bounds the texts, chunks and draws held at once
+                end, n_chars = at, 0
+                while end < len(chars) and (end == at or n_chars + chars[end] <= AT_ONCE):
+                    n_chars += chars[end]
                     end += 1
-                part = texts[at:end]
+                part = column.slice(at, end - at).to_pylist()
                 offsets, ids = sampler.encode([t or "" for t in part], np.ascontiguousarray(keys[at:end]))
-                listed = ids.tolist()
-                ok = [t is None or decode(vocab, listed[a:z]) == t for t, a, z in zip(part, offsets, offsets[1:])]
+                ok = [t is None or decode(vocab, ids[a:z].tolist()) == t for t, a, z in zip(part, offsets, offsets[1:])]
                 null = pa.array([t is None for t in part])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 n = np.where([t is None for t in part], 0, np.diff(offsets))

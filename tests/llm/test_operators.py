@@ -757,3 +757,16 @@ def test_neighbours_of_repeated_ids_and_empty_tables(spark):
         s = sorted((-sum(a * b for a, b in zip(least[q], v)), i) for i, v, *_ in rows if i != q)
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == s[:20]
     assert ann.search(df.where("false"), "true").collect() == []
+
+
+def test_pieces_take_a_bounded_part_of_a_batch(spark, monkeypatch):
+    """Only some characters of a batch are texts and draws at once; the pieces are the same however the batch is cut."""
+    from ragtide.llm import pieces
+
+    assert pieces.AT_ONCE <= 1_000_000
+    sampler = pieces.Sampler(pieces.Vocabulary(pieces.MODEL_FILE))
+    texts = ["one two three\nfour", "", "drei vier fünf " * 9, "x"]
+    keys = np.arange(4, dtype=np.int64)
+    ends, ids = sampler.encode(texts, keys)
+    alone = [sampler.encode([t], keys[i:i + 1])[1].tolist() for i, t in enumerate(texts)]
+    assert [ids[a:z].tolist() for a, z in zip(ends, ends[1:])] == alone
