@@ -58,3 +58,34 @@ def test_no_rerank_path_scores_one(spark, setup):
     assert {r.score for r in got} == {1.0}
     assert max(r.ctx_rank for r in got) == 1 and len(got) == 40  # gpt2: one context document
     assert all(r.doc.startswith("Luật: ") for r in got)
+
+
+def test_questions_are_worked_on_by_all_tasks(spark):
+    """Hits are few bytes but costly to score: their partitioning is explicit, so that AQE leaves it."""
+    from ragtide.operators.partitioning import task_count
+    from ragtide.plans.retrieve import by_question
+
+    hits = spark.range(50).selectExpr("id % 20 as question_id", "id as rank")
+    assert by_question(hits).rdd.getNumPartitions() == task_count(spark) >= 8
+    assert "REPARTITION_BY_NUM" in by_question(hits)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_terms_score_as_all_terms(spark):
+    """BM25 looks only at terms that the document has; the sum is that over all of the query's terms."""
+    import math
+
+    from ragtide.operators.rerank import bm25_score, bm25_stats
+
+    texts = ["a b b c", "c d", "a a a e", "", None]
+    stats = bm25_stats(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert (stats.n_docs, stats.avgdl) == (5.0, 10 / 4)
+    df = {r.token: r.df for r in stats.vocab.collect()}
+    assert df == {"a": 2, "b": 1, "c": 2, "d": 1, "e": 1}
+    pairs = spark.createDataFrame([("a b x", "a b b c"), ("d", "a b b c"), ("e a", "a a a e")], "q string, doc string")
+    for r in bm25_score(pairs, "q", "doc", stats).collect():
+        toks = r.doc.split()
+        want = 0.0
+        for t in sorted(set(r.q.split()) & set(df)):
+            tf, idf = float(toks.count(t)), math.log(1 + (5 - df[t] + 0.5) / (df[t] + 0.5))
+            want += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / 2.5))
+        assert abs(r.score - want) < 1e-12
