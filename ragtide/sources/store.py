@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ragtide.functions.text import tokens
 from ragtide.operators.format import format_rerank, scorer_input
 from ragtide.operators.numbering import numbered
+from ragtide.operators.partitioning import broadcast_if
 from ragtide.operators.passages import CHUNK_ID_BITS
 from ragtide.operators.rerank import Bm25Stats
 from ragtide.session import ensure_checkpoint_dir
@@ -332,11 +333,11 @@ def index_incremental(spark: SparkSession, passages: DataFrame, name: str, mode:
         new["documents"].append(run.segment("documents", changes.withColumn("load", F.lit(run.number)))[0])
 
         stored_docs = changes.where("n > 0").select(F.col("doc_key").alias("_doc"))
-        fresh = incoming.join(stored_docs, same_doc, "left_semi")
-        if mode == "dedupe":
+        fresh = incoming.withColumn("block", F.shiftright(F.col("metadata.chunk_index"), CHUNK_ID_BITS).cast("bigint"))
+        blocks = fresh.select("doc_key", "block").distinct().join(stored_docs, same_doc, "left_semi")
+        # whole passages are sorted out by key only if a load repeats some
+        if mode == "dedupe" and incoming.count() != brought.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
             fresh = fresh.dropDuplicates(["doc_key", "content_key"])
-        fresh = fresh.withColumn("block", F.shiftright(F.col("metadata.chunk_index"), CHUNK_ID_BITS).cast("bigint"))
-        blocks = fresh.select("doc_key", "block").distinct()
         ids = _segments(spark, root, v, "ids")
         same_block = same_doc & (F.col("block") == F.col("_block"))
         have = ids.select(F.col("doc_key").alias("_doc"), F.col("block").alias("_block"))
@@ -346,7 +347,10 @@ def index_incremental(spark: SparkSession, passages: DataFrame, name: str, mode:
             name_, rows = run.segment("ids", numbered(first_time, ["doc_key", "block"], "number", v.next_id))
             new["ids"].append(name_)
             ids = ids.unionByName(rows)
-        ids = ids.select(F.col("doc_key").alias("_doc"), F.col("block").alias("_block"), "number")
+        # The numbers of the documents to be stored: they choose the passages, and go to them where they lie, if they are few.
+        ids = ids.join(stored_docs, same_doc, "left_semi").select(F.col("doc_key").alias("_doc"), F.col("block").alias("_block"), "number")
+        ids = run.kept(ids, "numbers")
+        ids = broadcast_if(ids, ids.count())
         low = F.col("metadata.chunk_index").bitwiseAND(F.lit((1 << CHUNK_ID_BITS) - 1))
         fresh = fresh.join(ids, same_block).withColumn(
             "passage_id", F.col("number") * F.lit(1 << CHUNK_ID_BITS) + low).withColumn("load", F.lit(run.number))

@@ -271,3 +271,25 @@ def test_ingest_keeps_statistics_current_without_once(spark, scratch_dir, name):
         q.stop()
     vocab = {r.token: r.df for r in store.load_stats(spark, name).vocab.collect()}
     assert vocab["two"] == 3 and vocab["five"] == 1
+
+
+def test_passages_are_sorted_out_only_if_a_load_repeats_some(spark, scratch_dir, monkeypatch):
+    """Whole passages, vectors included, are not shuffled by key for a load without repeats; one with repeats stores each once."""
+    from ragtide.plans.index import build_passages
+    from ragtide.sources import store
+
+    rows = [(1, "l", "a", "t", "one\ntwo"), (2, "l", "b", "t", "three")]
+    schema = "doc_key bigint, law string, article string, title string, content string"
+    arts = spark.createDataFrame(rows, schema)
+    twice = spark.createDataFrame(rows + rows[:1] + [(3, "l", "c", "t", "four")], schema)
+    used, plain = [], type(arts).dropDuplicates
+    monkeypatch.setattr(type(arts), "dropDuplicates", lambda self, *a: used.append(a) or plain(self, *a))
+    name = "repeats_of_a_load"
+    store.open_store(spark, name, f"{scratch_dir}/{name}")
+    try:
+        assert store.index_incremental(spark, build_passages(arts, chunking="lines"), name) == 3 and not used
+        assert store.index_incremental(spark, build_passages(twice, chunking="lines"), name) == 1 and used
+        assert store.count(spark, name) == 4
+        assert store.load(spark, name).select("passage_id").distinct().count() == 4
+    finally:
+        store.drop(spark, name)
