@@ -202,3 +202,14 @@ def test_lsh_by_buckets_and_by_pairs_agree(spark, data, monkeypatch):
     monkeypatch.setattr(knn, "_vectors_weigh_less", lambda *a: True)
     monkeypatch.setattr(knn, "_id_pairs", lambda *a: pytest.fail("pairs of ids were formed"))
     assert find() == by_pairs and len(by_pairs) > 50
+
+
+def test_null_vectors_are_no_passages(spark):
+    vecs = [[1.0, 0.0], None, [0.9, 0.1], [0.0, 0.0], None, [0.0, 1.0]] + [[0.5, 0.5]] * 6
+    p = spark.createDataFrame(list(enumerate(vecs)), "passage_id bigint, embedding array<float>")
+    none = p.where("embedding is null")
+    q = p.where("passage_id in (0, 1, 5)").selectExpr("passage_id as query_id", "embedding as query_vec")
+    for few in (64 << 20, 0):
+        got = sorted((r.query_id, r["rank"], r.passage_id) for r in knn_exact(q, p, 3, max_broadcast_bytes=few).collect())
+        assert got == [(0, 1, 0), (0, 2, 2), (0, 3, 6), (5, 1, 5), (5, 2, 6), (5, 3, 7)]
+        assert knn_exact(q, none, 3, max_broadcast_bytes=few).count() == 0

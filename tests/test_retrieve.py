@@ -89,3 +89,55 @@ def test_shared_terms_score_as_all_terms(spark):
             tf, idf = float(toks.count(t)), math.log(1 + (5 - df[t] + 0.5) / (df[t] + 0.5))
             want += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / 2.5))
         assert abs(r.score - want) < 1e-12
+
+
+def _plain_vector(text):
+    import hashlib
+    import re
+
+    counts = [0.0] * 384
+    for t in re.findall(r"[^\W_]+", (text or "").lower()):
+        counts[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 384] += 1
+    norm = sum(c * c for c in counts) ** 0.5
+    return [c / norm if norm else 0.0 for c in counts]
+
+
+def test_hashed_vectors_by_plain_counts(spark):
+    from ragtide.operators.embed import embed
+
+    texts = ["a b a Straße", None, "", "... --", "Điều 7: a, b", "a" * 70 + " a", "b a B"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    for r in embed(df, "t").collect():
+        assert r.embedding == pytest.approx(_plain_vector(r.t), abs=1e-7), r.t
+
+
+def test_vectors_are_encoded_once_and_not_written(spark, own_checkpoints):
+    """Texts are written, vectors go from the encoder to the kNN in one scan, and nothing else computes them."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from ragtide.catalog import line_passages, questions
+    from ragtide.operators.embed import embed
+    from ragtide.operators.knn import knn_exact
+
+    passages = line_passages(spark, SF_SMALL)
+    for f in glob.glob(f"{own_checkpoints}/passages-*/*.parquet"):
+        assert "embedding" not in pq.read_schema(f).names
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashed_unit_vectors" not in plan(passages.select("passage_id", "metadata"))
+    qs = embed(questions(spark, SF_SMALL), "question", "query_vec").localCheckpoint()
+    for few in (64 << 20, 0):  # queries are broadcast; queries and passages meet in a grid
+        found = knn_exact(qs, passages, 3, qid="question_id", max_broadcast_bytes=few)
+        assert plan(found).count("hashed_unit_vectors(") == 1
+
+
+def test_vocabulary_is_the_sum_of_its_batches():
+    import pyarrow as pa
+
+    from ragtide.operators.rerank import _batch_frequencies
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.list_(pa.string()))], ["t"])
+               for t in ([["a", "b", "a"], None, ["a"]], [], [[], None], [["b"]])]
+    got = [tuple(r.values()) for b in _batch_frequencies(iter(batches)) for r in b.to_pylist()]
+    assert got == [("a", 2, 0, 0), ("b", 1, 0, 0), (None, 3, 2, 4), (None, 2, 1, 0), ("b", 1, 0, 0), (None, 1, 1, 1)]
