@@ -141,3 +141,59 @@ def test_vocabulary_is_the_sum_of_its_batches():
                for t in ([["a", "b", "a"], None, ["a"]], [], [[], None], [["b"]])]
     got = [tuple(r.values()) for b in _batch_frequencies(iter(batches)) for r in b.to_pylist()]
     assert got == [("a", 2, 0, 0), ("b", 1, 0, 0), (None, 3, 2, 4), (None, 2, 1, 0), ("b", 1, 0, 0), (None, 1, 1, 1)]
+
+
+def test_tokens_of_a_batch_are_those_of_the_expression(spark, monkeypatch):
+    """Texts split by arrays give the expression's tokens: every code point, Java's letters, no token across texts."""
+    import pyarrow as pa
+
+    from ragtide.functions import words
+    from ragtide.functions.text import tokens
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["a b", "b", None, "", "ΟΔΟΣ. ΟΔΟΣ", "İstanbul ſ", "Điều 7:Straße_x", "...", "x", "三四 ５٣½ 𝒜𝔟 é", "ࡰ 一"]
+    texts += [" a".join(every[i: i + 997]) for i in range(0, len(every), 997)] + ["".join(every[1::7]), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    rows = df.select(F.lower("t").alias("low"), tokens("t").alias("toks")).collect()
+    for size in (words.BLOCK_BYTES, 1):
+        monkeypatch.setattr(words, "BLOCK_BYTES", size)
+        for kind in (pa.string(), pa.large_string()):
+            low = pa.array(["cut off"] + [r.low for r in rows], kind).slice(1)
+            assert words.token_lists(low, words.token_runs()).to_pylist() == [r.toks for r in rows]
+    assert words.token_lists(pa.array([], pa.string()), words.token_runs()).to_pylist() == []
+
+
+def test_lines_reach_python_as_texts(spark):
+    """The vocabulary and the vectors of a table take texts to Python, not lists of tokens that an expression made."""
+    from ragtide.operators.embed import embed
+    from ragtide.operators.rerank import bm25_stats
+
+    seen = []
+    texts = spark.createDataFrame([("a b",), (None,)], "t string")
+    frame = type(texts)
+    real = frame.mapInArrow
+
+    def watched(self, *a, **k):
+        seen.append(self)
+        return real(self, *a, **k)
+
+    frame.mapInArrow = watched
+    try:
+        bm25_stats(texts, "t")
+    finally:
+        frame.mapInArrow = real
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in [*seen, embed(texts, "t")]]
+    assert len(plans) == 2 and not any("regexp_extract_all" in p for p in plans)
+
+
+def test_md5_by_arrays_is_that_of_hashlib():
+    import hashlib
+
+    import pyarrow as pa
+
+    from ragtide.functions.digest import md5_heads
+
+    words = ["w" * n for n in range(130)] + [f"điều{i}" for i in range(6000)] + ["𝒜", "ж" * 28]
+    for col in (pa.array(words), pa.array(["x", *words]).slice(1), pa.array(words, pa.large_string())):
+        assert md5_heads(col).tolist() == [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
+    assert len(md5_heads(pa.array([], pa.string()))) == 0
