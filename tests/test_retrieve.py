@@ -197,3 +197,65 @@ def test_md5_by_arrays_is_that_of_hashlib():
     for col in (pa.array(words), pa.array(["x", *words]).slice(1), pa.array(words, pa.large_string())):
         assert md5_heads(col).tolist() == [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words]
     assert len(md5_heads(pa.array([], pa.string()))) == 0
+
+
+def test_frequencies_are_summed_within_a_task(monkeypatch):
+    """A token of many batches leaves its task once, or once a full store; sums are those of all batches."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from ragtide.operators import rerank
+
+    def summed():
+        lists = [[f"t{i % 7}", "all"] for i in range(100)] + [None]
+        batches = [pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["t"])] * 30
+        rows, sums = 0, Counter()
+        for b in rerank._summed(rerank._batch_frequencies(iter(batches))):
+            for r in b.to_pylist():
+                rows += 1
+                sums += Counter({(r["token"], c): r[c] for c in ("df", "texts", "length")})
+        return rows, sums
+
+    rows, sums = summed()
+    assert rows == 9 and sums["all", "df"] == 3000 and sums["t1", "df"] == 450
+    assert [sums[None, c] for c in ("df", "texts", "length")] == [3030, 3000, 6000]
+    monkeypatch.setattr(rerank, "_SUMMED_BYTES", 1000)
+    assert summed()[1] == sums
+    assert list(rerank._summed(iter([]))) == []
+
+
+def test_lines_are_written_once_and_encoded_in_the_search(spark, own_checkpoints):
+    """What is written holds a line once; its text is the template's, and no vector passes between processes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from ragtide.catalog import articles, line_texts, questions
+    from ragtide.operators.embed import embed, hashed_encoder
+    from ragtide.operators.knn import knn_exact
+    from ragtide.plans.index import passage_chunks
+    from ragtide.plans.retrieve import _searched
+
+    texts = line_texts(spark, SF_SMALL)
+    for f in glob.glob(f"{own_checkpoints}/passages-*/*.parquet"):
+        assert "passage_text" not in pq.read_schema(f).names
+    told = passage_chunks(articles(spark, SF_SMALL), chunking="lines").select("passage_id", "passage_text")
+    got = texts.select("passage_id", "passage_text")
+    assert told.exceptAll(got).isEmpty() and got.exceptAll(told).isEmpty()
+
+    qs = embed(questions(spark, SF_SMALL), "question", "query_vec").localCheckpoint()
+    searched, encode = _searched(texts, hashed_encoder())
+    with_column, none = _searched(embed(texts, "passage_text"), hashed_encoder())
+    assert none is None
+    find = lambda p, **k: sorted((r.question_id, r["rank"], r.passage_id, r.sim) for r in
+                                 knn_exact(qs, p, 3, qid="question_id", **k).collect())
+    want = find(with_column)
+    assert len(want) == 120
+    for few in (64 << 20, 0):
+        assert find(searched, encode=encode, max_broadcast_bytes=few) == want
+    plan = knn_exact(qs, searched, 3, qid="question_id", encode=encode)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    plain = lambda c: hashed_encoder()(c)  # noqa: E731  an encoder that is a column function only
+    by_column, none = _searched(texts, plain)
+    assert none is None and "embedding" in by_column.columns
