@@ -163,6 +163,62 @@ def test_tokens_of_a_batch_are_those_of_the_expression(spark, monkeypatch):
     assert words.token_lists(pa.array([], pa.string()), words.token_runs()).to_pylist() == []
 
 
+def test_batches_are_lower_cased_as_the_session_does(spark, monkeypatch):
+    """Texts go to Python as they are and are lower-cased there: every code point, also those whose lower case has other bytes.
+    Only texts with a character that depends on its neighbours are lower-cased before."""
+    import pyarrow as pa
+
+    from ragtide.functions import words
+    from ragtide.functions.text import tokens
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["A B", None, "", "ΟΔΟΣ. ΟΔΟΣ", "İstanbul ſ", "Điều 7:Straße_X", "...", "ÉÈ", "三 𝒜𝔟 É 𐐀", "K Å ẞ Ⱥ ǅ", "B"]
+    texts += [" A".join(every[i: i + 997]) for i in range(0, len(every), 997)] + ["".join(every[1::7]), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    rows = df.select("t", words.shipped("t").alias("s"), tokens("t").alias("toks")).collect()
+    by_text = {r.t: r.s for r in rows}
+    assert by_text["Điều 7:Straße_X"] == "Điều 7:Straße_X" and by_text["ΟΔΟΣ. ΟΔΟΣ"] == "οδος. οδος"
+    runs, low = words.token_runs(), words.lowers()
+    for size in (words.BLOCK_BYTES, 1):
+        monkeypatch.setattr(words, "BLOCK_BYTES", size)
+        for kind in (pa.string(), pa.large_string()):
+            got = pa.array(["Cut off"] + [r.s for r in rows], kind).slice(1)
+            assert words.token_lists(got, runs, low).to_pylist() == [r.toks for r in rows]
+    assert words.token_lists(pa.array([], pa.string()), runs, low).to_pylist() == []
+
+
+def test_vocabulary_and_vectors_of_capitals(spark):
+    """Counts and vectors do not depend on case, whichever side lower-cases."""
+    from ragtide.operators.embed import embed
+    from ragtide.operators.rerank import bm25_stats
+
+    pairs = [("ÉTÉ Été été", "été été été"), ("ΟΔΟΣ Straße", "οδος straße"), ("İ K", "i\u0307 k"), (None, None)]
+    both = [spark.createDataFrame([(i, p[side]) for i, p in enumerate(pairs)], "i int, t string") for side in (0, 1)]
+    stats = [bm25_stats(d, "t") for d in both]
+    vocab = [sorted(map(tuple, s.vocab.collect())) for s in stats]
+    assert vocab[0] == vocab[1] and ("été", 1) in vocab[0] and ("οδος", 1) in vocab[0]
+    assert [(s.n_docs, s.avgdl) for s in stats] == [(4.0, 7 / 3)] * 2
+    vectors = [[r.embedding for r in embed(d, "t").orderBy("i").collect()] for d in both]
+    assert vectors[0] == vectors[1]
+
+
+def test_sums_leave_a_task_with_one_row_for_all_texts():
+    """The numbers of texts and of tokens are not summed by token: they leave a task once, however often its store is full."""
+    import pyarrow as pa
+
+    from ragtide.operators import rerank
+
+    lists = [[[f"t{b}-{i}"] for i in range(50)] + [None] for b in range(20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.string()))], ["t"]) for x in lists]
+    bound, rerank._SUMMED_BYTES = rerank._SUMMED_BYTES, 1000
+    try:
+        rows = [r for b in rerank._summed(rerank._batch_frequencies(iter(batches))) for r in b.to_pylist()]
+    finally:
+        rerank._SUMMED_BYTES = bound
+    assert [r for r in rows if r["token"] is None] == [{"token": None, "df": 1020, "texts": 1000, "length": 1000}]
+    assert sum(r["df"] for r in rows if r["token"]) == 1000
+
+
 def test_lines_reach_python_as_texts(spark):
     """The vocabulary and the vectors of a table take texts to Python, not lists of tokens that an expression made."""
     from ragtide.operators.embed import embed
