@@ -69,6 +69,13 @@ def test_sessions_in_groups_are_answered_as_all_at_once(spark, served, monkeypat
     assert left == ["fused", "queries", "routed", "settings"]  # not the groups' vectors, hits and texts
 
 
+def test_requests_in_groups_are_answered_as_all_at_once(spark, served, monkeypatch, own_checkpoints):
+    from ragtide.plans.answer import answer_requests
+
+    left = answered_in_groups(spark, answer_requests, served, monkeypatch, own_checkpoints)
+    assert left == ["fused", "queries", "routed", "settings"]  # requests are numbered and routed once
+
+
 def test_groups_hold_all_queries_of_a_question(spark):
     from ragtide.plans import retrieve
 
